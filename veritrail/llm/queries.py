@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from veritrail.llm.quality import op6_quality_rules
+from veritrail.llm.sharding import op1_sharding
 from veritrail.llm.substring_dedup import op10_substring_dedup
+from veritrail.llm.suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict:
-    return {"op10_substring_dedup": op10_substring_dedup}
+    return {
+        "op1_sharding": op1_sharding,
+        "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_quality_rules": op6_quality_rules,
+        "op10_substring_dedup": op10_substring_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
