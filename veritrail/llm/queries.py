@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veritrail.llm.jaccard_join import op8_jaccard_join
 from veritrail.llm.quality import op6_quality_rules
 from veritrail.llm.sharding import op1_sharding
 from veritrail.llm.substring_dedup import op10_substring_dedup
@@ -13,6 +14,7 @@ def queries() -> dict:
         "op1_sharding": op1_sharding,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op8_jaccard_join": op8_jaccard_join,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
