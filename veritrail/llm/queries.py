@@ -8,6 +8,8 @@ from veritrail.llm.sharding import op1_sharding
 from veritrail.llm.substring_dedup import op10_substring_dedup
 from veritrail.llm.suffix_dedup import op5_suffix_dedup
 
+from veritrail.llm.warc import OP9_SQL, op9_warc
+
 
 def queries() -> dict:
     return {
@@ -15,9 +17,10 @@ def queries() -> dict:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_warc": op9_warc,
         "op10_substring_dedup": op10_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": OP9_SQL}
