@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from veritrail.llm.decontamination import op4_decontamination
 from veritrail.llm.jaccard_join import op8_jaccard_join
 from veritrail.llm.quality import op6_quality_rules
 from veritrail.llm.sharding import op1_sharding
 from veritrail.llm.substring_dedup import op10_substring_dedup
 from veritrail.llm.suffix_dedup import op5_suffix_dedup
-
 from veritrail.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op4_decontamination": op4_decontamination,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op8_jaccard_join": op8_jaccard_join,
