@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veritrail.llm.decontamination import op4_decontamination
 from veritrail.llm.jaccard_join import op8_jaccard_join
+from veritrail.llm.mixing import op7_mixing
 from veritrail.llm.quality import op6_quality_rules
 from veritrail.llm.sharding import op1_sharding
 from veritrail.llm.substring_dedup import op10_substring_dedup
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op4_decontamination": op4_decontamination,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
+        "op7_mixing": op7_mixing,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_warc": op9_warc,
         "op10_substring_dedup": op10_substring_dedup,
