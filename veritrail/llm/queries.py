@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veritrail.llm.decontamination import op4_decontamination
 from veritrail.llm.jaccard_join import op8_jaccard_join
+from veritrail.llm.language_id import op2_language_id
 from veritrail.llm.mixing import op7_mixing
 from veritrail.llm.quality import op6_quality_rules
 from veritrail.llm.sharding import op1_sharding
@@ -15,6 +16,7 @@ from veritrail.llm.warc import OP9_SQL, op9_warc
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_language_id": op2_language_id,
         "op4_decontamination": op4_decontamination,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
