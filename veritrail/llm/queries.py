@@ -10,6 +10,7 @@ from veritrail.llm.quality import op6_quality_rules
 from veritrail.llm.sharding import op1_sharding
 from veritrail.llm.substring_dedup import op10_substring_dedup
 from veritrail.llm.suffix_dedup import op5_suffix_dedup
+from veritrail.llm.token_output import op3_token_output
 from veritrail.llm.warc import OP9_SQL, op9_warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op2_language_id": op2_language_id,
+        "op3_token_output": op3_token_output,
         "op4_decontamination": op4_decontamination,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules,
