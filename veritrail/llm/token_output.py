@@ -33,7 +33,8 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 #: A space beside white space or at an edge: there the tokenizer may cut elsewhere.
 UNSAFE = re.compile(r"\s |^ | $| \s")
-KEEP = 600_000
+KEEP = 400_000
+ALONE = "\x00"
 
 
 def default_vocabulary() -> str:
@@ -50,15 +51,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.opens = np.zeros(self.size, bool)  # ids that begin with a space
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("Ġ")
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for f in found for i in f], np.int32), np.array([len(f) for f in found], np.int64)
+    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(f) for f in found], np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Keys are words after a space, or ALONE and a text of its own."""
+        words = [k for k in new if k[0] != ALONE and not k[-1].isspace()]
+        rest = [k for k in new if k[0] == ALONE or k[-1].isspace()]
+        ids, _ = self._flat(["".join([" " + w for w in words[lo : lo + 2000]]) for lo in range(0, len(words), 2000)])
+        start = np.flatnonzero(self.opens[ids])  # words hold no space, so each has one id that begins with one
+        n = np.diff(np.concatenate((start, [len(ids)])))
+        if len(n) != len(words):
+            rest, words, ids, n = words + rest, [], ids[:0], n[:0]
+        other, m = self._flat([k[1:] if k[0] == ALONE else " " + k for k in rest])
+        self.known.update(zip(words + rest, range(len(self.known), len(self.known) + len(new))))
+        self.ids = np.concatenate((self.ids, ids, other))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate((n, m)))))
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; their number for each text)."""
@@ -66,32 +84,27 @@ class Encoder:
         cut = [0]
         for t in texts:
             if t:
-                if UNSAFE.search(t):
-                    pieces.append(t)
+                if ALONE in t or UNSAFE.search(t):
+                    pieces.append(ALONE + t)
                 else:
                     words = t.split(" ")
-                    pieces.append(words[0])
-                    pieces.extend([" " + w for w in words[1:]])
+                    words[0] = ALONE + words[0]
+                    pieces += words
             cut.append(len(pieces))
         new = set(pieces) - self.known.keys()
         if new:
             if len(self.known) + len(new) > KEEP and self.known:
                 self._clear()
                 new = set(pieces)
-            new = sorted(new)
-            ids, n = self._encode(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.ids = np.concatenate((self.ids, ids))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(n)))
+            self._learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         n = self.first[at + 1] - self.first[at]
         total = np.concatenate(([0], np.cumsum(n)))
         place = np.concatenate(([0], np.cumsum(np.diff(total[cut]) + 1)))
         out = np.full(place[-1], end, np.int32)
         row = np.repeat(np.arange(len(texts)), np.diff(cut))
-        flat = np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(self.first[at], n)
-        to = np.arange(total[-1]) + np.repeat(row, n)
-        out[to] = self.ids[flat]
+        each = np.arange(total[-1])
+        out[each + np.repeat(row, n)] = self.ids[each + np.repeat(self.first[at] - total[:-1], n)]
         if len(self.known) > KEEP:
             self._clear()
         return out, np.diff(place)
@@ -150,7 +163,7 @@ def reader(batches):
 NO_ID = -(2**63)
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 16 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 12 << 20) -> DataFrame:
     """Write docs (doc_id, text) as token files; one row a file: path, start, n_docs, n_tokens."""
     _, n_bytes = text_size(docs)
     parts = max(12, -(-n_bytes // file_bytes))
