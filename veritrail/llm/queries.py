@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veritrail.llm import sql
 from veritrail.llm.decontamination import op4_decontamination
 from veritrail.llm.jaccard_join import op8_jaccard_join
 from veritrail.llm.language_id import op2_language_id
@@ -11,7 +12,7 @@ from veritrail.llm.sharding import op1_sharding
 from veritrail.llm.substring_dedup import op10_substring_dedup
 from veritrail.llm.suffix_dedup import op5_suffix_dedup
 from veritrail.llm.token_output import op3_token_output
-from veritrail.llm.warc import OP9_SQL, op9_warc
+from veritrail.llm.warc import op9_warc
 
 
 def queries() -> dict:
@@ -30,4 +31,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": OP9_SQL}
+    return {
+        "op5_suffix_dedup": sql.OP5,
+        "op6_quality_rules": sql.OP6,
+        "op8_jaccard_join": sql.OP8,
+        "op9_warc": sql.OP9,
+        "op10_substring_dedup": sql.OP10,
+    }

@@ -231,16 +231,3 @@ def read_archives(index: DataFrame) -> DataFrame:
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     runs = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "warc"))
     return read_archives(merge_index(runs)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-
-
-OP9_SQL = """
-WITH p AS (
-  SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
-), g AS (
-  SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1
-)
-SELECT p.page_id, p.payload_bytes, p.payload_digest,
-       CASE WHEN g.first IS NULL OR g.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN g.first <> p.page_id THEN g.first END AS refers_to
-FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 100
-"""
