@@ -22,6 +22,7 @@ document belongs to can't be reached and keeps its gap; an empty table gives an
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -92,7 +93,9 @@ def posteriors(docs: DataFrame, prior: dict[str, float], none: dict[str, float],
         scored = own.select("doc_id", "_key", F.size("tokens").cast("long").alias("n_tokens"), *(plain[d].alias(d) for d in DOMAINS))
     else:
         # the list of known words is bounded: `features` for each domain
-        known = spark.createDataFrame([(w, *(v.get(d, 0.0) for d in DOMAINS)) for w, v in weights.items()], "word string, " + ", ".join(f"{d} double" for d in DOMAINS))
+        listed_json = json.dumps([{"word": w, **{d: v.get(d, 0.0) for d in DOMAINS}} for w, v in weights.items()])
+        fields = "array<struct<word string, " + ", ".join(f"{d} double" for d in DOMAINS) + ">>"
+        known = spark.range(1).select(F.inline(F.from_json(F.lit(listed_json), fields)))
         listed = F.array(*[F.lit(w) for w in weights])
         held = materialize(own.select("doc_id", "_key", F.size("tokens").cast("long").alias("n_tokens"), F.array_intersect("tokens", listed).alias("words")), "mixing-held")
         found = held.select("_key", "words").where(F.size("words") > 0).groupBy("_key").agg(F.first("words").alias("words"))
