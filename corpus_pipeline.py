@@ -18,9 +18,10 @@ from veritrail.llm.token_output import read_tokens, write_tokens
 
 
 def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (doc_id); null ids meet null ids."""
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    """The rows of docs whose doc_id is in kept (doc_id); null ids meet null ids. No column of docs can clash."""
+    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    own = docs.select(F.struct("*").alias("row"))
+    return own.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,363 @@
+"""Each operator against a brute-force version, and on nulls, ties, repeated rows, empty tables and clashing columns."""
+
+import collections
+import hashlib
+import io
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veritrail.llm import components, decontamination, exchange, jaccard_join, language_id, mixing, quality, sharding, substring_dedup, suffix_dedup, token_coder, token_output, warc
+
+DOCS = "doc_id long, text string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts(n=60, seed=1):
+    """Small documents with copies, near copies and shared passages."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 6)))
+    passage = " ".join(word() for _ in range(30))
+    rows = []
+    for i in range(n):
+        kind = rng.randrange(5)
+        if kind == 0 and rows:
+            t = rng.choice(rows)[1]
+        elif kind == 1 and rows:
+            w = rng.choice(rows)[1].split(" ")
+            w[rng.randrange(len(w))] = word()
+            t = " ".join(w)
+        elif kind == 2:
+            t = " ".join(word() for _ in range(20)) + "\n" + passage + " " + word()
+        else:
+            t = " ".join(word() for _ in range(rng.randrange(1, 80)))
+        rows.append((i * 3, t))
+    return rows
+
+
+EDGES = [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "x"), (None, "a null id"), (1004, "é" * 70), (1005, "é" * 70)]
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, DOCS).withColumn("chunk", F.lit("clash")).withColumn("row", F.lit(1)).withColumn("_key", F.lit(2))
+
+
+def order(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+
+
+def test_sharding(spark):
+    rows = texts() + EDGES + [(7, "twice"), (7, "twice")]
+    got = sharding.shard_by_bytes(table(spark, rows), 4).collect()
+    assert len(got) == len(rows)
+    slots, shards = collections.defaultdict(list), collections.defaultdict(set)
+    text = {d: t for d, t in rows}
+    for r in got:
+        t = text[r.doc_id]
+        assert r.size == len((t or "").encode()) + 1 and r.text_crc32 == zlib.crc32((t or "").encode()) and r.law == "bytes"
+        slots[r.shard].append(r.slot)
+        shards[t].add(r.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in shards.values())
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert max(size.values()) - min(size.values()) < 0.1 * max(size.values())
+    assert sharding.shard_by_bytes(table(spark, []), 4).count() == 0
+
+
+def test_best_fit_decreasing():
+    rng = random.Random(3)
+    sizes = sorted((rng.randrange(1, 60) for _ in range(80)), reverse=True)
+    tree = sharding.pack(sizes, 100, 80)
+    left, out = [], []
+    for s in sizes:  # the same by linear search
+        fits = [(r, b) for b, r in enumerate(left) if r >= s]
+        if fits:
+            b = min(fits)[1]
+        else:
+            b = len(left)
+            left.append(100)
+        left[b] -= s
+        out.append(b)
+    assert tree == out
+    huge = sharding.best_fit_decreasing([(1000, "hot")] + [(1, i) for i in range(30)], 4)
+    assert sum(b == huge["hot"] for b in huge.values()) == 1
+
+
+def test_lattice_sums_all_segmentations():
+    lattice = language_id.Lattice(["a", "b", "ab", "ba", "aba"])
+    p = np.random.default_rng(0).random((6, 2))
+
+    def brute(w):
+        if not w:
+            return np.ones(2)
+        total = p[lattice.ids.get(w[0], 5)] * brute(w[1:])
+        for n in range(2, len(w) + 1):
+            if w[:n] in lattice.ids:
+                total = total + p[lattice.ids[w[:n]]] * brute(w[n:])
+        return total
+
+    for w in ["ab", "ababa", "ababxaba", "xx", "b"]:
+        want = np.log(brute(w))
+        assert np.allclose(language_id.Batch([w, "aba"], lattice).log_sums(p)[0], want)
+        assert np.allclose(language_id.long_log_sums(w, lattice, p), want)
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.language_id(docs, sample=100).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.97 * len(got) and all(0 <= r.score <= 1 for r in got)
+    odd = spark.createDataFrame([(1, None, None), (2, "12 !", "en"), (3, "", None), (None, "words " * 30000, None), (4, "z" * 30000, "en")], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language_id.language_id(odd).collect()}
+    assert out[1].lang_pred == out[2].lang_pred == out[3].lang_pred == "und" and len(out) == 5
+    assert language_id.language_id(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2047, 2048, 5000])
+def test_coder_round_trip(n):
+    ids = np.minimum(np.random.default_rng(n).zipf(1.3, n), 50256).astype(np.int32)
+    f = io.BytesIO()
+    token_coder.write_file(f, ids, np.array([3, 9]), np.array([n, 0]), 50257)
+    f.seek(0)
+    back, docs, counts = token_coder.read_file(f)
+    assert (back == ids).all() and docs.tolist() == [3, 9] and counts.tolist() == [n, 0]
+
+
+def test_coder_finds_damage():
+    f = io.BytesIO()
+    token_coder.write_file(f, np.arange(3000, dtype=np.int32), np.array([1]), np.array([3000]), 50257)
+    raw = bytearray(f.getvalue())
+    raw[len(raw) // 2] ^= 1
+    with pytest.raises(ValueError):
+        token_coder.read_file(io.BytesIO(bytes(raw)))
+
+
+def test_token_output(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_output.default_vocabulary())
+    rows = texts(30) + EDGES + [(5, " lead"), (8, "trail "), (11, "two  spaces \n x"), (14, "it's 'll x's <|endoftext|> a\x00 b"), (14, "it's")]
+    files = token_output.write_tokens(table(spark, rows), token_output.new_path(spark, "t"), file_bytes=200)
+    got = sorted((tuple(r) for r in token_output.read_tokens(files).collect()), key=lambda r: r[1])
+    want, start = [], 0
+    for d, t in order(rows):
+        ids = tok.encode(t or "", add_special_tokens=False).ids + [0]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+    assert token_output.read_tokens(token_output.write_tokens(table(spark, []), token_output.new_path(spark, "t"))).count() == 0
+
+
+def edits(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination(spark):
+    rng = random.Random(2)
+    make = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    items = [(i, make(n)) for i, n in enumerate((12, 25, 45, 90, 130))] + [(9, None), (10, " ")]
+    rows = []
+    for d in range(40):
+        it = list(rng.choice(items[:5])[1])
+        for _ in range(rng.randrange(8)):
+            it[rng.randrange(len(it))] = "z"
+        rows.append((d, make(70) + "".join(it).upper().replace(" ", " \n") + make(50)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, rows + EDGES)
+    got = {(r.doc_id, r.item_id, r.edits) for r in decontamination.contaminated(docs, bench).collect()}
+    norm = decontamination.normal
+    want = {(d, i, e) for d, t in rows for i, it in items[:5] if (e := edits(norm(it), norm(t))) <= int(len(norm(it)) * 0.05)}
+    assert got == want and want
+    kept = {r.doc_id for r in decontamination.decontaminate(docs, bench, block_bytes=100).collect()}
+    assert kept == {d for d, _ in rows + EDGES} - {d for d, _, _ in want}
+    assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [20, 50, 70])
+def test_suffix_dedup(spark, threshold):
+    rows = texts() + EDGES
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(table(spark, rows), threshold, chunk_bytes=700).collect()}
+    first = {}
+    own = [(d, (t or "").encode()) for d, t in order(rows)]
+    for d, b in own:
+        for i in range(len(b) - threshold + 1):
+            first.setdefault(b[i : i + threshold], d)
+    for d, b in own:
+        gone = bytearray(len(b))
+        for i in range(len(b) - threshold + 1):
+            if first[b[i : i + threshold]] != d:
+                gone[i : i + threshold] = b"\1" * threshold
+        r = got[d]
+        assert (r.n_bytes, r.n_removed, len(r.spans)) == (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))))
+        assert r.kept == bytes(x for x, g in zip(b, gone) if not g)
+    assert suffix_dedup.suffix_dedup(table(spark, [])).count() == 0
+    twin = table(spark, [(1, "q" * 90), (1, "q" * 90)])
+    assert all(r.n_removed == 0 for r in suffix_dedup.suffix_dedup(twin).collect())
+
+
+def test_quality(spark):
+    rows = [(d, t, f"s{d % 4}" if d and d % 4 else None) for d, t in texts() + EDGES]
+    rows += [(2000, "a b c a b c " * 30, "s1"), (2001, "line\nline\n \nx # $", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit(0))
+    got = {r.doc_id: r for r in quality.host_rules(docs).collect()}
+    for d, t, _ in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        c = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
+    assert quality.host_rules(docs.limit(0)).count() == 0
+
+
+def test_host_verdict(spark):
+    good, bad = " ".join(f"w{i}" for i in range(60)), "few"
+    rows = [(i, good if i % 10 else bad, "fine") for i in range(50)] + [(100 + i, bad if i % 10 else good, "poor") for i in range(50)] + [(300, good, "small")]
+    got = {r.doc_id: r.kept for r in quality.host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1] and got[300] and not got[0] and not got[100] and not got[110]
+
+
+def test_mixing(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for d in range(300):
+        toxic, low = d % 10 == 0, d % 10 == 1
+        w = [rng.choice(words) for _ in range(40)] + ["vile"] * (3 * toxic) + ["!!", "!!"] * low
+        rows.append((d, " ".join(w)))
+        if d % 2 == 0 or low:
+            labels.append((d, 0 if low else 1, int(toxic)))
+    docs = table(spark, rows + EDGES)
+    lab = spark.createDataFrame(labels + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
+    got = mixing.mixing_rates(docs, lab, {"high": 1.25, "low": 1.0, "toxic": 0.0})
+    one = {r.doc_id: r for r in got.collect()}
+    assert all(one[d].p_toxic > 0.9 and one[d].rate < 0.1 for d in range(0, 300, 10)) and all(one[d].p_low > 0.9 for d in range(1, 300, 10))
+    assert all(abs(r.p_high + r.p_low + r.p_toxic - 1) < 1e-9 and r.rate >= 0 for r in one.values())
+    total = lambda c: sum(getattr(r, "p_" + c) * r.n_tokens for r in one.values())
+    reached = lambda c: sum(r.rate * getattr(r, "p_" + c) * r.n_tokens for r in one.values())
+    assert abs(reached("high") - 1.25 * total("high")) < 0.01 * total("high") and abs(reached("low") - total("low")) < 0.01 * total("low")
+    out = mixing.mixed(docs, got)
+    assert out.columns == docs.columns
+    n = collections.Counter(r.doc_id for r in out.collect())
+    assert all(int(one[d].rate) <= n[d] <= int(one[d].rate) + 1 for d in one)
+    assert mixing.mixing_rates(docs.limit(0), lab, {}).count() == 0 and mixing.mixing_rates(docs, lab.limit(0), {}).count() == len(rows + EDGES)
+
+
+def jaccard_brute(rows):
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    sets, up = {}, {}
+    for d, t in rows:
+        w = WORD.findall(low(t or ""))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        up[d] = d
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {d: (len(s), root(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [8, 128])
+def test_jaccard_join(spark, block):
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        w = list(base[min(int(rng.expovariate(1.2)), 3)])
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(999)}"
+        rows.append((i, " ".join(w)))
+    rows += texts(30, 9)[:0] + [(1000, None), (1001, ""), (1002, "A b"), (1003, "a B"), (1004, "\t"), (1005, "q")]
+    docs = table(spark, rows).withColumn("rep", F.lit(1)).withColumn("label", F.lit(1))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs, block=block, chunk_bytes=4000).collect()}
+    assert got == jaccard_brute(rows)
+    assert jaccard_join.jaccard_join(docs.limit(0)).count() == 0
+    odd = jaccard_join.jaccard_join(table(spark, [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f")])).collect()
+    assert [r.component_id for r in odd] == [None] * 3
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
+    got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_loser_tree():
+    rng = random.Random(7)
+    for k in range(1, 10):
+        runs = [sorted(rng.choices(range(40), k=rng.randrange(15))) for _ in range(k)]
+        assert list(warc.LoserTree([iter(r) for r in runs], lambda x: x)) == sorted(sum(runs, []))
+
+
+def test_warc(spark):
+    rows = [(i, f"http://a.b.c/{i % 3}#x", "x" * (150 if i % 2 else 20)) for i in range(10)]
+    rows += [(11, None, None), (None, "http://z", "x" * 150), (3, "u\r\ny", "x" * 150), (12, "", "é" * 60), (13, "k", "é" * 60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("of", F.lit(1)).withColumn("first", F.lit(1))
+    index = warc.merge_index(warc.write_archives(pages, warc.new_path(spark, "w")), 3)
+    keys = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in index.collect()]
+    assert keys == sorted(keys)
+    got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(index).collect())
+    least = {}
+    for p, _, h in rows:
+        if p is not None and len((h or "").encode()) >= 100:
+            least[h] = min(p, least.get(h, p))
+    want = collections.Counter()
+    for p, _, h in rows:
+        b = (h or "").encode()
+        revisit = h in least and p != least[h]
+        want[(p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", least[h] if revisit else None)] += 1
+    assert got == want
+    assert warc.read_archives(warc.merge_index(warc.write_archives(pages.limit(0), warc.new_path(spark, "w")))).count() == 0
+
+
+def test_substring_dedup(spark):
+    rows = texts() + EDGES + [(5000, "r " * 60)]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, rows), chunk_bytes=700).collect()}
+    seen = set()
+    for d, t in order(rows):
+        w = WORD.findall(t or "")
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            if k in seen:
+                gone[i : i + 20] = [True] * 20
+            seen.add(k)
+        r = got[d]
+        assert (r.n_words, r.n_removed, r.text) == (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
+        assert sum(s.end - s.start for s in r.spans) == r.n_removed
+    assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
+
+
+def test_packed_keys():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))
+    assert (exchange.unpack(exchange.pack(keys), len(keys)) == keys).all()
+    a = exchange.requests(0, keys[::2], 3)
+    b = exchange.requests(1, keys[::3], 3)
+    import pyarrow as pa
+
+    both = pa.concat_tables([a, b])
+    replies = pa.concat_tables([exchange.answer(both.filter(pa.compute.equal(both["bucket"], i)), 0) for i in range(3)])
+    own = replies.filter(pa.compute.equal(replies["chunk"], 1))
+    assert (exchange.bits(own, "earlier") == np.isin(keys[::3], keys[::2])).all()
+    first = replies.filter(pa.compute.equal(replies["chunk"], 0))
+    assert not exchange.bits(first, "earlier").any() and (exchange.bits(first, "other") == np.isin(keys[::2], keys[::3])).all()

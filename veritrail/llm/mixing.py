@@ -143,13 +143,14 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
 
 def mixed(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """The rows of docs, as often as their rates say: the whole part, and once more by a draw on the hash of id and text."""
-    key = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64(F.col("text").cast("string")))
-    rates = rates.select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"), "rate").distinct()
-    own = docs.withColumn("_key", key)
-    met = own.join(rates, own["doc_id"].cast("long").eqNullSafe(rates["_id"]) & (own["_key"] == rates["_of"]))
-    draw = F.pmod(F.xxhash64(F.lit(11), "_id", "_key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    rates = rates.select(F.col("doc_id").alias("id"), F.col("_key").alias("of"), "rate").distinct()
+    text = F.col("row.text")
+    own = docs.select(F.struct("*").alias("row"))  # so that no column of docs can clash
+    own = own.select("row", F.col("row.doc_id").cast("long").alias("own_id"), F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text.cast("string"))).alias("own_of"))
+    met = own.join(rates, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_of") == F.col("of")))
+    draw = F.pmod(F.xxhash64(F.lit(11), "own_id", "own_of"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    return met.withColumn("_n", copies).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    return met.withColumn("n", copies).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 #: Factors on the domains' expected tokens: more of the good, the plain as it is, next to nothing toxic.
