@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-LANES = 4096
+LANES = 2048
 SLOTS = 2048
 REFRESH = 64
 UPPER_REFRESH = 256
@@ -45,7 +45,7 @@ class Model:
         self.weight = np.full((lanes, 3), 21845, np.int64)
         self.parts: tuple | None = None
         self.uppers = -(-vocabulary // 256)
-        self.upper_count = np.zeros((lanes, self.uppers), np.int64)
+        self.upper_count = np.zeros((lanes, self.uppers), np.int32)
         self.step = 0
         self._mix()
         self._upper()
@@ -70,16 +70,16 @@ class Model:
         size = 1 << TOTAL_BITS
         freq = 1 + ((mixed * (size - 4)) >> 16)
         freq[..., 3] += size - freq.sum(-1)
-        self.freq = freq.reshape(-1)
-        self.low = (np.cumsum(freq, -1) - freq).reshape(-1)
+        self.freq = freq.reshape(-1).astype(np.int32)
+        self.low = (np.cumsum(freq, -1) - freq).reshape(-1).astype(np.int32)
 
     def _upper(self) -> None:
         size = 1 << UPPER_BITS
         n = np.maximum(self.upper_count.sum(1, keepdims=True), 1)
         freq = 1 + self.upper_count * (size - self.uppers) // n
         freq[:, -1] += size - freq.sum(1)
-        self.upper_freq = freq.reshape(-1)
-        self.upper_low = (np.cumsum(freq, 1) - freq).reshape(-1)
+        self.upper_freq = freq.reshape(-1).astype(np.int32)
+        self.upper_low = (np.cumsum(freq, 1) - freq).reshape(-1).astype(np.int32)
         self.upper_of = np.repeat(np.tile(np.arange(self.uppers, dtype=np.uint8), self.lanes), self.upper_freq)
 
     def predict(self) -> None:
@@ -115,7 +115,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     columns = np.ascontiguousarray(ids.T)
     low = np.zeros(lanes, np.int64)
     width = np.full(lanes, (1 << 32) - 1, np.int64)
-    out = np.zeros((lanes, 2 * length + 4), np.int64)
+    out = np.zeros((lanes, 2 * length + 4), np.int32)
     flat, size = out.reshape(-1), out.shape[1]
     place = m.lane * size
 
@@ -156,7 +156,8 @@ def encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     used = place + 2 - m.lane * size
     for i in range(int(used.max()) - 1, 0, -1):
         out[:, i - 1] += out[:, i] >> 16
-    digits = (out & 0xFFFF).astype(">u2")
+    out &= 0xFFFF
+    digits = out.astype(">u2")
     return [digits[i, :n].tobytes() for i, n in enumerate(used.tolist())]
 
 
@@ -165,11 +166,11 @@ def decode(payloads: list[bytes], vocabulary: int, length: int = BLOCK) -> np.nd
     lanes = len(payloads)
     m = Model(lanes, vocabulary)
     size = max(map(len, payloads)) // 2 + 4
-    data = np.zeros((lanes, size), np.int64)
+    data = np.zeros((lanes, size), np.uint16)
     for i, p in enumerate(payloads):
         data[i, : len(p) // 2] = np.frombuffer(p, ">u2")
     flat = data.reshape(-1)
-    code = (data[:, 0] << 16) | data[:, 1]
+    code = (data[:, 0].astype(np.int64) << 16) | data[:, 1]
     place = m.lane * size + 2
     width = np.full(lanes, (1 << 32) - 1, np.int64)
     out = np.empty((length, lanes), np.int32)

@@ -33,7 +33,7 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 #: A space beside white space or at an edge: there the tokenizer may cut elsewhere.
 UNSAFE = re.compile(r"\s |^ | $| \s")
-KEEP = 400_000
+KEEP = 300_000
 ALONE = "\x00"
 
 
@@ -163,7 +163,7 @@ def reader(batches):
 NO_ID = -(2**63)
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 12 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 10 << 20) -> DataFrame:
     """Write docs (doc_id, text) as token files; one row a file: path, start, n_docs, n_tokens."""
     _, n_bytes = text_size(docs)
     parts = max(12, -(-n_bytes // file_bytes))
