@@ -10,6 +10,10 @@ The first round ranks anchors only: of each `threshold`-byte string, the first-l
 in it with the least fingerprint. Equal strings have equal anchors, so a string whose anchor
 stands alone in the corpus is alone too, and its position never enters a sort.
 
+Whole copies are found first, by two 64-bit hashes and the length of the text: every string
+of a copy also starts in the first of its texts, so it needs no ranks. Only where there are
+over `most_copies` copies do they take the general way, with the same result.
+
 Bytes go that lie in a `threshold`-byte string which also starts in a document of a smaller
 doc_id. Ranks are 64-bit names; two different strings are taken as equal only if their names
 agree, which in n positions is expected n * n / 2**65 times.
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import exchange as X
-from veritrail.llm.common import INVERSE, U64, byte_table, mix, powers, prefix_hash, slices, table, text_size, utf8, with_chunks
+from veritrail.llm.common import INVERSE, U64, byte_table, materialize, mix, powers, prefix_hash, slices, table, text_size, utf8, with_chunks
 
 SCHEMA = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -207,14 +211,37 @@ def tasks(lens: list[int], buckets: int):
     return [first, *(next_round(i) for i in range(1, len(lens)))], last
 
 
-def suffix_dedup(docs: DataFrame, threshold: int = 50, chunk_bytes: int = 4 << 20, bucket_bytes: int = 48 << 20) -> DataFrame:
+def hashes() -> list:
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.octet_length("text"), "text").alias("h2")]
+
+
+def whole_copies(docs: DataFrame, threshold: int, most_copies: int) -> DataFrame | None:
+    """(doc_id, h1, h2) of the rows whose text a smaller doc_id has too, if they are few enough to send everywhere."""
+    own = docs.where(F.octet_length("text") >= threshold).select("doc_id", *hashes())
+    own = materialize(own, "suffix-hashes")
+    first = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final")).where("first < final")
+    copies = own.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "h1", "h2").distinct()
+    copies = materialize(copies, "suffix-copies")
+    return copies if 0 < copies.count() <= most_copies else None
+
+
+def suffix_dedup(docs: DataFrame, threshold: int = 50, chunk_bytes: int = 4 << 20, bucket_bytes: int = 48 << 20, most_copies: int = 1_000_000) -> DataFrame:
     """doc_id, kept (bytes), n_bytes, n_removed, spans (of removed bytes) of every row. docs needs doc_id and text."""
-    _, n_bytes = text_size(docs)
-    chunked, chunks = with_chunks(docs, chunk_bytes, n_bytes)
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    copies = whole_copies(own, threshold, most_copies)
+    gone = None
+    if copies is not None:
+        hashed = own.select("doc_id", "text", *hashes())
+        gone = hashed.join(F.broadcast(copies), ["doc_id", "h1", "h2"], "left_semi").select("doc_id", F.octet_length("text").cast("long").alias("n"))
+        gone = gone.select("doc_id", F.lit(b"").alias("kept"), F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"))
+        own = hashed.join(F.broadcast(copies), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
+    _, n_bytes = text_size(own)
+    chunked, chunks = with_chunks(own, chunk_bytes, n_bytes)
     buckets = max(12, -(-n_bytes // bucket_bytes))
     lens = lengths(threshold)
     steps, last = tasks(lens, buckets)
     out = X.rounds(chunked, chunks, buckets, steps, [SHIFT] + [0] * (len(lens) - 1), last, SCHEMA)
+    out = out if gone is None else out.union(gone)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
 
