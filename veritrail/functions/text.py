@@ -121,13 +121,10 @@ def first_family(authors: Column) -> Column:
 
 def split_authors(cell: Column) -> Column:
     """Authors of one cell: at semicolons or line ends; at commas if each part is a family and initials; else one."""
-    vancouver = r"(?U)^\s*[\p{L}'’ -]+ [\p{Lu}]{1,3}(?:\s*,\s*[\p{L}'’ -]+ [\p{Lu}]{1,3})*\s*,?\s*$"
-    parts = (
-        F.when(cell.rlike(r"[;\n]"), F.split(cell, r"[;\n]"))
-        .when(cell.rlike(vancouver), F.split(cell, ","))
-        .otherwise(F.array(cell))
-    )
-    return F.filter(F.transform(parts, F.trim), lambda a: a != "")
+    at_commas = F.transform(F.split(cell, ","), lambda p: F.trim(p))
+    initials = F.contains(cell, F.lit(",")) & F.forall(at_commas, lambda p: p.rlike(r"^[^,]+ [A-Z][A-Z.\-]*$"))
+    parts = F.when(cell.rlike(r"[;\n]"), F.split(cell, r"[;\n]")).when(initials, at_commas).otherwise(F.array(cell))
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda a: a != "")
 
 
 def row_key(raw: Column) -> Column:
