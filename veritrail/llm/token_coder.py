@@ -22,11 +22,11 @@ import numpy as np
 BLOCK = 2048
 LANES = 2048
 SLOTS = 2048
-REFRESH = 64
-UPPER_REFRESH = 256
+REFRESH = 128
+UPPER_REFRESH = 512
 TOTAL_BITS = 12
 UPPER_BITS = 10
-MAGIC = b"VTTK1\n"
+MAGIC = b"VTTK2\n"
 
 
 class Model:
@@ -108,52 +108,56 @@ class Model:
             self._upper()
 
 
+#: One id is one step of the coder: outcome, upper part and lower byte share its range.
+WHOLE_BITS = TOTAL_BITS + UPPER_BITS + 8
+REST_BITS = UPPER_BITS + 8
+LOWEST = 1 << 32  # a range below this takes in 16 more bits
+
+
 def encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """ids: (blocks, BLOCK) int32. The payload of every block."""
     lanes, length = ids.shape
     m = Model(lanes, vocabulary)
     columns = np.ascontiguousarray(ids.T)
     low = np.zeros(lanes, np.int64)
-    width = np.full(lanes, (1 << 32) - 1, np.int64)
-    out = np.zeros((lanes, 2 * length + 4), np.int32)
+    width = np.full(lanes, (1 << 48) - 1, np.int64)
+    out = np.zeros((lanes, 2 * length + 8), np.int32)
     flat, size = out.reshape(-1), out.shape[1]
     place = m.lane * size
-
-    def shift(which=None) -> None:
-        narrow = np.flatnonzero(width < 65536) if which is None else which[width[which] < 65536]
-        if len(narrow):
-            x = low[narrow]
-            flat[place[narrow]] = x >> 16  # a carry stays in the digit until the end
-            place[narrow] += 1
-            low[narrow] = (x & 0xFFFF) << 16
-            width[narrow] <<= 16
-
+    row = m.lane * m.uppers
+    upper_count = m.upper_count.reshape(-1)
     for t in range(length):
         now = columns[t]
         m.predict()
         outcome = np.where(now == m.p2, 0, np.where(now == m.p1, 1, np.where(now == m.common, 2, 3)))
         at = m.place + outcome
-        unit = width >> TOTAL_BITS
-        low += unit * m.low[at]
-        np.multiply(unit, m.freq[at], out=width)
-        shift()
+        part = m.freq[at].astype(np.int64)
+        begin, share = m.low[at].astype(np.int64) << REST_BITS, part << REST_BITS
         rest = np.flatnonzero(outcome == 3)
         if len(rest):
-            own = now[rest].astype(np.int64)
-            upper = m.lane[rest] * m.uppers + (own >> 8)
-            unit = width[rest] >> UPPER_BITS
-            low[rest] += unit * m.upper_low[upper]
-            width[rest] = unit * m.upper_freq[upper]
-            shift(rest)
-            unit = width[rest] >> 8
-            low[rest] += unit * (own & 255)
-            width[rest] = unit
-            shift(rest)
-            m.upper_count.reshape(-1)[upper] += 1
+            own = now[rest]
+            upper = row[rest] + (own >> 8)
+            f, p = m.upper_freq[upper], part[rest]
+            begin[rest] += p * ((m.upper_low[upper] << 8) + f * (own & 255))
+            share[rest] = p * f
+            upper_count[upper] += 1
+        unit = width >> WHOLE_BITS
+        begin *= unit
+        low += begin
+        np.multiply(unit, share, out=width)
+        narrow = np.flatnonzero(width < LOWEST)
+        while len(narrow):
+            x, y = low[narrow], place[narrow]
+            flat[y] = x >> 32  # a carry stays in the digit until the end
+            place[narrow] = y + 1
+            low[narrow] = (x & 0xFFFFFFFF) << 16
+            w = width[narrow] << 16
+            width[narrow] = w
+            narrow = narrow[w < LOWEST]
         m.update(now, outcome)
-    flat[place] = low >> 16
-    flat[place + 1] = low & 0xFFFF
-    used = place + 2 - m.lane * size
+    for k in range(3):
+        flat[place + k] = (low >> (32 - 16 * k)) & (0x1FFFF if k == 0 else 0xFFFF)
+    used = place + 3 - m.lane * size
     for i in range(int(used.max()) - 1, 0, -1):
         out[:, i - 1] += out[:, i] >> 16
     out &= 0xFFFF
@@ -165,51 +169,54 @@ def decode(payloads: list[bytes], vocabulary: int, length: int = BLOCK) -> np.nd
     """(blocks, length) int32 of the payloads of encode."""
     lanes = len(payloads)
     m = Model(lanes, vocabulary)
-    size = max(map(len, payloads)) // 2 + 4
+    size = max(map(len, payloads)) // 2 + 8
     data = np.zeros((lanes, size), np.uint16)
     for i, p in enumerate(payloads):
         data[i, : len(p) // 2] = np.frombuffer(p, ">u2")
     flat = data.reshape(-1)
-    code = (data[:, 0].astype(np.int64) << 16) | data[:, 1]
-    place = m.lane * size + 2
-    width = np.full(lanes, (1 << 32) - 1, np.int64)
+    first = data[:, :3].astype(np.int64)
+    code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
+    place = m.lane * size + 3
+    width = np.full(lanes, (1 << 48) - 1, np.int64)
+    row = m.lane * m.uppers
+    slot = m.lane << UPPER_BITS
+    upper_count = m.upper_count.reshape(-1)
     out = np.empty((length, lanes), np.int32)
-
-    def shift(which=None) -> None:
-        narrow = np.flatnonzero(width < 65536) if which is None else which[width[which] < 65536]
-        if len(narrow):
-            code[narrow] = (code[narrow] << 16) | flat[place[narrow]]
-            place[narrow] += 1
-            width[narrow] <<= 16
-
     for t in range(length):
         m.predict()
-        unit = width >> TOTAL_BITS
+        unit = width >> WHOLE_BITS
         value = code // unit
-        outcome = (value >= m.low[m.place + 1]).astype(np.int64)
-        outcome += value >= m.low[m.place + 2]
-        outcome += value >= m.low[m.place + 3]
+        top = value >> REST_BITS
+        outcome = (top >= m.low[m.place + 1]).astype(np.int64)
+        outcome += top >= m.low[m.place + 2]
+        outcome += top >= m.low[m.place + 3]
         at = m.place + outcome
-        np.subtract(code, unit * m.low[at], out=code)
-        np.multiply(unit, m.freq[at], out=width)
-        shift()
+        part = m.freq[at].astype(np.int64)
+        begin, share = m.low[at].astype(np.int64) << REST_BITS, part << REST_BITS
         now = np.where(outcome == 0, m.p2, np.where(outcome == 1, m.p1, m.common))
         rest = np.flatnonzero(outcome == 3)
         if len(rest):
-            unit = width[rest] >> UPPER_BITS
-            value = np.minimum(code[rest] // unit, (1 << UPPER_BITS) - 1)
-            upper = m.upper_of[(m.lane[rest] << UPPER_BITS) + value].astype(np.int64)
-            at = m.lane[rest] * m.uppers + upper
-            code[rest] -= unit * m.upper_low[at]
-            width[rest] = unit * m.upper_freq[at]
-            shift(rest)
-            unit = width[rest] >> 8
-            lower = np.minimum(code[rest] // unit, 255)
-            code[rest] -= unit * lower
-            width[rest] = unit
-            shift(rest)
-            m.upper_count.reshape(-1)[at] += 1
+            p = part[rest]
+            inner = np.minimum((value[rest] - begin[rest]) // p, (1 << REST_BITS) - 1)
+            upper = m.upper_of[slot[rest] + (inner >> 8)].astype(np.int64)
+            cell = row[rest] + upper
+            f, a = m.upper_freq[cell].astype(np.int64), m.upper_low[cell].astype(np.int64) << 8
+            lower = (inner - a) // f
+            begin[rest] += p * (a + f * lower)
+            share[rest] = p * f
+            upper_count[cell] += 1
             now[rest] = (upper << 8) | lower
+        begin *= unit
+        code -= begin
+        np.multiply(unit, share, out=width)
+        narrow = np.flatnonzero(width < LOWEST)
+        while len(narrow):
+            y = place[narrow]
+            code[narrow] = (code[narrow] << 16) | flat[y]
+            place[narrow] = y + 1
+            w = width[narrow] << 16
+            width[narrow] = w
+            narrow = narrow[w < LOWEST]
         out[t] = now
         m.update(out[t], outcome)
     return np.ascontiguousarray(out.T)

@@ -7,6 +7,7 @@ before it in its own file, known when the file is read back.
 
 Words come back often, so a text is cut at single spaces between two other characters, where
 the tokenizer's own splitting always cuts, and the ids of each piece are kept, up to a bound.
+Pieces are compared by 128 hash bits.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes first; rows that
 share a doc_id stand in the order of their texts; an empty table gives an empty result.
@@ -14,7 +15,6 @@ share a doc_id stand in the order of their texts; an empty table gives an empty
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 
@@ -25,16 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import token_coder
-from veritrail.llm.common import materialize, new_path, table, text_size
+from veritrail.llm.common import U64, materialize, new_path, slices, table, text_size, utf8, word_hashes
 
 FILES = "part int, path string, n_docs long, n_tokens long"
 FILES_ARROW = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-#: A space beside white space or at an edge: there the tokenizer may cut elsewhere.
-UNSAFE = re.compile(r"\s |^ | $| \s")
-KEEP = 300_000
-ALONE = "\x00"
+#: Pieces whose ids a worker keeps; beyond, it starts anew.
+KEEP = 3_000_000
+JOINED = 1 << 16
 
 
 def default_vocabulary() -> str:
@@ -43,8 +42,39 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def wide_gaps(raw: np.ndarray) -> np.ndarray:
+    """Where white space of more than one byte begins."""
+    if not len(raw) or raw.max() < 128:
+        return np.zeros(0, np.int64)
+    padded = np.concatenate((raw, np.zeros(2, np.uint8)))
+    at = np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3))
+    a, b, c = raw[at], padded[at + 1], padded[at + 2]
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & (((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    other = ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))
+    return at[two | general | other]
+
+
+def piece_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Starts of the pieces: of each text, and each space between two characters that are no white space.
+
+    There the tokenizer always cuts: no token of it goes from another character into a space.
+    Texts with white space of more than one byte stay whole.
+    """
+    n = len(raw)
+    space = np.flatnonzero(raw == 32)
+    space = space[(space > 0) & (space < n - 1)]
+    space = space[(raw[space - 1] > 32) & (raw[space + 1] > 32) & (raw[space - 1] != 127) & (raw[space + 1] != 127)]
+    row = np.searchsorted(off, space, side="right") - 1
+    inside = (space > off[row]) & (space < off[row + 1] - 1)
+    odd = np.unique(np.searchsorted(off, wide_gaps(raw), side="right") - 1)
+    space = space[inside & ~np.isin(row, odd)]
+    full = off[:-1][np.diff(off) > 0]
+    return np.sort(np.concatenate((full, space)))
+
+
 class Encoder:
-    """Ids of texts, as the tokenizers library gives them."""
+    """Ids of texts, as the tokenizers library gives them. Pieces are known by two 64-bit hashes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,57 +87,86 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.h1, self.h2 = np.zeros(0, U64), np.zeros(0, U64)  # sorted by h1
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.int32)
 
     def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(f) for f in found], np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        """Keys are words after a space, or ALONE and a text of its own."""
-        words = [k for k in new if k[0] != ALONE and not k[-1].isspace()]
-        rest = [k for k in new if k[0] == ALONE or k[-1].isspace()]
-        ids, _ = self._flat(["".join([" " + w for w in words[lo : lo + 2000]]) for lo in range(0, len(words), 2000)])
-        start = np.flatnonzero(self.opens[ids])  # words hold no space, so each has one id that begins with one
-        n = np.diff(np.concatenate((start, [len(ids)])))
-        if len(n) != len(words):
-            rest, words, ids, n = words + rest, [], ids[:0], n[:0]
-        other, m = self._flat([k[1:] if k[0] == ALONE else " " + k for k in rest])
-        self.known.update(zip(words + rest, range(len(self.known), len(self.known) + len(new))))
-        self.ids = np.concatenate((self.ids, ids, other))
-        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.concatenate((n, m)))))
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each followed by the end id; their number for each text)."""
-        pieces: list[str] = []
-        cut = [0]
-        for t in texts:
-            if t:
-                if ALONE in t or UNSAFE.search(t):
-                    pieces.append(ALONE + t)
-                else:
-                    words = t.split(" ")
-                    words[0] = ALONE + words[0]
-                    pieces += words
-            cut.append(len(pieces))
-        new = set(pieces) - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > KEEP and self.known:
-                self._clear()
-                new = set(pieces)
-            self._learn(list(new))
-        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        n = self.first[at + 1] - self.first[at]
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(f) for f in found], np.int32)
+
+    def _words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that are a space and a word: end to end, as their first ids tell them apart."""
+        size = end - start
+        whole = np.concatenate(([0], np.cumsum(size)))
+        joined = raw[np.arange(whole[-1]) + np.repeat(start - whole[:-1], size)].tobytes()
+        cut = whole[np.unique(np.searchsorted(whole, np.arange(0, whole[-1] + JOINED, JOINED).clip(0, whole[-1])))]
+        ids, _ = self._flat([joined[a:b].decode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) != len(start):
+            return self._flat([joined[a:b].decode() for a, b in zip(whole[:-1].tolist(), whole[1:].tolist())])
+        return ids, np.diff(np.concatenate((first, [len(ids)]))).astype(np.int32)
+
+    def _encode(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each piece) of some pieces."""
+        spaces = np.concatenate(([0], np.cumsum(raw == 32)))
+        word = (raw[start] == 32) & (spaces[end] - spaces[start] == 1) & (raw[end - 1] > 32) & (raw[end - 1] < 127)
+        a, b = np.flatnonzero(word), np.flatnonzero(~word)
+        ids_a, n_a = self._words(raw, start[a], end[a]) if len(a) else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        data = raw.tobytes()
+        ids_b, n_b = self._flat([data[s:e].decode() for s, e in zip(start[b].tolist(), end[b].tolist())])
+        n = np.empty(len(start), np.int32)
+        n[a], n[b] = n_a, n_b
+        at = np.empty(len(start), np.int64)
+        at[a] = np.cumsum(n_a) - n_a
+        at[b] = len(ids_a) + np.cumsum(n_b) - n_b
+        ids = np.concatenate((ids_a, ids_b))
+        to = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        return ids[np.arange(to[-1]) + np.repeat(at - to[:-1], n)], n
+
+    def _hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+        return word_hashes(raw, start, end, seed)
+
+    def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by the end id; their number for each text) from UTF-8 and offsets."""
+        start = piece_starts(raw, off)
+        end = np.concatenate((start[1:], [len(raw)])).astype(np.int64) if len(start) else start
+        h1, h2 = self._hashes(raw, start, end, 11), self._hashes(raw, start, end, 12)
+        by = np.argsort(h1, kind="stable")
+        head = by[np.concatenate(([True], h1[by[1:]] != h1[by[:-1]]))] if len(by) else by
+        group = np.empty(len(by), np.int64)
+        group[by] = np.cumsum(np.concatenate(([True], h1[by[1:]] != h1[by[:-1]]))) - 1 if len(by) else by
+        if len(self.h1) > KEEP:
+            self._clear()
+        place = np.searchsorted(self.h1, h1[head])
+        place[place == len(self.h1)] = 0
+        known = (self.h1[place] == h1[head]) & (self.h2[place] == h2[head]) if len(self.h1) else np.zeros(len(head), bool)
+        fresh = head[~known]
+        if len(fresh):
+            ids, n = self._encode(raw, start[fresh], end[fresh])
+            keys = np.concatenate((self.h1, h1[fresh]))
+            order = np.argsort(keys, kind="stable")
+            at = len(self.ids) + np.cumsum(n, dtype=np.int64) - n
+            self.h1, self.h2 = keys[order], np.concatenate((self.h2, h2[fresh]))[order]
+            self.at, self.n = np.concatenate((self.at, at))[order], np.concatenate((self.n, n))[order]
+            self.ids = np.concatenate((self.ids, ids))
+            place = np.searchsorted(self.h1, h1[head])
+        own = place[group]
+        at, n = self.at[own], self.n[own].astype(np.int64)
+        ids = self.ids
+        clash = np.flatnonzero(self.h2[own] != h2)  # another piece with the same first hash
+        if len(clash):
+            more, m = self._encode(raw, start[clash], end[clash])
+            at[clash], n[clash] = len(ids) + np.cumsum(m, dtype=np.int64) - m, m
+            ids = np.concatenate((ids, more))
         total = np.concatenate(([0], np.cumsum(n)))
-        place = np.concatenate(([0], np.cumsum(np.diff(total[cut]) + 1)))
-        out = np.full(place[-1], end, np.int32)
-        row = np.repeat(np.arange(len(texts)), np.diff(cut))
+        row = np.searchsorted(off, start, side="right") - 1
+        first = np.searchsorted(start, off)  # of each text, its first piece
+        counts = np.diff(total[first]) + 1
+        out = np.full(int(counts.sum()), end_id, np.int32)
         each = np.arange(total[-1])
-        out[each + np.repeat(row, n)] = self.ids[each + np.repeat(self.first[at] - total[:-1], n)]
-        if len(self.known) > KEEP:
-            self._clear()
-        return out, np.diff(place)
+        out[each + np.repeat(row, n)] = ids[each + np.repeat(at - total[:-1], n)]
+        return out, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -126,13 +185,13 @@ def writer(folder: str, vocabulary: str, end: int):
 
         coder, ids, counts, doc_ids = encoder(vocabulary), [], [], []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                i, n = coder.encode(part["text"].to_pylist(), end)
+            raw, off = utf8(batch["text"])
+            for lo, hi in slices(off, 2_000_000):
+                i, n = coder.encode(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], end)
                 ids.append(i)
                 counts.append(n)
-                doc_ids.append(part["doc_id"].to_numpy(zero_copy_only=False))
-        if not doc_ids:
+            doc_ids.append(batch["doc_id"].to_numpy(zero_copy_only=False))
+        if not doc_ids or not sum(map(len, doc_ids)):
             return
         ids, counts, doc_ids = np.concatenate(ids), np.concatenate(counts), np.concatenate(doc_ids)
         path = f"{folder}/{uuid.uuid4().hex}.vtk"
