@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from veritrail.plans import catalog  # noqa: F401  registers on import
+    from veritrail.plans import catalog, catalog_more  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Query]:
