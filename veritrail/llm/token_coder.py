@@ -22,8 +22,8 @@ import numpy as np
 BLOCK = 2048
 LANES = 2048
 SLOTS = 2048
-REFRESH = 128
-UPPER_REFRESH = 512
+REFRESH = 64
+UPPER_REFRESH = 256
 TOTAL_BITS = 12
 UPPER_BITS = 10
 MAGIC = b"VTTK2\n"

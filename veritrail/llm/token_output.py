@@ -32,7 +32,7 @@ FILES_ARROW = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs",
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 #: Pieces whose ids a worker keeps; beyond, it starts anew.
-KEEP = 3_000_000
+KEEP = 1_000_000
 JOINED = 1 << 16
 
 
@@ -186,7 +186,7 @@ def writer(folder: str, vocabulary: str, end: int):
         coder, ids, counts, doc_ids = encoder(vocabulary), [], [], []
         for batch in batches:
             raw, off = utf8(batch["text"])
-            for lo, hi in slices(off, 2_000_000):
+            for lo, hi in slices(off, 1_000_000):
                 i, n = coder.encode(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], end)
                 ids.append(i)
                 counts.append(n)
@@ -222,7 +222,7 @@ def reader(batches):
 NO_ID = -(2**63)
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 10 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 8 << 20) -> DataFrame:
     """Write docs (doc_id, text) as token files; one row a file: path, start, n_docs, n_tokens."""
     _, n_bytes = text_size(docs)
     parts = max(12, -(-n_bytes // file_bytes))
