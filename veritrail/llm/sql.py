@@ -7,17 +7,14 @@ GAP = r"[ \x09-\x0D]+"
 OP5 = """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
-), w AS (
-  SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 100)) AS s FROM d, range(0, n - 49) AS r(i) WHERE n >= 50
+), b AS (
+  SELECT doc_id, p, substring(h, 2 * p + 1, 2) AS x, CASE WHEN p + 50 <= n THEN md5_number(substring(h, 2 * p + 1, 100)) END AS s FROM d, range(0, n) AS r(p)
 ), f AS (
-  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w
+  SELECT doc_id, p, x, s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id AS starts FROM b
 ), g AS (
-  SELECT DISTINCT doc_id, i + j AS p FROM f, range(0, 50) AS r(j) WHERE first < doc_id
-), b AS (
-  SELECT d.doc_id, r.p, substring(d.h, 2 * r.p + 1, 2) AS x, g.p IS NOT NULL AS gone
-  FROM d CROSS JOIN range(0, d.n) AS r(p) LEFT JOIN g ON g.doc_id = d.doc_id AND g.p = r.p
+  SELECT doc_id, p, x, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM f
 ), s AS (
-  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS head FROM b
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS head FROM g
 ), k AS (
   SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans,
          coalesce(string_agg(x, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM s GROUP BY 1
