@@ -18,6 +18,7 @@ are scored like any other; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -177,7 +178,7 @@ def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = 4, floor:
 class Scorer:
     """Scores texts; the sums of words seen are kept, up to a bound."""
 
-    def __init__(self, languages: list[str], prior: np.ndarray, p: np.ndarray, pieces: list[str], keep: int = 1_600_000):
+    def __init__(self, languages: list[str], prior: np.ndarray, p: np.ndarray, pieces: list[str], keep: int = 3_200_000):
         self.languages, self.prior, self.p = languages, prior, p
         self.lattice = Lattice(pieces)
         self.most = max(1000, keep // max(1, len(languages)))
@@ -217,6 +218,17 @@ class Scorer:
         return [(self.languages[b], float(s)) if words else ("und", 0.0) for words, b, s in zip(split, best, share)]
 
 
+_SCORER: dict[str, Scorer] = {}
+
+
+def scorer_of(name: str, model: tuple) -> Scorer:
+    """The scorer of a model, kept for the next task of the same worker."""
+    if name not in _SCORER:
+        _SCORER.clear()
+        _SCORER[name] = Scorer(*model)
+    return _SCORER[name]
+
+
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
@@ -233,9 +245,10 @@ def language_id(docs: DataFrame, sample: int = 400, longest: int = 1 << 16, voca
         rows = [(r["lang"], r["text"]) for r in chosen.select("lang", "text").collect()]  # about `sample` rows a language
     languages, prior, p = fit(rows, pieces)
     model = docs.sparkSession.sparkContext.broadcast((languages, prior, p, pieces))
+    name = uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(*model.value)
+        scorer = scorer_of(name, model.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
