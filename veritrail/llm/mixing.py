@@ -153,8 +153,8 @@ def mixed(docs: DataFrame, rates: DataFrame) -> DataFrame:
     return met.withColumn("n", copies).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
-#: Factors on the domains' expected tokens: more of the good, the plain as it is, next to nothing toxic.
-TARGETS = {"high": 1.25, "low": 1.0, "toxic": 0.05}
+#: Factors on the domains' expected tokens: more of the good, no less of the plain, nothing toxic.
+TARGETS = {"high": 1.25, "low": 1.1, "toxic": 0.0}
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
