@@ -147,3 +147,26 @@ def interval_problem(estimate: Column, lower: Column, upper: Column, ratio: Colu
     slack = half(estimate) / e + (half(lower) / lo + half(upper) / hi) / 2 + 0.05 * width
     off = F.abs(F.log(e) - (F.log(lo) + F.log(hi)) / 2)
     return F.when(lo >= hi, "reversed").when((e < lo) | (e > hi), "outside").when(ratio & (lo > 0) & (off > slack), "off_centre")
+
+
+def with_inferred(first: DataFrame, second: DataFrame) -> DataFrame:
+    """winners of declared candidates, and of inferred ones where the first reading found nothing."""
+    b = second.where("status = 'extracted'").select("doc", "field", *(F.col(c).alias(f"_{c}") for c in ("status", "value", "score", "runner_up")))
+    both = first.join(b, ["doc", "field"], "full_outer")
+    own = F.coalesce(F.col("status"), F.lit("missing")) != "missing"
+    pick = lambda c: F.when(own, F.col(c)).otherwise(F.coalesce(f"_{c}", c)).alias(c)
+    return both.select("doc", "field", pick("status"), pick("value"), pick("score"), pick("runner_up"), (~own & F.col("_value").isNotNull()).alias("inferred"))
+
+
+def nested(results: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(doc, output): field results as one JSON object a document; fields: field -> 'section/key'."""
+    sections: dict[str, list[tuple[str, str]]] = {}
+    for field, path in fields.items():
+        section, _, key = path.rpartition("/")
+        sections.setdefault(section, []).append((key, field))
+    wide = results.groupBy("doc").agg(*(F.max(F.when((F.col("field") == f) & (F.col("status") == "extracted"), F.col("value"))).alias(f) for f in fields))
+    parts = []
+    for section, members in sections.items():
+        inner = [F.col(f).alias(k) for k, f in members]
+        parts += [F.struct(*inner).alias(section)] if section else inner
+    return wide.select("doc", F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("output"))

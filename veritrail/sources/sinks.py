@@ -89,3 +89,20 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], seq: str | N
 
 def insert_new(current: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     return current.unionByName(rows.join(current.select(*keys), keys, "left_anti"))
+
+
+FLOW_BOXES = [("Identified", "identified"), ("Duplicates removed", "duplicates"), ("Screened", "screened"), ("Excluded on title", "excluded_title"), ("Assessed in full", "assessed"), ("Excluded in full", "excluded_full"), ("Included", "included")]
+
+
+def flow_svg(flow: DataFrame, title: str) -> str:
+    """A flow diagram as SVG from the (metric, n) rows of a screening flow: a few rows, drawn on the driver."""
+    from xml.sax.saxutils import escape
+
+    n = {r["metric"]: r["n"] for r in flow.select("metric", "n").collect()}
+    out, y = [], 40
+    for label, metric in FLOW_BOXES:
+        side = metric in ("duplicates", "excluded_title", "excluded_full")
+        x = 260 if side else 20
+        out.append(f'<rect x="{x}" y="{y}" width="220" height="36" fill="none" stroke="black"/><text x="{x + 10}" y="{y + 23}">{escape(label)} (n = {n.get(metric, 0)})</text>')
+        y += 0 if side else 52
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="500" height="{y + 20}" font-size="13"><text x="20" y="24">{escape(title)}</text>{"".join(out)}</svg>'
