@@ -212,22 +212,31 @@ def relabel(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return materialize(sets.join(to, "label", "left").withColumn("label", F.coalesce("to", "label")).select(sets.columns), "jaccard-sets")
 
 
+MOST_SENT = 500_000
+
+
+def sent(rows: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """A written table of few short rows for a broadcast join, so that a hot group's sets stay spread; more rows join by shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def joined_groups(sets: DataFrame, percent: int, block: int, delegates: int = 4) -> DataFrame:
     """sets (rep, grp, label, n_shingles, tokens, prefix): labels after all links within each grp."""
     task = link_task(percent)
     sizes = materialize(sets.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "jaccard-groups")
-    sized = sets.join(sizes, "grp")
+    sized = sets.join(sent(sizes), "grp")
     cell = F.pmod(F.xxhash64("rep"), F.ceil(F.col("members") / block))
     edges = materialize(sized.withColumn("cell", cell).groupBy("grp", "cell").applyInArrow(task, EDGES), "jaccard-edges")
     sets = relabel(sets, edges)
-    large = sizes.where(F.col("members") > block)
+    large = materialize(sizes.where(F.col("members") > block), "jaccard-large")
     if not large.limit(1).count():
         return sets
+    large = sent(large)
     several = lambda rows: rows.groupBy("grp").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("grp")
     members = None
     while True:  # delegates of the components of each block meet
         now = sets.join(large, "grp")
-        now = now.join(several(now), "grp", "left_semi")
+        now = now.join(sent(materialize(several(now), "jaccard-open")), "grp", "left_semi")
         own = Window.partitionBy("grp", "cell", "label").orderBy("rep")
         parts = F.ceil(F.col("members") / block)
         picked = now.withColumn("cell", F.pmod(F.xxhash64("rep"), parts)).withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= delegates)
@@ -241,7 +250,7 @@ def joined_groups(sets: DataFrame, percent: int, block: int, delegates: int = 4)
         met = picked.join(counts, "grp").withColumn("cell", cell)
         sets = relabel(sets, materialize(met.groupBy("grp", "cell").applyInArrow(task, EDGES), "jaccard-edges"))
     now = sets.join(large, "grp")
-    now = now.join(several(now), "grp", "left_semi").drop("members")
+    now = now.join(sent(materialize(several(now), "jaccard-open")), "grp", "left_semi").drop("members")
     if not now.limit(1).count():
         return sets
     # what is still apart: parts of one or few labels meet pairwise, unless both are of one same label
