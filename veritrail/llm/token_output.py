@@ -32,7 +32,7 @@ FILES_ARROW = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs",
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 #: Pieces whose ids a worker keeps; beyond, it starts anew.
-KEEP = 1_000_000
+KEEP = 500_000
 JOINED = 1 << 16
 
 
