@@ -255,6 +255,24 @@ def test_mixing(spark):
     assert mixing.mixing_rates(docs.limit(0), lab, {}).count() == 0 and mixing.mixing_rates(docs, lab.limit(0), {}).count() == len(rows + EDGES)
 
 
+@pytest.mark.parametrize("n", [10, 50])
+def test_mixing_few_labels(spark, n):
+    """Toxic texts with two of six words each, as many again without a label."""
+    rng = random.Random(n)
+    words, vile = [f"w{i}" for i in range(300)], [f"vile{i}" for i in range(6)]
+    rows, labels = [], []
+    for d in range(16 * n):
+        w = [rng.choice(words) for _ in range(40)] + (rng.sample(vile, 2) if d % 8 == 0 else [])
+        rows.append((d, " ".join(w)))
+        if d % 16 < 9 and d % 16 != 8:
+            labels.append((d, 1, int(d % 8 == 0)))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in mixing.mixing_rates(table(spark, rows), lab, {"toxic": 0.0}).collect()}
+    assert sum(t for _, _, t in labels) == n
+    assert sum(got[d].p_toxic > 0.5 for d in range(0, 16 * n, 8)) >= 0.9 * 2 * n
+    assert not any(got[d].p_toxic > 0.5 for d in got if d % 8)
+
+
 def jaccard_brute(rows):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
     sets, up = {}, {}

@@ -2,8 +2,9 @@
 
 A naive Bayes over telling words learns the domains `high`, `low` and `toxic` from the labels
 table and gives every document a posterior over them: a domain's telling words stand in
-`support` of its texts at least, and `lift` times as often as in the others; each one present adds its log likelihood
-ratio, and their absence as a whole counts as one more feature. Rates r >= 0 of documents
+`least` of its texts and in `support` of them at least, and more than `lift` times as often as
+in the others (both shares with `smooth` added to the counts of texts with and without the
+word); none of this asks for more labels. Each one present adds its log likelihood ratio, and their absence as a whole counts as one more feature. Rates r >= 0 of documents
 then minimise the squared gaps, relative to a domain's size, between the expected domain
 totals sum(r * tokens * posterior) and their targets, by gradient steps followed by the
 projection max(0, .). A step needs one sum per domain over all documents; a document's rate
@@ -11,7 +12,8 @@ follows from the steps so far, so nothing is stored between steps but those few
 All of it is built-in functions.
 
 Bounds, as parameters: the classifier is fitted on at most about `sample` labelled documents
-of each domain (chosen by hash) and keeps the `features` words that tell each domain best.
+of each domain (chosen by hash) and keeps the `features` words that tell each domain best
+(by the z of its share against the others').
 Scores, totals and rates cover all documents.
 
 Defined cases: a null text has no tokens and the posterior of a text without known words; a
@@ -42,7 +44,7 @@ def domain_of() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").otherwise("low")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int, features: int, lift: float = 20.0, support: float = 0.02) -> tuple[dict[str, float], dict[str, float], dict[str, dict[str, float]]]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int, features: int, lift: float = 20.0, support: float = 0.02, least: int = 3, smooth: float = 0.5) -> tuple[dict[str, float], dict[str, float], dict[str, dict[str, float]]]:
     """Log prior of each domain, log ratio of having none of its words, weights of its words."""
     known = labels.where("quality is not null and toxic is not null and doc_id is not null")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).withColumn("domain", domain_of())
@@ -66,9 +68,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int, features: int, lift: fl
         if not n or not rest:
             continue
         others = sum((F.col(o) for o in DOMAINS if o != d), F.lit(0))
-        a, b, p = (F.col(d) + 0.05) / (n + 0.1), (others + 0.05) / (rest + 0.1), (F.col(d) + others) / every
+        a, b, p = (F.col(d) + smooth) / (n + 2 * smooth), (others + smooth) / (rest + 2 * smooth), (F.col(d) + others) / every
         z = (a - b) / F.sqrt(p * (1 - p) * (1 / n + 1 / rest) + 1e-12)
-        best = wide.select("word", d, z.alias("z"), F.log(a / b).alias("w")).where((F.col(d) >= support * n) & (F.col("z") > 9) & (F.col("w") > math.log(lift)))
+        best = wide.select("word", d, z.alias("z"), F.log(a / b).alias("w")).where((F.col(d) >= max(least, support * n)) & (F.col("w") > math.log(lift)))
         for r in best.orderBy(F.col("z").desc(), "word").limit(features).collect():  # at most `features` rows
             weights.setdefault(r["word"], {})[d] = r["w"]
     prior = {d: math.log((sizes.get(d, 0) + 0.5) / (labelled + 1.5)) for d in DOMAINS}
@@ -134,9 +136,9 @@ def solve(scored: DataFrame, targets: dict[str, float], most_steps: int = 40, ne
     return steps, {d: (goal[d], reached[d]) for d in DOMAINS}
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int = 4000, features: int = 300) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], sample: int = 4000, features: int = 300, lift: float = 20.0, support: float = 0.02, least: int = 3, smooth: float = 0.5) -> DataFrame:
     """doc_id, _key, n_tokens, p_high, p_low, p_toxic, rate of every row of docs (doc_id, text)."""
-    scored = materialize(posteriors(docs, *fit(docs, labels, sample, features)), "mixing-scored")
+    scored = materialize(posteriors(docs, *fit(docs, labels, sample, features, lift, support, least, smooth)), "mixing-scored")
     steps, _ = solve(scored, targets)
     return scored.withColumn("rate", rate_after(steps))
 
