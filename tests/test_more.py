@@ -41,6 +41,14 @@ def test_documents_of_reports(spark):
     assert {r.file: (r.report_id, r.state) for r in anchors.planned_uploads(files, rep).collect()} == {"10.1234_ab-c.pdf": ("r1", "planned"), "Smith 123456.pdf": ("r2", "planned"), "what.pdf": (None, "unknown")}
 
 
+def test_pages_read_whole(spark):
+    filler = " ".join(f"filler{i}" for i in range(600))
+    title = "Aspirin against placebo in older adults"
+    pages = spark.createDataFrame([("late", 1, filler + " " + title), ("second", 1, filler), ("second", 2, filler + "\n" + title), ("third", 1, filler), ("third", 2, filler), ("third", 3, "doi: 10.1/abc"), ("title3", 1, filler), ("title3", 3, title), ("fourth", 1, filler), ("fourth", 4, "doi: 10.1/abc"), ("short", 1, filler), ("short", 2, "placebo"), ("bare", 1, filler), ("bare", 2, "")], "doc string, page int, text string")
+    own = spark.createDataFrame([("late", None, title), ("second", None, title), ("third", "10.1/abc", title), ("title3", None, title), ("fourth", "10.1/abc", title), ("short", None, title), ("bare", None, None)], "doc string, doi string, title string")
+    assert {r.doc: r.state for r in anchors.check_pages(pages, own).collect()} == {"late": "match", "second": "match", "third": "match", "title3": "mismatch", "fourth": "mismatch", "short": "mismatch", "bare": "mismatch"}
+
+
 def test_reports(spark):
     r = spark.createDataFrame([("r", 1, 1, "ab"), ("r", 1, 0, "abc"), ("r", 2, 0, "abd")], "report_id string, event_seq int, ordinal int, abstract string")
     assert reports.representatives(r).first()["abstract"] == "abc"

@@ -72,15 +72,23 @@ def remapped(anchors: DataFrame, layers: DataFrame, known: DataFrame) -> DataFra
 
 
 def check_pages(pages: DataFrame, reports: DataFrame) -> DataFrame:
-    """Whether the first two pages show the report's DOI (whole, over line ends) or title: match, mismatch or unchecked."""
-    head = pages.where("page <= 2").groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    """Whether the first three pages show the report's DOI (whole, over line ends) or one of the first two, each whole, its title: match, mismatch or unchecked."""
+    head = pages.where("page <= 3").groupBy("doc").agg(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))).alias("head"))
     own = reports.join(head, "doc", "left")
-    joined = F.regexp_replace(F.lower("text"), r"\s*\n\s*", "")
+    texts = lambda *n: F.transform(F.filter(F.coalesce("head", F.array().cast("array<struct<page int, text string>>")), lambda p: p["page"].isin(*n)), lambda p: p["text"])
     doi = F.lower("doi")
-    has_doi = F.contains(joined, doi) & ~F.substr(joined, F.instr(joined, doi) + F.length("doi"), F.lit(1)).rlike("[0-9a-z]")
+
+    def shows(page):
+        joined = F.regexp_replace(F.lower(page), r"\s*\n\s*", "")
+        return F.contains(joined, doi) & ~F.substr(joined, F.instr(joined, doi) + F.length("doi"), F.lit(1)).rlike("[0-9a-z]")
+
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "))
-    like = similarity.partial_ratio(plain(F.coalesce("title", F.lit(""))), F.substring(plain(F.coalesce("text", F.lit(""))), 1, 4000))
-    state = F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) < 20, "unchecked").when(F.coalesce(has_doi, F.lit(False)), "match").when(like >= 95, "match").otherwise("mismatch")
+    title = plain(F.coalesce("title", F.lit("")))
+    page = [plain(F.array_join(texts(n), "\n")) for n in (1, 2)]
+    # a page shorter than the title can't show it, however well it fits a stretch of the title
+    like = F.greatest(*(F.when((title != "") & (F.length(p) >= F.length(title)), similarity.partial_ratio(title, p)).otherwise(0.0) for p in page))
+    read = F.length(F.trim(F.array_join(texts(1, 2, 3), "\n"))) >= 20
+    state = F.when(~read, "unchecked").when(F.coalesce(F.exists(texts(1, 2, 3), shows), F.lit(False)), "match").when(like >= 95, "match").otherwise("mismatch")
     return own.select("doc", state.alias("state"))
 
 
