@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veritrail.functions import similarity
 from veritrail.operators import agreement, appraisal, compare, extraction, graph, grid, layout, ledger, linkage, ranking, screening
+from veritrail.plans import catalog, catalog_more
 
 
 def rows(df, *order):
@@ -113,6 +114,14 @@ def test_screening(spark):
     assert [(r.provisional, r.final, r.kept) for r in screening.reveals_kept(e).collect()] == [("include", "exclude", False)]
 
 
+def test_titles_are_whole_lines(spark, sf):
+    first = {d: t.split("\n")[0] for d, t in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect() if t}
+    assert max(map(len, first.values())) > 200
+    assert {r.occurrence_id: r.title for r in catalog.records(spark, sf).collect() if r.title} == {d: t for d, t in first.items() if t}
+    titles = {r.ordinal: [x[6:] for x in r.entry.split("\n") if x.startswith("TI  - ")] for r in catalog_more.snk_ris_entries(spark, sf).collect()}
+    assert all(titles[d] == [" ".join(t.split())] for d, t in first.items() if " ".join(t.split()))
+
+
 def test_flow_balances(spark, sf):
     from veritrail.plans.catalog import flow_checks
 

@@ -445,7 +445,7 @@ def link_proposals(spark, sf_dir):
 
 def records(spark, sf_dir):
     none = F.lit(None).cast("string")
-    first = F.substring(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), 1, 200)
+    first = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
     return t(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("occurrence_id"), F.col("doc_id").alias("input_pos"), first.alias("title"), F.array(F.col("lang")).alias("authors"), (2000 + F.col("doc_id") % 2).cast("int").alias("year"), none.alias("doi"), none.alias("pmid"), none.alias("pmcid"), "source"
     )

@@ -275,7 +275,7 @@ def stat_conformal(spark, sf_dir):
 
 @query("snk_ris_entries")
 def snk_ris_entries(spark, sf_dir):
-    own = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.substring("text", 1, 80).alias("title"), F.lit(None).cast("string").alias("abstract"), F.array("lang").alias("authors"), F.lit(2020).alias("year"), F.col("source").alias("journal"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("pmid"), F.array().cast("array<string>").alias("registry_ids"), F.col("doc_id").cast("string").alias("provider_record_id"), "source")
+    own = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.lit(None).cast("string").alias("abstract"), F.array("lang").alias("authors"), F.lit(2020).alias("year"), F.col("source").alias("journal"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("pmid"), F.array().cast("array<string>").alias("registry_ids"), F.col("doc_id").cast("string").alias("provider_record_id"), "source")
     return sinks.ris_lines(own)
 
 
