@@ -205,6 +205,14 @@ def test_suffix_dedup(spark, threshold):
     assert all(r.n_removed == 0 for r in suffix_dedup.suffix_dedup(twin).collect())
 
 
+def test_suffix_dedup_long_threshold(spark):
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = own(500)
+    docs = table(spark, [(1, own(50) + "1" + passage + "2"), (2, own(50) + "3" + passage + "4")])
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs, 200).collect()} == {1: 0, 2: 500}
+
+
 def test_quality(spark):
     rows = [(d, t, f"s{d % 4}" if d and d % 4 else None) for d, t in texts() + EDGES]
     rows += [(2000, "a b c a b c " * 30, "s1"), (2001, "line\nline\n \nx # $", "s1")]

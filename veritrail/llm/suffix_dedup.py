@@ -192,7 +192,7 @@ def tasks(lens: list[int], buckets: int):
             change = np.zeros(len(raw) + 1, np.int8)
             change[at[drop]] += 1
             change[at[drop] + lens[-1]] -= 1
-            gone = np.cumsum(change[:-1], dtype=np.int8) > 0
+            gone = np.cumsum(change[:-1], dtype=np.int32) > 0  # up to `threshold` windows cover a byte
         removed = np.concatenate(([0], np.cumsum(gone)))[off]
         left, spans = [], []
         for i in range(docs.num_rows):
