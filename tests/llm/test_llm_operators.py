@@ -183,7 +183,7 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("threshold", [20, 50, 70])
+@pytest.mark.parametrize("threshold", [20, 50, 127, 128])
 def test_suffix_dedup(spark, threshold):
     rows = texts() + EDGES
     got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(table(spark, rows), threshold, chunk_bytes=700).collect()}
@@ -213,6 +213,16 @@ def test_suffix_dedup_long_threshold(spark):
     assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(docs, 200).collect()} == {1: 0, 2: 500}
 
 
+def test_suffix_dedup_long_text(spark):
+    """A text over two slices; what repeats lies on their border, and in copies that are dealt to all chunks."""
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    long, edge = own(suffix_dedup.SLICE + 300), suffix_dedup.SLICE
+    rows = [(5, long), (6, "1" + long[edge - 40 : edge + 35] + "2"), (7, "3" + long[-60:]), (8, long[:49])] + [(20 + i, own(30) + chr(65 + i) + "hot" * 20) for i in range(9)] + [(40 + i, long[100:400]) for i in range(9)]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(table(spark, rows), chunk_bytes=1000).collect()}
+    assert got == {5: 0, 6: 75, 7: 60, 8: 0, 20: 0} | {20 + i: 60 for i in range(1, 9)} | {40 + i: 300 for i in range(9)}
+
+
 def test_quality(spark):
     rows = [(d, t, f"s{d % 4}" if d and d % 4 else None) for d, t in texts() + EDGES]
     rows += [(2000, "a b c a b c " * 30, "s1"), (2001, "line\nline\n \nx # $", "s1")]
@@ -313,7 +323,7 @@ def test_jaccard_join(spark, block):
         for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
             w[rng.randrange(len(w))] = f"x{rng.randrange(999)}"
         rows.append((i, " ".join(w)))
-    rows += texts(30, 9)[:0] + [(1000, None), (1001, ""), (1002, "A b"), (1003, "a B"), (1004, "\t"), (1005, "q")]
+    rows += [(9000 + d, t) for d, t in texts(30, 9)] + [(1000, None), (1001, ""), (1002, "A b"), (1003, "a B"), (1004, "\t"), (1005, "q")]
     docs = table(spark, rows).withColumn("rep", F.lit(1)).withColumn("label", F.lit(1))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs, block=block, chunk_bytes=4000).collect()}
     assert got == jaccard_brute(rows)

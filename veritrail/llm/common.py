@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 U64 = np.uint64
 
@@ -17,11 +18,14 @@ WORD_GAP = "[ \\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("veritrail.shared.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only in local mode, where one machine does all the work, may it be unset: then a temporary folder is taken.
+    """
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("veritrail.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veritrail-")
         spark.conf.set("veritrail.shared.dir", found)
     return found.rstrip("/")
@@ -48,6 +52,31 @@ def text_size(df: DataFrame, text: str = "text") -> tuple[int, int]:
     return int(row["n"]), int(row["b"])
 
 
+def measured(df: DataFrame, *more: Column) -> DataFrame:
+    """Written: doc_id (null: the smallest), size (UTF-8 bytes of text), and more columns; what planning needs of the texts."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return materialize(df.select(key.alias("doc_id"), F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("size"), *more), "sizes")
+
+
+def chunk_bounds(sizes: DataFrame, chunk_bytes: int, least: int = 24) -> tuple[list[int], int]:
+    """The least doc_id of each chunk but the first, and all bytes.
+
+    Chunks are ranges of doc_id, cut where the running bytes pass a multiple of chunk_bytes (less, to make
+    `least` chunks), so a chunk is larger only by its first document. The running sum is distributed:
+    ranges of ids, their sums, and a window in each range. The driver gets one number for each chunk, as it
+    does for a range partitioning.
+    """
+    ranged = materialize(sizes.select("doc_id", "size").repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "chunk-sizes")
+    sums = ranged.groupBy("part").agg(F.sum("size").alias("own"))
+    total = int(sums.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0])
+    step = max(1, min(chunk_bytes, -(-total // least)))
+    before = sums.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))  # a row for each range
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("part").orderBy("doc_id"))
+    numbered = ranged.join(F.broadcast(before), "part").select("doc_id", F.floor(F.greatest(upto - 1, F.lit(0)) / step).alias("chunk"))
+    cuts = sorted(int(r["least"]) for r in numbered.groupBy("chunk").agg(F.min("doc_id").alias("least")).collect())
+    return cuts[1:], total
+
+
 def range_chunk(ids: Column, bounds: list[int]) -> Column:
     """Number of bounds that are <= ids, by binary search over a literal array: ranges of ids keep their order."""
     if not bounds:
@@ -61,18 +90,11 @@ def range_chunk(ids: Column, bounds: list[int]) -> Column:
     )
 
 
-def with_chunks(df: DataFrame, chunk_bytes: int, n_bytes: int, least: int = 24) -> tuple[DataFrame, int]:
-    """Columns doc_id, text, chunk; chunk numbers follow ranges of doc_id of about chunk_bytes each.
-
-    A null doc_id counts as the smallest. Ranges come from one mergeable quantile sketch,
-    so the driver holds one number per chunk.
-    """
+def with_chunks(df: DataFrame, bounds: list[int], *more: Column) -> DataFrame:
+    """Columns doc_id (null: the smallest), text, more and chunk, the number of the range of doc_id."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    n = max(least, -(-n_bytes // chunk_bytes))
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("q")).first()["q"] or []
-    bounds = sorted({int(c) for c in cuts})
-    docs = df.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.withColumn("chunk", range_chunk(F.col("doc_id"), bounds)), len(bounds) + 1
+    docs = df.select(key.alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return docs.withColumn("chunk", range_chunk(F.col("doc_id"), bounds).cast("int"))
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,6 +187,23 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return mix(out ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
+def pieces(off: np.ndarray, most: int, overlap: int) -> list[tuple[int, int, np.ndarray]]:
+    """Pieces of at most about `most` bytes: (first byte, bytes whose strings count, row edges from there).
+
+    Rows stay whole, but for a row that is longer: it is cut, and each piece sees `overlap` bytes of the next.
+    """
+    out, lo, n = [], 0, len(off) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + most, side="right")) - 1)
+        start, end = int(off[lo]), int(off[hi])
+        if end - start <= most:
+            out.append((start, end - start, off[lo : hi + 1] - start))
+        else:
+            out.extend((at, min(most, end - at), np.array([0, min(most + overlap, end - at)])) for at in range(start, end, most))
+        lo = hi
+    return out
+
+
 def slices(raw_off: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Row ranges of at most `most` bytes each (a longer row is a range by itself)."""
     out, lo, n = [], 0, len(raw_off) - 1

@@ -51,9 +51,9 @@ def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate((np.searchsorted(keys, edges), [len(keys)]))
 
 
-def requests(chunk: int, keys: np.ndarray, buckets: int, counts: np.ndarray | None = None) -> pa.Table:
-    """Rows for the sorted distinct keys of one chunk."""
-    at = cuts(keys, buckets)
+def requests(chunk: int, keys: np.ndarray, buckets: int, counts: np.ndarray | None = None, at: np.ndarray | None = None) -> pa.Table:
+    """Rows for the distinct keys of one chunk, sorted in each bucket; at: where each bucket's begin, if not by the keys' own ranges."""
+    at = cuts(keys, buckets) if at is None else at
     rows = []
     for b in range(buckets):
         lo, hi = int(at[b]), int(at[b + 1])
@@ -121,43 +121,87 @@ def concat(tables: list[pa.Table], schema: pa.Schema) -> pa.Table:
     return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
+def ranked(asked: pa.Table, most: int) -> pa.Table:
+    """What one bucket answers when it ranks: all keys sorted, equal keys of equal rank, ranks without gaps.
+
+    Each chunk learns which of its keys another chunk has, and the ranks of those.
+    """
+    order = np.argsort(asked["chunk"].to_numpy(), kind="stable")
+    chunk, n = asked["chunk"].to_numpy()[order], asked["n"].to_numpy()[order]
+    keys = np.concatenate([unpack(asked["keys"][int(i)].as_py(), int(k)) for i, k in zip(order, n)])
+    rank, size = group(keys)
+    if len(size) > most:
+        raise ValueError(f"a bucket has {len(size)} ranks of {most}: take smaller buckets")
+    other = (size > 1)[rank]
+    rows, lo = [], 0
+    for c, k in zip(chunk, n):
+        hi = lo + int(k)
+        rows.append({"chunk": int(c), "bucket": asked["bucket"][0].as_py(), "n": int(k), "other": packed_bytes(np.packbits(other[lo:hi])), "earlier": None, "counts": pack(rank[lo:hi][other[lo:hi]].astype(U64))})
+        lo = hi
+    return pa.Table.from_pylist(rows, REPLY_ARROW)
+
+
+def group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the sorted distinct keys, and how often each of these stands."""
+    by = np.argsort(keys)
+    s = keys[by]
+    head = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
+    place = np.empty(len(s), np.int64)
+    place[by] = np.cumsum(head) - 1
+    return place, np.diff(np.concatenate((np.flatnonzero(head), [len(s)])))
+
+
+def ranks(replies: pa.Table, index_bits: int) -> np.ndarray:
+    """Ranks of the keys that another chunk has, in the order of the chunk's keys: bucket, then place in it."""
+    out = []
+    for r in sorted(replies.select(["bucket", "n", "other", "counts"]).to_pylist(), key=lambda r: r["bucket"]):
+        k = int(np.unpackbits(unpacked_bytes(r["other"], -(-r["n"] // 8)), count=r["n"]).sum())
+        out.append(unpack(r["counts"], k) | U64(r["bucket"] << index_bits))
+    return np.concatenate(out) if out else np.zeros(0, U64)
+
+
 def forward(chunk: int, number: int, flags: np.ndarray) -> pa.Table:
-    """A request that comes back as it is: the bits of an earlier round, for the chunk itself."""
-    return pa.Table.from_pylist([{"bucket": -1 - chunk, "chunk": chunk, "n": len(flags), "keys": packed_bytes(np.packbits(flags)), "counts": bytes([number])}], REQUEST_ARROW)
+    """A request that comes back as it is: what the chunk itself learnt, bits or ascending 64-bit numbers."""
+    blob = packed_bytes(np.packbits(flags)) if flags.dtype == bool else pack(flags)
+    return pa.Table.from_pylist([{"bucket": -1 - chunk, "chunk": chunk, "n": len(flags), "keys": blob, "counts": bytes([number, flags.dtype == bool])}], REQUEST_ARROW)
 
 
 def kept_bits(replies: pa.Table) -> list[np.ndarray]:
-    """The forwarded bits, by round."""
+    """What was forwarded, by number."""
     rows = [r for r in replies.to_pylist() if r["bucket"] < 0]
     rows.sort(key=lambda r: r["counts"])
-    return [np.unpackbits(unpacked_bytes(r["other"], -(-r["n"] // 8)), count=r["n"]).astype(bool) for r in rows]
+    return [np.unpackbits(unpacked_bytes(r["other"], -(-r["n"] // 8)), count=r["n"]).astype(bool) if r["counts"][1] else unpack(r["other"], r["n"]) for r in rows]
 
 
 def asked_now(replies: pa.Table) -> pa.Table:
     return replies.filter(pa.array(replies["bucket"].to_numpy() >= 0))
 
 
-def bucket_task(shift: int):
+def bucket_task(shift: int | None, most: int):
+    """A bucket's task: it answers keys above `shift` bits, or ranks them if there is no shift."""
+
     def run(asked: pa.Table) -> pa.Table:
         if asked["bucket"][0].as_py() < 0:
             rows = [{"chunk": r["chunk"], "bucket": r["bucket"], "n": r["n"], "other": r["keys"], "earlier": None, "counts": r["counts"]} for r in asked.to_pylist()]
             return pa.Table.from_pylist(rows, REPLY_ARROW)
-        return answer(asked, shift)
+        return ranked(asked, most) if shift is None else answer(asked, shift)
 
     return run
 
 
-def rounds(docs: DataFrame, chunks: int, buckets: int, steps: list, shifts: list[int], last, schema: str) -> DataFrame:
+def rounds(docs: DataFrame, chunks: int, buckets: int, steps: list, shifts: list[int | None], last, schema: str, notes: DataFrame | None = None, most: int = 0) -> DataFrame:
     """Alternate chunk tasks and bucket tasks over one shuffle of docs.
 
-    docs has doc_id, text, chunk. steps[0](docs) and steps[i](docs, replies) make requests;
-    last(docs, replies) makes the result. The shuffle of docs by chunk stands in the plan
-    once for each step, and Spark runs it once.
+    docs has doc_id, text, chunk. steps[0](docs), or steps[0](docs, notes) with notes (chunk, ...), and
+    steps[i](docs, replies) make requests; last(docs, replies) makes the result. The shuffle of docs by chunk
+    stands in the plan once for each step, and Spark runs it once. Partition numbers are chunk and bucket
+    numbers, so no two chunks meet in a task.
     """
-    dealt = docs.repartition(chunks, "chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(steps[0], REQUEST)
+    dealt = docs.repartitionById(chunks, "chunk")
+    own = dealt.groupBy("chunk")
+    asked = own.applyInArrow(steps[0], REQUEST) if notes is None else own.cogroup(notes.repartitionById(chunks, "chunk").groupBy("chunk")).applyInArrow(steps[0], REQUEST)
     for i, shift in enumerate(shifts):
-        replies = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(bucket_task(shift), REPLY)
+        replies = asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(bucket_task(shift, most), REPLY).repartitionById(chunks, "chunk")
         step, out = (steps[i + 1], REQUEST) if i + 1 < len(steps) else (last, schema)
         asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(step, out)
     return asked

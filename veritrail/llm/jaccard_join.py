@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.llm import exchange as X
-from veritrail.llm.common import INVERSE, U64, materialize, mix, powers, prefix_hash, run_hash, table, text_size, utf8, with_chunks, word_hashes, words_of
+from veritrail.llm.common import INVERSE, U64, chunk_bounds, materialize, measured, mix, powers, prefix_hash, run_hash, table, utf8, with_chunks, word_hashes, words_of
 from veritrail.llm.components import components
 
 SETS = "doc_id long, n_shingles long, h1 long, h2 long, tokens binary, prefix int"
@@ -272,8 +272,8 @@ def joined_groups(sets: DataFrame, percent: int, block: int, delegates: int = 4)
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 75, chunk_bytes: int = 8 << 20, bucket_bytes: int = 48 << 20, block: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id that links reach) of every row. docs needs doc_id and text."""
-    _, n_bytes = text_size(docs)
-    chunked, chunks = with_chunks(docs, chunk_bytes, n_bytes)
+    bounds, n_bytes = chunk_bounds(measured(docs), chunk_bytes)
+    chunked, chunks = with_chunks(docs, bounds), len(bounds) + 1
     buckets = max(12, -(-n_bytes // bucket_bytes))
     first, last = set_tasks(width, percent, buckets)
     every = materialize(X.rounds(chunked, chunks, buckets, [first], [SHIFT], last, SETS), "jaccard-every")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import exchange as X
-from veritrail.llm.common import INVERSE, U64, powers, prefix_hash, run_hash, text_size, utf8, with_chunks, word_hashes, words_of
+from veritrail.llm.common import INVERSE, U64, chunk_bounds, measured, powers, prefix_hash, run_hash, utf8, with_chunks, word_hashes, words_of
 
 SCHEMA = "doc_id long, text string, n_words long, n_removed long, spans array<struct<start:long,end:long>>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -140,8 +140,8 @@ def substring_dedup(docs: DataFrame, window: int = 20, chunk_bytes: int = 8 << 2
     docs needs doc_id and text. A chunk's words and a bucket's keys are what one task holds;
     both numbers grow with the input.
     """
-    _, n_bytes = text_size(docs)
-    chunked, chunks = with_chunks(docs, chunk_bytes, n_bytes)
+    bounds, n_bytes = chunk_bounds(measured(docs), chunk_bytes)
+    chunked, chunks = with_chunks(docs, bounds), len(bounds) + 1
     buckets = max(12, -(-n_bytes // bucket_bytes))
     first, second, last = tasks(window, buckets)
     out = X.rounds(chunked, chunks, buckets, [first, second], [SHIFT, 0], last, SCHEMA)

@@ -1,26 +1,29 @@
 """Suffix-array dedup: distributed prefix doubling over byte positions.
 
-A rank names the `length` bytes from a position on. Ranks of a first length come from
-Rabin-Karp fingerprints; each further round takes the pair (rank at p, rank at p + offset),
-doubles the offset, and Spark deals the pairs to buckets by value, where they are sorted:
-equal pairs share a rank, and a pair that stands alone drops out. The last round ranks
-`threshold` bytes; positions still there share all of them.
-
-The first round ranks anchors only: of each `threshold`-byte string, the first-length strings
-in it with the least fingerprint. Equal strings have equal anchors, so a string whose anchor
-stands alone in the corpus is alone too, and its position never enters a sort.
-
-Whole copies are found first, by two 64-bit hashes and the length of the text: every string
-of a copy also starts in the first of its texts, so it needs no ranks. Only where there are
-over `most_copies` copies do they take the general way, with the same result.
+A rank names the `length` bytes from a position on. Ranks of a first length come from sorting
+Rabin-Karp fingerprints. Each further round pairs the rank at p with the rank at p + offset, at
+growing offsets; Spark deals the pairs to buckets by the first rank, a bucket sorts the pairs of
+all chunks, equal pairs share a rank, and positions whose rank is unique drop out. The last
+round sorts the pairs that stand for `threshold` bytes: positions still there share all of them.
+
+Rows for single positions would need many times the disk allowed, so a row carries the sorted,
+distinct pairs of one chunk for one bucket (exchange.py). Two filters keep positions out that
+can't repeat, or needn't be ranked:
+
+* Anchors: of each `threshold`-byte string, the first-length strings in it with the least
+  fingerprint. Equal strings have equal anchors, so a string whose anchor stands in one document
+  alone is in one document alone.
+* Whole copies, found by two 64-bit hashes and the length of the text: every string of a copy
+  also starts in the first of its texts. A join finds them at any number; chunks learn theirs.
 
 Bytes go that lie in a `threshold`-byte string which also starts in a document of a smaller
-doc_id. Ranks are 64-bit names; two different strings are taken as equal only if their names
-agree, which in n positions is expected n * n / 2**65 times.
+doc_id. Fingerprints are 52-bit names of the first length; two different strings are taken as
+equal only if each part of first length in them is equal or has an equal name.
 
 Defined cases: a null text is empty; a null doc_id counts as the smallest; rows that share a
-doc_id are one document and don't repeat each other; shorter texts stay whole; an empty table
-gives an empty result. What is left may split a character, so it is binary.
+doc_id are one document and don't repeat each other; shorter texts stay whole; a text longer
+than a slice is worked through in overlapping slices; an empty table gives an empty result;
+other columns are not read. What is left may split a character, so it is binary.
 """
 
 from __future__ import annotations
@@ -31,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm import exchange as X
-from veritrail.llm.common import INVERSE, U64, byte_table, materialize, mix, powers, prefix_hash, slices, table, text_size, utf8, with_chunks
+from veritrail.llm.common import INVERSE, U64, byte_table, chunk_bounds, materialize, measured, mix, pieces, powers, prefix_hash, range_chunk, table, utf8, with_chunks
 
 SCHEMA = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 SHIFT = 24
 LOW = U64((1 << SHIFT) - 1)
+NAME = U64(12)  # bits of a fingerprint that its name leaves out
 NONE = U64(2**64 - 1)
 SLICE = 1 << 20
-PAIR = U64(0xA0761D6478BD642F)
 
 
 def lengths(threshold: int) -> list[int]:
@@ -59,189 +62,259 @@ def sliding(f: np.ufunc, a: np.ndarray, width: int) -> np.ndarray:
     return f(a[: len(a) - (width - size)], a[width - size :]) if width > size else a
 
 
-class Part:
-    """A slice of a chunk: fingerprints of the first length and the least one in each string of threshold bytes."""
+class Anchors:
+    """A slice: the least code of first length in each string of threshold bytes, and where these stand."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, lens: list[int]):
-        n, short, long = len(raw), lens[0], lens[-1]
-        self.lens, self.n = lens, n
-        width = long - short + 1
-        end = np.repeat(off[1:], np.diff(off))
-        at = np.arange(n)
-        self.hash = np.full(n, NONE, U64)
-        self.least = np.zeros(0, U64)
-        self.valid = np.zeros(0, bool)
+    def __init__(self, raw: np.ndarray, edges: np.ndarray, count: int, short: int, long: int):
+        n = len(raw)
+        self.width, self.n = long - short + 1, n
+        self.at, self.valid, self.least, self.code = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, U64), np.zeros(0, U64)
         if n < long:
-            self.anchor = np.zeros(0, np.int64)
             return
+        end = np.repeat(edges[1:], np.diff(edges))
+        place = np.arange(n)
+        self.code = np.full(n, NONE, U64)
         sums = prefix_hash(byte_table(3)[raw])
-        h = mix((sums[short:] - sums[:-short]) * powers(INVERSE, n - short + 1))
-        self.hash[: len(h)] = h
-        self.valid = (at + long <= end)[: n - long + 1]
-        code = self.hash & ~LOW
-        code[at + short > end] = NONE
-        self.least = sliding(np.minimum, code, width)[: n - long + 1]
-        top = np.zeros(n + width - 1, U64)
-        top[width - 1 : width - 1 + len(self.least)] = np.where(self.valid, self.least, U64(0))
-        self.code = code
-        self.anchor = np.flatnonzero((sliding(np.maximum, top, width) == code) & (code != NONE))
+        self.code[: n - short + 1] = mix((sums[short:] - sums[:-short]) * powers(INVERSE, n - short + 1)) & ~LOW
+        self.code[place + short > end] = NONE
+        self.valid = (place + long <= end)[: n - long + 1]
+        self.valid[count:] = False  # of the next slice
+        self.least = sliding(np.minimum, self.code, self.width)[: n - long + 1]
+        top = np.zeros(n + self.width - 1, U64)
+        top[self.width - 1 : self.width - 1 + len(self.least)] = np.where(self.valid, self.least, U64(0))
+        self.at = np.flatnonzero((sliding(np.maximum, top, self.width) == self.code) & (self.code != NONE))
 
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
         """Starts of the strings whose anchor repeats; repeated: for each anchor."""
-        if not len(self.anchor):
+        if not len(self.at):
             return np.zeros(0, np.int64)
         code = np.full(self.n, NONE, U64)
-        hit = self.anchor[repeated]
+        hit = self.at[repeated]
         code[hit] = self.code[hit]
-        width = self.lens[-1] - self.lens[0] + 1
-        return np.flatnonzero(self.valid & (sliding(np.minimum, code, width)[: len(self.least)] == self.least))
-
-    def rank(self, at: np.ndarray, round_: int) -> np.ndarray:
-        """Names of the strings of lens[round_] bytes at the positions."""
-        if round_ == 0:
-            return self.hash[at]
-        offset = self.lens[round_] - self.lens[round_ - 1]
-        return mix(self.rank(at, round_ - 1) * PAIR + self.rank(at + offset, round_ - 1))
-
-
-def in_two(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys stand in two documents of the chunk; which stand in an earlier one. doc ascends."""
-    by = np.argsort(keys, kind="stable")
-    s, d = keys[by], doc[by]
-    if not len(s):
-        z = np.zeros(0, bool)
-        return z, z
-    head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    size = np.diff(np.concatenate((head, [len(s)])))
-    first, final = d[head], d[head + size - 1]
-    two, later = np.empty(len(s), bool), np.empty(len(s), bool)
-    two[by] = np.repeat(first != final, size)
-    later[by] = d > np.repeat(first, size)
-    return two, later
+        return np.flatnonzero(self.valid & (sliding(np.minimum, code, self.width)[: len(self.least)] == self.least))
+
+
+def shifted(mask: np.ndarray, by: int) -> np.ndarray:
+    """mask, and what stands `by` behind each set place."""
+    out = mask.copy()
+    out[by:] |= mask[: max(0, len(mask) - by)]
+    return out
+
+
+def before(mask: np.ndarray, by: int) -> np.ndarray:
+    """mask, and what stands `by` ahead of each set place."""
+    out = mask.copy()
+    out[: max(0, len(mask) - by)] |= mask[by:]
+    return out
+
+
+class Level:
+    """Ranks of one length over a chunk: places, the rank of each among the chunk's own, documents of each rank."""
+
+    def __init__(self, keys: np.ndarray, at: np.ndarray, doc: np.ndarray):
+        self.at = at
+        self.own, size = X.group(keys)
+        self.keys = np.empty(len(size), keys.dtype)
+        self.keys[self.own] = keys
+        self.first, self.final = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+        self.final[self.own] = doc  # places ascend: the last one stays
+        self.first[self.own[::-1]] = doc[::-1]
+
+    def learn(self, other: np.ndarray, ranks: np.ndarray) -> None:
+        """other: which ranks other chunks have; ranks: what these are called there."""
+        self.other, self.global_rank = other, np.zeros(len(other), U64)
+        self.global_rank[other] = ranks
+
+    def unique(self) -> np.ndarray:
+        """Places whose string no second document has."""
+        return self.at[(~self.other & (self.first == self.final))[self.own]]
 
 
 class Chunk:
     def __init__(self, docs: pa.Table, lens: list[int]):
-        self.docs = docs.sort_by([("doc_id", "ascending")])
-        self.raw, self.off = utf8(self.docs["text"])
-        ids = self.docs["doc_id"].to_numpy()
+        self.docs = docs.sort_by([("doc_id", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
+        self.lens, self.offsets = lens, [b - a for a, b in zip(lens, lens[1:])]
+        self.copies = np.zeros(self.docs.num_rows, bool)
+
+    def leave_out(self, copies: np.ndarray) -> None:
+        self.copies = copies
+        rest = self.docs.filter(pa.array(~copies)) if copies.any() else self.docs
+        self.raw, self.off = utf8(rest["text"])
+        ids = rest["doc_id"].to_numpy()
         self.number = np.cumsum(np.concatenate(([0], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-        self.parts, self.base, self.row = [], [], []
-        for lo, hi in slices(self.off, SLICE):
-            off = self.off[lo : hi + 1]
-            self.parts.append(Part(self.raw[off[0] : off[-1]], off - off[0], lens))
-            self.base.append(int(off[0]))
+        self.pieces = pieces(self.off, SLICE, self.lens[-1] - 1)
 
     def doc_of(self, at: np.ndarray) -> np.ndarray:
-        return self.number[np.searchsorted(self.off, at, side="right") - 1].astype(np.int32)
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        return np.concatenate([p.code[p.anchor] if len(p.anchor) else np.zeros(0, U64) for p in self.parts]), np.concatenate([p.anchor + b for p, b in zip(self.parts, self.base)])
-
-    def walk(self, flags: list[np.ndarray], lens: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions left after the rounds of which flags are known, and their ranks in the next round."""
-        keys, at = self.anchors()
-        elsewhere = flags[0][np.searchsorted(X.distinct(keys), keys)] if len(keys) else np.zeros(0, bool)
-        repeated = elsewhere | in_two(keys, self.doc_of(at))[0]
-        cut = np.cumsum([0] + [len(p.anchor) for p in self.parts])
-        left = [p.candidates(repeated[cut[i] : cut[i + 1]]) for i, p in enumerate(self.parts)]
-        for round_, known in enumerate(flags[1:], 1):
-            keys = self.ranks(left, round_)
-            keep = known[np.searchsorted(X.distinct(keys), keys)] if len(keys) else np.zeros(0, bool)
-            keep |= in_two(keys, self.doc_of(self.places(left)))[0]
-            cut = np.cumsum([0] + [len(x) for x in left])
-            left = [x[keep[cut[i] : cut[i + 1]]] for i, x in enumerate(left)]
-        return self.places(left), self.ranks(left, len(flags))
-
-    def places(self, left: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([x + b for x, b in zip(left, self.base)]) if left else np.zeros(0, np.int64)
-
-    def ranks(self, left: list[np.ndarray], round_: int) -> np.ndarray:
-        return np.concatenate([p.rank(x, round_) for p, x in zip(self.parts, left)]) if left else np.zeros(0, U64)
+        return self.number[np.searchsorted(self.off, at, side="right") - 1]
+
+    def anchors(self, start: int, count: int, edges: np.ndarray) -> Anchors:
+        return Anchors(self.raw[start : start + edges[-1]], edges, count, self.lens[0], self.lens[-1])
+
+    def anchor_codes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and places of all anchors."""
+        found = [(a.code[a.at], a.at + piece[0]) for piece in self.pieces for a in [self.anchors(*piece)]]
+        return (np.concatenate([c for c, _ in found]), np.concatenate([p for _, p in found])) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
+
+    def candidates(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Mask of the strings whose anchor a second document has; elsewhere: for each distinct code."""
+        code, at = self.anchor_codes()
+        level = Level(code, at, self.doc_of(at))
+        repeated = (elsewhere | (level.first != level.final))[level.own] if len(code) else np.zeros(0, bool)
+        mask, lo = np.zeros(len(self.raw), bool), 0
+        for piece in self.pieces:
+            a = self.anchors(*piece)
+            mask[piece[0] + a.candidates(repeated[lo : lo + len(a.at)])] = True
+            lo += len(a.at)
+        return mask
+
+    def needed(self, alive: np.ndarray, round_: int) -> np.ndarray:
+        """Places whose rank of round_ the strings in alive are made of."""
+        for by in reversed(self.offsets[round_:]):
+            alive = shifted(alive, by)
+        return np.flatnonzero(alive)
+
+    def names(self, at: np.ndarray) -> np.ndarray:
+        short, out = self.lens[0], np.empty(len(at), U64)
+        for start, count, edges in self.pieces:
+            lo, hi = np.searchsorted(at, (start, start + count))
+            if hi > lo:
+                here = at[lo:hi] - start
+                sums = prefix_hash(byte_table(3)[self.raw[start : start + edges[-1]]])
+                out[lo:hi] = mix((sums[here + short] - sums[here]) * powers(INVERSE, int(edges[-1]) + 1)[here])
+        return out >> NAME << NAME
+
+    def first_level(self, alive: np.ndarray) -> Level:
+        at = self.needed(alive, 0)
+        return Level(self.names(at), at, self.doc_of(at))
+
+    def next_level(self, level: Level, alive: np.ndarray, round_: int) -> tuple[Level, np.ndarray, np.ndarray]:
+        """The level of the pairs at the next offset; which of its ranks other chunks may have, and their first and second halves."""
+        at, by = self.needed(alive, round_), self.offsets[round_ - 1]
+        index = np.full(len(self.raw), -1, np.int32)
+        index[level.at] = np.arange(len(level.at), dtype=np.int32)
+        most = len(level.keys)
+        pairs = Level(level.own[index[at]] * most + level.own[index[at + by]], at, self.doc_of(at))
+        left, right = pairs.keys // max(most, 1), pairs.keys % max(most, 1)
+        asked = level.other[left] & level.other[right]
+        return pairs, asked, np.stack((level.global_rank[left[asked]], level.global_rank[right[asked]]))
+
+    def survivors(self, alive: np.ndarray, level: Level, round_: int) -> np.ndarray:
+        """alive without the strings that hold a string which no second document has."""
+        gone = np.zeros(len(self.raw), bool)
+        gone[level.unique()] = True
+        for by in reversed(self.offsets[round_:]):
+            gone = before(gone, by)
+        return alive & ~gone
+
+
+def spread(bits: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(asked), bool)
+    out[asked] = bits
+    return out
 
 
 def tasks(lens: list[int], buckets: int):
-    def first(docs: pa.Table) -> pa.Table:
-        chunk = Chunk(docs, lens)
-        return X.requests(docs["chunk"][0].as_py(), X.distinct(chunk.anchors()[0]), buckets)
+    bucket_bits = max(1, (buckets - 1).bit_length())
+    index_bits = (64 - bucket_bits) // 2
 
-    def next_round(round_: int):
-        def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
-            if not docs.num_rows or not replies.num_rows:
-                return X.REQUEST_ARROW.empty_table()
-            number = docs["chunk"][0].as_py()
-            flags = [*X.kept_bits(replies), X.bits(X.asked_now(replies), "other")]
-            _, keys = Chunk(docs, lens).walk(flags, lens)
-            return pa.concat_tables([*(X.forward(number, i, f) for i, f in enumerate(flags)), X.requests(number, X.distinct(keys), buckets)])
-
-        return run
+    def first(docs: pa.Table, notes: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return X.REQUEST_ARROW.empty_table()
+        chunk = Chunk(docs, lens)
+        known = set(zip(*(notes[c].to_pylist() for c in ("doc_id", "h1", "h2"))))
+        rows = zip(*(chunk.docs[c].to_pylist() for c in ("doc_id", "h1", "h2")))
+        chunk.leave_out(np.fromiter((r in known for r in rows), bool, chunk.docs.num_rows))
+        number = docs["chunk"][0].as_py()
+        return pa.concat_tables([X.forward(number, 0, chunk.copies), X.requests(number, X.distinct(chunk.anchor_codes()[0]), buckets)])
+
+    def second(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return X.REQUEST_ARROW.empty_table()
+        chunk, number = Chunk(docs, lens), docs["chunk"][0].as_py()
+        chunk.leave_out(X.kept_bits(replies)[0])
+        alive = chunk.candidates(X.bits(X.asked_now(replies), "other"))
+        keys = chunk.first_level(alive).keys
+        return pa.concat_tables([X.forward(number, 0, chunk.copies), X.forward(number, 1, alive), X.requests(number, keys, buckets)])
+
+    def replay(docs: pa.Table, kept: list[np.ndarray], learnt: list[tuple[np.ndarray, np.ndarray]]):
+        """The chunk after the rounds of which the answers are known: its strings left, its level, what it asks and the pairs asked for."""
+        chunk = Chunk(docs, lens)
+        chunk.leave_out(kept[0])
+        alive = kept[1]
+        level, asked, pairs = chunk.first_level(alive), None, None
+        for round_, (other, ranks) in enumerate(learnt, 1):
+            level.learn(other if asked is None else spread(other, asked), ranks)
+            alive = chunk.survivors(alive, level, round_ - 1)
+            level, asked, pairs = chunk.next_level(level, alive, round_)
+        return chunk, level, asked, pairs
+
+    def answers(kept: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return list(zip(kept[2::2], kept[3::2]))
+
+    def next_round(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return X.REQUEST_ARROW.empty_table()
+        number, kept, now = docs["chunk"][0].as_py(), X.kept_bits(replies), X.asked_now(replies)
+        kept += [X.bits(now, "other"), X.ranks(now, index_bits)]
+        _, _, _, (left, right) = replay(docs, kept, answers(kept))
+        mask = U64((1 << index_bits) - 1)
+        keys = (left & mask) << U64(bucket_bits + index_bits) | right
+        at = np.searchsorted(left >> U64(index_bits), np.arange(buckets + 1, dtype=U64))
+        return pa.concat_tables([*(X.forward(number, i, f) for i, f in enumerate(kept)), X.requests(number, keys, buckets, at=at)])
 
     def last(docs: pa.Table, replies: pa.Table) -> pa.Table:
-        chunk = Chunk(docs, lens)
-        docs, raw, off = chunk.docs, chunk.raw, chunk.off
-        gone = np.zeros(len(raw), bool)
-        kept = X.kept_bits(replies) if replies.num_rows else []
-        if kept:
-            at, keys = chunk.walk(kept, lens)
-            drop = in_two(keys, chunk.doc_of(at))[1]
-            earlier = X.bits(X.asked_now(replies), "earlier")
-            if len(earlier):
-                drop |= earlier[np.searchsorted(X.distinct(keys), keys)]
-            change = np.zeros(len(raw) + 1, np.int8)
-            change[at[drop]] += 1
-            change[at[drop] + lens[-1]] -= 1
-            gone = np.cumsum(change[:-1], dtype=np.int32) > 0  # up to `threshold` windows cover a byte
-        removed = np.concatenate(([0], np.cumsum(gone)))[off]
-        left, spans = [], []
-        for i in range(docs.num_rows):
-            own = raw[off[i] : off[i + 1]]
-            if removed[i + 1] > removed[i]:
-                g = gone[off[i] : off[i + 1]]
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], g.view(np.int8), [0]))))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-                own = own[~g]
-            else:
-                spans.append([])
-            left.append(own.tobytes())
-        arrays = [docs["doc_id"].combine_chunks() if docs.num_rows else pa.array([], pa.int64()), pa.array(left, pa.binary()), pa.array(np.diff(off), pa.int64()), pa.array(np.diff(removed), pa.int64()), pa.array(spans, ARROW.field("spans").type)]
+        if not docs.num_rows:
+            return ARROW.empty_table()
+        kept = X.kept_bits(replies)
+        chunk, level, asked, _ = replay(docs, kept, answers(kept))
+        drop = level.first.copy()  # strings of a rank go from all documents but the first
+        earlier = spread(X.bits(X.asked_now(replies), "earlier"), asked)
+        drop[earlier] = -1
+        at = level.at[chunk.doc_of(level.at) > drop[level.own]] if len(level.at) else level.at
+        change = np.zeros(len(chunk.raw) + 1, np.int32)
+        change[at] += 1
+        change[at + lens[-1]] -= 1
+        gone = np.cumsum(change[:-1]) > 0
+        raw, off, live = chunk.raw, chunk.off, iter(range(len(chunk.off) - 1))
+        left, spans, sizes, removed = [], [], [], []
+        for copy, text in zip(chunk.copies, chunk.docs["text"]):
+            if copy:
+                n = len(text.as_py().encode())
+                sizes.append(n), removed.append(n), left.append(b""), spans.append([{"start": 0, "end": n}])
+                continue
+            i = next(live)
+            own, g = raw[off[i] : off[i + 1]], gone[off[i] : off[i + 1]]
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], g.view(np.int8), [0]))))
+            spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
+            sizes.append(len(own)), removed.append(int(np.count_nonzero(g))), left.append((own[~g] if len(edge) else own).tobytes())
+        arrays = [chunk.docs["doc_id"].combine_chunks(), pa.array(left, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, ARROW.field("spans").type)]
         return pa.Table.from_arrays(arrays, schema=ARROW)
 
-    return [first, *(next_round(i) for i in range(1, len(lens)))], last
+    return [first, second, *[next_round] * (len(lens) - 1)], last, 1 << index_bits
 
 
 def hashes() -> list:
-    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.octet_length("text"), "text").alias("h2")]
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), F.octet_length(text), text).alias("h2")]
 
 
-def whole_copies(docs: DataFrame, threshold: int, most_copies: int) -> DataFrame | None:
-    """(doc_id, h1, h2) of the rows whose text a smaller doc_id has too, if they are few enough to send everywhere."""
-    own = docs.where(F.octet_length("text") >= threshold).select("doc_id", *hashes())
-    own = materialize(own, "suffix-hashes")
+def whole_copies(sizes: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, h1, h2) of the rows whose text a smaller doc_id has too."""
+    own = sizes.where(F.col("size") >= threshold).select("doc_id", "h1", "h2")
     first = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("final")).where("first < final")
-    copies = own.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "h1", "h2").distinct()
-    copies = materialize(copies, "suffix-copies")
-    return copies if 0 < copies.count() <= most_copies else None
-
-
-def suffix_dedup(docs: DataFrame, threshold: int = 50, chunk_bytes: int = 4 << 20, bucket_bytes: int = 48 << 20, most_copies: int = 1_000_000) -> DataFrame:
-    """doc_id, kept (bytes), n_bytes, n_removed, spans (of removed bytes) of every row. docs needs doc_id and text."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    copies = whole_copies(own, threshold, most_copies)
-    gone = None
-    if copies is not None:
-        hashed = own.select("doc_id", "text", *hashes())
-        gone = hashed.join(F.broadcast(copies), ["doc_id", "h1", "h2"], "left_semi").select("doc_id", F.octet_length("text").cast("long").alias("n"))
-        gone = gone.select("doc_id", F.lit(b"").alias("kept"), F.col("n").alias("n_bytes"), F.col("n").alias("n_removed"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").alias("end"))).alias("spans"))
-        own = hashed.join(F.broadcast(copies), ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "text")
-    _, n_bytes = text_size(own)
-    chunked, chunks = with_chunks(own, chunk_bytes, n_bytes)
-    buckets = max(12, -(-n_bytes // bucket_bytes))
+    return own.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "h1", "h2").distinct()
+
+
+def suffix_dedup(docs: DataFrame, threshold: int = 50, chunk_bytes: int = 4 << 20, bucket_bytes: int = 12 << 20) -> DataFrame:
+    """doc_id, kept (bytes), n_bytes, n_removed, spans (of removed bytes) of every row. docs needs doc_id and text; threshold is at least 2."""
+    sizes = measured(docs, *hashes())
+    bounds, n_bytes = chunk_bounds(sizes, chunk_bytes)
+    copies = whole_copies(sizes, threshold)
+    notes = materialize(copies.withColumn("chunk", range_chunk(F.col("doc_id"), bounds).cast("int")), "suffix-copies")
+    buckets = max(24, -(-n_bytes // bucket_bytes))
     lens = lengths(threshold)
-    steps, last = tasks(lens, buckets)
-    out = X.rounds(chunked, chunks, buckets, steps, [SHIFT] + [0] * (len(lens) - 1), last, SCHEMA)
-    out = out if gone is None else out.union(gone)
+    steps, last, most = tasks(lens, buckets)
+    out = X.rounds(with_chunks(docs, bounds, *hashes()), len(bounds) + 1, buckets, steps, [SHIFT] + [None] * (len(lens) - 1) + [0], last, SCHEMA, notes, most)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
 
