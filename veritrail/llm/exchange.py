@@ -12,6 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 U64 = np.uint64
 REQUEST = "bucket int, chunk int, n long, keys binary, counts binary"
@@ -161,16 +162,15 @@ def ranks(replies: pa.Table, index_bits: int) -> np.ndarray:
 
 
 def forward(chunk: int, number: int, flags: np.ndarray) -> pa.Table:
-    """A request that comes back as it is: what the chunk itself learnt, bits or ascending 64-bit numbers."""
-    blob = packed_bytes(np.packbits(flags)) if flags.dtype == bool else pack(flags)
-    return pa.Table.from_pylist([{"bucket": -1 - chunk, "chunk": chunk, "n": len(flags), "keys": blob, "counts": bytes([number, flags.dtype == bool])}], REQUEST_ARROW)
+    """A request that comes back as it is: bits that the chunk itself learnt."""
+    return pa.Table.from_pylist([{"bucket": -1 - chunk, "chunk": chunk, "n": len(flags), "keys": packed_bytes(np.packbits(flags)), "counts": bytes([number])}], REQUEST_ARROW)
 
 
 def kept_bits(replies: pa.Table) -> list[np.ndarray]:
-    """What was forwarded, by number."""
+    """The forwarded bits, by number."""
     rows = [r for r in replies.to_pylist() if r["bucket"] < 0]
     rows.sort(key=lambda r: r["counts"])
-    return [np.unpackbits(unpacked_bytes(r["other"], -(-r["n"] // 8)), count=r["n"]).astype(bool) if r["counts"][1] else unpack(r["other"], r["n"]) for r in rows]
+    return [np.unpackbits(unpacked_bytes(r["other"], -(-r["n"] // 8)), count=r["n"]).astype(bool) for r in rows]
 
 
 def asked_now(replies: pa.Table) -> pa.Table:
@@ -189,19 +189,70 @@ def bucket_task(shift: int | None, most: int):
     return run
 
 
+DEALT = "chunk int, blob binary"
+DEALT_ARROW = pa.schema([("chunk", pa.int32()), ("blob", pa.binary())])
+#: Bytes of Arrow data that the dealing task gathers before it packs them by chunk.
+GATHERED = 32 << 20
+
+
+def closed(rows: pa.Table) -> pa.RecordBatch:
+    """The rows as one compressed blob for each chunk: texts take much less room in the shuffle so."""
+    rows = rows.sort_by("chunk").combine_chunks()
+    chunk = rows["chunk"].to_numpy()
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(chunk)) + 1, [len(chunk)])) if len(chunk) else np.zeros(1, int)
+    rows, blobs, codec = rows.drop_columns(["chunk"]), [], pa.Codec("zstd", compression_level=3)
+    for lo, hi in zip(cut, cut[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows.slice(lo, hi - lo).combine_chunks())
+        raw = sink.getvalue()
+        blobs.append(raw.size.to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(chunk[cut[:-1]], pa.int32()), pa.array(blobs, pa.binary())], schema=DEALT_ARROW)
+
+
+def closing(batches):
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > GATHERED:
+            yield closed(pa.Table.from_batches(held))
+            held, size = [], 0
+    if held:
+        yield closed(pa.Table.from_batches(held))
+
+
+def opened(dealt: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The rows of one chunk."""
+    parts, codec = [], pa.Codec("zstd")
+    for blob in dealt["blob"]:
+        raw = memoryview(blob.as_buffer())
+        parts.append(pa.ipc.open_stream(codec.decompress(raw[8:], int.from_bytes(raw[:8], "little"))).read_all())
+    rows = pa.concat_tables(parts) if parts else schema.empty_table()
+    return rows.append_column("chunk", pa.array(np.full(rows.num_rows, dealt["chunk"][0].as_py() if parts else 0), pa.int32()))
+
+
 def rounds(docs: DataFrame, chunks: int, buckets: int, steps: list, shifts: list[int | None], last, schema: str, notes: DataFrame | None = None, most: int = 0) -> DataFrame:
     """Alternate chunk tasks and bucket tasks over one shuffle of docs.
 
-    docs has doc_id, text, chunk. steps[0](docs), or steps[0](docs, notes) with notes (chunk, ...), and
-    steps[i](docs, replies) make requests; last(docs, replies) makes the result. The shuffle of docs by chunk
-    stands in the plan once for each step, and Spark runs it once. Partition numbers are chunk and bucket
-    numbers, so no two chunks meet in a task.
+    docs has doc_id, text, chunk and may have more. steps[0](docs), or steps[0](docs, notes) with notes
+    (chunk, ...), and steps[i](docs, replies) make requests; last(docs, replies) makes the result. The shuffle
+    of docs by chunk, packed, stands in the plan once for each step, and Spark runs it once. Partition numbers
+    are chunk and bucket numbers, so no two chunks meet in a task.
     """
-    dealt = docs.repartitionById(chunks, "chunk")
+    columns = to_arrow_schema(docs.drop("chunk").schema)
+    dealt = docs.mapInArrow(closing, DEALT).repartitionById(chunks, "chunk")
+
+    def alone(step):
+        return lambda d: step(opened(d, columns))
+
+    def paired(step):
+        return lambda d, other: step(opened(d, columns), other)
+
     own = dealt.groupBy("chunk")
-    asked = own.applyInArrow(steps[0], REQUEST) if notes is None else own.cogroup(notes.repartitionById(chunks, "chunk").groupBy("chunk")).applyInArrow(steps[0], REQUEST)
+    asked = own.applyInArrow(alone(steps[0]), REQUEST) if notes is None else own.cogroup(notes.repartitionById(chunks, "chunk").groupBy("chunk")).applyInArrow(paired(steps[0]), REQUEST)
     for i, shift in enumerate(shifts):
         replies = asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(bucket_task(shift, most), REPLY).repartitionById(chunks, "chunk")
         step, out = (steps[i + 1], REQUEST) if i + 1 < len(steps) else (last, schema)
-        asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(step, out)
+        asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(paired(step), out)
     return asked

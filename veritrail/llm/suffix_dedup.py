@@ -38,8 +38,6 @@ from veritrail.llm.common import INVERSE, U64, byte_table, chunk_bounds, materia
 
 SCHEMA = "doc_id long, kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-SHIFT = 24
-LOW = U64((1 << SHIFT) - 1)
 NAME = U64(12)  # bits of a fingerprint that its name leaves out
 NONE = U64(2**64 - 1)
 SLICE = 1 << 20
@@ -65,7 +63,7 @@ def sliding(f: np.ufunc, a: np.ndarray, width: int) -> np.ndarray:
 class Anchors:
     """A slice: the least code of first length in each string of threshold bytes, and where these stand."""
 
-    def __init__(self, raw: np.ndarray, edges: np.ndarray, count: int, short: int, long: int):
+    def __init__(self, raw: np.ndarray, edges: np.ndarray, count: int, short: int, long: int, shift: int):
         n = len(raw)
         self.width, self.n = long - short + 1, n
         self.at, self.valid, self.least, self.code = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, U64), np.zeros(0, U64)
@@ -75,7 +73,7 @@ class Anchors:
         place = np.arange(n)
         self.code = np.full(n, NONE, U64)
         sums = prefix_hash(byte_table(3)[raw])
-        self.code[: n - short + 1] = mix((sums[short:] - sums[:-short]) * powers(INVERSE, n - short + 1)) & ~LOW
+        self.code[: n - short + 1] = mix((sums[short:] - sums[:-short]) * powers(INVERSE, n - short + 1)) >> U64(shift) << U64(shift)
         self.code[place + short > end] = NONE
         self.valid = (place + long <= end)[: n - long + 1]
         self.valid[count:] = False  # of the next slice
@@ -131,7 +129,8 @@ class Level:
 
 
 class Chunk:
-    def __init__(self, docs: pa.Table, lens: list[int]):
+    def __init__(self, docs: pa.Table, lens: list[int], shift: int):
+        self.shift = shift
         self.docs = docs.sort_by([("doc_id", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
         self.lens, self.offsets = lens, [b - a for a, b in zip(lens, lens[1:])]
         self.copies = np.zeros(self.docs.num_rows, bool)
@@ -148,7 +147,7 @@ class Chunk:
         return self.number[np.searchsorted(self.off, at, side="right") - 1]
 
     def anchors(self, start: int, count: int, edges: np.ndarray) -> Anchors:
-        return Anchors(self.raw[start : start + edges[-1]], edges, count, self.lens[0], self.lens[-1])
+        return Anchors(self.raw[start : start + edges[-1]], edges, count, self.lens[0], self.lens[-1], self.shift)
 
     def anchor_codes(self) -> tuple[np.ndarray, np.ndarray]:
         """Codes and places of all anchors."""
@@ -213,14 +212,14 @@ def spread(bits: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return out
 
 
-def tasks(lens: list[int], buckets: int):
+def tasks(lens: list[int], buckets: int, shift: int):
     bucket_bits = max(1, (buckets - 1).bit_length())
     index_bits = (64 - bucket_bits) // 2
 
     def first(docs: pa.Table, notes: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return X.REQUEST_ARROW.empty_table()
-        chunk = Chunk(docs, lens)
+        chunk = Chunk(docs, lens, shift)
         known = set(zip(*(notes[c].to_pylist() for c in ("doc_id", "h1", "h2"))))
         rows = zip(*(chunk.docs[c].to_pylist() for c in ("doc_id", "h1", "h2")))
         chunk.leave_out(np.fromiter((r in known for r in rows), bool, chunk.docs.num_rows))
@@ -230,33 +229,34 @@ def tasks(lens: list[int], buckets: int):
     def second(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return X.REQUEST_ARROW.empty_table()
-        chunk, number = Chunk(docs, lens), docs["chunk"][0].as_py()
+        chunk, number = Chunk(docs, lens, shift), docs["chunk"][0].as_py()
         chunk.leave_out(X.kept_bits(replies)[0])
         alive = chunk.candidates(X.bits(X.asked_now(replies), "other"))
         keys = chunk.first_level(alive).keys
         return pa.concat_tables([X.forward(number, 0, chunk.copies), X.forward(number, 1, alive), X.requests(number, keys, buckets)])
 
-    def replay(docs: pa.Table, kept: list[np.ndarray], learnt: list[tuple[np.ndarray, np.ndarray]]):
-        """The chunk after the rounds of which the answers are known: its strings left, its level, what it asks and the pairs asked for."""
-        chunk = Chunk(docs, lens)
+    def replay(docs: pa.Table, kept: list[np.ndarray], ranks: np.ndarray | None):
+        """The chunk after the rounds of which the answers are known: its level, what it asks and the pairs asked for.
+
+        kept: copies, strings alive, and for each round which of the ranks asked for other chunks have.
+        ranks: of the last round; those of earlier rounds aren't needed again, for they don't change the order.
+        """
+        chunk = Chunk(docs, lens, shift)
         chunk.leave_out(kept[0])
-        alive = kept[1]
+        alive, learnt = kept[1], kept[2:]
         level, asked, pairs = chunk.first_level(alive), None, None
-        for round_, (other, ranks) in enumerate(learnt, 1):
-            level.learn(other if asked is None else spread(other, asked), ranks)
+        for round_, other in enumerate(learnt, 1):
+            level.learn(other if asked is None else spread(other, asked), ranks if round_ == len(learnt) and ranks is not None else U64(0))
             alive = chunk.survivors(alive, level, round_ - 1)
             level, asked, pairs = chunk.next_level(level, alive, round_)
         return chunk, level, asked, pairs
 
-    def answers(kept: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        return list(zip(kept[2::2], kept[3::2]))
-
     def next_round(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return X.REQUEST_ARROW.empty_table()
-        number, kept, now = docs["chunk"][0].as_py(), X.kept_bits(replies), X.asked_now(replies)
-        kept += [X.bits(now, "other"), X.ranks(now, index_bits)]
-        _, _, _, (left, right) = replay(docs, kept, answers(kept))
+        number, now = docs["chunk"][0].as_py(), X.asked_now(replies)
+        kept = [*X.kept_bits(replies), X.bits(now, "other")]
+        _, _, _, (left, right) = replay(docs, kept, X.ranks(now, index_bits))
         mask = U64((1 << index_bits) - 1)
         keys = (left & mask) << U64(bucket_bits + index_bits) | right
         at = np.searchsorted(left >> U64(index_bits), np.arange(buckets + 1, dtype=U64))
@@ -266,7 +266,7 @@ def tasks(lens: list[int], buckets: int):
         if not docs.num_rows:
             return ARROW.empty_table()
         kept = X.kept_bits(replies)
-        chunk, level, asked, _ = replay(docs, kept, answers(kept))
+        chunk, level, asked, _ = replay(docs, kept, None)
         drop = level.first.copy()  # strings of a rank go from all documents but the first
         earlier = spread(X.bits(X.asked_now(replies), "earlier"), asked)
         drop[earlier] = -1
@@ -313,8 +313,10 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50, chunk_bytes: int = 4 << 2
     notes = materialize(copies.withColumn("chunk", range_chunk(F.col("doc_id"), bounds).cast("int")), "suffix-copies")
     buckets = max(24, -(-n_bytes // bucket_bytes))
     lens = lengths(threshold)
-    steps, last, most = tasks(lens, buckets)
-    out = X.rounds(with_chunks(docs, bounds, *hashes()), len(bounds) + 1, buckets, steps, [SHIFT] + [None] * (len(lens) - 1) + [0], last, SCHEMA, notes, most)
+    # bits of an anchor's code: few more than tell all anchors apart, so that false candidates stay rare at any size
+    shift = 64 - max(24, (n_bytes // 12).bit_length() + 7)
+    steps, last, most = tasks(lens, buckets, shift)
+    out = X.rounds(with_chunks(docs, bounds, *hashes()), len(bounds) + 1, buckets, steps, [shift] + [None] * (len(lens) - 1) + [0], last, SCHEMA, notes, most)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
 
 
