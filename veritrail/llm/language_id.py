@@ -4,12 +4,13 @@ The pieces are those of a fixed public vocabulary. For each language, expectatio
 maximisation over words fits piece probabilities: the forward and backward sums over every
 segmentation of a word give the expected uses of each piece. A text's score in a language is
 the sum of its words' log forward sums, and the language with the best posterior is predicted.
-A piece never crosses white space, so words are scored once and kept.
+A piece never crosses white space, so words are scored once and kept. Words of LONG characters
+and more are summed with rescaling; the fit takes them in parts.
 
 Bounds, as parameters: the fit takes about `sample` labelled rows of each language, chosen by
 hash, with texts of at most `longest` bytes. Prediction reads whole texts.
 
-Defined cases: a null text or one without a letter is `und` with score 0, as is everything if
+Defined cases: a null text or one without a letter (str.isalpha: no digits, fractions or circled signs) is `und` with score 0, as is everything if
 nothing was learned; a character in no piece has a probability of its own; equal scores go to
 the first language in order; repeated rows and a null doc_id (not held out, not learned from)
 are scored like any other; an empty table gives an empty result.
@@ -17,7 +18,6 @@ are scored like any other; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
@@ -29,11 +29,11 @@ from veritrail.llm.common import table
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-LETTER = re.compile(r"[^\W\d_]")
 MARK = "▁"
-#: A forward sum gains about this factor a character, so that long words don't underflow.
+#: A forward sum gains about this factor a character, so that words under LONG characters don't underflow:
+#: unknown pieces of a probability down to 1e-9 leave (GAIN * 1e-9) ** LONG > 1e-250.
 GAIN = 24.0
-LONG = 64
+LONG = 32
 
 
 def default_vocabulary() -> str:
@@ -145,26 +145,35 @@ def long_log_sums(word: str, lattice: Lattice, p: np.ndarray) -> np.ndarray:
     return logs
 
 
+def stretches(word: str) -> list[str]:
+    """A long word in parts of under LONG characters, for the fit: in scripts without spaces, whole lines are one word."""
+    return [word[lo : lo + LONG - 1] for lo in range(0, len(word), LONG - 1)]
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def fit(rows: list[tuple[str, str]], pieces: list[str], rounds: int = 4, floor: float = 0.02) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, log priors, piece probabilities: pieces + 1 by languages) from (language, text) rows."""
     lattice = Lattice(pieces)
     languages = sorted({lang for lang, _ in rows})
     number = {lang: k for k, lang in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
+    counts: dict[str, np.ndarray] = {}  # by word with its mark, or stretch of a long word
     docs = np.zeros(len(languages))
     for lang, text in rows:
         k = number[lang]
         docs[k] += 1
         for w in text.lower().split():
-            if len(w) < LONG:
-                counts.setdefault(w, np.zeros(len(languages), np.int32))[k] += 1
+            for part in [MARK + w] if len(w) < LONG else stretches(MARK + w):
+                counts.setdefault(part, np.zeros(len(languages), np.int32))[k] += 1
     words = sorted(counts)
     p = np.full((len(pieces) + 1, len(languages)), 1 / (len(pieces) + 1))
     for _ in range(rounds if words else 0):
         used = np.zeros_like(p)
         for lo in range(0, len(words), 20_000):
             own = words[lo : lo + 20_000]
-            batch = Batch([MARK + w for w in own], lattice)
+            batch = Batch(own, lattice)
             ahead, behind = batch.forward(p), batch.backward(p)
             share = np.array([counts[w] for w in own]) / np.maximum(behind[:, 0], 1e-290)
             weight = p[batch.piece] * (GAIN ** (batch.end - batch.start))[:, None]
@@ -203,7 +212,7 @@ class Scorer:
             return [("und", 0.0)] * len(texts)
         if len(self.rows) > self.most:
             self.rows, self.sums = {}, np.zeros((0, len(self.languages)))
-        split = [t.lower().split() if t and LETTER.search(t) else [] for t in texts]
+        split = [t.lower().split() if has_letter(t) else [] for t in texts]
         new = {w for words in split for w in words} - self.rows.keys()
         self.learn(sorted(new))
         at = np.fromiter((self.rows[w] for words in split for w in words), np.int64)
