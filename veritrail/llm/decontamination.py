@@ -8,10 +8,12 @@ k + 1 diagonals, so one band holds it whole); bands that reach the bound are ver
 banded alignment. Case and the kind and length of white space don't count as edits.
 
 k is `budget` of an item's characters, rounded down; q is `q` or the largest that leaves a
-bound of at least 1. Items are kept in memory up to `block_bytes`; a larger benchmark is taken
+bound of at least 1. Items are sent to the tasks up to `block_bytes` of text; what is built of
+them holds about 28 bytes for a character (120 MB for the default). A larger benchmark is taken
 in blocks, each against all texts.
 
-Defined cases: null or blank texts and items match nothing; null ids are carried along; equal
+Defined cases: null or blank texts and items match nothing, nor do items of fewer than `least`
+characters; null ids are carried along; equal
 items are reported one by one; an empty benchmark matches nothing; a region is reported once
 for each item, the one with the fewest edits, then the leftmost. Positions are in the text
 with each run of white space as one space.
@@ -32,6 +34,10 @@ HITS = "doc_id long, item_id long, start long, end long, edits int"
 HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
 SEGMENT = 1 << 19
 SLOTS = 1 << 22
+#: Items under this many characters say nothing: they would match in most texts.
+LEAST = 10
+#: Rows of (hit, item) that are expanded at once.
+EXPANDED = 1 << 20
 
 
 def normal(text: str | None) -> str:
@@ -54,8 +60,8 @@ def grams(code: np.ndarray, q: int) -> np.ndarray:
 class Items:
     """The q-grams of the items, by q."""
 
-    def __init__(self, rows: list[tuple[int | None, str]], budget: float, q: int):
-        self.rows = [(i, t) for i, t in rows if t]
+    def __init__(self, rows: list[tuple[int | None, str]], budget: float, q: int, least: int = 1):
+        self.rows = [(i, t) for i, t in rows if len(t) >= least]
         n = np.array([len(t) for _, t in self.rows], np.int64)
         self.n, self.k = n, np.floor(n * budget + 1e-9).astype(np.int64)
         self.q = np.minimum(q, n // (self.k + 1))  # n - q + 1 - k * q >= 1
@@ -84,28 +90,39 @@ class Items:
         self.longest = int((n + self.k).max()) if len(n) else 0
 
 
-def verify(item: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best stretch of text within k edits of item: banded by the caller's cut of text."""
-    m = len(text)
+def verify(item: np.ndarray, text: np.ndarray, low: int, k: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best stretch of text within k edits of item on the 2 * (k + 1) diagonals from `low` on.
+
+    A cell for each diagonal: row i of the alignment reads text[i + low + d] at diagonal d.
+    """
+    n, m, width = len(item), len(text), 2 * (k + 1)
     far = k + 1
-    place = np.arange(m + 1)
-    row, start = np.zeros(m + 1, np.int64), place.copy()
-    for c in item:
-        swap = row[:-1] + (text != c)
-        drop = row + 1
-        best = drop.copy()
-        take = swap <= best[1:]
-        best[1:] = np.where(take, swap, best[1:])
-        origin = start.copy()
-        origin[1:] = np.where(take, start[:-1], start[1:])
+    place = np.arange(width)
+    begin = low + place  # where the stretch starts if row 0 is entered at this diagonal
+    row = np.where((begin >= 0) & (begin <= m), 0, far)
+    start = np.clip(begin, 0, m)
+    padded = np.full(n + width + 1, np.iinfo(np.int64).max, np.int64)
+    lo, hi = max(0, low), min(m, low + n + width)
+    if hi > lo:
+        padded[lo - low : hi - low] = text[lo:hi]
+    drop, origin = np.empty(width, np.int64), np.empty(width, np.int64)
+    for i in range(n):
+        at = i + 1 + low + place  # text characters read after this row
+        drop[:-1], origin[:-1] = row[1:] + 1, start[1:]  # the item's character is left out
+        drop[-1], origin[-1] = far, 0
+        swap = row + (padded[i : i + width] != item[i])
+        take = swap <= drop
+        best, origin = np.where(take, swap, drop), np.where(take, start, origin)
+        outside = (at < 0) | (at > m)
+        best[outside] = far
         run = best - place  # an inserted text character costs one more than the cell to its left
         least = np.minimum.accumulate(run)
-        at = np.maximum.accumulate(np.where(run == least, place, 0))
-        row, start = least + place, origin[at]
+        from_ = np.maximum.accumulate(np.where(run == least, place, 0))
+        row, start = np.where(outside, far, np.minimum(least + place, far)), origin[from_]
         if row.min() >= far:
             return None
     end = int(np.argmin(row))
-    return (int(row[end]), int(start[end]), end) if row[end] <= k else None
+    return (int(row[end]), int(start[end]), n + low + end) if row[end] <= k else None
 
 
 def scan(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]:
@@ -170,8 +187,26 @@ def _stretch(code: np.ndarray, off: np.ndarray, q: int, items: Items) -> Iterato
 
 
 def _bands(code, off, hit, j, piece, head, item, at, items) -> Iterator[tuple[int, int, int, int, int]]:
+    """Bands of the hits that reach their item's bound, verified. A q-gram of many items is expanded in ranges of items."""
     many = head[j + 1] - head[j]
-    flat = np.repeat(head[j] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+    ranges = max(1, -(-int(many.sum()) // EXPANDED))
+    edges = [len(items.rows) * r // ranges for r in range(ranges + 1)]
+    if ranges == 1:
+        yield from _band_range(code, off, hit, head[j], many, piece, item, at, items)
+        return
+    own = np.unique(j)
+    pair = np.concatenate([np.int64(g) * len(items.rows) + item[head[g] : head[g + 1]] for g in own])  # ascends
+    first = np.concatenate([np.arange(head[g], head[g + 1]) for g in own])
+    first = np.append(first, -1)
+    for lo, hi in zip(edges, edges[1:]):
+        a, b = (np.searchsorted(pair, j * len(items.rows) + e) for e in (lo, hi))
+        some = b > a
+        if some.any():
+            yield from _band_range(code, off, hit[some], first[a[some]], (b - a)[some], piece[some], item, at, items)
+
+
+def _band_range(code, off, hit, first, many, piece, item, at, items) -> Iterator[tuple[int, int, int, int, int]]:
+    flat = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
     who, where = item[flat], at[flat]
     diagonal = np.repeat(hit - off[piece], many) - where + items.n[who]  # >= 0
     step = items.k[who] + 1
@@ -184,25 +219,20 @@ def _bands(code, off, hit, j, piece, head, item, at, items) -> Iterator[tuple[in
     count = np.diff(np.concatenate((new, [len(w)])))
     for x in new[count >= items.bound[w[new]]]:
         i, p, k = int(w[x]), int(r[x]), int(items.k[w[x]])
-        n = int(items.n[i])
-        low = int(b[x]) * (k + 1) - n - k  # the band's first diagonal, and k to its left
-        start = max(0, low)
-        end = min(int(off[p + 1] - off[p]), low + n + 4 * (k + 1) + k)
-        if end <= start:
-            continue
-        found = verify(items.code[i], code[off[p] + start : off[p] + end], k)
+        low = int(b[x]) * (k + 1) - int(items.n[i])  # the band's first diagonal
+        found = verify(items.code[i], code[off[p] : off[p + 1]], low, k)
         if found:
-            yield p, i, start + found[1], start + found[2], found[0]
+            yield p, i, found[1], found[2], found[0]
 
 
-def item_blocks(benchmark: DataFrame, budget: float, q: int, block_bytes: int) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, budget: float, q: int, block_bytes: int, least: int) -> Iterator[Items]:
     """The benchmark as blocks of at most about block_bytes."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     n = rows.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     blocks = max(1, -(-int(n) // block_bytes))
     for b in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
-        yield Items([(r["item_id"], normal(r["text"])) for r in own.collect()], budget, q)
+        yield Items([(r["item_id"], normal(r["text"])) for r in own.collect()], budget, q, least)
 
 
 def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[tuple[int, list[str]]]:
@@ -218,11 +248,11 @@ def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Itera
     yield first, texts
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = 0.05, q: int = 12, block_bytes: int = 32 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = 0.05, q: int = 12, block_bytes: int = 4 << 20, least: int = LEAST) -> DataFrame:
     """doc_id, item_id, start, end, edits for each text and item that meet."""
     spark = docs.sparkSession
     found = None
-    for items in item_blocks(benchmark, budget, q, block_bytes):
+    for items in item_blocks(benchmark, budget, q, block_bytes, least):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
@@ -238,10 +268,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = 0.05, q:
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, budget: float = 0.05, q: int = 12, block_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, budget: float = 0.05, q: int = 12, block_bytes: int = 4 << 20, least: int = LEAST) -> DataFrame:
     """The rows of docs, all columns, that meet no item."""
     spark = docs.sparkSession
-    for items in item_blocks(benchmark, budget, q, block_bytes):
+    for items in item_blocks(benchmark, budget, q, block_bytes, least):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
