@@ -3,7 +3,9 @@
 Write tasks sort their captures by URL key and timestamp, write one gzip-per-record archive
 each and leave a run of index rows in that order. Merge tasks own ranges of (URL key,
 timestamp): each merges its part of all runs through a loser tree, so the parts one after
-another are one globally ordered capture history. Archives are read back by the index.
+another are one globally ordered capture history, which is written. Archives are read back in
+its order: in a range of keys, the records of a run lie one behind the other. The digest of
+every payload read is computed anew; one that differs from its record's ends the job.
 
 Of records with equal payloads of at least `least_bytes` bytes, the one with the smallest
 page_id is a response and the others revisit it.
@@ -18,6 +20,7 @@ under a new name, and the index names only archives of tasks that ended.
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
 import uuid
 import zlib
@@ -35,6 +38,8 @@ INDEX = "url_key string, ts long, page_id long, run string, at long, length long
 INDEX_ARROW = pa.schema([("url_key", pa.string()), ("ts", pa.int64()), ("page_id", pa.int64()), ("run", pa.string()), ("at", pa.int64()), ("length", pa.int64())])
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, ts long, payload binary"
 READ_ARROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("ts", pa.int64()), ("payload", pa.binary())])
+#: Archives that a reading task keeps open.
+OPEN = 64
 BREAKS = re.compile(r"[\r\n]+")
 
 
@@ -91,10 +96,13 @@ def parse(raw: bytes) -> dict:
     body = body[: int(fields["Content-Length"])]
     http, _, payload = body.partition(b"\r\n\r\n")
     length = next(int(x[16:]) for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
+    if fields["WARC-Type"] == "response" and (len(payload) != length or hashlib.sha256(payload).hexdigest() != digest):
+        raise ValueError(f"the payload of {fields['WARC-Record-ID']} is damaged")
     return {
         "page_id": int(fields["X-Page-ID"]) if fields["X-Page-ID"] else None,
         "payload_bytes": length,
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
+        "payload_digest": digest,
         "record_type": fields["WARC-Type"],
         "refers_to": int(fields["X-Refers-To-Page-ID"]) if "X-Refers-To-Page-ID" in fields else None,
         "url": fields["WARC-Target-URI"] or None,
@@ -166,7 +174,7 @@ def order(r: dict) -> tuple:
 
 
 def merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come run after run, each in order; they leave in one order."""
+    """Rows of one range of keys come run after run, each in order; they leave in one order. Memory: the index rows of the range."""
     runs: dict[str, list[dict]] = {}
     for batch in batches:
         for r in batch.to_pylist():
@@ -182,26 +190,28 @@ def merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, file = None, None
-    for batch in batches:
-        rows = []
-        held = 0
-        for r in batch.to_pylist():
-            if r["run"] != name:
-                if file is not None:
-                    file.close()
-                name = r["run"]
-                where, path = fs.FileSystem.from_uri(name)
-                file = where.open_input_file(path)
-            file.seek(r["at"])
-            rows.append(parse(zlib.decompress(file.read(r["length"]), 31)))
-            held += rows[-1]["payload_bytes"]
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_pylist(rows, READ_ARROW)
-                rows, held = [], 0
-        yield pa.RecordBatch.from_pylist(rows, READ_ARROW)
-    if file is not None:
-        file.close()
+    files: dict[str, object] = {}  # the archives read last stay open
+    try:
+        for batch in batches:
+            rows, held = [], 0
+            for r in batch.to_pylist():
+                file = files.pop(r["run"], None)
+                if file is None:
+                    where, path = fs.FileSystem.from_uri(r["run"])
+                    file = where.open_input_file(path)
+                    if len(files) >= OPEN:
+                        files.pop(next(iter(files))).close()
+                files[r["run"]] = file
+                file.seek(r["at"])
+                rows.append(parse(zlib.decompress(file.read(r["length"]), 31)))
+                held += rows[-1]["payload_bytes"]
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, READ_ARROW)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, READ_ARROW)
+    finally:
+        for file in files.values():
+            file.close()
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, first_ts: int = 1_700_000_000) -> DataFrame:
@@ -216,16 +226,16 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, first_
     return materialize(runs.mapInArrow(writer(folder), INDEX), "warc-runs")
 
 
-def merge_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
-    """All runs' index rows in the order of (url_key, ts, page_id), over range partitions."""
+def merge_index(runs: DataFrame, range_rows: int = 50_000) -> DataFrame:
+    """All runs' index rows in the order of (url_key, ts, page_id), over range partitions of about range_rows rows, written."""
     keys = ["url_key", "ts", F.col("page_id").asc_nulls_first()]
-    n = parts or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartitionByRange(n, *keys).sortWithinPartitions("run", *keys).mapInArrow(merger, INDEX)
+    n = max(1, -(-runs.count() // range_rows))
+    return materialize(runs.repartitionByRange(n, *keys).sortWithinPartitions("run", *keys).mapInArrow(merger, INDEX), "warc-index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records that the index names, read from their archives."""
-    return index.repartition("run").sortWithinPartitions("run", "at").mapInArrow(reader, READ)
+    """The records that the index names, read from their archives in its order."""
+    return index.mapInArrow(reader, READ)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
