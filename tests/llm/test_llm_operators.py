@@ -115,6 +115,34 @@ def test_language_id(spark):
     out = {r.doc_id: r for r in language_id.language_id(odd).collect()}
     assert out[1].lang_pred == out[2].lang_pred == out[3].lang_pred == "und" and len(out) == 5
     assert language_id.language_id(odd.limit(0)).count() == 0
+    marks = spark.createDataFrame([(1, "½ ² ①", "en"), (2, "aª", None), (3, "word", "en"), (3, "word", "en")], "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    out = collections.Counter((r.doc_id, r.lang_pred) for r in language_id.language_id(marks).collect())
+    assert out == {(1, "und"): 1, (2, "en"): 1, (3, "en"): 2}
+
+
+@pytest.mark.parametrize("n", [20, 31, 32, 40, 52, 63, 80])
+def test_language_id_unseen_words(n):
+    """Words of characters that the fit never saw have the same sums by both ways; ties go to the first language."""
+    pieces = ["a", "b", "ab"]
+    languages, prior, p = language_id.fit([("en", "ab ab a"), ("fr", "ba b")] * 3, pieces)
+    p = p.copy()
+    p[3] = 5e-8
+    lattice = language_id.Lattice(pieces)
+    want = n * np.log(5e-8)
+    assert np.allclose(language_id.long_log_sums("一" * n, lattice, p), want)
+    if n <= language_id.LONG:
+        assert np.allclose(language_id.Batch(["一" * n], lattice).log_sums(p)[0], want)
+    scorer = language_id.Scorer(languages, np.log([0.5, 0.5]), np.repeat(p[:, :1], 2, axis=1), pieces)
+    assert scorer.score(["一" * n + " ab"]) == [("en", 0.5)]
+
+
+def test_language_id_without_spaces():
+    rng = random.Random(5)
+    line = lambda letters: "".join(rng.choice(letters) for _ in range(90))
+    one, two = "日本語文字学校先生", "中国汉字学校先生们"
+    languages, prior, p = language_id.fit([("ja", line(one)) for _ in range(40)] + [("zh", line(two)) for _ in range(40)], sorted(set(one + two)))
+    scorer = language_id.Scorer(languages, prior, p, sorted(set(one + two)))
+    assert [x for x, _ in scorer.score([line(one), line(two)])] == ["ja", "zh"]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 5000])
@@ -162,6 +190,44 @@ def edits(item, text):
     return min(row)
 
 
+def test_banded_alignment():
+    """Against the whole table: the least edits of regions that begin and end anywhere."""
+    rng = random.Random(7)
+    for _ in range(200):
+        item = "".join(rng.choice("abc") for _ in range(rng.randrange(10, 40)))
+        part = list(item)
+        k = rng.randrange(4)
+        for _ in range(rng.randrange(k + 2)):
+            at = rng.randrange(len(part))
+            part[at : at + 1] = rng.choice([[], ["d"], [part[at], "d"]])
+        left = rng.randrange(20)
+        text = "e" * left + "".join(part) + "e" * rng.randrange(20)
+        best = edits(item, text)
+        found = [decontamination.verify(decontamination.codes(item), decontamination.codes(text), low, k) for low in range(-k - 1, len(text) + 1, k + 1)]
+        found = [f for f in found if f]
+        assert (min(found)[0] == best) if best <= k else not found
+        for e, a, b in found:
+            assert 0 <= a <= b <= len(text) and edits(item, text[a:b]) <= e
+
+
+def test_decontamination_edges(spark, monkeypatch):
+    """A prompt that all items share, one-character items, repeated rows and items, a text over a segment, equal items."""
+    monkeypatch.setattr(decontamination, "EXPANDED", 500)
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    prompt = own(60)
+    items = [(i, prompt + own(40)) for i in range(30)] + [(90, "a"), (91, "abc de")]
+    items.append((31, items[0][1]))
+    long = own(decontamination.SEGMENT - 50) + items[3][1] + own(200)
+    rows = [(1, own(50) + items[5][1] + own(9)), (1, own(50) + items[5][1] + own(9)), (2, prompt * 3), (3, long), (4, items[0][1]), (None, items[7][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    items_ = decontamination.Items([(i, decontamination.normal(t)) for i, t in items], 0.05, 12, decontamination.LEAST)
+    found = {(t, items_.rows[i][0], e) for t, i, _, _, e in decontamination.scan([decontamination.normal(t) for _, t in rows], items_)}
+    assert found == {(0, 5, 0), (1, 5, 0), (3, 3, 0), (4, 0, 0), (4, 31, 0), (5, 7, 0)}
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(table(spark, rows), bench).collect())
+    assert got == {(1, 5): 2, (3, 3): 1, (4, 0): 1, (4, 31): 1, (None, 7): 1}
+
+
 def test_decontamination(spark):
     rng = random.Random(2)
     make = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
@@ -349,9 +415,12 @@ def test_warc(spark):
     rows = [(i, f"http://a.b.c/{i % 3}#x", "x" * (150 if i % 2 else 20)) for i in range(10)]
     rows += [(11, None, None), (None, "http://z", "x" * 150), (3, "u\r\ny", "x" * 150), (12, "", "é" * 60), (13, "k", "é" * 60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("of", F.lit(1)).withColumn("first", F.lit(1))
-    index = warc.merge_index(warc.write_archives(pages, warc.new_path(spark, "w")), 3)
-    keys = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in index.collect()]
+    index = warc.merge_index(warc.write_archives(pages, warc.new_path(spark, "w")), 20)
+    parts = sorted(index.select("*", F.input_file_name().alias("part")).collect(), key=lambda r: r.part)
+    keys = [(r.url_key, r.ts, r.page_id is not None, r.page_id or 0) for r in parts]
     assert keys == sorted(keys)
+    with pytest.raises(ValueError, match="damaged"):
+        warc.parse(warc.record(1, "http://a", 0, b"payload", hashlib.sha256(b"other").hexdigest(), None))
     got = collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(index).collect())
     least = {}
     for p, _, h in rows:

@@ -40,6 +40,10 @@ def covered(s: Column) -> Column:
     return F.aggregate(F.array(starts), F.lit(0), lambda _, p: F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, n: a + n))
 
 
+def text_key(text: Column) -> Column:
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.xxhash64(text.cast("string")))
+
+
 def text_counts(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words (long), prefixed _q."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -61,9 +65,12 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def host_rules(docs: DataFrame, host: str = "source", limit: float = 0.5, most_weight: float = 1000.0, broadcast_hosts: int = 100_000) -> DataFrame:
-    """doc_id, the counts, base_failed, host, host_rate (shrunk), kept of every row."""
-    narrow = text_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n")).alias("host")))
-    narrow = narrow.select("doc_id", "host", *(F.col(f"_q_{c}").alias(c) for c in COUNTS), F.col("_q_n_lines").alias("n_lines"))
+    """doc_id, the counts, base_failed, host, host_rate (shrunk), kept, and _key (hash of the text) of every row.
+
+    Rows of one doc_id, _key and host are judged alike, so these three name a verdict even where ids are null or repeated.
+    """
+    narrow = text_counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_key"), "text", F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n")).alias("host")))
+    narrow = narrow.select("doc_id", "_key", "host", *(F.col(f"_q_{c}").alias(c) for c in COUNTS), F.col("_q_n_lines").alias("n_lines"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     symbols = 10 * F.col("n_symbols") > 5 * F.col("n_words")
     lines = 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")
@@ -79,7 +86,7 @@ def host_rules(docs: DataFrame, host: str = "source", limit: float = 0.5, most_w
     if p["hosts"] <= broadcast_hosts:
         verdicts = F.broadcast(verdicts)
     out = narrow.join(verdicts, "host")
-    return out.select("doc_id", *COUNTS, "base_failed", F.expr("if(host = 'n', null, substr(host, 2))").alias("host"), "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= limit)).alias("kept"))
+    return out.select("doc_id", *COUNTS, "base_failed", F.expr("if(host = 'n', null, substr(host, 2))").alias("host"), "host_rate", (~F.col("base_failed") & (F.col("host_rate") <= limit)).alias("kept"), "_key")
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
