@@ -13,27 +13,29 @@ from veritrail.llm.common import materialize, new_path, table
 from veritrail.llm.decontamination import decontaminate
 from veritrail.llm.jaccard_join import jaccard_join
 from veritrail.llm.mixing import TARGETS, mixing_rates, mixed
-from veritrail.llm.quality import host_rules
+from veritrail.llm.quality import host_rules, text_key
 from veritrail.llm.token_output import read_tokens, write_tokens
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept (doc_id); null ids meet null ids. No column of docs can clash."""
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.select(F.struct("*").alias("row"))
-    return own.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their host's verdict keep."""
-    rules = host_rules(docs)
-    return keep_ids(docs, rules.where("kept"))
+    """Documents that the rules and their host's verdict keep. Each row has its own verdict, by id, text and host."""
+    kept = host_rules(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("_key").alias("kept_text"), F.col("host").alias("kept_host")).distinct()
+    own = docs.select(F.struct("*").alias("row"))  # so that no column of docs can clash
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (text_key(F.col("row.text")) == F.col("kept_text")) & F.col("row.source").cast("string").eqNullSafe(F.col("kept_host"))
+    return own.join(kept, same, "left_semi").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group: the one with the least doc_id, once."""
-    links = jaccard_join(docs)
-    return keep_ids(docs, links.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each linked group: the one with the least doc_id (null: after all others), once.
+
+    Rows get numbers of their own for the join, so null and repeated ids are no different from others.
+    """
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
+    links = jaccard_join(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    ids = rows.select("number", F.col("row.doc_id").cast("long").alias("doc_id"))
+    first = F.min_by("number", F.struct(F.col("doc_id").isNull(), "doc_id", "number")).alias("number")
+    kept = links.select(F.col("doc_id").alias("number"), F.col("component_id").alias("component")).join(ids, "number").groupBy("component").agg(first)
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
