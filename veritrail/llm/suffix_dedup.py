@@ -313,8 +313,9 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50, chunk_bytes: int = 4 << 2
     notes = materialize(copies.withColumn("chunk", range_chunk(F.col("doc_id"), bounds).cast("int")), "suffix-copies")
     buckets = max(24, -(-n_bytes // bucket_bytes))
     lens = lengths(threshold)
-    # bits of an anchor's code: few more than tell all anchors apart, so that false candidates stay rare at any size
-    shift = 64 - max(24, (n_bytes // 12).bit_length() + 7)
+    # bits of an anchor's code: few more than tell all anchors apart, so that false candidates stay rare at any
+    # size. Anchors are the least of many codes, so they crowd in the lower part of the range: 4 bits for that.
+    shift = 64 - max(24, (n_bytes // 12).bit_length() + 8 + 4)
     steps, last, most = tasks(lens, buckets, shift)
     out = X.rounds(with_chunks(docs, bounds, *hashes()), len(bounds) + 1, buckets, steps, [shift] + [None] * (len(lens) - 1) + [0], last, SCHEMA, notes, most)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
