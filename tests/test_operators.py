@@ -81,12 +81,69 @@ def test_linkage(spark):
     props = linkage.proposals(grouped, pairs).collect()
     assert len(props) == 1 and props[0].occurrence_ids == [1, 2, 3] and not props[0].exact
     assert [(p.occurrence_ids, p.registry_ids) for p in linkage.study_proposals(df, grouped).collect()] == [([1, 4], ["NCT00000001"])]
-    assert linkage.numbers_conflict("Phase I/II study", "phase 2 trial") and not linkage.numbers_conflict("phase II", "phase 2")
     links = grouped.withColumn("study_id", F.col("report_id"))
     assert len({x.report_id for x in linkage.merge_groups(links, [4, 5]).collect()}) == 2
     assert len({x.report_id for x in linkage.split_groups(links, [2, 3]).collect()}) == 5
 
 
+CONFLICTS = [
+    ("Phase I/II study", "phase 2 trial", True),
+    ("phase II", "Phase 2", False),
+    ("Phase IIb study", "phase 2a study", True),
+    ("KEYNOTE-024 results", "KEYNOTE 024: update", False),
+    ("KEYNOTE-024 results", "keynote 042", True),
+    ("CheckMate 067(2016)", "CheckMate 67", False),
+    ("PD-L1 in cancer", "PD-L2 in cancer", False),
+    ("Alpha 1 outcomes", "Alpha 2 outcomes", True),
+    ("Alpha 1 outcomes", "Beta 2 outcomes", False),
+    ("12-24 months of follow-up", "24 months later", True),
+    ("12\u201324 months", "12/24 month data", False),
+    ("5-year outcome", "5 yr outcome", False),
+    ("week 12 data", "12 weeks of data", False),
+    ("Study no. 007", "trial number 7", False),
+    ("Study 1", "Study 2", True),
+    ("2.50 years", "2.5-year", False),
+    ("Volume 12", "Volume 13", False),
+    ("cohort 1, page 9", "cohort 2", False),
+    ("", "Phase 1", False),
+]
+
+
+def test_title_numbers(spark):
+    df = spark.createDataFrame(CONFLICTS, "a string, b string, want boolean")
+    n = linkage.title_numbers
+    got = df.select("a", "b", "want", linkage.numbers_conflict(n(F.col("a")), n(F.col("b"))).alias("got"), linkage.numbers_conflict(n(F.col("b")), n(F.col("a"))).alias("back")).collect()
+    assert [(r.a, r.b) for r in got if not r.got == r.back == r.want] == []
+
+
+def test_composed_titles_and_evidence(spark):
+    r = [(1, "Caf\u00e9 care after 5 years", ["McDonald J"], 2020), (2, "Cafe\u0301 care after 5 years", ["Mcdonald, K"], 2021), (3, "Cafe\u0301 care after 6 years", ["McDonald J"], 2020)]
+    df = spark.createDataFrame([(i, i, t, a, y, None, None, None) for i, t, a, y in r], "occurrence_id int, input_pos int, title string, authors array<string>, year int, doi string, pmid string, pmcid string")
+    assert [(x.a, x.b, x.evidence) for x in linkage.link_pairs(df).collect()] == [(1, 2, "Titles 100% alike, same year 2020, same first author McDonald")]
+
+
+def test_short_titles(spark):
+    titles = ["abcde", "abcdef", "abcdf", "a", "ab", "abcdxe", "abcdefghi", "abcdefghij", "bcdefghij", "abcdefghijk", "b", "ba"]
+    got = {tuple(sorted((r.a, r.b))) for r in linkage.alike_titles(spark.createDataFrame([(t,) for t in titles], "title string")).collect()}
+    assert got == {tuple(sorted(p)) for p in itertools.combinations(titles, 2) if similarity.ratio(*p) >= 90} and len(got) > 3
+
+
+def test_pool(spark):
+    kind = "occurrence_id int, title string, authors array<string>, year int, doi string, pmid string, pmcid string"
+    pool = spark.createDataFrame([(1, "A long title about the care of adults", ["Roe A"], 2020, None, None, None), (2, "Another title, not near", [], None, "10.1/x", None, None), (3, "Same title of two papers", ["Doe B"], 2001, None, None, None), (4, "", [], None, None, None, None)], kind)
+    found = spark.createDataFrame([(11, "A long title about the care of adult", ["Roe A"], 2021, None, None, None), (12, "Unlike", [], None, "https://doi.org/10.1/X", None, None), (13, "Same title of two papers", ["Doe B"], 2009, None, None, None), (14, "", [], None, None, None, None)], kind)
+    assert sorted(map(tuple, linkage.pool_compare(pool, found).collect())) == [("found", 1), ("found", 2), ("missed", 3), ("missed", 4), ("new", 13), ("new", 14)]
+
+
+def test_study_proposals_know_earlier_ones(spark):
+    grouped = spark.createDataFrame([(i, i, i // 2) for i in range(6)], "occurrence_id int, report_id int, study_id int")
+    own = spark.createDataFrame([(0, ["nct00000001", "2023-504892-39-00"]), (2, ["NCT00000001 "]), (4, ["2023-504892-39-00"]), (5, ["NCT9"]), (4, ["NCT9"])], "occurrence_id int, registry_ids array<string>")
+    earlier = spark.createDataFrame([(1, [1, 3, 5])], "proposal_id int, occurrence_ids array<int>")
+    got = lambda *e: {(tuple(r.occurrence_ids), tuple(r.registry_ids)) for r in linkage.study_proposals(own, grouped, *e).collect()}
+    assert got() == {((0, 2), ("NCT00000001",)), ((0, 4), ("2023-504892-39-00",))} and got(earlier) == set()
+    assert got(earlier.where("false")) == got()
+
+
 def test_compare(spark):
     a = spark.createDataFrame([("k1", "1"), ("k2", None), ("k3", "x")], "k string, v string")
     b = spark.createDataFrame([("k1", "1.0"), ("k2", None), ("k4", "y")], "k string, v string")

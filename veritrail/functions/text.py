@@ -83,10 +83,10 @@ def registry_id(value: Column) -> Column:
 
 
 def registry_ids(*texts: Column) -> Column:
-    """Trial numbers in the texts: NCT numbers first, then EudraCT numbers, each once."""
+    """Trial numbers in the texts: NCT numbers first, then EudraCT and EU CT numbers (with their last group), each once."""
     joined = F.concat_ws("\n", *texts)
     nct = F.transform(F.regexp_extract_all(joined, F.lit(r"(?i)\bNCT[0-9]{8}\b"), F.lit(0)), F.upper)
-    eudract = F.regexp_extract_all(joined, F.lit(r"\b[0-9]{4}-[0-9]{6}-[0-9]{2}\b"), F.lit(0))
+    eudract = F.regexp_extract_all(joined, F.lit(r"\b[0-9]{4}-[0-9]{6}-[0-9]{2}(?:-[0-9]{2})?\b"), F.lit(0))
     return F.array_distinct(F.concat(nct, eudract))
 
 

@@ -1,6 +1,6 @@
 """Queries of the library's own operators over the driver's tables.
 
-Stand-ins: a document is a record (title: its first line, at most 200 characters), a user's
+Stand-ins: a document is a record (title: its first line), a user's
 events are a ledger, `labels.quality` is a gold decision, orders are reference values.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions import numbers, statistics, text
-from veritrail.operators import agreement, compare, grid, ledger, linkage, ranking, screening
+from veritrail.operators import agreement, compare, grid, joins, ledger, linkage, ranking, screening
 from veritrail.plans.registry import query
 
 
@@ -19,11 +19,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.substring(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), 1, 200)
+    first = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
     return t(spark, sf_dir, "documents").withColumn("title", text.plain_title(first))
 
 
-TITLE = "trim(regexp_replace(regexp_replace(lower(substring(split_part(coalesce(text, ''), chr(10), 1), 1, 200)), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+TITLE = "trim(regexp_replace(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
 @query(
@@ -418,18 +418,6 @@ def flt_event_page(spark, sf_dir):
     return page.select("seq", F.col("event_type").alias("type"), "actor_id")
 
 
-@query(
-    "set_pool_compare",
-    f"""WITH r AS (SELECT doc_id, {TITLE} AS title FROM documents), p AS (SELECT doc_id, title FROM r WHERE doc_id % 10 = 0), c AS (SELECT doc_id, title FROM r WHERE doc_id % 10 <> 0)
-    SELECT 'found' AS state, doc_id AS occurrence_id FROM p WHERE title <> '' AND title IN (SELECT title FROM c) UNION ALL
-    SELECT 'missed', doc_id FROM p WHERE title = '' OR title NOT IN (SELECT title FROM c) UNION ALL SELECT 'new', doc_id FROM c WHERE title = '' OR title NOT IN (SELECT title FROM p)""",
-)
-def set_pool_compare(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    own = titled(spark, sf_dir).select(F.col("doc_id").alias("occurrence_id"), "title", none.alias("doi"), none.alias("pmid"), none.alias("pmcid"), F.array().cast("array<string>").alias("authors"))
-    return linkage.pool_compare(own.where("occurrence_id % 10 = 0"), own.where("occurrence_id % 10 <> 0"))
-
-
 @query("link_fuzzy_groups")
 def link_fuzzy_groups(spark, sf_dir):
     own = records(spark, sf_dir)
@@ -536,10 +524,10 @@ def enr_merge_precedence(spark, sf_dir):
     """SELECT o.o_orderkey, coalesce(c.c_name, s.s_name) AS name FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND o.o_orderkey % 2 = 0 LEFT JOIN supplier s ON s.s_suppkey = o.o_orderkey % 10""",
 )
 def join_first_identifier(spark, sf_dir):
-    own = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("k1"), (F.col("o_orderkey") % 10).alias("k2"))
-    a = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k1"), F.col("c_name").alias("n1"))
-    b = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k2"), F.col("s_name").alias("n2"))
-    return own.join(a, "k1", "left").join(b, "k2", "left").select("o_orderkey", F.coalesce("n1", "n2").alias("name"))
+    k = F.col("o_orderkey")
+    own = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sources = [(F.when(k % 2 == 0, F.col("o_custkey")), t(spark, sf_dir, "customer"), "c_custkey", "c_name"), (k % 10, t(spark, sf_dir, "supplier"), "s_suppkey", "s_name")]
+    return joins.first_match(own, sources, "name").drop("o_custkey")
 
 
 @query(
@@ -549,13 +537,13 @@ def join_first_identifier(spark, sf_dir):
 def join_exists(spark, sf_dir):
     orders = t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     own = t(spark, sf_dir, "customer").select("c_custkey")
-    return own.join(orders.where("o_orderstatus = 'F'"), "c_custkey", "left_semi").join(orders.where("o_orderpriority = '1-URGENT'"), "c_custkey", "left_anti")
+    return joins.kept(own, "c_custkey", [orders.where("o_orderstatus = 'F'")], [orders.where("o_orderpriority = '1-URGENT'")])
 
 
 @query("join_scalar_latest", "SELECT c_custkey, (SELECT max(o_orderdate) FROM orders WHERE o_custkey = c_custkey) AS last_order FROM customer")
 def join_scalar_latest(spark, sf_dir):
-    last = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").alias("last_order"))
-    return t(spark, sf_dir, "customer").select("c_custkey").join(last, "c_custkey", "left")
+    orders = t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return joins.with_latest(t(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", orders, "o_orderdate", "last_order")
 
 
 @query(
@@ -585,7 +573,8 @@ def scr_outcomes(spark, sf_dir):
     """SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2""",
 )
 def stm_dedupe_commands(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    own = t(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return ranking.first(own, ["user_id", "event_type"], ["event_id"])
 
 
 @query(
