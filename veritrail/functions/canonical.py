@@ -88,5 +88,12 @@ def leaves(value, path: str = "") -> list[tuple[str, str]]:
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
 def json_leaves(text: pd.Series) -> pd.Series:
-    """All leaves of JSON texts, for joins of (pointer, value) rows; a missing pointer has no row, a null is 'null'."""
-    return text.map(lambda t: [] if t is None else [{"path": p, "value": v} for p, v in leaves(json.loads(t))])
+    """All leaves of JSON texts, for joins of (pointer, value) rows; a missing pointer has no row, a null is 'null'; null where the text can't be read."""
+
+    def one(t):
+        try:
+            return [] if t is None else [{"path": p, "value": v} for p, v in leaves(json.loads(t))]
+        except ValueError:
+            return None
+
+    return text.map(one)

@@ -120,6 +120,20 @@ def as_date(text: Column) -> Column:
     return F.coalesce(iso, dotted).cast("date")
 
 
+def retry_seconds(value: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a number, or an HTTP date against now; never negative; null if neither."""
+    text = F.trim(value)
+    number = text.try_cast("double")
+    date = F.try_to_timestamp(F.regexp_extract(text, r"^[A-Za-z]{3}, (\d{2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    return F.greatest(F.lit(0.0), F.coalesce(number, (F.unix_timestamp(date) - F.unix_timestamp(now)).cast("double"))) + F.when(number.isNull() & date.isNull(), F.lit(None).cast("double")).otherwise(0.0)
+
+
+def reset_seconds(value: Column, now: Column) -> Column:
+    """Seconds to wait by a rate-limit reset: an epoch second (beyond a thousand million), a delay, or an HTTP date."""
+    number = F.trim(value).try_cast("double")
+    return F.when(number > 1_000_000_000, F.greatest(F.lit(0.0), number - F.unix_timestamp(now))).otherwise(retry_seconds(value, now))
+
+
 def as_boolean(text: Column) -> Column:
     word = F.lower(F.trim(text))
     return F.when(word.isin("true", "yes", "1"), True).when(word.isin("false", "no", "0"), False)

@@ -48,9 +48,11 @@ def facets(df: DataFrame, filters: dict[str, dict]) -> DataFrame:
 
 
 def number_aware(column: Column) -> Column:
-    """A text as a sort key: lower case, runs of digits padded to 20 places."""
+    """A text as a sort key: lower case, each run of digits behind its length, so that numbers of any length compare as numbers."""
+    plain = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    digits = lambda p: F.concat(F.lpad(F.length(plain(p)).cast("string"), 8, "0"), plain(p))
     parts = F.regexp_extract_all(F.lower(column.cast("string")), F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), digits(p)).otherwise(p)), "")
 
 
 def ordered(df: DataFrame, keys: list[tuple[str, bool]], position: str) -> DataFrame:

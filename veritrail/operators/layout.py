@@ -26,18 +26,20 @@ def rotated(x0: Column, y0: Column, x1: Column, y1: Column, direction: Column, w
 def word_lines(words: DataFrame) -> DataFrame:
     """Words with their line: a word joins the open line if half its height overlaps the line's first word.
 
-    An ordered scan a page, folded as an array; a page is small.
+    One ordered pass over each page's words.
     """
-    page = words.groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "y1", "x1", "word", "text"))).alias("w"))
-    start = F.struct(F.lit(0).alias("line"), F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"), F.slice(F.transform("w", lambda w: F.struct(w["word"].alias("word"), F.lit(0).alias("line"))), 1, 0).alias("out"))
-
-    def step(s, w):
-        high = F.least(s["b"], w["y1"].cast("double")) - F.greatest(s["a"], w["y0"].cast("double"))
-        same = s["a"].isNotNull() & F.coalesce(high >= 0.5 * F.least(w["y1"] - w["y0"], s["b"] - s["a"]), F.lit(False))
-        line = F.when(same, s["line"]).otherwise(s["line"] + 1)
-        return F.struct(line.alias("line"), F.when(same, s["a"]).otherwise(w["y0"].cast("double")).alias("a"), F.when(same, s["b"]).otherwise(w["y1"].cast("double")).alias("b"), F.concat(s["out"], F.array(F.struct(w["word"].alias("word"), line.alias("line")))).alias("out"))
-
-    rows = page.select("doc", "page", F.explode(F.aggregate("w", start, step)["out"]).alias("o")).select("doc", "page", "o.word", "o.line")
+    kinds = dict(words.dtypes)
+
+    def scan(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values(["y0", "x0", "y1", "x1", "word"])
+        line, top, bottom, out = 0, None, None, []
+        for a, b in zip(page["y0"].astype(float), page["y1"].astype(float)):
+            if top is None or min(bottom, b) - max(top, a) < 0.5 * min(b - a, bottom - top):
+                line, top, bottom = line + 1, a, b
+            out.append(line)
+        return page[["doc", "page", "word"]].assign(line=out)
+
+    rows = words.select("doc", "page", "word", "x0", "y0", "x1", "y1").groupBy("doc", "page").applyInPandas(scan, f"doc {kinds['doc']}, page {kinds['page']}, word {kinds['word']}, line int")
     return words.join(rows, ["doc", "page", "word"])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +17,12 @@ def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return top.select("_row.*")
 
 
+def first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by `order`: of repeated commands, the one that counts."""
+    row = F.struct(*df.columns)
+    return df.groupBy(*keys).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
+
+
 def replay(events: DataFrame, keys: list[str], seq: str, kind: str, undo: str, cutoff: int | None = None) -> DataFrame:
     """State after undos: the last event of each key that no later undo of the key takes back, up to a sequence."""
     if cutoff is not None:
@@ -29,14 +36,22 @@ def replay(events: DataFrame, keys: list[str], seq: str, kind: str, undo: str, c
 
 
 def replay_stack(events: DataFrame, keys: list[str], seq: str, kind: str, undo: str, cutoff: int | None = None) -> DataFrame:
-    """State when each undo takes back one event, the last that still stands."""
+    """State when each undo takes back one event, the last that still stands; one ordered pass over each key's events."""
     if cutoff is not None:
         events = events.where(F.col(seq) <= cutoff)
-    own = events.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(seq, kind))).alias("_all"))
-    empty = F.slice(F.col("_all"), 1, 0)
-    stack = F.aggregate("_all", empty, lambda s, e: F.when(e[kind] == undo, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(e))))
-    last = own.select(*keys, F.element_at(F.when(F.size(stack) > 0, stack), -1).alias("_last")).where("_last is not null")
-    return last.select(*keys, F.col(f"_last.{kind}").alias(kind), F.col(f"_last.{seq}").alias(seq))
+    own, kinds = events.select(*keys, kind, seq), dict(events.dtypes)
+
+    def fold(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(seq)
+        stack: list[int] = []
+        for i, k in enumerate(rows[kind].to_pylist()):
+            if k != undo:
+                stack.append(i)
+            elif stack:
+                stack.pop()
+        return rows.slice(stack[-1], 1) if stack else rows.slice(0, 0)
+
+    return own.groupBy(*keys).applyInArrow(fold, ", ".join(f"{c} {kinds[c]}" for c in own.columns))
 
 
 def seeded_key(seed: str, *parts: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -121,6 +123,34 @@ def preview_hash(changes: DataFrame) -> DataFrame:
     return changes.where("kind = 'changed'").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\x1e"), 256).alias("preview"))
 
 
+def search_completeness(batches: DataFrame) -> DataFrame:
+    """batches (search_id, batch, reported, skipped, ids array): each search's distinct records, the first of each id, and whether they and the skipped ones are all that was reported."""
+    ids = batches.select("search_id", F.explode("ids").alias("id")).groupBy("search_id").agg(F.countDistinct("id").alias("records"))
+    own = batches.groupBy("search_id").agg(F.max("reported").alias("reported"), F.sum("skipped").alias("skipped")).join(ids, "search_id", "left").fillna(0, ["records"])
+    return own.withColumn("complete", F.col("records") + F.col("skipped") == F.col("reported"))
+
+
+#: What an event says, by its type: texts, and the payload's members in braces; {actor} is the actor's name.
+SAID = {
+    "screening.decided": "{actor} decided {item}: {outcome}",
+    "screening.undone": "{actor} took back the decision on {item}",
+    "screening.adjudicated": "{actor} ruled {outcome} on {item}",
+    "corpus.merged": "{actor} joined {left} and {right}",
+    "protocol.approved": "{actor} approved version {version}",
+}
+
+
+def described(events: DataFrame, names: DataFrame, said: dict[str, str] = SAID) -> DataFrame:
+    """events (seq, type, actor_id, payload) as sentences; unknown types show their type, unknown actors their id, missing members a dash."""
+    own = events.join(names.select("actor_id", "name"), "actor_id", "left")
+    text = F.col("type")
+    for kind, template in said.items():
+        parts = re.split(r"\{(\w+)\}", template)
+        value = lambda m: F.coalesce(F.coalesce("name", F.col("actor_id").cast("string")) if m == "actor" else F.get_json_object("payload", f"$.{m}"), F.lit("-"))
+        text = F.when(F.col("type") == kind, F.concat(*[value(p) if i % 2 else F.lit(p) for i, p in enumerate(parts)])).otherwise(text)
+    return own.select("seq", text.alias("said"))
+
+
 def rejudge_problems(diff: DataFrame, allowed: list[str]) -> DataFrame:
     """Changes of a topic (path, kind) that a second reading of the same items may not have."""
     ok = F.lit(False)
