@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veritrail.functions import canonical, numbers, spans, statistics, text
-from veritrail.operators import appraisal, extraction, ledger, ranking, screening
+from veritrail.operators import appraisal, extraction, joins, ledger, ranking, screening
 from veritrail.plans.catalog import judged, t
 from veritrail.plans.registry import query
 from veritrail.sources import sinks
@@ -17,9 +17,9 @@ from veritrail.sources import sinks
     """SELECT o.o_orderkey, n.n_name FROM orders o LEFT JOIN nation n ON n.n_nationkey = coalesce(CASE WHEN o.o_orderkey % 3 = 0 THEN o.o_orderkey % 25 END, o.o_custkey % 25)""",
 )
 def join_coalesce_key(spark, sf_dir):
-    key = F.coalesce(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 25), F.col("o_custkey") % 25).cast("int")
-    own = t(spark, sf_dir, "orders").select("o_orderkey", key.alias("n_nationkey"))
-    return own.join(t(spark, sf_dir, "nation"), "n_nationkey", "left").select("o_orderkey", "n_name")
+    k = F.col("o_orderkey")
+    own = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return joins.join_first_key(own, [F.when(k % 3 == 0, k % 25), F.col("o_custkey") % 25], t(spark, sf_dir, "nation"), "n_nationkey").select("o_orderkey", "n_name")
 
 
 @query(
@@ -28,11 +28,10 @@ def join_coalesce_key(spark, sf_dir):
 )
 def join_source_match(spark, sf_dir):
     regions = t(spark, sf_dir, "region")
-    by = lambda key, name: regions.select(F.col("r_regionkey").cast("long").alias(key), F.col("r_name").alias(name))
-    nation = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("k2"))
-    own = t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey")).alias("c_nationkey"), F.lit("ASIA").alias("k3"))
-    own = own.join(nation, "c_nationkey", "left").join(by("c_custkey", "a"), "c_custkey", "left").join(by("k2", "b"), "k2", "left")
-    return own.join(regions.select(F.col("r_name").alias("k3"), F.col("r_name").alias("d")), "k3", "left").select("c_custkey", F.coalesce("a", "b", "d").alias("region"))
+    k = F.col("c_custkey")
+    nation = t(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("r_regionkey")).join(regions, "r_regionkey").select("n_nationkey", "r_name")
+    sources = [(k, regions, "r_regionkey", "r_name"), (F.when(k % 2 == 0, F.col("c_nationkey")), nation, "n_nationkey", "r_name"), (F.lit("ASIA"), regions, "r_name", "r_name")]
+    return joins.first_match(t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), sources, "region").drop("c_nationkey")
 
 
 @query(
@@ -40,7 +39,8 @@ def join_source_match(spark, sf_dir):
     """SELECT user_id, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'purchase' AND value > 50) AS large, count(*) AS all_events FROM events GROUP BY 1""",
 )
 def agg_filter_progress(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if((F.col("event_type") == "purchase") & (F.col("value") > 50)).alias("large"), F.count(F.lit(1)).alias("all_events"))
+    kind = F.col("event_type")
+    return joins.counts(t(spark, sf_dir, "events"), ["user_id"], {"clicks": kind == "click", "large": (kind == "purchase") & (F.col("value") > 50), "all_events": F.lit(True)})
 
 
 @query(
@@ -48,7 +48,9 @@ def agg_filter_progress(spark, sf_dir):
     """SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS members, min(n_nationkey) AS first FROM nation GROUP BY 1""",
 )
 def agg_array_members(spark, sf_dir):
-    return t(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "|").alias("members"), F.min("n_nationkey").alias("first"))
+    nation = t(spark, sf_dir, "nation")
+    least = joins.first_open(nation, "n_regionkey", "n_nationkey", ["n_nationkey"]).withColumnRenamed("next", "first")
+    return joins.members(nation, "n_regionkey", "n_name").join(least, "n_regionkey").withColumn("members", F.array_join("members", "|"))
 
 
 @query(
@@ -57,10 +59,8 @@ def agg_array_members(spark, sf_dir):
     SELECT 'both' AS kind, count(*) AS n FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'only_a', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'any', count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)""",
 )
 def set_operations(spark, sf_dir):
-    of = lambda f: t(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k")).distinct()
-    a, b = of("A"), of("R")
-    count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-    return count(a.intersect(b), "both").union(count(a.subtract(b), "only_a")).union(count(a.union(b).distinct(), "any"))
+    of = lambda f: t(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k"))
+    return joins.compare_sets(of("A"), of("R"), "k")
 
 
 @query(
@@ -68,8 +68,7 @@ def set_operations(spark, sf_dir):
     """WITH c AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS p FROM orders GROUP BY 1) SELECT o_custkey, len([x FOR x IN p IF x NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')]) = 0 AS covered FROM c""",
 )
 def set_subset(spark, sf_dir):
-    known = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"), F.lit("3-MEDIUM"))
-    return t(spark, sf_dir, "orders").groupBy("o_custkey").agg((F.size(F.array_except(F.collect_set("o_orderpriority"), known)) == 0).alias("covered"))
+    return joins.covered(t(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"])
 
 
 @query(
@@ -78,11 +77,8 @@ def set_subset(spark, sf_dir):
     SELECT DISTINCT c_custkey FROM i WHERE id IN (SELECT id FROM k)""",
 )
 def link_known_includes(spark, sf_dir):
-    ids = F.array(F.concat(F.lit("doi:10.1/"), F.col("c_custkey").cast("string")), F.concat(F.lit("pmid:"), (F.col("c_custkey") * 2).cast("string")))
-    own = t(spark, sf_dir, "customer").select("c_custkey", F.explode(ids).alias("id"))
-    s = F.col("s_suppkey").cast("string")
-    known = t(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(F.lit("doi:10.1/"), s), F.concat(F.lit("pmid:"), s))).alias("id"))
-    return own.join(known, "id", "left_semi").select("c_custkey").distinct()
+    ids = lambda key, double: F.array(F.concat(F.lit("doi:10.1/"), F.col(key).cast("string")), F.concat(F.lit("pmid:"), (F.col(key) * double).cast("string")))
+    return joins.meeting(t(spark, sf_dir, "customer"), "c_custkey", ids("c_custkey", 2), t(spark, sf_dir, "supplier"), ids("s_suppkey", 1))
 
 
 @query(
@@ -132,8 +128,7 @@ def scr_reveals_kept(spark, sf_dir):
     """WITH w AS (SELECT o_custkey, o_orderpriority, o_orderkey FROM orders WHERE o_orderstatus <> 'F') SELECT o_custkey, arg_min(o_orderkey, (o_orderpriority, o_orderkey)) AS next FROM w GROUP BY 1""",
 )
 def sort_next_step(spark, sf_dir):
-    own = t(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
-    return own.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderpriority", "o_orderkey")).alias("next"))
+    return joins.first_open(t(spark, sf_dir, "orders").where("o_orderstatus <> 'F'"), "o_custkey", "o_orderkey", ["o_orderpriority", "o_orderkey"])
 
 
 @query(
@@ -163,9 +158,12 @@ def txt_label_order(spark, sf_dir):
     return t(spark, sf_dir, "nation").select("n_nationkey", text.next_label(label).alias("next"), text.label_after(label, F.lit("1.2")).alias("later"))
 
 
-@query("str_strip_markup", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', ' ', 'g')) > 0 AS has_text FROM pages")
+@query(
+    "str_strip_markup",
+    r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')), '') AS body FROM pages""",
+)
 def str_strip_markup(spark, sf_dir):
-    return t(spark, sf_dir, "pages").select("page_id", text.strip_markup(F.col("html")).isNotNull().alias("has_text"))
+    return t(spark, sf_dir, "pages").select("page_id", text.strip_markup(F.col("html")).alias("body"))
 
 
 @query("str_highlights")
