@@ -4,9 +4,10 @@ Rows with equal texts are one group. Groups, by falling size, enter the bin with
 remaining capacity that still holds them, found in a balanced tree; the capacity is the least
 one for which the bins suffice. The law is `bytes`: sizes near equal.
 
-What the driver packs is bounded by `parcels`: only groups over 1 / parcels of all bytes are
-packed by themselves (fewer than `parcels` exist); smaller groups first join one of `parcels`
-parcels by their hash. A group beyond a shard's fair share gets a shard for itself.
+Every group is packed by its size, rounded up to BITS significant bits (by 0.05 % at most). Groups of
+one rounded size are a class, and a class is dealt at once, so the driver packs classes: under
+2 ** BITS for each doubling of the size, whatever the rows. Which groups of a class go where
+follows from their numbers in it. A group beyond a shard's fair share gets a shard for itself.
 
 Defined cases: a null text has no bytes and size 1, crc 0, and its rows are one group; repeated
 rows are rows of their own; an empty table gives an empty result; null doc_ids come first.
@@ -16,13 +17,17 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.llm.common import materialize, table
 
 
+#: Rows that one window holds, about.
+CELL_ROWS = 200_000
+
+
 class _Node:
     __slots__ = ("key", "heap", "left", "right")
 
@@ -75,34 +80,42 @@ class BinTree:
         return node.key
 
 
-def pack(sizes: list[int], capacity: int, bins: int) -> list[int] | None:
-    """Bin of each size (sizes fall), or None if `bins` bins of the capacity don't suffice."""
+def pack(classes: list[tuple[int, int]], capacity: int, bins: int) -> list[tuple[int, int, int]] | None:
+    """(class, bin, groups) runs for classes of (size, groups) by falling size, or None if `bins` bins of the capacity don't suffice.
+
+    Equal sizes one after another: the tightest bin that holds the first stays the tightest until it holds
+    no more of them, so a class is dealt bin by bin, with the same result as group by group.
+    """
     tree, used, out = BinTree(), 0, []
-    for size in sizes:
-        found = tree.take_tightest(size)
-        if found is None:
-            if used == bins or size > capacity:
-                return None
-            found, used = (capacity, used), used + 1
-        tree.add((found[0] - size, found[1]))
-        out.append(found[1])
+    for c, (size, groups) in enumerate(classes):
+        while groups:
+            found = tree.take_tightest(size)
+            if found is None:
+                if used == bins or size > capacity:
+                    return None
+                found, used = (capacity, used), used + 1
+            n = min(groups, found[0] // size)
+            tree.add((found[0] - n * size, found[1]))
+            out.append((c, found[1], n))
+            groups -= n
     return out
 
 
-def best_fit_decreasing(units: list[tuple[int, object]], bins: int) -> dict:
-    """unit -> bin for (size, unit) pairs, with the least capacity that fits."""
-    units = sorted(units, key=lambda u: (-u[0], str(u[1])))
-    where, total, first = {}, sum(u[0] for u in units), 0
-    while first < bins - 1 and len(units) > first and units[first][0] * (bins - first) > total:  # more than a fair share
-        where[units[first][1]] = first
-        total -= units[first][0]
+def best_fit_decreasing(classes: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
+    """Runs (class, bin, groups) of classes of (size, groups) by falling size, with the least capacity that fits."""
+    out, rest, first = [], [list(c) for c in classes], 0
+    total, at = sum(size * n for size, n in classes), 0
+    while first < bins - 1 and at < len(rest) and rest[at][0] * (bins - first) > total:  # more than a fair share
+        out.append((at, first, 1))
+        total -= rest[at][0]
+        rest[at][1] -= 1
         first += 1
-    rest, left = units[first:], bins - first
-    sizes = [u[0] for u in rest]
-    low, high = max([-(-total // left), *sizes[:1], 1]), max(total, 1)
+        at += not rest[at][1]
+    left, sizes = bins - first, [tuple(c) for c in rest]
+    low, high = max([-(-total // left), 1, *(size for size, n in sizes[at : at + 1])]), max(total, 1)
     best = pack(sizes, low, left)
     if best is None:
-        best, step = None, max(1, total // left // 4096)
+        step = max(1, total // left // 4096)
         while best is None:  # widen quickly, then narrow
             best, high = pack(sizes, low + step, left), low + step
             low, step = (low + step, step * 2) if best is None else (low, step)
@@ -110,11 +123,40 @@ def best_fit_decreasing(units: list[tuple[int, object]], bins: int) -> dict:
             mid = (low + high) // 2
             found = pack(sizes, mid, left)
             low, high, best = (mid, high, best) if found is None else (low, mid, found)
-    where |= {u[1]: b + first for u, b in zip(rest, best)}
-    return where
+    return out + [(c, b + first, n) for c, b, n in best]
+
+
+#: Bits of a group's size that packing sees.
+BITS = 12
+
+
+def rounded(size: Column) -> Column:
+    """The size rounded up to BITS significant bits."""
+    shift = F.greatest(F.lit(0), F.length(F.bin(size)) - BITS)
+    unit = F.pow(F.lit(2.0), shift).cast("long")
+    return ((size + unit - 1) / unit).cast("long") * unit
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, parcels: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], cells: int) -> DataFrame:
+    """df with nth, gapless from 0 in each group of `by`: a window in each of `cells` parts of a group, behind the parts before it.
+
+    Part sizes go to the driver: one row for each part there is.
+    """
+    own = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    counts = own.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    before: dict[tuple, int] = {}
+    starts = []
+    for c in sorted(counts, key=lambda c: c["_cell"]):
+        key = tuple(c[b] for b in by)
+        starts.append((*key, c["_cell"], before.get(key, 0)))
+        before[key] = before.get(key, 0) + c["n"]
+    kinds = dict(own.dtypes)
+    starts = df.sparkSession.createDataFrame(starts, ", ".join(f"{c} {kinds[c]}" for c in [*by, "_cell"]) + ", _start long")
+    nth = F.row_number().over(Window.partitionBy(*by, "_cell").orderBy(*order))
+    return own.withColumn("_nth", nth).join(F.broadcast(starts), [*by, "_cell"]).withColumn("nth", F.col("_start") + F.col("_nth") - 1).drop("_cell", "_nth", "_start")
+
+
+def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row. docs needs doc_id and text."""
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -127,44 +169,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, parcels: int = 4096) -> Da
         ),
         "shard-base",
     )
-    groups = base.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-    row = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    large = F.col("bytes") * F.lit(parcels) > F.lit(int(row["bytes"]))
-    unit = F.when(large, F.col("grp")).otherwise(F.pmod("grp", F.lit(parcels)))
-    units = groups.groupBy(large.alias("alone"), unit.alias("unit")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).collect()  # under 2 * parcels rows
-    where = best_fit_decreasing([(int(u["bytes"]), (bool(u["alone"]), int(u["unit"]))) for u in units], shards)
-    room = max(1, int(row["rows"]) // parcels)  # rows that one window holds, about
-    known = [(bool(u["alone"]), int(u["unit"]), where[(bool(u["alone"]), int(u["unit"]))], max(1, -(-int(u["rows"]) // room))) for u in units]
-    alone = spark.createDataFrame([(u, s, n) for a, u, s, n in known if a], "grp long, a_shard int, a_cells long")
-    joined = spark.createDataFrame([(u, s, n) for a, u, s, n in known if not a], "parcel long, p_shard int, p_cells long")
-    dealt = (
-        base.join(F.broadcast(alone), "grp", "left")
-        .withColumn("parcel", F.when(F.col("a_shard").isNull(), F.pmod("grp", F.lit(parcels))))
-        .join(F.broadcast(joined), "parcel", "left")
-        .select(
-            "doc_id",
-            "size",
-            "text_crc32",
-            F.coalesce("a_shard", "p_shard").alias("shard"),
-            F.col("a_shard").isNotNull().alias("alone"),
-            F.coalesce(F.when(F.col("a_shard").isNotNull(), F.col("grp")), F.col("parcel")).alias("unit"),
-            F.pmod(F.xxhash64("doc_id", "text_crc32"), F.coalesce("a_cells", "p_cells")).alias("cell"),
-        )
-    )
-    cell = ["alone", "unit", "cell"]
-    counts = dealt.groupBy("shard", *cell).agg(F.count(F.lit(1)).alias("n")).collect()  # under 4 * parcels rows
-    before: dict[int, int] = {}
-    starts = []
-    for c in sorted(counts, key=lambda c: (c["shard"], c["alone"], c["unit"], c["cell"])):
-        starts.append((c["alone"], c["unit"], c["cell"], before.get(c["shard"], 0)))
-        before[c["shard"]] = before.get(c["shard"], 0) + c["n"]
-    starts = spark.createDataFrame(starts, "alone boolean, unit long, cell long, start long")
-    own = Window.partitionBy(*cell).orderBy("doc_id", "text_crc32", "size")
-    return (
-        dealt.withColumn("nth", F.row_number().over(own))
-        .join(F.broadcast(starts), cell)
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
+    groups = materialize(base.groupBy("grp").agg(F.sum("size").alias("bytes")).select("grp", rounded(F.col("bytes")).alias("class")), "shard-groups")
+    sizes = sorted(((r["class"], r["n"]) for r in groups.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # under 2 ** BITS rows for each doubling of the size
+    runs, dealt = [], [0] * len(sizes)
+    for c, bin_, n in best_fit_decreasing(sizes, shards):
+        runs.append((sizes[c][0], dealt[c], dealt[c] + n, bin_))
+        dealt[c] += n
+    runs = spark.createDataFrame(runs, "class long, lo long, hi long, shard int")
+    cells = max(1, -(-max([n for _, n in sizes], default=0) // CELL_ROWS))
+    placed = numbered(groups, ["class"], ["grp"], cells).join(F.broadcast(runs), "class").where((F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi"))).select("grp", "shard")
+    rows = base.join(materialize(placed, "shard-placed"), "grp")
+    cells = max(64, -(-base.count() // shards // CELL_ROWS))
+    return numbered(rows, ["shard"], ["doc_id", "text_crc32", "size"], cells).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("nth").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
