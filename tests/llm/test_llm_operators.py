@@ -71,10 +71,9 @@ def test_sharding(spark):
 
 def test_best_fit_decreasing():
     rng = random.Random(3)
-    sizes = sorted((rng.randrange(1, 60) for _ in range(80)), reverse=True)
-    tree = sharding.pack(sizes, 100, 80)
+    sizes = sorted((rng.randrange(1, 20) for _ in range(80)), reverse=True)
     left, out = [], []
-    for s in sizes:  # the same by linear search
+    for s in sizes:  # group by group, by linear search
         fits = [(r, b) for b, r in enumerate(left) if r >= s]
         if fits:
             b = min(fits)[1]
@@ -82,10 +81,18 @@ def test_best_fit_decreasing():
             b = len(left)
             left.append(100)
         left[b] -= s
-        out.append(b)
-    assert tree == out
-    huge = sharding.best_fit_decreasing([(1000, "hot")] + [(1, i) for i in range(30)], 4)
-    assert sum(b == huge["hot"] for b in huge.values()) == 1
+        out.append((s, b))
+    classes = sorted(collections.Counter(sizes).items(), reverse=True)
+    got = [(classes[c][0], b) for c, b, n in sharding.pack(classes, 100, 80) for _ in range(n)]
+    assert got == out
+    huge = sharding.best_fit_decreasing([(1000, 1), (1, 30)], 4)
+    assert [b for c, b, _ in huge if c == 0] == [0] and all(b > 0 for c, b, _ in huge if c == 1) and sum(n for c, _, n in huge if c == 1) == 30
+
+
+def test_rounded_sizes(spark):
+    rows = [(x,) for x in (1, 2, 4095, 4096, 4097, 10**6 + 1, 2**40 + 1)]
+    for x, r in spark.createDataFrame(rows, "x long").select("x", sharding.rounded(F.col("x"))).collect():
+        assert x <= r <= x * 1.0005 and (x >= 4096 or r == x)
 
 
 def test_lattice_sums_all_segmentations():

@@ -2,7 +2,7 @@
 
 Documents are range-partitioned by doc_id; each task encodes its documents, appends the end id
 to each and writes one file. The files, in order, are one stream of ids; a document's start is
-the number of ids before it: those of earlier files, summed from one row a file, and those
+the number of ids before it: those of earlier files, by a running sum over one row a file, and those
 before it in its own file, known when the file is read back.
 
 Words come back often, so a text is cut at single spaces between two other characters, where
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veritrail.llm import token_coder
 from veritrail.llm.common import U64, materialize, new_path, slices, table, text_size, utf8, word_hashes
@@ -229,11 +230,11 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     files = materialize(dealt.mapInArrow(writer(folder, vocabulary or default_vocabulary(), end), FILES), "token-files")
-    start, rows = 0, []
-    for r in sorted(files.collect(), key=lambda r: r["part"]):  # one row a file
-        rows.append((r["path"], start, r["n_docs"], r["n_tokens"]))
-        start += r["n_tokens"]
-    return docs.sparkSession.createDataFrame(rows, "path string, start long, n_docs long, n_tokens long")
+    # a running sum over files: ranges of 1024 parts, then the parts of a range
+    ranged = files.withColumn("range", F.floor(F.col("part") / 1024))
+    before = ranged.groupBy("range").agg(F.sum("n_tokens").alias("own")).select("range", (F.sum("own").over(Window.orderBy("range")) - F.col("own")).alias("before"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("range").orderBy("part")) - F.col("n_tokens")
+    return materialize(ranged.join(F.broadcast(before), "range").select("path", (F.col("before") + inside).alias("start"), "n_docs", "n_tokens"), "token-starts")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
