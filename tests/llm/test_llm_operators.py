@@ -473,3 +473,90 @@ def test_packed_keys():
     assert (exchange.bits(own, "earlier") == np.isin(keys[::3], keys[::2])).all()
     first = replies.filter(pa.compute.equal(replies["chunk"], 0))
     assert not exchange.bits(first, "earlier").any() and (exchange.bits(first, "other") == np.isin(keys[::2], keys[::3])).all()
+
+
+def test_mixing_by_brute_force(spark):
+    """Posteriors and rates against the same definitions computed in plain Python and numpy."""
+    import math
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    rows, labels = [], {}
+    for d in range(120):
+        kind = ("toxic", "low", "high")[min(d % 5, 2)]
+        w = [rng.choice(words) for _ in range(30)] + {"toxic": ["vile", "scum"][: 1 + d % 2], "low": ["!!"] * (d % 3), "high": []}[kind]
+        rows.append((d, " ".join(w)))
+        if d % 3:
+            labels[d] = (0 if kind == "low" else 1, int(kind == "toxic"))
+    rows += [(1, rows[1][1]), (500, None), (501, ""), (None, "vile")]
+    targets = {"high": 1.25, "low": 1.1, "toxic": 0.0}
+    lab = spark.createDataFrame([(d, *v) for d, v in labels.items()], "doc_id long, quality int, toxic int")
+    got = {(r.doc_id, r.n_tokens, round(r.p_toxic, 9)): r for r in mixing.mixing_rates(table(spark, rows), lab, targets).collect()}
+
+    domains = mixing.DOMAINS
+    domain = {d: "toxic" if t else "high" if q else "low" for d, (q, t) in labels.items()}
+    tokens = lambda t: re.findall(r"[^\W_]+|[^\w\s]+", (t or "").lower())
+    known = {t: domain[d] for d, t in reversed(rows) if d in domain}
+    sets = [(set(tokens(t)), k) for t, k in known.items()]
+    size = collections.Counter(k for _, k in sets)
+    every = collections.Counter(domain.values())
+    prior = {k: math.log((every[k] + 0.5) / (len(domain) + 1.5)) for k in domains}
+    weight, none = {k: {} for k in domains}, dict.fromkeys(domains, 0.0)
+    for k in domains:
+        n, rest = size[k], len(sets) - size[k]
+        for w in {w for s, _ in sets for w in s}:
+            a, b = sum(w in s for s, x in sets if x == k), sum(w in s for s, x in sets if x != k)
+            ratio = math.log(((a + 0.5) / (n + 1)) / ((b + 0.5) / (rest + 1)))
+            if a >= max(3, 0.02 * n) and ratio > math.log(20):
+                weight[k][w] = ratio
+        if weight[k]:
+            a, b = (sum(not (s & weight[k].keys()) for s, x in sets if (x == k) is own) for own in (True, False))
+            none[k] = math.log((a + 0.5) / (n + 1)) - math.log((b + 0.5) / (rest + 1))
+    assert weight["toxic"].keys() == {"vile", "scum"}
+    p, count = [], []
+    for _, t in rows:
+        own = tokens(t)
+        score = [prior[k] + (sum(weight[k].get(w, 0) for w in set(own)) or none[k]) for k in domains]
+        e = np.exp(np.array(score) - max(score))
+        p.append(e / e.sum())
+        count.append(len(own))
+    p, count = np.array(p), np.array(count)
+    total = (p * count[:, None]).sum(0)
+    goal, rate = total * [targets[k] for k in domains], np.ones(len(rows))
+    for _ in range(40):
+        reached = (p * (rate * count)[:, None]).sum(0)
+        if all(abs(reached - goal) <= 1e-3 * np.maximum(total, 1)):
+            break
+        rate = np.maximum(0, rate - p @ ((reached - goal) / total))
+    for (d, _), q, n, r in zip(rows, p, count, rate):
+        one = got[(d, n, round(float(q[2]), 9))]
+        assert np.allclose([one.p_high, one.p_low, one.p_toxic, one.rate], [*q, r], atol=1e-6)
+
+
+def test_long_texts_repeated_rows_and_ties(spark):
+    """A text of over two million characters, rows that stand twice, equal texts under many ids, for every operator."""
+    rng = random.Random(20)
+    long = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400_000))
+    assert len(long) > 2_000_000
+    tie = " ".join(long[:2000].split(" ")[:100])
+    rows = [(1, long), (2, tie), (2, tie), (3, tie), (None, None), (None, None), (4, long[1_000_000:1_000_400])]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"source": F.lit("s"), "lang": F.lit("en"), "url": F.lit("http://a"), "html": F.col("text"), "page_id": F.col("doc_id"), "chunk": F.lit(1), "token": F.lit(1)})
+    n = len(rows)
+    assert sum(r.size for r in sharding.shard_by_bytes(docs, 3).collect()) == sum(len(t or "") + 1 for _, t in rows)
+    assert language_id.language_id(docs).count() == n
+    files = token_output.write_tokens(docs, token_output.new_path(spark, "t"))
+    assert token_output.read_tokens(files).agg(F.sum("n_tokens")).first()[0] == files.agg(F.sum("n_tokens")).first()[0] and token_output.read_tokens(files).count() == n
+    bench = spark.createDataFrame([(7, long[2_000_000:2_000_300]), (7, tie), (8, tie)], "item_id long, text string")
+    hits = collections.Counter((r.doc_id, r.item_id, r.edits) for r in decontamination.contaminated(docs, bench).collect())
+    assert hits == {(1, 7, 0): 2, (1, 8, 0): 1, (2, 7, 0): 2, (2, 8, 0): 2, (3, 7, 0): 1, (3, 8, 0): 1}
+    kept = {(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.suffix_dedup(docs).collect()}
+    assert kept == {(1, len(long), 0), (2, len(tie), len(tie)), (3, len(tie), len(tie)), (None, 0, 0), (4, 400, 400)}
+    words = {(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert {w[:2] for w in words} == {(1, 400_000), (2, 100), (3, 100), (None, 0), (4, len(long[1_000_000:1_000_400].split()))} and (1, 400_000, 0) in words and (2, 100, 100) in words
+    assert {(r.doc_id, r.n_words) for r in quality.host_rules(docs).collect()} == {w[:2] for w in words}
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_join(docs).collect()} == {(1, 1), (2, 2), (3, 2), (4, 4), (None, None)}
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    assert mixing.mixing_rates(docs, lab, {"toxic": 0.0}).count() == n
+    index = warc.merge_index(warc.write_archives(docs, warc.new_path(spark, "w")))
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(index).collect())
+    assert got == {(1, "response", None): 1, (2, "response", None): 2, (3, "revisit", 2): 1, (4, "response", None): 1, (None, "response", None): 2}
