@@ -13,7 +13,7 @@ from veritrail.plans.registry import query
 from veritrail.sources import records as formats
 from veritrail.sources import reference, sinks
 
-NONE = F.lit(None).cast("string")
+none = lambda: F.lit(None).cast("string")
 s = lambda c: F.col(c).cast("string")
 as_column = lambda v: v if hasattr(v, "_jc") else F.lit(v)
 structs = lambda names, *rows: F.array(*[F.struct(*[as_column(v).alias(n) for n, v in zip(names.split(), r)]) for r in rows])
@@ -39,7 +39,7 @@ def papers(spark, sf_dir, other: bool):
     authors = F.array(F.when((k == 3) & F.lit(other), "Other B").otherwise("McDonald A"))
     doi = F.when(k == 4, F.concat(F.lit("https://doi.org/10.1/A" if other else "10.1/a"), s("p_partkey"))).when(k == 5, F.concat(F.lit("10.2/" + ("x" if other else "y")), s("p_partkey")))
     pmid = F.when(k == 5, s("p_partkey"))
-    own = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("occurrence_id"), F.col("p_partkey").alias("input_pos"), title.alias("title"), authors.alias("authors"), year.alias("year"), doi.alias("doi"), pmid.alias("pmid"), NONE.alias("pmcid"))
+    own = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("occurrence_id"), F.col("p_partkey").alias("input_pos"), title.alias("title"), authors.alias("authors"), year.alias("year"), doi.alias("doi"), pmid.alias("pmid"), none().alias("pmcid"))
     return own.withColumns({"occurrence_id": -1 - F.col("occurrence_id"), "input_pos": -1 - F.col("input_pos")}) if other else own
 
 
@@ -175,14 +175,15 @@ def written_text(df, name: str) -> str:
 RECORDS = "SELECT c_custkey::VARCHAR AS key, 'Title ' || c_name AS title, ['Doe J', 'Roe A B'] AS authors, 2001 AS year, '10.5/' || c_custkey AS doi, (1000 + c_custkey)::VARCHAR AS pmid FROM customer"
 
 
-KEY = F.regexp_extract("title", "([0-9]+)$", 1).cast("int").cast("string").alias("key")
+def key():
+    return F.regexp_extract("title", "([0-9]+)$", 1).cast("int").cast("string").alias("key")
 
 
 def read_back(spark, sf_dir, name: str, format: str, lines: list, columns=("title", "authors", "year", "doi", "pmid")):
     """An entry a customer, read by the parser of a format."""
     own = t(spark, sf_dir, "customer").select(F.array_join(F.array_compact(F.array(*lines)), "\n").alias("value"))
     got = formats.read_records(spark, written_text(own, name), format)
-    return got.select(KEY, *columns)
+    return got.select(key(), *columns)
 
 
 def read_sheet_back(spark, own, format: str, columns: tuple):
@@ -192,7 +193,7 @@ def read_sheet_back(spark, own, format: str, columns: tuple):
 
     path = f"{shared_folder(spark)}/texts/{format}-{uuid4().hex}"
     own.write.csv(path, header=True)
-    return formats.read_records(spark, path, format).select(KEY, *columns)
+    return formats.read_records(spark, path, format).select(key(), *columns)
 
 
 def member(tag: str, value, form: str):
@@ -239,7 +240,7 @@ def src_pubmed_xml(spark, sf_dir):
     sets = t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("<PubmedArticleSet>"), F.array_join(F.collect_list(one), ""), F.lit("</PubmedArticleSet>")).alias("value"))
     path = f"{shared_folder(spark)}/texts/xml-{uuid4().hex}"
     sets.write.partitionBy("c_nationkey").text(path)
-    return formats.read_records(spark, path, "pubmed-xml").select(KEY, "title", "authors", "year", "doi", "pmid")
+    return formats.read_records(spark, path, "pubmed-xml").select(key(), "title", "authors", "year", "doi", "pmid")
 
 
 @query("src_ref_pointer", "SELECT p_partkey, '/parts/' || p_partkey || '/size' AS pointer, p_size::VARCHAR AS value FROM part")
@@ -253,9 +254,9 @@ def src_ref_pointer(spark, sf_dir):
 @query("snk_ris_round_trip", RECORDS.replace("SELECT", "SELECT").replace(", (1000 + c_custkey)::VARCHAR AS pmid", ""))
 def snk_ris_round_trip(spark, sf_dir):
     """Written entries read back give the records."""
-    own = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.concat(F.lit("Title "), "c_name").alias("title"), NONE.alias("abstract"), F.array(F.lit("Doe J"), F.lit("Roe A B")).alias("authors"), F.lit(2001).alias("year"), F.lit("J").alias("journal"), F.concat(F.lit("10.5/"), s("c_custkey")).alias("doi"), NONE.alias("pmid"), F.array().cast("array<string>").alias("registry_ids"), s("c_custkey").alias("provider_record_id"), F.lit("x").alias("source"))
+    own = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.concat(F.lit("Title "), "c_name").alias("title"), none().alias("abstract"), F.array(F.lit("Doe J"), F.lit("Roe A B")).alias("authors"), F.lit(2001).alias("year"), F.lit("J").alias("journal"), F.concat(F.lit("10.5/"), s("c_custkey")).alias("doi"), none().alias("pmid"), F.array().cast("array<string>").alias("registry_ids"), s("c_custkey").alias("provider_record_id"), F.lit("x").alias("source"))
     path = written_text(sinks.ris_lines(own).select("entry"), "entries")
-    return formats.read_records(spark, path, "ris").select(KEY, "title", "authors", "year", "doi")
+    return formats.read_records(spark, path, "ris").select(key(), "title", "authors", "year", "doi")
 
 
 @query("snk_markdown", "SELECT '| ' || n_nationkey || ' | ' || n_name || '\\|x |' AS line FROM nation")
@@ -495,7 +496,7 @@ def ext_split_rows(spark, sf_dir):
 
 @query("ext_inferred", "SELECT p_partkey::VARCHAR AS doc, CASE p_partkey % 3 WHEN 0 THEN 'declared' WHEN 1 THEN 'inferred' END AS value, p_partkey % 3 = 1 AS inferred FROM part")
 def ext_inferred(spark, sf_dir):
-    one = lambda v, status: t(spark, sf_dir, "part").select(s("p_partkey").alias("doc"), F.lit("f").alias("field"), status.alias("status"), v.alias("value"), F.lit(0.9).alias("score"), NONE.alias("runner_up"))
+    one = lambda v, status: t(spark, sf_dir, "part").select(s("p_partkey").alias("doc"), F.lit("f").alias("field"), status.alias("status"), v.alias("value"), F.lit(0.9).alias("score"), none().alias("runner_up"))
     k = F.col("p_partkey") % 3
     first = one(F.when(k == 0, "declared"), F.when(k == 0, "extracted").otherwise("missing"))
     second = one(F.when(k < 2, "inferred"), F.when(k < 2, "extracted").otherwise("missing"))
@@ -515,7 +516,7 @@ def xtr_schema_fields(spark, sf_dir):
     endpoints = t(spark, sf_dir, "nation").join(regions, "n_regionkey").select("study", F.col("n_name").alias("endpoint"), F.lit("binary").alias("endpoint_kind"), F.lit("%").alias("endpoint_unit"))
     studies = regions.select("study")
     times = studies.withColumn("timepoint", F.lit("w12"))
-    quantities = studies.select("study", F.lit("binary").alias("endpoint_kind"), F.explode(structs("quantity target_kind", ("n", "arm"), ("ratio", "pair"))).alias("q"), NONE.alias("quantity_unit")).select("study", "endpoint_kind", "q.*", "quantity_unit")
+    quantities = studies.select("study", F.lit("binary").alias("endpoint_kind"), F.explode(structs("quantity target_kind", ("n", "arm"), ("ratio", "pair"))).alias("q"), none().alias("quantity_unit")).select("study", "endpoint_kind", "q.*", "quantity_unit")
     targets = studies.select("study", F.explode(F.array(F.lit("arm"), F.lit("pair"))).alias("target")).withColumn("target_kind", F.col("target"))
     return extraction.schema_fields(endpoints, times, quantities, targets).select("study", "endpoint", "target", "quantity")
 
@@ -550,8 +551,8 @@ def xtr_validators(spark, sf_dir):
         v("lo", "pair", "ci_lower", F.when(good, "0.50").otherwise("1.00")),
         v("hi", "pair", "ci_upper", F.when(good, "1.00").otherwise("0.50")),
     )
-    own = t(spark, sf_dir, "part").select(s("p_partkey").alias("grp"), F.lit("all").alias("pop"), F.explode(rows).alias("r")).select(F.concat("grp", F.lit("/"), "pop").alias("pop"), "grp", "r.*").withColumns({"unit": NONE, "status": F.lit("extracted")})
-    fields = own.select("grp", "arm", "quantity", F.when(F.col("quantity").isin("n_analysed", "events"), "count").when(F.col("quantity") == "percent", "percentage").otherwise("ratio").alias("kind"), NONE.alias("field_unit"))
+    own = t(spark, sf_dir, "part").select(s("p_partkey").alias("grp"), F.lit("all").alias("pop"), F.explode(rows).alias("r")).select(F.concat("grp", F.lit("/"), "pop").alias("pop"), "grp", "r.*").withColumns({"unit": none(), "status": F.lit("extracted")})
+    fields = own.select("grp", "arm", "quantity", F.when(F.col("quantity").isin("n_analysed", "events"), "count").when(F.col("quantity") == "percent", "percentage").otherwise("ratio").alias("kind"), none().alias("field_unit"))
     out = validators.validate(own, fields, ["a"])
     return out.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).cast("int").alias("k"), "validator").agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
 
@@ -624,7 +625,7 @@ def doc_grounded(spark, sf_dir):
     k = F.col("p_partkey") % 4
     quote = F.concat(F.lit("total of "), s("p_size"), F.lit(" items"))
     body = F.concat(F.lit("A "), quote, F.lit(". "), F.when(k == 2, quote).otherwise("End."))
-    own = t(spark, sf_dir, "part").select(s("p_partkey").alias("doc"), F.lit("n").alias("field"), pick(k, s("p_size"), "99999", s("p_size"), NONE).alias("value"), quote.alias("quote"), body.alias("text"))
+    own = t(spark, sf_dir, "part").select(s("p_partkey").alias("doc"), F.lit("n").alias("field"), pick(k, s("p_size"), "99999", s("p_size"), none()).alias("value"), quote.alias("quote"), body.alias("text"))
     return anchors.grounded(own.drop("text"), own.select("doc", "text")).select("doc", "status")
 
 
@@ -674,7 +675,7 @@ CRITERIA = "array<struct<id:string,status:string,verified:boolean,failed_check:s
 def stage_items(spark, sf_dir):
     """Parts as items: a third has no reading, a fifth is withdrawn."""
     k = F.col("p_partkey")
-    reading = structs("id status verified failed_check", ("c1", F.when(k % 3 == 1, "not_met").otherwise("met"), True, NONE), ("c2", F.when(k % 2 == 0, "unclear").otherwise("met"), False, NONE)).cast(CRITERIA)
+    reading = structs("id status verified failed_check", ("c1", F.when(k % 3 == 1, "not_met").otherwise("met"), True, none()), ("c2", F.when(k % 2 == 0, "unclear").otherwise("met"), False, none())).cast(CRITERIA)
     return t(spark, sf_dir, "part").select(k.alias("item"), F.when(k % 10 == 3, "sentinel").otherwise("record").alias("kind"), (k % 4 == 0).alias("audit"), (k % 6 == 1).alias("rescreen"), k.alias("rank"), F.col("p_name").alias("title"), (k % 5 == 0).alias("withdrawn"), F.when(k % 3 < 2, reading).alias("criteria"))
 
 
@@ -749,8 +750,8 @@ def scr_decide(spark, sf_dir):
     """Exclusions are revealed: then a final decision is awaited. A second provisional decision is refused, an undo reopens."""
     k = F.col("p_partkey") % 4
     e = lambda seq, phase, outcome, on: F.when(on, F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(phase).alias("phase"), outcome.alias("outcome")))
-    rows = F.array_compact(F.array(e(1, "provisional", F.when(k == 0, "include").otherwise("exclude"), F.lit(True)), e(2, "provisional", F.lit("exclude"), k == 0), e(3, "final", F.lit("include"), k == 2), e(4, "undo", NONE, k == 3)))
-    own = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("assignment"), F.explode(rows).alias("e")).select("assignment", "e.*").withColumn("criterion", NONE)
+    rows = F.array_compact(F.array(e(1, "provisional", F.when(k == 0, "include").otherwise("exclude"), F.lit(True)), e(2, "provisional", F.lit("exclude"), k == 0), e(3, "final", F.lit("include"), k == 2), e(4, "undo", none(), k == 3)))
+    own = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("assignment"), F.explode(rows).alias("e")).select("assignment", "e.*").withColumn("criterion", none())
     return review_table.decided(own, F.col("outcome") == "exclude").select("assignment", "state", "outcome", "provisional", "refused")
 
 
@@ -777,7 +778,7 @@ def scr_rescreen(spark, sf_dir):
 @query("flt_decision_rules", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ['unknown_outcome'] WHEN 1 THEN ['unclear_at_full_text'] WHEN 2 THEN ['criterion_missing'] WHEN 3 THEN ['unknown_criterion'] ELSE ['criterion_without_exclusion'] END AS problems FROM part")
 def flt_decision_rules(spark, sf_dir):
     k = F.col("p_partkey") % 5
-    d = F.struct(pick(k, "maybe", "unclear", "exclude", "exclude", "include").alias("outcome"), pick(k, NONE, NONE, NONE, "c9", "c1").alias("criterion"), NONE.alias("reason"))
+    d = F.struct(pick(k, "maybe", "unclear", "exclude", "exclude", "include").alias("outcome"), pick(k, none(), none(), none(), "c9", "c1").alias("criterion"), none().alias("reason"))
     return t(spark, sf_dir, "part").select("p_partkey", screening.decision_problems(d, F.lit("full_text"), F.array(F.lit("c1"))).alias("problems"))
 
 
@@ -815,7 +816,7 @@ def xtr_acceptance(spark, sf_dir):
     """Groups of eight hold only if nothing in them is forbidden; half the last ones stand in a group of their own."""
     k = F.col("p_partkey")
     kind, free = k % 4, F.floor(k / 8) % 2 == 0
-    own = t(spark, sf_dir, "part").select(k.alias("key"), pick(kind, "conflict", "agreed", "agreed", "agreed").alias("state"), (kind == 1).alias("edited"), NONE.alias("note"), (kind != 2).alias("both_agree"), (kind == 2).alias("gated"), F.when((kind == 3) & free, F.concat(F.lit("own"), s("p_partkey"))).otherwise(F.floor(k / 8).cast("string")).alias("group_id"))
+    own = t(spark, sf_dir, "part").select(k.alias("key"), pick(kind, "conflict", "agreed", "agreed", "agreed").alias("state"), (kind == 1).alias("edited"), none().alias("note"), (kind != 2).alias("both_agree"), (kind == 2).alias("gated"), F.when((kind == 3) & free, F.concat(F.lit("own"), s("p_partkey"))).otherwise(F.floor(k / 8).cast("string")).alias("group_id"))
     return stages.acceptance_problems(own).select("key", "problem", "accepted")
 
 
@@ -908,7 +909,7 @@ def set_import(spark, sf_dir):
     own = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref"))
     k = F.col("ref") % 5
     d = lambda *v: own.select("ref", pick(k, *v).alias("decision"))
-    return reports.sheet_changes(d("a", "b", "b", "b", "b"), d("a", "a", "a", "a", NONE).where("ref % 5 <> 3"), d("a", "a", "c", "a", NONE)).select("ref", "kind")
+    return reports.sheet_changes(d("a", "b", "b", "b", "b"), d("a", "a", "a", "a", none()).where("ref % 5 <> 3"), d("a", "a", "c", "a", none())).select("ref", "kind")
 
 
 @query("set_preview_hash", "SELECT sha256(string_agg(p_partkey || chr(31) || 'a' || chr(31) || 'b', chr(30) ORDER BY p_partkey || chr(31))) AS preview FROM part WHERE p_partkey % 5 = 1")
@@ -958,7 +959,7 @@ def enr_works(spark, sf_dir):
 
 @query("enr_locations", "SELECT p_partkey AS key, r AS rank, CASE r WHEN 0 THEN 'u' || p_partkey ELSE 'v' END AS url, r = 1 AS pdf FROM part, (VALUES (0), (1)) w(r)")
 def enr_locations(spark, sf_dir):
-    place = structs("url url_for_pdf", (F.concat(F.lit("u"), s("p_partkey")), NONE), ("v", "p"))
+    place = structs("url url_for_pdf", (F.concat(F.lit("u"), s("p_partkey")), none()), ("v", "p"))
     body = F.to_json(F.struct(place.alias("oa_locations")))
     return enrichment.locations(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), body.alias("body"))).select("key", "rank", "url", "pdf")
 
@@ -980,8 +981,8 @@ def enr_lookups(spark, sf_dir):
 @query("enr_merged", "SELECT p_partkey AS key, CASE p_partkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' END AS title, CASE p_partkey % 3 WHEN 0 THEN 'openalex' WHEN 1 THEN 'crossref' END AS title_from, CASE WHEN p_partkey % 3 > 0 THEN ['openalex'] ELSE [] END AS refused FROM part WHERE p_partkey % 3 < 2")
 def enr_merged(spark, sf_dir):
     """A provider's work with another DOI is refused; the next provider fills the field."""
-    base = t(spark, sf_dir, "part").where("p_partkey % 3 < 2").select(F.col("p_partkey").alias("key"), F.lit("10.1/x").alias("doi"), NONE.alias("pmid"), NONE.alias("title"), F.lit(2000).alias("year"), NONE.alias("abstract"))
-    found = lambda name, doi, title: base.select("key", doi.alias("doi"), NONE.alias("pmid"), F.lit(title).alias("title"), F.lit(None).cast("int").alias("year"), NONE.alias("abstract"), F.lit(name).alias("provider"))
+    base = t(spark, sf_dir, "part").where("p_partkey % 3 < 2").select(F.col("p_partkey").alias("key"), F.lit("10.1/x").alias("doi"), none().alias("pmid"), none().alias("title"), F.lit(2000).alias("year"), none().alias("abstract"))
+    found = lambda name, doi, title: base.select("key", doi.alias("doi"), none().alias("pmid"), F.lit(title).alias("title"), F.lit(None).cast("int").alias("year"), none().alias("abstract"), F.lit(name).alias("provider"))
     a = found("openalex", F.when(F.col("key") % 3 == 0, "10.1/x").otherwise("10.9/y"), "A")
     return enrichment.merged(base, [a, found("crossref", F.lit("10.1/x"), "B")]).select("key", "title", "title_from", "refused")
 

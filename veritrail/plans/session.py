@@ -25,9 +25,11 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset, as in tests."""
+    """spark.checkpoint.dir, which driver and executors share; only in local mode may it be unset: then a temporary folder is taken."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("veritrail.tables.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veritrail-tables-")
         spark.conf.set("veritrail.tables.dir", found)
     return found.rstrip("/")
