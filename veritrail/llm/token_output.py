@@ -15,6 +15,7 @@ share a doc_id stand in the order of their texts; an empty table gives an empty
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 
@@ -35,6 +36,7 @@ READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_token
 #: Pieces whose ids a worker keeps; beyond, it starts anew.
 KEEP = 500_000
 JOINED = 1 << 16
+BATCH = 1000
 
 
 def default_vocabulary() -> str:
@@ -78,6 +80,7 @@ class Encoder:
     """Ids of texts, as the tokenizers library gives them. Pieces are known by two 64-bit hashes."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would keep memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -93,8 +96,15 @@ class Encoder:
         self.ids = np.zeros(0, np.int32)
 
     def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(f) for f in found], np.int32)
+        found, lo = [np.zeros(0, np.int32)], 0
+        while lo < len(texts):  # the library's results are large: few at a time
+            hi, held = lo, 0
+            while hi < len(texts) and hi - lo < BATCH and held < JOINED:
+                held += len(texts[hi])
+                hi += 1
+            found += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts[lo:hi], add_special_tokens=False)]
+            lo = hi
+        return np.concatenate(found), np.array([len(f) for f in found[1:]], np.int32)
 
     def _words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that are a space and a word: end to end, as their first ids tell them apart."""
@@ -184,6 +194,7 @@ def writer(folder: str, vocabulary: str, end: int):
     def run(batches):
         from pyspark import TaskContext
 
+        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
         coder, ids, counts, doc_ids = encoder(vocabulary), [], [], []
         for batch in batches:
             raw, off = utf8(batch["text"])
