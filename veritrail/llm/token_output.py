@@ -234,7 +234,7 @@ def reader(batches):
 NO_ID = -(2**63)
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 8 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 4 << 20) -> DataFrame:
     """Write docs (doc_id, text) as token files; one row a file: path, start, n_docs, n_tokens."""
     _, n_bytes = text_size(docs)
     parts = max(12, -(-n_bytes // file_bytes))
