@@ -28,14 +28,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each linked group: the one with the least doc_id (null: after all others), once.
 
-    Rows get numbers of their own for the join, so null and repeated ids are no different from others.
+    Rows are known by a 64-bit hash of id and text, so null and repeated ids are no different from others;
+    rows that agree in both are one document and stay once.
     """
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")), "numbered")
-    links = jaccard_join(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
-    ids = rows.select("number", F.col("row.doc_id").cast("long").alias("doc_id"))
-    first = F.min_by("number", F.struct(F.col("doc_id").isNull(), "doc_id", "number")).alias("number")
-    kept = links.select(F.col("doc_id").alias("number"), F.col("component_id").alias("component")).join(ids, "number").groupBy("component").agg(first)
-    return rows.join(kept, "number", "left_semi").select("row.*")
+    number = lambda id_, text: F.xxhash64(F.lit(21), id_.cast("long"), id_.isNull(), text_key(text))
+    own = number(F.col("doc_id"), F.col("text"))
+    links = jaccard_join(docs.select(own.alias("doc_id"), F.col("text")))
+    ids = docs.groupBy(own.alias("number")).agg(F.first(F.col("doc_id").cast("long")).alias("doc_id"), F.count(F.lit(1)).alias("times"))
+    first = F.min_by(F.struct("number", "times"), F.struct(F.col("doc_id").isNull(), "doc_id", "number")).alias("kept")
+    kept = links.select(F.col("doc_id").alias("number"), F.col("component_id").alias("component")).distinct().join(ids, "number").groupBy("component").agg(first).select("kept.*")
+    kept = materialize(kept, "kept")
+    rows = docs.select(F.struct("*").alias("row")).withColumn("number", number(F.col("row.doc_id"), F.col("row.text"))).join(kept, "number")
+    again = rows.where("times > 1").groupBy("number").agg(F.first("row").alias("row"))
+    return rows.where("times = 1").select("row.*").union(again.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
