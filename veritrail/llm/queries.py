@@ -7,6 +7,7 @@ from veritrail.llm.decontamination import op4_decontamination
 from veritrail.llm.jaccard_join import op8_jaccard_join
 from veritrail.llm.language_id import op2_language_id
 from veritrail.llm.mixing import op7_mixing
+from veritrail.llm.periodic_runs import op11_periodic_runs
 from veritrail.llm.quality import op6_quality_rules
 from veritrail.llm.sharding import op1_sharding
 from veritrail.llm.substring_dedup import op10_substring_dedup
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_warc": op9_warc,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": sql.OP8,
         "op9_warc": sql.OP9,
         "op10_substring_dedup": sql.OP10,
+        "op11_periodic_runs": sql.OP11,
     }

@@ -104,3 +104,42 @@ WITH d AS (
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+_CRC_STEP = "xor((c >> 4), [{}][(c & 15) + 1])".format(", ".join(str(x) for x in (0, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C, 0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C)))
+#: crc32 of the digits of doc_id: two steps of four bits each.
+CRC_OF_ID = (
+    "xor(4294967295::BIGINT, list_reduce(list_transform(list_prepend(-1::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda x: CASE WHEN x < 0 THEN 4294967295::BIGINT ELSE x END), "
+    "lambda s, x: list_reduce([xor(s, x), 0, 0], lambda c, k: " + _CRC_STEP + ")))"
+)
+
+OP11 = f"""
+WITH e AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '{GAP}') IF x <> ''] AS w, {CRC_OF_ID} AS h FROM documents
+), f AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g FROM e
+), p AS (
+  SELECT *, CASE WHEN planted THEN g % n END AS a, CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) END AS q FROM f
+), d AS (
+  SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % q END]) ELSE w END AS w FROM p
+), x AS (
+  SELECT doc_id, n, r.i, d.w[r.i + 1] AS word FROM d, range(0, n) AS r(i)
+), m AS (
+  SELECT s.doc_id, s.i, t.i - s.i AS p FROM x s JOIN x t ON s.doc_id = t.doc_id AND s.word = t.word AND t.i > s.i AND 3 * (t.i - s.i) <= s.n
+), l AS (
+  SELECT doc_id, p, min(i) AS start, count(*) + p AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM m) GROUP BY doc_id, p, k HAVING count(*) + p >= greatest(24, 3 * p)
+), u AS (
+  SELECT doc_id, start::BIGINT AS start, length::BIGINT AS length, min(p)::BIGINT AS period FROM l GROUP BY 1, 2, 3
+), z AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM u GROUP BY 1
+), v AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length * 3600000000 // period DESC, start, period) AS nth FROM u
+), g AS (
+  SELECT DISTINCT doc_id, i FROM u, range(start + period, start + length) AS r(i)
+), k AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY 1
+)
+SELECT d.doc_id, coalesce(z.n_runs, 0)::BIGINT AS n_runs, v.start, v.length, v.period, 1000 * v.length // v.period AS exponent_milli,
+       sha256(coalesce(z.lines, '')) AS runs_sha256, sha256(coalesce(k.kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN v ON v.doc_id = d.doc_id AND v.nth = 1 LEFT JOIN k ON k.doc_id = d.doc_id
+"""
