@@ -7,6 +7,7 @@ from veritrail.llm.decontamination import op4_decontamination
 from veritrail.llm.jaccard_join import op8_jaccard_join
 from veritrail.llm.language_id import op2_language_id
 from veritrail.llm.mixing import op7_mixing
+from veritrail.llm.packing import op12_packing
 from veritrail.llm.periodic_runs import op11_periodic_runs
 from veritrail.llm.quality import op6_quality_rules
 from veritrail.llm.sharding import op1_sharding
@@ -29,6 +30,7 @@ def queries() -> dict:
         "op9_warc": op9_warc,
         "op10_substring_dedup": op10_substring_dedup,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_packing": op12_packing,
     }
 
 

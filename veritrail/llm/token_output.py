@@ -106,13 +106,27 @@ class Encoder:
             lo = hi
         return np.concatenate(found), np.array([len(f) for f in found[1:]], np.int32)
 
+    def _blocks(self, whole: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of about JOINED bytes of what stands end to end, cut at the edges `whole`."""
+        cut = whole[np.unique(np.searchsorted(whole, np.arange(0, whole[-1] + JOINED, JOINED).clip(0, whole[-1])))]
+        return list(zip(cut[:-1].tolist(), cut[1:].tolist()))
+
+    def _in_order(self, pieces: int, *found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number) of all pieces from (pieces, ids, numbers) of some of them each."""
+        n, at, before = np.empty(pieces, np.int32), np.empty(pieces, np.int64), 0
+        for own, ids, counts in found:
+            n[own], at[own] = counts, before + np.cumsum(counts) - counts
+            before += len(ids)
+        ids = np.concatenate([ids for _, ids, _ in found])
+        to = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        return ids[np.arange(to[-1]) + np.repeat(at - to[:-1], n)], n
+
     def _words(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that are a space and a word: end to end, as their first ids tell them apart."""
         size = end - start
         whole = np.concatenate(([0], np.cumsum(size)))
         joined = raw[np.arange(whole[-1]) + np.repeat(start - whole[:-1], size)].tobytes()
-        cut = whole[np.unique(np.searchsorted(whole, np.arange(0, whole[-1] + JOINED, JOINED).clip(0, whole[-1])))]
-        ids, _ = self._flat([joined[a:b].decode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])
+        ids, _ = self._flat([joined[a:b].decode() for a, b in self._blocks(whole)])
         first = np.flatnonzero(self.opens[ids])
         if len(first) != len(start):
             return self._flat([joined[a:b].decode() for a, b in zip(whole[:-1].tolist(), whole[1:].tolist())])
@@ -126,22 +140,19 @@ class Encoder:
         ids_a, n_a = self._words(raw, start[a], end[a]) if len(a) else (np.zeros(0, np.int32), np.zeros(0, np.int32))
         data = raw.tobytes()
         ids_b, n_b = self._flat([data[s:e].decode() for s, e in zip(start[b].tolist(), end[b].tolist())])
-        n = np.empty(len(start), np.int32)
-        n[a], n[b] = n_a, n_b
-        at = np.empty(len(start), np.int64)
-        at[a] = np.cumsum(n_a) - n_a
-        at[b] = len(ids_a) + np.cumsum(n_b) - n_b
-        ids = np.concatenate((ids_a, ids_b))
-        to = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
-        return ids[np.arange(to[-1]) + np.repeat(at - to[:-1], n)], n
+        return self._in_order(len(start), (a, ids_a, n_a), (b, ids_b, n_b))
+
+    def _pieces(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces that are encoded by themselves."""
+        start = piece_starts(raw, off)
+        return start, np.concatenate((start[1:], [len(raw)])).astype(np.int64) if len(start) else start
 
     def _hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
         return word_hashes(raw, start, end, seed)
 
     def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; their number for each text) from UTF-8 and offsets."""
-        start = piece_starts(raw, off)
-        end = np.concatenate((start[1:], [len(raw)])).astype(np.int64) if len(start) else start
+        start, end = self._pieces(raw, off)
         h1, h2 = self._hashes(raw, start, end, 11), self._hashes(raw, start, end, 12)
         by = np.argsort(h1, kind="stable")
         head = by[np.concatenate(([True], h1[by[1:]] != h1[by[:-1]]))] if len(by) else by
