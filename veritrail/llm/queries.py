@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from veritrail.llm import sql
+from veritrail.llm.alignment import op13_alignment
 from veritrail.llm.decontamination import op4_decontamination
 from veritrail.llm.jaccard_join import op8_jaccard_join
 from veritrail.llm.language_id import op2_language_id
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op10_substring_dedup": op10_substring_dedup,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_packing": op12_packing,
+        "op13_alignment": op13_alignment,
     }
 
 
