@@ -32,7 +32,7 @@ ALIGNED_ARROW = pa.schema(
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, groups string"
 SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string())])
 #: Bytes of text in a chunk (or one longer document).
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: kinds of rows: a document, a chunk's count of one pair
 DOCUMENT, PAIR = 0, 1
 
