@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -72,3 +73,31 @@ def test_workbook(spark, tmp_path):
     (tmp_path / "a.xlsx").write_bytes(data)
     got = workbook.sheet_table(spark, f"file://{tmp_path}/a.xlsx", ["note", "ref"]).collect()
     assert [(r.row, r.ref, r.note) for r in got] == [(2, "1", "=x"), (4, "2", "ab")]
+
+
+def test_decidable_titles(spark):
+    """What the pair decision accepts by title is found among the candidates: same author, no author but close years, or nearly equal titles."""
+    import itertools
+
+    from veritrail.operators import linkage
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(14):
+        base = " ".join("".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 8))) for _ in range(rng.randrange(2, 12)))
+        for _ in range(6):
+            t = list(base)
+            for _ in range(rng.randrange(4)):
+                t.insert(rng.randrange(len(t) + 1), rng.choice("abc "))
+            rows.append((len(rows), len(rows), "".join(t), [rng.choice(["Smith A", "Jones B"])] if rng.random() < 0.6 else None, rng.choice([2001, 2002, 2004, None]), None, None, None))
+    records = spark.createDataFrame(rows, "occurrence_id long, input_pos long, title string, authors array<string>, year int, doi string, pmid string, pmcid string")
+    own = linkage.compared(records)
+    got = {(r.a, r.b) for r in linkage.link_pairs(records).collect()}
+    side = lambda s: own.select(*(F.col(c).alias(f"{s}_{c}") for c in ["occurrence_id", "input_pos", *linkage.COMPARED]))
+    both = side("a").crossJoin(side("b")).where("a_input_pos < b_input_pos")
+    score = F.when(F.col("a_k_title") == F.col("b_k_title"), 100.0).otherwise(linkage.similarity.indel_ratio("a_k_title", "b_k_title"))
+    want = {(r.a_occurrence_id, r.b_occurrence_id) for r in linkage.decide(both.withColumn("score", score)).where("same").collect()}
+    # equal titles meet through their first record
+    title = {r.occurrence_id: r.k_title for r in own.collect()}
+    assert {p for p in want if title[p[0]] != title[p[1]]} <= got <= want
+    assert len(want) > 40 and list(itertools.islice(got, 1))
