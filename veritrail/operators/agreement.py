@@ -101,9 +101,54 @@ def source_cells(hits: DataFrame, report: str, source: str) -> DataFrame:
 
 
 def set_hash(df: DataFrame, ref: str, by: list[str] | None = None) -> DataFrame:
-    """A hash of the set of refs, whatever their order."""
-    refs = F.array_sort(F.collect_set(F.col(ref).cast("string")))
-    return df.groupBy(*(by or [])).agg(F.sha2(F.concat(F.lit("["), F.array_join(F.transform(refs, lambda r: F.concat(F.lit('"'), r, F.lit('"'))), ","), F.lit("]")), 256).alias("set_hash"))
+    """A hash of the set of refs of each group, whatever their order: SHA-256 of their sorted JSON list.
+
+    A hash is made in one go by its nature, but no list is: refs are sorted by Spark, and one hasher a group takes them batch by batch.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    by = by or []
+    kinds = dict(df.dtypes)
+    refs = df.where(F.col(ref).isNotNull()).select(*by, F.col(ref).cast("string").alias("_ref")).distinct()
+    groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    dealt = (refs.repartition(*by) if by else refs.repartition(1)).sortWithinPartitions(*by, "_ref")
+
+    def run(batches):
+        own = hasher = None
+        done: list[tuple] = []
+        for batch in batches:
+            keys = list(zip(*(batch[c].to_pylist() for c in by))) if by else [()] * batch.num_rows
+            types = [batch.schema.field(c).type for c in by] + [pa.string()]
+            values = batch["_ref"].to_pylist()
+            at = 0
+            while at < len(keys):
+                upto = at
+                while upto < len(keys) and keys[upto] == keys[at]:
+                    upto += 1
+                if hasher is None or keys[at] != own:
+                    if hasher is not None:
+                        hasher.update(b"]")
+                        done.append((*own, hasher.hexdigest()))
+                    own, hasher, sign = keys[at], hashlib.sha256(b"["), ""
+                hasher.update((sign + ",".join(f'"{v}"' for v in values[at:upto])).encode())
+                sign, at = ",", upto
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), types)], names=[*by, "set_hash"])
+                done = []
+        if hasher is not None:
+            hasher.update(b"]")
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*own, hasher.hexdigest()), types)], names=[*by, "set_hash"])
+
+    found = dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "set_hash string"]))
+    empty = hashlib.sha256(b"[]").hexdigest()
+    if not by:
+        return found.unionByName(groups.select(F.lit(empty).alias("set_hash"))).agg(F.coalesce(F.max(F.when(F.col("set_hash") != empty, F.col("set_hash"))), F.lit(empty)).alias("set_hash"))
+    same = None
+    for c in by:
+        same = F.col(f"g.{c}").eqNullSafe(F.col(f"h.{c}")) if same is None else same & F.col(f"g.{c}").eqNullSafe(F.col(f"h.{c}"))
+    return groups.alias("g").join(found.alias("h"), same, "left").select(*(F.col(f"g.{c}") for c in by), F.coalesce("h.set_hash", F.lit(empty)).alias("set_hash"))
 
 
 def best_record(records: DataFrame, report: str, order: list[str], text: str, firsts: list[str], unions: list[str]) -> DataFrame:
