@@ -120,9 +120,9 @@ def carried(df: DataFrame, by: list[str], order: str, column: str, name: str) ->
     return df.withColumn(name, F.last(column, ignorenulls=True).over(own))
 
 
-def islands(df: DataFrame, by: list[str], start: str, end: str, gap: int) -> DataFrame:
-    """Rows with the number of the passage they are in: a start `gap` or more past the last end begins a new one."""
-    own = Window.partitionBy(*by).orderBy(start, end)
+def islands(df: DataFrame, by: list[str], start: str, end: str, gap: int, order: str | None = None) -> DataFrame:
+    """Rows with the number of the passage they are in: a start `gap` or more past the last end begins a new one. order: their order, if not by start and end."""
+    own = Window.partitionBy(*by).orderBy(*([order] if order else [start, end]))
     before = F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1))
     opened = F.when(before.isNull() | (F.col(start) - before >= gap), 1).otherwise(0)
     return df.withColumn("_open", opened).withColumn("passage", F.sum("_open").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("_open")

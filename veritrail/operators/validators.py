@@ -15,6 +15,9 @@ from veritrail.functions.numbers import DECIMAL, as_decimal, well_formed
 
 KINDS = ["count", "percentage", "ratio", "p_value", "text"]
 COUNTS = ["n_randomized", "n_analysed", "events"]
+#: Quantities that are estimates with an interval; ratios are checked on the log scale, too.
+RATIOS = ["risk_ratio", "odds_ratio", "hazard_ratio"]
+ESTIMATES = [*RATIOS, "mean_difference", "risk_difference", "smd"]
 SLACK = 0.05
 TOTAL = "total"
 
@@ -55,8 +58,10 @@ def denominators(numbers: DataFrame) -> DataFrame:
 
 
 def validate(proposals: DataFrame, fields: DataFrame, arms: list[str]) -> DataFrame:
-    """(id, validator, passed, message) of all checks."""
+    """(id, validator, passed, message) of all checks. Of several proposals for one value (pop, grp, arm, quantity), the last by id takes part in checks against others."""
+    key = ["pop", "grp", "arm", "quantity"]
     numbers = proposals.where("status = 'extracted'").withColumn("number", as_decimal(F.col("value"))).where("number is not null")
+    numbers = numbers.groupBy(*key).agg(F.max_by(F.struct(*[c for c in numbers.columns if c not in key]), "id").alias("_p")).select(*key, "_p.*")
     of = lambda q, name: numbers.where(F.col("quantity") == q).select("grp", "arm", F.col("id").alias(f"{name}_id"), F.col("number").alias(name), F.col("value").alias(f"{name}_text"))
     text = lambda c: F.regexp_replace(c.cast("string"), r"\.?0+$", "")
     n = denominators(numbers)
@@ -71,7 +76,7 @@ def validate(proposals: DataFrame, fields: DataFrame, arms: list[str]) -> DataFr
     sums = total.join(parts.where(F.col("found") == len(arms)), ["grp", "quantity"]).withColumn("all", F.concat(F.array("t_id"), "ids"))
     wrong = F.when(F.col("sum") != F.col("t"), F.concat(F.lit("the arms add up to "), text(F.col("sum"))))
     out.append(sums.withColumn("message", wrong).select(F.explode("all").alias("id"), F.lit("arms_sum_to_total").alias("validator"), F.col("message").isNull().alias("passed"), "message"))
-    ratio = numbers.where("quantity in ('hazard_ratio', 'odds_ratio', 'risk_ratio', 'mean_difference')").select("grp", "arm", "quantity", F.col("id").alias("r_id"), F.col("number").cast("double").alias("r"), F.col("value").alias("r_text"))
+    ratio = numbers.where(F.col("quantity").isin(ESTIMATES)).select("grp", "arm", "quantity", F.col("id").alias("r_id"), F.col("number").cast("double").alias("r"), F.col("value").alias("r_text"))
     bounds = ratio.join(of("ci_lower", "lo"), ["grp", "arm"]).join(of("ci_upper", "hi"), ["grp", "arm"])
     lo, hi, r = F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("r")
     bracket = F.when(lo >= hi, "the interval is empty or reversed").when((r < lo) | (r > hi), "the interval does not contain the estimate")
@@ -80,5 +85,5 @@ def validate(proposals: DataFrame, fields: DataFrame, arms: list[str]) -> DataFr
     width = (F.log(hi) - F.log(lo)) / 2
     rounding = half_unit(F.col("r_text")) / r + (half_unit(F.col("lo_text")) / lo + half_unit(F.col("hi_text")) / hi) / 2
     centre = F.abs(F.log(r) - (F.log(lo) + F.log(hi)) / 2) > rounding + SLACK * width
-    out.append(_results(bounds.where(bracket.isNull() & (lo > 0) & (F.col("quantity") != "mean_difference")), "ratio_log_symmetric", three, F.when(centre, "the ratio is off the centre of its interval on the log scale")))
+    out.append(_results(bounds.where(bracket.isNull() & (lo > 0) & (F.col("quantity").isin(RATIOS))), "ratio_log_symmetric", three, F.when(centre, "the ratio is off the centre of its interval on the log scale")))
     return reduce(DataFrame.union, out)

@@ -227,12 +227,9 @@ def lim_keyset(spark, sf_dir):
     SELECT user_id, event_id, sum(o) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS passage FROM g""",
 )
 def win_islands(spark, sf_dir):
-    own = t(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("s")).withColumn("e", F.col("s"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("user_id").orderBy("s", "event_id")
-    opened = F.when(F.col("s") - F.lag("s").over(w) < 86_400, 0).otherwise(1)
-    return own.withColumn("o", opened).select("user_id", "event_id", F.sum("o").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("passage"))
+    """Events of a user within a day of the last one are one passage."""
+    own = t(spark, sf_dir, "events").select("user_id", "event_id", F.unix_timestamp("ts").alias("s"), F.struct(F.unix_timestamp("ts").alias("s"), "event_id").alias("place"))
+    return ranking.islands(own, ["user_id"], "s", "s", 86_400, order="place").select("user_id", "event_id", "passage")
 
 
 @query(
