@@ -106,29 +106,3 @@ def osa_distance(limit: int):
         return pd.Series([None if x is None or y is None else osa(x, y, limit) for x, y in zip(a, b)], dtype="Int32")
 
     return run
-
-
-def _term(term: str, words: list[str], abstract: str) -> int:
-    """Points of one term: 3 as it stands in the short fields, 2 with typos, 1 as it stands in the abstract."""
-    if any(term in w for w in words) or term in " ".join(words):
-        return 3
-    slack = 0 if len(term) < 5 else 1 if len(term) < 9 else 2
-    if slack and any(osa(term, w, slack) <= slack or (len(w) > len(term) and osa(term, w[: len(term)], slack) <= slack) for w in words):
-        return 2
-    return 1 if term in abstract else 0
-
-
-def quick_search(query: str):
-    """Column function of (short fields as one text, abstract): points of all terms, or null if one is nowhere."""
-    terms = query.casefold().split()
-
-    @F.pandas_udf(T.IntegerType())
-    def run(fields: pd.Series, abstract: pd.Series) -> pd.Series:
-        out = []
-        for f, a in zip(fields, abstract):
-            words, text = (f or "").casefold().split(), (a or "").casefold()
-            points = [_term(t, words, text) for t in terms]
-            out.append(sum(points) if all(points) else None)
-        return pd.Series(out, dtype="Int32")
-
-    return run

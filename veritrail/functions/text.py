@@ -32,6 +32,17 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+@F.pandas_udf(T.StringType())
+def without_marks(text: pd.Series) -> pd.Series:
+    """Unicode NFD without combining marks."""
+    def one(t):
+        if t is None or t.isascii():
+            return t
+        return "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.category(c).startswith("M"))
+
+    return text.map(one)
+
+
 @F.pandas_udf(T.StringType())
 def fold_accents(text: pd.Series) -> pd.Series:
     """NFKD without combining marks, case-folded, white space squeezed."""

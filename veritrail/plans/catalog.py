@@ -498,9 +498,25 @@ def flt_facet(spark, sf_dir):
     return grid.facets(t(spark, sf_dir, "part"), {"p_brand": {"values": ["Brand#13", "Brand#5"]}, "p_type": {"values": ["ECONOMY"]}})
 
 
-@query("flt_fuzzy")
+def fuzzy_sql(terms: list[tuple[str, int]], rows: str) -> str:
+    """Points in SQL: rows has key, short and long, in lower case."""
+    one = lambda t, k: f"""CASE WHEN contains(short, '{t}') THEN 3 WHEN {k} > 0 AND len([w FOR w IN regexp_extract_all(short, '[\\p{{L}}\\p{{N}}]+') IF damerau_levenshtein('{t}', w) <= {k} OR (length(w) > {len(t)} AND damerau_levenshtein('{t}', left(w, {len(t)})) <= {k})]) > 0 THEN 2 WHEN contains(long, '{t}') THEN 1 END"""
+    return f"WITH r AS ({rows}), p AS (SELECT key, {' + '.join(one(*t) for t in terms)} AS points FROM r) SELECT * FROM p WHERE points IS NOT NULL"
+
+
+@query("flt_fuzzy", fuzzy_sql([("widgte", 1), ("econ", 0)], "SELECT p_partkey AS key, lower(p_name || ' ' || chr(1) || ' ' || p_type) AS short, '' AS long FROM part"))
 def flt_fuzzy(spark, sf_dir):
-    return grid.searched(t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "widgte econ", ["p_name", "p_type"], None)
+    return grid.searched(t(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_name", "p_type"), "widgte econ", ["p_name", "p_type"], None, "key").select("key", "points")
+
+
+@query(
+    "flt_fuzzy_documents",
+    fuzzy_sql([("thlyouble", 2), ("woethless", 2), ("src", 0)], "SELECT doc_id AS key, lower(strip_accents(split_part(coalesce(text, ''), chr(10), 1) || ' ' || chr(1) || ' ' || coalesce(source, ''))) AS short, lower(strip_accents(coalesce(text, ''))) AS long FROM documents"),
+)
+def flt_fuzzy_documents(spark, sf_dir):
+    """Two terms with room for two typos, in first lines and sources or whole texts."""
+    own = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("title"), "source", "text")
+    return grid.searched(own, "Thlyouble woethless src", ["title", "source"], "text", "key").select("key", "points")
 
 
 @query(
