@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each linked group: the one with the least doc_id (null: after all others), once.
 
     Rows are known by a 64-bit hash of id and text, so null and repeated ids are no different from others;
-    rows that agree in both are one document and stay once.
+    rows that agree in both are one document and stay once (the first by its columns as JSON).
     """
     number = lambda id_, text: F.xxhash64(F.lit(21), id_.cast("long"), id_.isNull(), text_key(text))
     own = number(F.col("doc_id"), F.col("text"))
@@ -39,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = links.select(F.col("doc_id").alias("number"), F.col("component_id").alias("component")).distinct().join(ids, "number").groupBy("component").agg(first).select("kept.*")
     kept = materialize(kept, "kept")
     rows = docs.select(F.struct("*").alias("row")).withColumn("number", number(F.col("row.doc_id"), F.col("row.text"))).join(kept, "number")
-    again = rows.where("times > 1").groupBy("number").agg(F.first("row").alias("row"))
+    again = rows.where("times > 1").groupBy("number").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return rows.where("times = 1").select("row.*").union(again.select("row.*"))
 
 

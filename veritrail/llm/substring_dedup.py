@@ -1,7 +1,7 @@
-"""Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark.
+"""Substring dedup: Rabin-Karp hashes of every window of words, counted in buckets that Spark deals.
 
-Every window of `window` consecutive words gets a Rabin-Karp hash. Two exchanges count them
-over the whole corpus: 40 bits find the windows that may repeat, then 64 bits of a second
+Every window of `window` consecutive words gets a Rabin-Karp hash. Two exchanges (see exchange.py) sort and count
+them over the whole corpus, a bucket of hashes a task: 40 bits find the windows that may repeat, then 64 bits of a second
 polynomial decide. A window goes if its words also start earlier (a smaller doc_id, or the
 same document further left); overlapping windows merge into maximal removal intervals.
 

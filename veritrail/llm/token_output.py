@@ -9,8 +9,8 @@ Words come back often, so a text is cut at single spaces between two other chara
 the tokenizer's own splitting always cuts, and the ids of each piece are kept, up to a bound.
 Pieces are compared by 128 hash bits.
 
-Defined cases: a null or empty text is the end id alone; a null doc_id comes first; rows that
-share a doc_id stand in the order of their texts; an empty table gives an empty result.
+Defined cases: a null or empty text is the end id alone; a null doc_id comes first; rows that share a
+doc_id stand in the order of a hash of their texts, so that they may be dealt to several files; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -250,7 +250,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     _, n_bytes = text_size(docs)
     parts = max(12, -(-n_bytes // file_bytes))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    own = own.withColumn("place", F.xxhash64("text"))
+    dealt = own.repartitionByRange(parts, "doc_id", "place").sortWithinPartitions("doc_id", "place", "text").drop("place")
     files = materialize(dealt.mapInArrow(writer(folder, vocabulary or default_vocabulary(), end), FILES), "token-files")
     # a running sum over files: ranges of 1024 parts, then the parts of a range
     ranged = files.withColumn("range", F.floor(F.col("part") / 1024))
