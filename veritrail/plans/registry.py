@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from veritrail.plans import catalog, catalog_cases, catalog_decisions, catalog_located, catalog_more, catalog_pages  # noqa: F401  register on import
+    from veritrail.plans import catalog, catalog_cases, catalog_decisions, catalog_located, catalog_more, catalog_pages, catalog_words  # noqa: F401  register on import
 
 
 def queries() -> dict[str, Query]:
