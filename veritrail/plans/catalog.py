@@ -174,7 +174,12 @@ def win_replay_cutoff(spark, sf_dir):
     return ranking.replay(t(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type", "error", 700)
 
 
-@query("win_replay_stack")
+@query(
+    "win_replay_stack",
+    """WITH e AS (SELECT user_id, list({'id': event_id, 'type': event_type} ORDER BY event_id) AS es FROM events GROUP BY 1),
+    s AS (SELECT user_id, list_reduce(list_prepend([], list_transform(es, lambda x: [x])), lambda held, x: CASE WHEN x[1].type <> 'error' THEN list_concat(held, x) ELSE held[1:greatest(len(held) - 1, 0)] END) AS held FROM e)
+    SELECT user_id, held[-1].type AS event_type, held[-1].id AS event_id FROM s WHERE len(held) > 0""",
+)
 def win_replay_stack(spark, sf_dir):
     return ranking.replay_stack(t(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type", "error")
 

@@ -228,6 +228,32 @@ def src_registry(spark, sf_dir):
     return read_sheet_back(spark, own, "ctis", ("title", "year", "registry_ids"))
 
 
+@query("src_scopus", "SELECT c_custkey::VARCHAR AS key, 'Title ' || c_name AS title, ['Doe J.', 'Roe A. ' || c_nationkey] AS authors, 1990 + c_nationkey AS year, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS abstract, ['Article'] AS publication_types FROM customer")
+def src_scopus(spark, sf_dir):
+    """A table of customers in files as they come; some abstracts aren't available."""
+    own = t(spark, sf_dir, "customer")
+    own = own.select(s("c_custkey").alias("EID"), F.concat(F.lit("Title "), "c_name").alias("Title"), F.concat(F.lit("Doe J., Roe A. "), s("c_nationkey")).alias("Authors"), (1990 + F.col("c_nationkey")).alias("Year"), F.when(F.col("c_custkey") % 3 == 0, "[No abstract available]").otherwise(F.col("c_mktsegment")).alias("Abstract"), F.lit("Article").alias("Document Type"))
+    return read_sheet_back(spark, own, "scopus", ("title", "authors", "year", "abstract", "publication_types"))
+
+
+def wos_lines():
+    """A record of a customer in the tagged form, a title over two lines."""
+    return F.concat_ws("\n", F.lit("PT J"), F.lit("AU Doe, J"), F.lit("   Roe, A B"), F.concat(F.lit("TI Title"), F.lit("\n   "), "c_name"), F.concat(F.lit("SO "), "c_mktsegment"), F.concat(F.lit("PY "), (1990 + F.col("c_nationkey")).cast("string")), F.concat(F.lit("UT WOS:"), s("c_custkey")), F.lit("ER"))
+
+
+@query("src_wos_text", "SELECT c_custkey::VARCHAR AS key, 'Title ' || c_name AS title, ['Doe, J', 'Roe, A B'] AS authors, 1990 + c_nationkey AS year, c_mktsegment AS journal FROM customer")
+def src_wos_text(spark, sf_dir):
+    """An export a nation, each in a file of its own."""
+    from uuid import uuid4
+
+    from veritrail.plans.session import shared_folder
+
+    files = t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.concat(F.lit("FN Clarivate\nVR 1.0\n"), F.array_join(F.collect_list(wos_lines()), "\n\n"), F.lit("\n\nEF")).alias("value"))
+    path = f"{shared_folder(spark)}/texts/wos-{uuid4().hex}"
+    files.write.partitionBy("c_nationkey").text(path)
+    return formats.read_records(spark, path, "wos").select(key(), "title", "authors", "year", "journal")
+
+
 @query("src_pubmed_xml", RECORDS)
 def src_pubmed_xml(spark, sf_dir):
     """An article set a nation, each in a file of its own."""

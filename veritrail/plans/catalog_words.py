@@ -42,3 +42,178 @@ def rpt_in_words(spark, sf_dir):
     names = t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), s("n_nationkey")).alias("id"), F.col("n_name").alias("name")).union(t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), s("c_custkey")), "c_name"))
     out = event_words.in_words(events, names)
     return out.select("seq", "kind", "said", F.array_join(F.transform("facts", lambda f: F.concat(f["label"], F.lit("="), f["value"])), ";").alias("facts"))
+
+
+@query(
+    "str_edit",
+    """WITH p AS (SELECT p_partkey, p_type AS a, p_size % length(p_type) AS i FROM part), v AS (
+      SELECT p_partkey, a, CASE p_partkey % 5 WHEN 0 THEN left(a, i) || substr(a, i + 2) WHEN 1 THEN left(a, i) || substr(a, i + 2, 1) || substr(a, i + 1, 1) || substr(a, i + 3) WHEN 2 THEN 'xyz' || a WHEN 3 THEN left(a, i) || '#' || substr(a, i + 2) ELSE a END AS b FROM p)
+    SELECT p_partkey, least(damerau_levenshtein(a, b), 3)::INT AS distance FROM v""",
+)
+def str_edit(spark, sf_dir):
+    """Types against themselves with a character left out, swapped or changed, or three more in front."""
+    a = F.col("p_type")
+    i = F.col("p_size") % F.length(a)
+    cut = lambda at, n: F.substr(a, at + 1, n)
+    head, rest = F.substr(a, F.lit(1), i), lambda at: F.substr(a, at + 1)
+    k = F.col("p_partkey") % 5
+    b = F.when(k == 0, F.concat(head, rest(i + 1))).when(k == 1, F.concat(head, cut(i + 1, F.lit(1)), cut(i, F.lit(1)), rest(i + 2))).when(k == 2, F.concat(F.lit("xyz"), a)).when(k == 3, F.concat(head, F.lit("#"), rest(i + 1))).otherwise(a)
+    return t(spark, sf_dir, "part").select("p_partkey", similarity.osa_distance(2)(a, b).alias("distance"))
+
+
+@query(
+    "str_sections",
+    """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name || '. ' END AS pre, 'AIM AND SCOPE: ' || c_mktsegment || ' trial.' AS aim, CASE WHEN c_custkey % 2 = 0 THEN chr(10) || ' ' ELSE ' ' END AS sep, 'RESULTS: ' || c_acctbal::BIGINT || ' of n.' AS res FROM customer)
+    SELECT k, s.start::INT AS start, s.fin::INT AS "end", s.tag FROM c, LATERAL (VALUES (0, length(pre), '', pre <> ''), (length(pre), length(pre || aim || sep), 'AIM AND SCOPE', true), (length(pre || aim || sep), length(pre || aim || sep || res), 'RESULTS', true)) s(start, fin, tag, there) WHERE s.there""",
+)
+def str_sections(spark, sf_dir):
+    """Abstracts with and without words before their first label, over lines."""
+    k = F.col("c_custkey")
+    whole = F.concat(F.when(k % 3 == 0, "").otherwise(F.concat("c_name", F.lit(". "))), F.lit("AIM AND SCOPE: "), "c_mktsegment", F.lit(" trial."), F.when(k % 2 == 0, "\n ").otherwise(" "), F.lit("RESULTS: "), F.bround("c_acctbal").cast("long").cast("string"), F.lit(" of n."))
+    return t(spark, sf_dir, "customer").select(k.alias("k"), F.explode(spans.sections(whole)).alias("s")).select("k", "s.start", "s.end", "s.tag")
+
+
+@query(
+    "str_highlight_counts",
+    """WITH w AS (SELECT doc_id, unnest([lower(x) FOR x IN regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+')]) AS w FROM documents), g AS (SELECT doc_id, CASE WHEN w IN ('the', 'der') THEN 'article' WHEN w IN ('and', 'und', 'et') THEN 'joint' END AS tag FROM w)
+    SELECT doc_id, tag, count(*) AS n FROM g WHERE tag IS NOT NULL GROUP BY 1, 2""",
+)
+def str_highlight_counts(spark, sf_dir):
+    """Keywords of two tags in whole texts; no keyword inside a longer word."""
+    marks = spans.highlights({"article": ["the", "der"], "joint": ["and", "und", "et"]})
+    return t(spark, sf_dir, "documents").select("doc_id", F.explode(marks(F.col("text"))).alias("m")).groupBy("doc_id", F.col("m.tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "aut_score",
+    """WITH o AS (SELECT o_custkey AS k, o_orderstatus AS s, o_orderkey % 4 AS m FROM orders), c AS (
+      SELECT k, count(*) AS fields, count(*) FILTER (m = 0) AS good, count(*) FILTER (m = 1) AS bad FROM o GROUP BY 1)
+    SELECT k, round(0.5 * (good + bad) / fields + 0.3 * coalesce(good / nullif(good + bad, 0), 0) + 0.2 * CASE WHEN fields > 5 THEN 1 ELSE 0 END, 9) AS score FROM c""",
+)
+def aut_score(spark, sf_dir):
+    """Scores of customers whose orders are fields: matched, mismatched, or not compared."""
+    m = F.col("o_orderkey") % 4
+    own = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.when(m == 0, "match").when(m == 1, "mismatch").otherwise("not_compared").alias("match_status"))
+    out = compare.review_score(compare.summarize(own, ["k"]), F.col("coverage"), (F.col("fields") > 5).cast("int"))
+    return out.select("k", F.round("score", 9).alias("score"))
+
+
+@query(
+    "doc_remapped",
+    """SELECT p_partkey AS k, l.layer, CASE WHEN p_partkey % 3 = 0 AND l.layer = 'old' THEN 'kept' ELSE 'exact' END AS state, CASE WHEN p_partkey % 3 = 0 AND l.layer = 'old' THEN -1 WHEN l.layer = 'old' THEN 1 ELSE 2 + length(p_type) END AS start
+    FROM part, (VALUES ('old'), ('new')) l(layer) WHERE NOT (p_partkey % 3 = 0 AND p_partkey % 2 = 0 AND l.layer = 'x')""",
+)
+def doc_remapped(spark, sf_dir):
+    """Quotes on an old layer and one with the type in front; some places are known already and stay."""
+    base = t(spark, sf_dir, "part")
+    md = F.md5(s("p_partkey"))
+    layers = base.select(s("p_partkey").alias("doc"), F.lit("old").alias("layer"), F.concat(F.lit("|"), md, F.lit("|")).alias("text")).union(base.select(s("p_partkey"), F.lit("new"), F.concat("p_type", F.lit(": "), md, F.lit("."))))
+    made = anchors.make_anchors(base.select(s("p_partkey").alias("doc"), F.lit("old").alias("layer"), F.lit(1).alias("start"), F.lit(33).alias("end")), layers.where("layer = 'old'"))
+    known = made.where(F.col("doc").cast("int") % 3 == 0).select("anchor_id", "doc", F.lit("old").alias("layer"), F.lit("kept").alias("state"), F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0.0).alias("score"))
+    return anchors.remapped(made, layers, known).select(F.col("doc").cast("int").alias("k"), "layer", "state", "start")
+
+
+@query(
+    "doc_rules",
+    """WITH s AS (SELECT l_orderkey AS doc, l_linenumber % 2 AS y, l_quantity::DOUBLE * 4 AS x0, l_quantity::DOUBLE * 4 + (l_discount * 100)::DOUBLE AS x1 FROM lineitem),
+    m AS (SELECT *, max(x1) OVER (PARTITION BY doc, y ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+    g AS (SELECT *, sum(CASE WHEN x0 <= reach + 3 THEN 0 ELSE 1 END) OVER (PARTITION BY doc, y ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS g FROM m)
+    SELECT doc, y, round(min(x0), 6) AS x0, round(max(x1), 6) AS x1 FROM g GROUP BY doc, y, g""",
+)
+def doc_rules(spark, sf_dir):
+    """Segments of orders at two heights, joined over gaps of up to three."""
+    q = F.col("l_quantity").cast("double") * 4
+    own = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("page"), (F.col("l_linenumber") % 2).alias("y"), q.alias("x0"), (q + (F.col("l_discount") * 100).cast("double")).alias("x1"))
+    return layout.joined_rules(own).select("doc", "y", F.round("x0", 6).alias("x0"), F.round("x1", 6).alias("x1"))
+
+
+@query(
+    "doc_triage",
+    """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 15) ELSE text END || repeat(chr(65533), (doc_id % 7 * 5)::INT) AS text, doc_id % 2 AS images FROM documents),
+    c AS (SELECT *, length(text) - length(replace(text, chr(65533), '')) AS wrong FROM d)
+    SELECT doc_id, CASE WHEN length(trim(text, ' ')) < 20 AND images > 0 THEN 'ocr' WHEN length(text) > 0 AND wrong / length(text) > 0.05 THEN 'broken' ELSE 'text' END AS kind FROM c""",
+)
+def doc_triage(spark, sf_dir):
+    """Texts cut short or with unreadable characters behind them, half of them over images."""
+    k = F.col("doc_id")
+    text = F.concat(F.when(k % 3 == 0, F.substring("text", 1, 15)).otherwise(F.col("text")), F.repeat(F.lit("�"), (k % 7 * 5).cast("int")))
+    own = t(spark, sf_dir, "documents").select(k.alias("doc"), F.lit(1).alias("page"), text.alias("text"), (k % 2).alias("images"))
+    return layout.triage(own).select(F.col("doc").alias("doc_id"), "kind")
+
+
+@query(
+    "sort_read",
+    """WITH l AS (SELECT l_orderkey // 30 AS doc, row_number() OVER (PARTITION BY l_orderkey // 30 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS item, (l_partkey % 2)::INT AS side FROM lineitem),
+    b AS (SELECT doc, item, side, (item * 7) % 31 AS h FROM l)
+    SELECT doc, item, (row_number() OVER (PARTITION BY doc ORDER BY side, h, item) - 1)::INT AS place FROM b""",
+)
+def sort_read(spark, sf_dir):
+    """Boxes in two columns with a gutter between them, out of order."""
+    doc = F.floor(F.col("l_orderkey") / 30)
+    nth = F.row_number().over(Window.partitionBy(doc).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    own = t(spark, sf_dir, "lineitem").select(doc.alias("doc"), F.lit(1).alias("page"), nth.alias("item"), (F.col("l_partkey") % 2).alias("side"))
+    h = F.col("item") * 7 % 31
+    boxes = own.select("doc", "page", "item", (F.col("side") * 300.0).alias("x0"), (h * 20.0 + F.floor(F.col("item") / 31)).alias("y0"), (F.col("side") * 300.0 + 250).alias("x1"), (h * 20.0 + 10 + F.floor(F.col("item") / 31)).alias("y1"))
+    return layout.reading_order(boxes).select("doc", "item", "place")
+
+
+@query(
+    "ext_form",
+    """WITH c AS (SELECT c_nationkey AS doc, c_mktsegment AS label, c_name AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r FROM customer), f AS (SELECT *, count(*) OVER (PARTITION BY doc, r % 2) AS n FROM c), g AS (SELECT * FROM f WHERE n >= 3)
+    SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY r) - 1)::INT AS row, unnest([{'col': 0, 'text': label}, {'col': 1, 'text': value}], recursive := true) FROM g""",
+)
+def ext_form(spark, sf_dir):
+    """Labels at two edges with values right of them, a line of each customer of a nation."""
+    r = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    own = t(spark, sf_dir, "customer").withColumn("r", r)
+    at = lambda line, text, x: F.struct(line.alias("line"), text.alias("text"), x.cast("double").alias("x0"), (x + 60).cast("double").alias("x1"))
+    lines = own.select(F.col("c_nationkey").alias("doc"), F.lit(1).alias("page"), (F.col("r") * 20.0 + 10).alias("y1"), F.explode(F.array(at(F.col("r") * 2, F.col("c_mktsegment"), 10 + F.col("r") % 2 * 30), at(F.col("r") * 2 + 1, F.col("c_name"), F.lit(200)))).alias("l")).select("doc", "page", "y1", "l.*")
+    return tables.form_tables(lines).select("doc", "row", "col", "text")
+
+
+@query(
+    "doc_grid",
+    """WITH c AS (SELECT c_nationkey::VARCHAR AS doc, c_custkey, c_mktsegment, c_acctbal::BIGINT AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r FROM customer)
+    SELECT doc, r::INT AS row, unnest([{'col': 0, 'text': 'No ' || c_custkey}, {'col': 1, 'text': CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END}, {'col': 2, 'text': b::VARCHAR}], recursive := true) FROM c""",
+)
+def doc_grid(spark, sf_dir):
+    """Words of three columns with white gaps between them; one column has holes."""
+    r = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    word = lambda text, x0, x1: F.struct(text.alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"))
+    words = F.array_compact(F.array(word(F.lit("No"), 10, 25), word(s("c_custkey"), 28, 60), F.when(F.col("c_custkey") % 4 != 0, word(F.col("c_mktsegment"), 100, 160)), word(F.bround("c_acctbal").cast("long").cast("string"), 200, 240)))
+    own = t(spark, sf_dir, "customer").withColumn("line", r).select(s("c_nationkey").alias("doc"), F.lit(1).alias("page"), F.lit(1).alias("table"), "line", F.explode(words).alias("w")).select("doc", "page", "table", "line", "w.*")
+    return tables.word_grids(own).select("doc", "row", "col", "text")
+
+
+@query(
+    "ext_wordtab",
+    """WITH c AS (SELECT c_nationkey::VARCHAR AS doc, c_custkey, c_name, c_acctbal::BIGINT AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+    SELECT DISTINCT doc, 0 AS row, h.col, h.text FROM c, (VALUES (0, 'Name'), (1, 'Balance'), (2, 'Key')) h(col, text) WHERE n >= 3
+    UNION ALL SELECT doc, r::INT AS row, v.col, v.text FROM c, LATERAL (VALUES (0, c_name), (1, b::VARCHAR), (2, c_custkey::VARCHAR)) v(col, text) WHERE n >= 3""",
+)
+def ext_wordtab(spark, sf_dir):
+    """A borderless table a nation: a header, then a name and two numbers a line; a line of text stands above."""
+    r = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) + 1
+    word = lambda text, x0, x1: F.struct((F.lit(text) if isinstance(text, str) else text).alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"))
+    own = t(spark, sf_dir, "customer").withColumn("line", r)
+    body = own.select("c_nationkey", "line", F.explode(F.array(word(F.col("c_name"), 10, 90), word(F.bround("c_acctbal").cast("long").cast("string"), 120, 150), word(s("c_custkey"), 200, 230))).alias("w"))
+    heads = own.select("c_nationkey").distinct().select("c_nationkey", F.explode(F.array(F.struct(F.lit(0).alias("line"), word("Some words of text", 10, 80).alias("w")), *(F.struct(F.lit(1).alias("line"), word(*w).alias("w")) for w in (("Name", 10, 40), ("Balance", 118, 152), ("Key", 200, 220))))).alias("h")).select("c_nationkey", "h.line", "h.w")
+    words = heads.union(body).select(s("c_nationkey").alias("doc"), F.lit(1).alias("page"), "line", "w.*")
+    return tables.word_tables(words).select("doc", "row", "col", "text")
+
+
+@query(
+    "link_why",
+    """WITH c AS (SELECT c_nationkey AS project_id, c_custkey AS k, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+    g AS (SELECT *, sum(CASE WHEN c_custkey % 3 = 1 OR prev IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS g FROM (SELECT c_nationkey, c_custkey, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS prev FROM customer)),
+    s AS (SELECT c_nationkey AS project_id, list(c_custkey ORDER BY c_custkey) AS ids FROM g GROUP BY c_nationkey, g),
+    k AS (SELECT project_id, ids, [x FOR x IN ids IF x % 10 <> 5] AS kept FROM s WHERE len(ids) > 1)
+    SELECT project_id, kept AS occurrence_ids, len(ids) - 1 AS merges FROM k WHERE len(kept) > 1""",
+)
+def link_why(spark, sf_dir):
+    """Customers of a nation joined with the next one unless that begins a new set, and some taken out again."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    own = t(spark, sf_dir, "customer").withColumn("n", F.lead("c_custkey").over(w))
+    merges = own.where((F.col("n") % 3 != 1) & F.col("n").isNotNull()).select(F.col("c_nationkey").alias("project_id"), F.col("c_custkey").alias("seq"), F.lit("merge").alias("kind"), F.array("c_custkey", "n").alias("occurrence_ids"), F.concat(F.lit("m"), s("c_custkey")).alias("said"))
+    splits = own.where(F.col("c_custkey") % 10 == 5).select(F.col("c_nationkey").alias("project_id"), (F.col("c_custkey") + 10_000_000).alias("seq"), F.lit("split").alias("kind"), F.array("c_custkey").alias("occurrence_ids"), F.lit("s").alias("said"))
+    return identity.why(merges.union(splits)).select("project_id", "occurrence_ids", F.size("why").cast("long").alias("merges"))
