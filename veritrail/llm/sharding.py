@@ -137,12 +137,12 @@ def rounded(size: Column) -> Column:
     return ((size + unit - 1) / unit).cast("long") * unit
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str], cells: int) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: list[str], cells: Column) -> DataFrame:
     """df with nth, gapless from 0 in each group of `by`: a window in each of `cells` parts of a group, behind the parts before it.
 
     Part sizes go to the driver: one row for each part there is.
     """
-    own = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
+    own = df.withColumn("_cell", F.pmod(F.xxhash64(*order), cells))
     counts = own.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("n")).collect()
     before: dict[tuple, int] = {}
     starts = []
@@ -176,11 +176,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16) -> DataFrame:
         runs.append((sizes[c][0], dealt[c], dealt[c] + n, bin_))
         dealt[c] += n
     runs = spark.createDataFrame(runs, "class long, lo long, hi long, shard int")
-    cells = max(1, -(-max([n for _, n in sizes], default=0) // CELL_ROWS))
-    placed = numbered(groups, ["class"], ["grp"], cells).join(F.broadcast(runs), "class").where((F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi"))).select("grp", "shard")
+    large = spark.createDataFrame([(size, -(-n // CELL_ROWS)) for size, n in sizes if n > CELL_ROWS], "class long, _parts long")  # all other classes are one part
+    parted = groups.join(F.broadcast(large), "class", "left")
+    placed = numbered(parted, ["class"], ["grp"], F.coalesce("_parts", F.lit(1))).drop("_parts").join(F.broadcast(runs), "class").where((F.col("nth") >= F.col("lo")) & (F.col("nth") < F.col("hi"))).select("grp", "shard")
     rows = base.join(materialize(placed, "shard-placed"), "grp")
     cells = max(64, -(-base.count() // shards // CELL_ROWS))
-    return numbered(rows, ["shard"], ["doc_id", "text_crc32", "size"], cells).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("nth").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered(rows, ["shard"], ["doc_id", "text_crc32", "size"], F.lit(cells)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("nth").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
