@@ -234,8 +234,8 @@ def merge_index(runs: DataFrame, range_rows: int = 50_000) -> DataFrame:
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """The records that the index names, read from their archives in its order."""
-    return index.mapInArrow(reader, READ)
+    """The records that the index names, read from their archives. A task reads its range of the index archive by archive, each from front to back, so it opens each once."""
+    return index.sortWithinPartitions("run", "at").mapInArrow(reader, READ)
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
