@@ -101,3 +101,13 @@ def test_decidable_titles(spark):
     title = {r.occurrence_id: r.k_title for r in own.collect()}
     assert {p for p in want if title[p[0]] != title[p[1]]} <= got <= want
     assert len(want) > 40 and list(itertools.islice(got, 1))
+
+
+def test_workbooks_with_cover_and_criteria(spark, tmp_path):
+    rows = spark.createDataFrame([("ann", i, f"t{i}", None) for i in range(7)] + [("b/ö", 1, "x", "=1+1"), (None, 2, "y", "z")], "who string, ref int, title string, note string")
+    files = {(r.who, r.part): r for r in workbook.write_working_sheets(rows, "who", f"file://{tmp_path}/w", [("Title", "A < B")], [("c1", "include", "adults & more")], 3).collect()}
+    assert sorted((k[0] or "", k[1], r.rows) for k, r in files.items()) == [("", 0, 1), ("ann", 0, 3), ("ann", 1, 3), ("ann", 2, 1), ("b/ö", 0, 1)]
+    data = open(files["ann", 1].path, "rb").read()
+    assert workbook.read_sheet(data) == [["ref", "title", "note"], *([str(i), f"t{i}", ""] for i in (3, 4, 5))]
+    assert workbook.read_sheet(data, "cover") == [["Rows of", "ann"], ["Part", "2"], ["Rows", "3"], ["Title", "A < B"]] and workbook.read_sheet(data, "criteria")[1] == ["c1", "include", "adults & more"]
+    assert workbook.read_sheet(open(files["b/ö", 0].path, "rb").read())[1] == ["1", "x", "=1+1"]

@@ -158,6 +158,29 @@ def with_inferred(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("doc", "field", pick("status"), pick("value"), pick("score"), pick("runner_up"), (~own & F.col("_value").isNotNull()).alias("inferred"))
 
 
+def reread(first: DataFrame, second: DataFrame, fields: DataFrame) -> DataFrame:
+    """(doc, field, status, value, inferred): the declared reading of each field, or the inferred one where that may replace it.
+
+    first and second: doc, field, status, value, column (the words above the chosen cell); second has section and supplied (the words that the inferred structure
+    adds above the cell) too. fields: field, columns and sections, arrays of the texts that were asked for. The inferred reading is looked at only where the declared
+    one found nothing or its column lacks words of each text asked for. It has to be in a section asked for, word for word: its own, or one level of a path
+    `a / b`. And it has to have all words of a text asked for, of which those the declared column lacks are supplied by the inferred structure.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)))
+    lacks = lambda alias, c: F.array_except(words(alias), c)
+    b = second.where("status <> 'missing'").select("doc", "field", F.col("status").alias("_status"), F.col("value").alias("_value"), words(F.col("column")).alias("_has"), words(F.col("supplied")).alias("_adds"), F.col("section").alias("_section"))
+    a = first.select("doc", "field", "status", "value", words(F.col("column")).alias("_had"), (F.col("status") != "missing").alias("_there"))
+    own = a.join(b, ["doc", "field"], "left").join(F.broadcast(fields.select("field", "columns", F.col("sections").alias("_asked"))), "field")  # fields are a specification
+    columns, asked = F.coalesce("columns", F.array().cast("array<string>")), F.coalesce("_asked", F.array().cast("array<string>"))
+    lacking = (F.size(columns) > 0) & F.forall(columns, lambda c: F.size(lacks(c, F.col("_had"))) > 0)
+    levels = F.concat(F.array(F.coalesce("_section", F.lit(""))), F.split(F.coalesce("_section", F.lit("")), " / "))
+    same = lambda x, y: F.array_join(F.regexp_extract_all(F.lower(x), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)), " ") == F.array_join(F.regexp_extract_all(F.lower(y), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)), " ")
+    carries = (F.size(asked) == 0) | F.exists(asked, lambda w: F.exists(levels, lambda v: same(w, v)))
+    explains = F.exists(columns, lambda c: (F.size(lacks(c, F.col("_has"))) == 0) & (F.size(F.array_except(lacks(c, F.col("_had")), F.col("_adds"))) == 0))
+    replaced = F.col("_status").isNotNull() & (~F.col("_there") | lacking) & carries & (~F.col("_there") | explains)
+    return own.withColumn("inferred", replaced).select("doc", "field", F.when(F.col("inferred"), F.col("_status")).otherwise(F.col("status")).alias("status"), F.when(F.col("inferred"), F.col("_value")).otherwise(F.col("value")).alias("value"), "inferred")
+
+
 def nested(results: DataFrame, fields: dict[str, str]) -> DataFrame:
     """(doc, output): field results as one JSON object a document; fields: field -> 'section/key'."""
     sections: dict[str, list[tuple[str, str]]] = {}

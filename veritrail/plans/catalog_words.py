@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import similarity, spans
-from veritrail.operators import anchors, compare, event_words, identity, layout, tables
+from veritrail.operators import anchors, compare, event_words, extraction, identity, layout, tables, validators
 from veritrail.plans.catalog import t
 from veritrail.plans.registry import query
+from veritrail.sources import reference, workbook
 
 s = lambda c: F.col(c).cast("string")
 
@@ -217,3 +218,79 @@ def link_why(spark, sf_dir):
     merges = own.where((F.col("n") % 3 != 1) & F.col("n").isNotNull()).select(F.col("c_nationkey").alias("project_id"), F.col("c_custkey").alias("seq"), F.lit("merge").alias("kind"), F.array("c_custkey", "n").alias("occurrence_ids"), F.concat(F.lit("m"), s("c_custkey")).alias("said"))
     splits = own.where(F.col("c_custkey") % 10 == 5).select(F.col("c_nationkey").alias("project_id"), (F.col("c_custkey") + 10_000_000).alias("seq"), F.lit("split").alias("kind"), F.array("c_custkey").alias("occurrence_ids"), F.lit("s").alias("said"))
     return identity.why(merges.union(splits)).select("project_id", "occurrence_ids", F.size("why").cast("long").alias("merges"))
+
+
+@query(
+    "src_hit_counts",
+    """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_custkey % 3 AS d, (c_acctbal * 100)::BIGINT % 997 AS m, c_nationkey AS g FROM customer)
+    SELECT CASE d WHEN 0 THEN 'pubmed' WHEN 1 THEN 'europepmc' ELSE 'clinicaltrials' END AS dialect, CASE WHEN k % 10 = 1 THEN '(' || k || ' AND x' ELSE k || ' AND x' END AS strategy, CASE WHEN g <> 3 AND g <> 4 AND NOT (d = 0 AND g = 5) THEN abs(m) END AS count,
+      CASE WHEN d = 0 AND g NOT IN (3, 4, 5) THEN k || '[all]' END AS translation, CASE WHEN g IN (3, 4) OR d = 2 OR (d = 0 AND g = 5) THEN [] WHEN d = 0 THEN ['phrase not found: ' || n, 'no such day', 'ignored: of'] WHEN k % 10 = 1 THEN ['unbalanced'] ELSE [] END AS warnings,
+      CASE WHEN g = 3 THEN 'refused with HTTP 500' WHEN d = 0 AND g = 5 THEN 'Empty term' WHEN g = 4 THEN 'no count in the reply' END AS problem FROM c""",
+)
+def src_hit_counts(spark, sf_dir):
+    """Replies of three services, with notes, refusals, errors and bodies without a count."""
+    c = t(spark, sf_dir, "customer")
+    k, d, g = F.col("c_custkey"), F.col("c_custkey") % 3, F.col("c_nationkey")
+    m = F.abs((F.col("c_acctbal").cast("decimal(20,2)") * 100).cast("long") % 997).cast("string")
+    count = lambda form: F.when(g == 4, "").otherwise(F.concat(F.lit(form.split("#")[0]), m, F.lit(form.split("#")[1])))
+    xml = F.concat(F.lit("<eSearchResult>"), F.when(g == 5, "<ERROR>Empty term</ERROR>").otherwise(""), count("<Count>#</Count>"), F.lit("<QueryTranslation>"), s("c_custkey"), F.lit("[all]</QueryTranslation><ErrorList><PhraseNotFound>"), "c_name", F.lit("</PhraseNotFound></ErrorList><WarningList><OutputMessage>no such day</OutputMessage><PhraseIgnored>of</PhraseIgnored></WarningList></eSearchResult>"))
+    body = F.when(d == 0, xml).when(d == 1, F.concat(F.lit('{"v":1'), count(',"hitCount":#'), F.lit("}"))).otherwise(F.concat(F.lit('{"v":1'), count(',"totalCount":#'), F.lit("}")))
+    strategy = F.concat(F.when(k % 10 == 1, "(").otherwise(""), s("c_custkey"), F.lit(" AND x"))
+    answers = c.select(F.when(d == 0, "pubmed").when(d == 1, "europepmc").otherwise("clinicaltrials").alias("dialect"), strategy.alias("strategy"), F.when(g == 3, 500).otherwise(200).alias("status"), body.alias("body"))
+    out = reference.hit_counts(answers)
+    known = F.when((F.col("dialect") == "europepmc") & (F.size("warnings") > 0), F.array(F.lit("unbalanced"))).otherwise(F.col("warnings"))
+    return out.withColumn("warnings", known)
+
+
+@query(
+    "ext_reread",
+    """WITH p AS (SELECT p_partkey AS k, p_type AS asked, p_brand AS brand, p_size AS z, [x FOR x IN regexp_extract_all(lower(p_type), '[\\p{L}\\p{N}]+')] AS w FROM part),
+    v AS (SELECT *, CASE k % 3 WHEN 0 THEN w[1:len(w) - 1] WHEN 1 THEN w ELSE [] END AS had, k % 3 <> 2 AS there, CASE WHEN z % 2 = 0 THEN w ELSE [lower(brand)] END AS has, CASE WHEN z % 5 <> 0 THEN w[len(w):len(w)] ELSE [] END AS adds, CASE WHEN z % 7 = 0 THEN 'Other' ELSE 'All / ' || brand END AS section FROM p),
+    l AS (SELECT *, [x FOR x IN w IF NOT list_contains(had, x)] AS lack, [x FOR x IN w IF NOT list_contains(has, x)] AS left_, section <> 'Other' AS fits FROM v),
+    r AS (SELECT *, (NOT there OR len(lack) > 0) AND fits AND (NOT there OR (len(left_) = 0 AND len([x FOR x IN lack IF NOT list_contains(adds, x)]) = 0)) AS inferred FROM l)
+    SELECT k::VARCHAR AS doc, CASE WHEN inferred THEN 'second' WHEN there THEN 'first' END AS value, inferred FROM r""",
+)
+def ext_reread(spark, sf_dir):
+    """Declared readings whose column has all words of the type, all but the last, or that found nothing; inferred ones in the brand's section or another."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    words = F.regexp_extract_all(F.lower("p_type"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    most, last = F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " "), F.element_at(words, -1)
+    base = t(spark, sf_dir, "part")
+    key = [s("p_partkey").alias("doc"), F.concat(F.lit("f"), s("p_partkey")).alias("field")]
+    first = base.select(*key, F.when(k % 3 == 2, "missing").otherwise("extracted").alias("status"), F.when(k % 3 != 2, "first").alias("value"), F.when(k % 3 == 0, most).when(k % 3 == 1, F.col("p_type")).alias("column"))
+    second = base.select(*key, F.lit("extracted").alias("status"), F.lit("second").alias("value"), F.when(z % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand")).alias("column"), F.when(z % 7 == 0, "Other").otherwise(F.concat(F.lit("All / "), "p_brand")).alias("section"), F.when(z % 5 != 0, last).alias("supplied"))
+    fields = base.select(key[1], F.array("p_type").alias("columns"), F.array("p_brand").alias("sections"))
+    return extraction.reread(first, second, fields).select("doc", "value", "inferred")
+
+
+@query(
+    "xtr_estimates",
+    """WITH l AS (SELECT l_orderkey || '-' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS grp, l_quantity::INT - 25 AS e, l_partkey % 9 AS a, l_suppkey % 9 AS b FROM lineitem WHERE l_orderkey % 10 = 0)
+    SELECT grp, CASE WHEN e - a < e - 2 + b AND e - a <= e AND e <= e - 2 + b THEN 3 ELSE 0 END AS passed FROM l""",
+)
+def xtr_estimates(spark, sf_dir):
+    """Differences and standardized ones below and above zero, with intervals that hold them or don't."""
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
+    own = t(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").withColumn("grp", F.concat_ws("-", "l_orderkey", nth))
+    e = F.col("l_quantity").cast("int") - 25
+    text = lambda c: c.cast("string")
+    rows = F.array(*(F.struct(F.lit(q).alias("q"), v.alias("value")) for q, v in (("e", text(e)), ("ci_lower", text(e - F.col("l_partkey") % 9)), ("ci_upper", text(e - 2 + F.col("l_suppkey") % 9)))))
+    quantity = F.when(F.col("r.q") != "e", F.col("r.q")).otherwise(F.when(F.col("l_partkey") % 2 == 0, "smd").otherwise("risk_difference"))
+    values = own.select("grp", "l_partkey", F.explode(rows).alias("r")).select(F.concat_ws(":", "grp", "r.q").alias("id"), F.col("grp").alias("pop"), "grp", F.lit("pair").alias("arm"), quantity.alias("quantity"), "r.value", F.lit(None).cast("string").alias("unit"), F.lit("extracted").alias("status"), F.lit(1).alias("anchors"))
+    fields = spark.createDataFrame([], "grp string, arm string, quantity string, kind string, field_unit string")
+    out = validators.validate(values, fields, ["a"]).where("validator = 'ci_brackets_estimate'")
+    return out.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("grp")).agg(F.count_if("passed").cast("int").alias("passed"))
+
+
+@query("snk_workbooks", "SELECT c_custkey::VARCHAR AS ref, c_name AS title, c_mktsegment AS decision, 2 + (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) % 50 AS row FROM customer")
+def snk_workbooks(spark, sf_dir):
+    """A workbook of at most fifty customers for each nation, read back."""
+    from uuid import uuid4
+
+    from veritrail.plans.session import shared_folder, written
+
+    folder = f"{shared_folder(spark)}/sheets/{uuid4().hex}"
+    rows = t(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("ref"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("decision"))
+    files = written(workbook.write_working_sheets(rows, "c_nationkey", folder, [("Review", "A < B & C")], [("c1", "include", "adults")], 50))
+    assert files.where("rows > 50").isEmpty()
+    return workbook.sheet_table(spark, folder, ["ref", "title", "decision"]).drop("file")

@@ -23,14 +23,27 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def read_sheet(data: bytes) -> list[list[str]]:
-    """Rows of the first sheet as texts."""
+def _named_sheets(book: zipfile.ZipFile) -> dict[str, str]:
+    """Sheet name -> its part, in the order of the workbook."""
+    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    sheets = ET.fromstring(book.read("xl/workbook.xml")).iterfind("m:sheets/m:sheet", NS)
+    return {s.get("name"): "xl/" + targets[s.get(rel)].removeprefix("/xl/") for s in sheets}
+
+
+def read_sheet(data: bytes, name: str | None = None) -> list[list[str]]:
+    """Rows of the first sheet, or of the one of that name, as texts."""
     book = zipfile.ZipFile(io.BytesIO(data))
     names = book.namelist()
     shared = []
     if "xl/sharedStrings.xml" in names:
         shared = ["".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", NS)]
-    sheet = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
+    if name is None:
+        sheet = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
+    else:
+        sheet = _named_sheets(book).get(name)
+        if sheet is None:
+            raise ValueError(f"no sheet {name!r}")
     rows, cells = [], 0
     for row in ET.fromstring(book.read(sheet)).iter(f"{{{NS['m']}}}row"):
         out: list[str] = []
@@ -46,17 +59,22 @@ def read_sheet(data: bytes) -> list[list[str]]:
     return rows
 
 
-def write_sheet_bytes(header: list[str], rows: list[list]) -> bytes:
-    """A workbook with one sheet; every cell is a text, so nothing is a formula."""
+def write_workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
+    """A workbook of sheets (name -> rows); every cell is a text, so nothing is a formula."""
     cell = lambda v: f'<c t="inlineStr"><is><t xml:space="preserve">{escape(re.sub("[^\\t\\n\\r\\x20-\\uD7FF\\uE000-\\uFFFD\\U00010000-\\U0010FFFF]", "", str(v))[:CELL])}</t></is></c>' if v is not None else "<c/>"
-    body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [header, *rows])
+    office, package = "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    numbers = range(1, len(sheets) + 1)
     parts = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
-        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
-        "xl/workbook.xml": f'<workbook xmlns="{NS["m"]}" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="records" sheetId="1" r:id="r1"/></sheets></workbook>',
-        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{NS["m"]}"><sheetData>{body}</sheetData></worksheet>',
-    }
+        "[Content_Types].xml": f'<Types xmlns="{package}/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>'
+        + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in numbers) + "</Types>",
+        "_rels/.rels": f'<Relationships xmlns="{package}/relationships"><Relationship Id="r1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook xmlns="{NS["m"]}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="r{i}"/>' for i, n in zip(numbers, sheets)) + "</sheets></workbook>",
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers) + "</Relationships>",
+    }
+    for i, rows in zip(numbers, sheets.values()):
+        body = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in rows)
+        parts[f"xl/worksheets/sheet{i}.xml"] = f'<worksheet xmlns="{NS["m"]}"><sheetData>{body}</sheetData></worksheet>'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
@@ -64,6 +82,48 @@ def write_sheet_bytes(header: list[str], rows: list[list]) -> bytes:
     return out.getvalue()
 
 
+def write_sheet_bytes(header: list[str], rows: list[list]) -> bytes:
+    """A workbook with one sheet of records."""
+    return write_workbook_bytes({"records": [header, *rows]})
+
+
+#: Rows of a sheet that one file, and one task, holds.
+MOST_ROWS = 100_000
+
+
+def write_working_sheets(rows: DataFrame, by: str, folder: str, cover: list[tuple[str, str]], criteria: list[tuple], most: int = MOST_ROWS) -> DataFrame:
+    """(by, part, path, rows, sha256) of the workbooks written to folder: one for each value of `by`, and more where it has over `most` rows.
+
+    Each has the rows as sheet records, a sheet cover of facts (label, value) with its own number of rows and part, and a sheet criteria (id, kind, text).
+    Rows stand in the order of their columns. Files are named by value and part, so a task that runs again writes the same file.
+    """
+    import hashlib
+    from urllib.parse import quote
+
+    import pandas as pd
+    from pyarrow import fs
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    columns = [c for c in rows.columns if c != by]
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(*columns)) - 1
+    own = rows.withColumn("_part", F.floor(nth / most).cast("int")).withColumn("_nth", nth)
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_nth")
+        value, part = group[by].iloc[0], int(group["_part"].iloc[0])
+        texts = [[None if pd.isna(v) else str(v) for v in r] for r in group[columns].itertuples(index=False)]
+        facts = [["Rows of", str(value)], ["Part", str(part + 1)], ["Rows", str(len(texts))], *map(list, cover)]
+        data = write_workbook_bytes({"records": [columns, *texts], "cover": facts, "criteria": [["id", "kind", "text"], *map(list, criteria)]})
+        where, path = fs.FileSystem.from_uri(f"{folder}/{quote(str(value), safe='')}-{part}.xlsx")
+        where.create_dir(path.rpartition("/")[0], recursive=True)
+        with where.open_output_stream(path, compression=None) as out:
+            out.write(data)
+        return pd.DataFrame([(value, part, path, len(texts), hashlib.sha256(data).hexdigest())], columns=[by, "part", "path", "rows", "sha256"])
+
+    return own.groupBy(by, "_part").applyInPandas(write, f"`{by}` {dict(rows.dtypes)[by]}, part int, path string, rows long, sha256 string")
+
+
 def sheet_table(spark: SparkSession, path: str, needed: list[str]) -> DataFrame:
     """The first sheet of each workbook at path: (file, row, columns of the header); blank rows go, needed columns must be there."""
 
