@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from veritrail.functions import similarity, text
 from veritrail.operators.ranking import carried
-
+from veritrail.plans.session import written
 
 
 def inline_candidates(lines: DataFrame) -> DataFrame:
@@ -39,21 +39,36 @@ def table_candidates(cells: DataFrame) -> DataFrame:
     return values.join(labels, ["doc", "page", "table", "row"]).join(heads, ["doc", "page", "table", "col"], "left").withColumn("kind", F.lit("table"))
 
 
+#: Aliases of a specification up to this many are broadcast; beyond, Spark chooses the join.
+MOST_ALIASES = 10_000
+
+
 def scored(candidates: DataFrame, fields: DataFrame) -> DataFrame:
-    """fields (field, aliases, section, column): label likeness x (0.7 + 0.3 section) x column; best alias of each."""
+    """fields (field, aliases, section, column): label likeness x (0.7 + 0.3 section) x column; best alias of each.
+
+    Texts are compared once for each pair of different texts, not for each candidate: labels, sections and columns come back in many documents.
+    """
     own = candidates
     for c in ("section", "column"):
         if c not in own.columns:
             own = own.withColumn(c, F.lit(None).cast("string"))
-    f = fields.select("field", F.explode("aliases").alias("alias"), F.col("section").alias("want_section"), F.col("column").alias("want_column"))
-    pairs = own.join(F.broadcast(f))  # fields are a specification: a bounded, stated set
+    wanted = written(fields.select("field", F.explode("aliases").alias("alias"), F.col("section").alias("want_section"), F.col("column").alias("want_column")))
+    few = wanted.count() <= MOST_ALIASES
+    sent = lambda df: F.broadcast(df) if few else df
     fold = lambda c: F.array_join(text.words_folded(c), " ")
-    like = lambda a, b: similarity.token_set_ratio(fold(F.coalesce(a, F.lit(""))), fold(F.coalesce(b, F.lit("")))) / 100
-    s = F.when(F.col("want_section").isNull(), 1.0).otherwise(like(F.col("section"), F.col("want_section")))
-    c = F.when(F.col("want_column").isNull(), 1.0).otherwise(like(F.col("column"), F.col("want_column")))
-    out = pairs.withColumn("score", like(F.col("label"), F.col("alias")) * (0.7 + 0.3 * s) * c)
-    keys = [k for k in candidates.columns]
-    return out.groupBy("field", *keys).agg(F.max("score").alias("score"))
+
+    def likeness(column: str, asked: str, name: str) -> DataFrame:
+        """(column, asked, name): how like each text of the candidates is to each text asked for."""
+        mine = own.select(F.coalesce(F.col(column), F.lit("")).alias(f"_{column}")).distinct().withColumn("_a", fold(F.col(f"_{column}")))
+        theirs = wanted.where(F.col(asked).isNotNull()).select(asked).distinct().withColumn("_b", fold(F.col(asked)))
+        pairs = mine.join(sent(theirs)).withColumn(name, similarity.token_set_ratio("_a", "_b") / 100)
+        return pairs.select(f"_{column}", asked, name)
+
+    pairs = own.withColumns({f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in ("label", "section", "column")})
+    pairs = pairs.join(likeness("label", "alias", "_l"), "_label").join(sent(wanted), "alias")
+    pairs = pairs.join(likeness("section", "want_section", "_s"), ["_section", "want_section"], "left").join(likeness("column", "want_column", "_c"), ["_column", "want_column"], "left")
+    score = F.col("_l") * (0.7 + 0.3 * F.coalesce("_s", F.lit(1.0))) * F.coalesce("_c", F.lit(1.0))
+    return pairs.groupBy("field", *candidates.columns).agg(F.max(score).alias("score"))
 
 
 def winners(scored_: DataFrame, threshold: float = 0.75, gap: float = 0.03) -> DataFrame:
