@@ -12,9 +12,12 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.plans.session import written
+
 #: What each record needs: its stage's rules (mode S: one screener; M1: two, and the model's inclusions are checked; M2: one and the model; M3: the model ranks only),
 #: who screens it, and the model's reading (null: not read; own_include: the model itself saw no failing criterion; excludes: an exclusion that is verified).
 ITEM = "item string, mode string, stage string, reveal string, seed string, screeners array<string>, auditor string, assigned array<string>, own_include boolean, excludes boolean"
@@ -162,19 +165,31 @@ def decide(items: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]
     """(states, results): the state of each assignment after all commands, and what each command did. items and commands: see ITEM and COMMAND."""
     names = [p.split()[0] for p in ITEM.split(", ")], [p.split()[0] for p in COMMAND.split(", ")]
 
-    def fold(key, own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        if own.empty:
-            return pd.DataFrame([], columns=["json"])
-        item = _plain(own.iloc[0].to_dict())
-        state, results = opened(item), []
-        for c in given.sort_values("seq").to_dict("records"):
-            c = _plain(c)
-            results += [(item["item"], int(c["seq"]), result, detail) for result, detail in step(state, item, c)]
-        return pd.DataFrame({"json": [json.dumps({"states": states_of(item, state), "results": results})]})
-
-    from veritrail.plans.session import written
-
-    folded = written(items.select(*names[0]).groupBy("item").cogroup(commands.select(*names[1]).groupBy("item")).applyInPandas(fold, "json string"))
+    def line(df: DataFrame, columns: list[str], seq) -> DataFrame:
+        return df.select("item", seq.alias("seq"), F.to_json(F.struct(*columns)).alias("row"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Records one after another, each with its rules first and its commands in order: one pass, one record's state at a time."""
+        item, state, results, done = None, None, [], []
+        for batch in batches:
+            for name, seq, row in zip(*(batch[c].to_pylist() for c in ("item", "seq", "row"))):
+                row = json.loads(row)
+                if seq is None:
+                    if item is not None:
+                        done.append(json.dumps({"states": states_of(item, state), "results": results}))
+                    item = {k: row.get(k) for k in names[0]}
+                    state, results = opened(item), []
+                elif item is not None and item["item"] == name:
+                    results += [(name, seq, result, detail) for result, detail in step(state, item, {k: row.get(k) for k in names[1]})]
+            if len(done) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["json"])
+                done = []
+        if item is not None:
+            done.append(json.dumps({"states": states_of(item, state), "results": results}))
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["json"])
+
+    both = line(items.dropDuplicates(["item"]), names[0], F.lit(None).cast("long")).union(line(commands, names[1], F.col("seq").cast("long")))
+    folded = written(both.repartition("item").sortWithinPartitions("item", F.col("seq").asc_nulls_first()).mapInArrow(fold, "json string"))
 
     def rows(field: str, schema: str) -> DataFrame:
         columns = schema.split(", ")
