@@ -25,9 +25,41 @@ def _pattern(quote: str) -> re.Pattern | None:
     return re.compile(rf"{SOFT}?\s+".join(map(letters, words)))
 
 
+def _bare(text: str) -> str:
+    """A text without what may stand between the letters of a quote."""
+    return "".join(text.replace(SOFT, "").replace("-", "").split())
+
+
+def _words_at(words: list[str], text: str) -> list[tuple[int, int]]:
+    """All places of words with white space between them."""
+    out, start = [], text.find(words[0])
+    while start >= 0:
+        end = start + len(words[0])
+        for w in words[1:]:
+            at = end
+            while at < len(text) and text[at].isspace():
+                at += 1
+            if at == end or not text.startswith(w, at):
+                break
+            end = at + len(w)
+        else:
+            out.append((start, end))
+        start = text.find(words[0], start + 1)
+    return out
+
+
 def find_quote(quote: str, text: str) -> list[tuple[int, int]]:
-    """All places of a quote in the NFC form of a text, overlapping ones too."""
+    """All places of a quote in the NFC form of a text, overlapping ones too.
+
+    A pattern of each quote takes longer to make than to use, so one is made only for texts that hold the
+    quote's letters in order, and hyphens.
+    """
     own, out, at = unicodedata.normalize("NFC", text), [], 0
+    plain = unicodedata.normalize("NFC", quote).replace(SOFT, "")
+    if not plain.split() or _bare(plain) not in _bare(own):
+        return []
+    if SOFT not in own and "-" not in own:
+        return _words_at(plain.split(), own)
     pattern = _pattern(quote)
     while pattern is not None and (m := pattern.search(own, at)):
         out.append(m.span())

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import similarity, spans
+from veritrail.operators.folds import dealt
 
 CONTEXT = 32
 FOUND = "anchor_id string, doc string, layer string, state string, start int, end int, score double"
@@ -43,7 +44,8 @@ def resolve(anchors: DataFrame, layers: DataFrame) -> DataFrame:
             frame[["start", "end"]] = frame[["start", "end"]].astype("Int32")
             yield frame
 
-    return anchors.join(layers, "doc").select("anchor_id", "doc", "layer", "quote", "prefix", "suffix", "start", "text").mapInPandas(run, FOUND)
+    both = anchors.join(layers, "doc").select("anchor_id", "doc", "layer", "quote", "prefix", "suffix", "start", "text")
+    return dealt(both, "anchor_id", "layer").mapInPandas(run, FOUND)
 
 
 def make_anchors(wanted: DataFrame, layers: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def remapped(anchors: DataFrame, layers: DataFrame, known: DataFrame) -> DataFra
 def check_pages(pages: DataFrame, reports: DataFrame) -> DataFrame:
     """Whether the first three pages show the report's DOI (whole, over line ends) or one of the first two, each whole, its title: match, mismatch or unchecked."""
     head = pages.where("page <= 3").groupBy("doc").agg(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))).alias("head"))
-    own = reports.join(head, "doc", "left")
+    own = dealt(reports.join(head, "doc", "left"), "doc")
     texts = lambda *n: F.transform(F.filter(F.coalesce("head", F.array().cast("array<struct<page int, text string>>")), lambda p: p["page"].isin(*n)), lambda p: p["text"])
     doi = F.lower("doi")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.operators.folds import folded
+
 
 def report_view(records: DataFrame, links: DataFrame) -> DataFrame:
     """Reports in the order of their first record: records, searches, strongest relation."""
@@ -49,21 +51,51 @@ def why(events: DataFrame) -> DataFrame:
     """
     kinds = dict(events.dtypes)
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple[set, list]] = []
-        for e in own.sort_values("seq").itertuples():
-            ids = set(e.occurrence_ids)
-            if e.kind == "merge":
-                met = [h for h in held if h[0] & ids]
-                held = [h for h in held if not h[0] & ids]
-                held.append((ids.union(*(h[0] for h in met)), [x for h in met for x in h[1]] + [e.said]))
+    def fold(own: list[tuple]) -> Iterator[tuple]:
+        held: dict[int, tuple[set, tuple]] = {}  # by the event that made the set: its records, and what joined them as a tree
+        of: dict = {}  # the set each record is in, by a name that stays when sets merge
+        names: dict[int, int] = {}  # name -> the event that made its set last
+        single: set[int] = set()  # names of sets without a second record
+        for at, (project, _, kind, ids, said) in enumerate(own):
+            ids = set(ids)
+            if kind == "merge":
+                met = sorted({of[x] for x in ids if x in of}, key=names.get)
+                sets = [held.pop(names[m]) for m in met]
+                name = max(zip((len(s) for s, _ in sets), met), default=(0, at))[1]
+                joined = next((s for m, (s, _) in zip(met, sets) if m == name), set())
+                for m, (s, _) in zip(met, sets):
+                    if m != name:
+                        joined |= s
+                        of.update(dict.fromkeys(s, name))
+                        del names[m]
+                        single.discard(m)
+                joined |= ids
+                of.update(dict.fromkeys(ids, name))
+                names[name], held[at] = at, (joined, (*(w for _, w in sets), said))
+                (single.add if len(joined) < 2 else single.discard)(name)
             else:
-                held = [(h[0] - ids, h[1]) for h in held]
-                held = [h for h in held if len(h[0]) > 1]
-        project = own["project_id"].iloc[0]
-        return pd.DataFrame([(project, sorted(s), w) for s, w in held], columns=["project_id", "occurrence_ids", "why"])
-
-    return events.groupBy("project_id").applyInPandas(fold, f"project_id {kinds['project_id']}, occurrence_ids {kinds['occurrence_ids']}, why array<string>")
+                for x in ids & of.keys():
+                    name = of.pop(x)
+                    rest = held[names[name]][0]
+                    rest.discard(x)
+                    if len(rest) < 2:
+                        single.add(name)
+                for name in single:
+                    for x in held.pop(names.pop(name))[0]:
+                        del of[x]
+                single.clear()
+        for records, tree in held.values():
+            said, open_ = [], [tree]
+            while open_:
+                node = open_.pop()
+                if isinstance(node, tuple):
+                    open_.extend(reversed(node))
+                else:
+                    said.append(node)
+            yield own[0][0], sorted(records), said
+
+    own = events.select("project_id", "seq", "kind", "occurrence_ids", "said")
+    return folded(own, ["project_id"], ["seq"], fold, f"project_id {kinds['project_id']}, occurrence_ids {kinds['occurrence_ids']}, why array<string>")
 
 
 TAG = "doc string, start int, end int, surface string, kind string"
@@ -72,17 +104,18 @@ TAG = "doc string, start int, end int, surface string, kind string"
 def place_tags(tags: DataFrame, texts: DataFrame) -> DataFrame:
     """Tags (doc, n, start, surface, kind) on texts: their own offset if the surface stands there, else the next whole-word place; each place once."""
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        text = own["text"].iloc[0] or ""
+    def fold(own: list[tuple]) -> list[tuple]:
+        text = own[0][5] or ""
         used, out = set(), []
-        for t in own.sort_values("n").itertuples():
-            start = int(t.start)
-            if text[start : start + len(t.surface)] != t.surface or start in used:
-                found = (m.start() for m in re.finditer(rf"(?<!\w){re.escape(t.surface)}(?!\w)", text))
+        for doc, _, start, surface, kind, _ in own:
+            start = int(start)
+            if text[start : start + len(surface)] != surface or start in used:
+                found = (m.start() for m in re.finditer(rf"(?<!\w){re.escape(surface)}(?!\w)", text))
                 start = next((s for s in found if s not in used), -1)
             if start >= 0:
                 used.add(start)
-                out.append((t.doc, start, start + len(t.surface), t.surface, t.kind))
-        return pd.DataFrame(out, columns=["doc", "start", "end", "surface", "kind"])
+                out.append((doc, start, start + len(surface), surface, kind))
+        return out
 
-    return tags.join(texts, "doc").groupBy("doc").applyInPandas(fold, TAG)
+    own = tags.select("doc", "n", "start", "surface", "kind").join(texts.select("doc", "text"), "doc")
+    return folded(own, ["doc"], ["n"], fold, TAG)
