@@ -5,11 +5,13 @@ Words have doc, page, word, text, x0, y0, x1, y1 and direction (degrees).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from veritrail.operators.folds import folded
+
 
 def reading_frame(words: DataFrame) -> DataFrame:
     """(doc, page, direction) with the most characters; ties go to the smaller angle."""
@@ -28,19 +30,18 @@ def word_lines(words: DataFrame) -> DataFrame:
 
     One ordered pass over each page's words.
     """
-    kinds = dict(words.dtypes)
+    y0, y1 = words.columns.index("y0"), words.columns.index("y1")
 
-    def scan(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "x0", "y1", "x1", "word"])
+    def scan(page: list[tuple]) -> list[tuple]:
         line, top, bottom, out = 0, None, None, []
-        for a, b in zip(page["y0"].astype(float), page["y1"].astype(float)):
+        for w in page:
+            a, b = float(w[y0]), float(w[y1])
             if top is None or min(bottom, b) - max(top, a) < 0.5 * min(b - a, bottom - top):
                 line, top, bottom = line + 1, a, b
-            out.append(line)
-        return page[["doc", "page", "word"]].assign(line=out)
+            out.append((*w, line))
+        return out
 
-    rows = words.select("doc", "page", "word", "x0", "y0", "x1", "y1").groupBy("doc", "page").applyInPandas(scan, f"doc {kinds['doc']}, page {kinds['page']}, word {kinds['word']}, line int")
-    return words.join(rows, ["doc", "page", "word"])
+    return folded(words, ["doc", "page"], ["y0", "x0", "y1", "x1", "word"], scan, T.StructType([*words.schema.fields, T.StructField("line", T.IntegerType())]))
 
 
 def line_texts(lined: DataFrame) -> DataFrame:
@@ -84,10 +85,10 @@ def reading_order(boxes: DataFrame) -> DataFrame:
                 return [i for p in parts for i in cut(p)]
         return [r[0] for r in sorted(rows, key=lambda r: (r[2], r[1]))]
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        order = cut(list(page[["item", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
-        place = {item: i for i, item in enumerate(order)}
-        return pd.DataFrame({"doc": page["doc"], "page": page["page"], "item": page["item"], "place": [place[i] for i in page["item"]]})
+    def run(page: list[tuple]) -> list[tuple]:
+        place = {item: i for i, item in enumerate(cut([r[2:] for r in page]))}
+        return [(*r[:3], place[r[2]]) for r in page]
 
     kinds = dict(boxes.dtypes)
-    return boxes.groupBy("doc", "page").applyInPandas(run, f"doc {kinds['doc']}, page {kinds['page']}, item {kinds['item']}, place int")
+    own = boxes.select("doc", "page", "item", "x0", "y0", "x1", "y1")
+    return folded(own, ["doc", "page"], [], run, f"doc {kinds['doc']}, page {kinds['page']}, item {kinds['item']}, place int")
