@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.operators.folds import folded
 from veritrail.operators.screening import excluding_criteria, proposal, verdict_excludes
 
 #: Roles in the order in which the lead sees their decisions.
@@ -108,22 +109,20 @@ def decided(events: DataFrame, reveal: Column) -> DataFrame:
     kinds = dict(events.dtypes)
     own = events.withColumn("shown", F.coalesce(reveal, F.lit(False))).select("assignment", "seq", "phase", "outcome", "criterion", "shown")
 
-    def fold(rows):
-        import pandas as pd
-
+    def fold(rows: list[tuple]) -> list[tuple]:
         state, outcome, criterion, first, refused = "pending", None, None, None, []
-        for e in rows.sort_values("seq").itertuples():
-            if e.phase == "provisional" and state == "pending":
-                state, outcome, criterion, first = ("awaiting_final" if e.shown else "decided"), e.outcome, e.criterion, e.outcome
-            elif e.phase == "final" and state == "awaiting_final":
-                state, outcome, criterion = "decided", e.outcome, e.criterion
-            elif e.phase == "undo" and state != "pending":
+        for _, seq, phase, said, why, shown in rows:
+            if phase == "provisional" and state == "pending":
+                state, outcome, criterion, first = ("awaiting_final" if shown else "decided"), said, why, said
+            elif phase == "final" and state == "awaiting_final":
+                state, outcome, criterion = "decided", said, why
+            elif phase == "undo" and state != "pending":
                 state, outcome, criterion, first = "pending", None, None, None
             else:
-                refused.append(int(e.seq))
-        return pd.DataFrame([(rows["assignment"].iloc[0], state, outcome, criterion, first, refused)], columns=["assignment", "state", "outcome", "criterion", "provisional", "refused"])
+                refused.append(int(seq))
+        return [(rows[0][0], state, outcome, criterion, first, refused)]
 
-    return own.groupBy("assignment").applyInPandas(fold, f"assignment {kinds['assignment']}, state string, outcome string, criterion string, provisional string, refused array<long>")
+    return folded(own, ["assignment"], ["seq"], fold, f"assignment {kinds['assignment']}, state string, outcome string, criterion string, provisional string, refused array<long>")
 
 
 def rejudged(readings: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
