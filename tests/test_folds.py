@@ -2,11 +2,15 @@
 
 import random
 import time
+import tracemalloc
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from veritrail.functions import similarity, spans
-from veritrail.operators import anchors, folds, identity
+from veritrail.functions import similarity, spans, statistics
+from veritrail.operators import anchors, extraction, folds, identity, ranking, validators
+from veritrail.sources import records
 
 
 def test_folds_go_over_batches_and_null_keys(spark):
@@ -75,3 +79,57 @@ def test_sets_are_those_of_the_plain_fold(spark):
     for r in identity.why(spark.createDataFrame(rows, "project_id int, seq int, kind string, occurrence_ids array<int>, said string")).collect():
         got.setdefault(r.project_id, []).append((list(r.occurrence_ids), list(r.why)))
     assert {p: sorted(got.get(p, [])) for p in histories} == {p: plain(h) for p, h in histories.items()}
+
+
+def test_files_are_read_some_records_at_a_time(monkeypatch):
+    assert list(records.lines_of("a\r\nb\x0bc\n\n" * 20_000)) == ("a\r\nb\x0bc\n\n" * 20_000).splitlines()
+    bodies = {
+        "ris": "TY  - JOUR\nTI  - a\nER  - \n" * 40_000 + "TY  - JOUR\n",
+        "nbib": "PMID- 1\nTI  - a\n" * 40_000 + "PMID- x\n",
+        "scopus": "EID,Title\n" + "1,a\n" * 40_000 + "1\n",
+        "list": "Title,PMID\n" + "a,1\n" * 40_000 + "a,x\n",
+        "registry": "id,title\n" + "1,a\n" * 40_000 + "1\n",
+    }
+    for format, body in bodies.items():
+        tracemalloc.start()
+        rows = records.parser_of(format)(body, format)
+        assert next(rows)["title"] == "a"
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held < 8 * len(body), format
+        with pytest.raises(ValueError):
+            list(rows)
+
+
+def test_a_list_without_records_beside_others_is_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title,EID\n")
+    (tmp_path / "b.csv").write_text("Title,EID\nT,1\n")
+    for format in ("scopus", "list"):
+        assert [r.title for r in records.read_records(spark, str(tmp_path), format).collect()] == ["T"]
+
+
+def test_the_conformal_place_is_searched():
+    begun = time.monotonic()
+    place = statistics.conformal_order(60_000, 0.9, 0.05)
+    assert time.monotonic() - begun < 10
+    assert statistics.binomial_cdf(place - 1, 60_000, 0.1) <= 0.05 < statistics.binomial_cdf(place, 60_000, 0.1)
+
+
+def test_a_group_of_the_pool_is_ranked_by_slices(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").alias("r"))
+    order = Window.partitionBy("g").orderBy(ranking.seeded_key("s", F.col("r")), "r")
+    want = rows.withColumn("reader", F.get(F.array(F.lit("a"), F.lit("b")), (F.row_number().over(order) - 1) % 2))
+    got = ranking.split_pool(rows, ["g"], "r", ["a", "b"], "s")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert "_slice" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_sides_are_never_broadcast(spark):
+    base = spark.range(50).select(F.col("id").cast("string").alias("doc"), F.lit(1).alias("page"))
+    line = lambda n, text, x: F.struct(F.lit(n).alias("line"), F.lit(text).alias("text"), F.lit(float(x)).alias("x0"), F.lit(0.0).alias("y0"), F.lit(float(x + 10)).alias("x1"), F.lit(10.0).alias("y1"))
+    lines = base.withColumn("l", F.explode(F.array(line(1, "Size:", 0), line(2, "7", 20)))).select("doc", "page", "l.*")
+    for df in (extraction.beside_candidates(lines, 600.0), extraction.prose(lines, "Size", "End")):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    parts = base.select(F.col("doc").alias("grp"), F.lit("all").alias("pop"), F.lit("a").alias("arm"), F.lit("events").alias("quantity"), F.lit("1").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("extracted").alias("status"), F.lit(1).alias("anchors"), F.col("doc").alias("id"))
+    fields = parts.select("grp", "arm", "quantity", F.lit("count").alias("kind"), F.lit(None).cast("string").alias("field_unit"))
+    assert "Broadcast" not in validators.validate(parts, fields, ["a"])._jdf.queryExecution().executedPlan().toString()
