@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import similarity, text
+from veritrail.operators.folds import dealt
+from veritrail.operators.joins import shuffled
 from veritrail.operators.ranking import carried
 from veritrail.plans.session import written
 
@@ -24,7 +26,7 @@ def beside_candidates(lines: DataFrame, page_width: float, reach: float = 0.25)
     """A label line and the nearest value to its right on the same baseline, within a share of the page width."""
     a = lines.select("doc", "page", F.col("line").alias("line"), F.col("text").alias("label"), F.col("x1").alias("ax"), F.col("y0").alias("ay0"), F.col("y1").alias("ay1"), F.floor(F.col("y1") / 20).alias("band"))
     b = lines.select("doc", "page", F.col("line").alias("value_line"), F.col("text").alias("value"), F.col("x0").alias("bx"), F.col("y0").alias("by0"), F.col("y1").alias("by1"), F.explode(F.array(*[F.floor(F.col("y1") / 20) + d for d in (-1, 0, 1)])).alias("band"))
-    near = a.join(b, ["doc", "page", "band"]).where((F.col("line") != F.col("value_line")) & (F.col("bx") >= F.col("ax")) & (F.col("bx") - F.col("ax") <= reach * page_width) & (F.abs(F.col("ay1") - F.col("by1")) <= 0.5 * (F.col("ay1") - F.col("ay0"))))
+    near = a.join(shuffled(b), ["doc", "page", "band"]).where((F.col("line") != F.col("value_line")) & (F.col("bx") >= F.col("ax")) & (F.col("bx") - F.col("ax") <= reach * page_width) & (F.abs(F.col("ay1") - F.col("by1")) <= 0.5 * (F.col("ay1") - F.col("ay0"))))
     best = near.groupBy("doc", "page", "line", "label").agg(F.min_by("value", F.struct("bx", "value_line")).alias("value"))
     return best.select("doc", "page", "line", F.regexp_replace("label", r":\s*$", "").alias("label"), "value", F.lit("beside").alias("kind"))
 
@@ -93,15 +95,16 @@ def generated_rows(candidates: DataFrame, pattern: str, column: str, most: int)
 
 def prose(lines: DataFrame, anchor: str, end: str, repeats: float = 0.5) -> DataFrame:
     """(doc, value): lines after one that fits `anchor` up to one that fits `end`; lines on most pages (running heads) don't count."""
+    lines = dealt(lines, "doc")
     pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
-    heads = lines.groupBy("doc", "text").agg(F.countDistinct("page").alias("on")).join(pages, "doc").where((F.col("pages") > 2) & (F.col("on") > repeats * F.col("pages"))).select("doc", "text")
-    own = lines.join(heads, ["doc", "text"], "left_anti")
+    heads = lines.groupBy("doc", "text").agg(F.countDistinct("page").alias("on")).join(shuffled(pages), "doc").where((F.col("pages") > 2) & (F.col("on") > repeats * F.col("pages"))).select("doc", "text")
+    own = lines.join(shuffled(heads), ["doc", "text"], "left_anti")
     place = F.struct("page", "line")
     own = own.withColumn("_p", place).withColumn("_a", F.when(F.col("text").rlike(anchor), place))
     begin = own.groupBy("doc").agg(F.min("_a").alias("begin"))
-    own = own.join(begin, "doc").where(F.col("_p") > F.col("begin"))
+    own = own.join(shuffled(begin), "doc").where(F.col("_p") > F.col("begin"))
     stop = own.groupBy("doc").agg(F.min(F.when(F.col("text").rlike(end), F.col("_p"))).alias("stop"))
-    own = own.join(stop, "doc").where(F.col("stop").isNull() | (F.col("_p") < F.col("stop")))
+    own = own.join(shuffled(stop), "doc").where(F.col("stop").isNull() | (F.col("_p") < F.col("stop")))
     return own.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "text"))), lambda s: s["text"]), " ").alias("value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.operators.folds import folded
+from veritrail.operators.joins import shuffled
 
 
 def report_view(records: DataFrame, links: DataFrame) -> DataFrame:
@@ -32,14 +33,14 @@ def chain(revisions: DataFrame, head: str) -> DataFrame:
     found = written(found)
     most = leap.count()
     while True:
-        further = found.join(leap, "revision_id").where("to is not null").select(F.col("to").alias("revision_id"), (F.col("depth") + far).alias("depth"))
-        further = written(further.join(parent.select("revision_id"), "revision_id", "left_semi"))
+        further = found.join(shuffled(leap), "revision_id").where("to is not null").select(F.col("to").alias("revision_id"), (F.col("depth") + far).alias("depth"))
+        further = written(further.join(shuffled(parent.select("revision_id")), "revision_id", "left_semi"))
         if not further.limit(1).count():
             return found
         if far > most:
             raise ValueError("the revisions form a cycle")
         found = written(found.union(further))
-        leap = written(leap.alias("a").join(leap.alias("b"), F.col("a.to") == F.col("b.revision_id")).select(F.col("a.revision_id").alias("revision_id"), F.col("b.to").alias("to")))
+        leap = written(leap.alias("a").join(shuffled(leap.alias("b")), F.col("a.to") == F.col("b.revision_id")).select(F.col("a.revision_id").alias("revision_id"), F.col("b.to").alias("to")))
         far *= 2
 
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side that is never broadcast: sizes are estimated from files, which don't tell how many rows an exploded column makes, and a broadcast passes through the driver."""
+    return df.hint("merge")
+
+
 def join_first_key(df: DataFrame, keys: list[Column], other: DataFrame, key: str) -> DataFrame:
     """df with other's columns, joined by the first of the keys that isn't null; rows without a match stay."""
     return df.withColumn(key, F.coalesce(*keys).cast(dict(other.dtypes)[key])).join(other, key, "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions.numbers import DECIMAL, as_decimal, well_formed
+from veritrail.operators.joins import shuffled
 
 KINDS = ["count", "percentage", "ratio", "p_value", "text"]
 COUNTS = ["n_randomized", "n_analysed", "events"]
@@ -36,7 +37,7 @@ def _results(df: DataFrame, name: str, ids: list[str], problem: Column) -> DataF
 
 def exact_values(proposals: DataFrame, fields: DataFrame) -> DataFrame:
     """fields (grp, arm, quantity, kind, field_unit): each value well formed, in its field's unit, with a source."""
-    own = proposals.where("status = 'extracted'").join(fields, ["grp", "arm", "quantity"], "left")
+    own = proposals.where("status = 'extracted'").join(shuffled(fields), ["grp", "arm", "quantity"], "left")
     shape = reduce(lambda c, k: c.when(F.col("kind") == k, well_formed(F.col("value"), k)), KINDS, F.when(F.lit(False), F.lit(None).cast("string")))
     problem = (
         F.when(F.col("kind").isNotNull() & F.col("value").isNull(), "an extracted field has no value")
@@ -52,7 +53,7 @@ def denominators(numbers: DataFrame) -> DataFrame:
     n = numbers.where("quantity in ('n_analysed', 'n_randomized')").select("pop", "grp", "arm", F.struct((F.col("quantity") != "n_analysed").alias("second"), "id", F.col("number").alias("n")).alias("n"))
     near = n.groupBy("grp", "arm").agg(F.min("n").alias("near"))
     far = n.groupBy("pop", "arm").agg(F.min("n").alias("far"))
-    own = numbers.select("pop", "grp", "arm").distinct().join(near, ["grp", "arm"], "left").join(far, ["pop", "arm"], "left")
+    own = numbers.select("pop", "grp", "arm").distinct().join(shuffled(near), ["grp", "arm"], "left").join(shuffled(far), ["pop", "arm"], "left")
     found = F.coalesce("near", "far")
     return own.select("grp", "arm", found["id"].alias("n_id"), found["n"].alias("n")).where("n_id is not null")
 
@@ -65,19 +66,19 @@ def validate(proposals: DataFrame, fields: DataFrame, arms: list[str]) -> DataFr
     of = lambda q, name: numbers.where(F.col("quantity") == q).select("grp", "arm", F.col("id").alias(f"{name}_id"), F.col("number").alias(name), F.col("value").alias(f"{name}_text"))
     text = lambda c: F.regexp_replace(c.cast("string"), r"\.?0+$", "")
     n = denominators(numbers)
-    events = of("events", "e").join(n, ["grp", "arm"])
+    events = of("events", "e").join(shuffled(n), ["grp", "arm"])
     out = [exact_values(proposals, fields), _results(events, "events_at_most_n", ["e_id", "n_id"], F.when(F.col("e") > F.col("n"), F.concat(F.col("e_text"), F.lit(" events exceed N"))))]
-    share = of("percent", "p").join(events, ["grp", "arm"]).where("n > 0")
+    share = of("percent", "p").join(shuffled(events), ["grp", "arm"]).where("n > 0")
     recomputed = 100 * F.col("e").cast("double") / F.col("n").cast("double")
     off = F.abs(recomputed - F.col("p").cast("double")) > half_unit(F.col("p_text")) + 1e-9
     out.append(_results(share, "percent_recomputes", ["p_id", "e_id", "n_id"], F.when(off, F.concat(F.lit("events / N is "), F.format_number(recomputed, 2), F.lit("%")))))
     total = numbers.where((F.col("arm") == TOTAL) & F.col("quantity").isin(COUNTS)).select("grp", "quantity", F.col("id").alias("t_id"), F.col("number").alias("t"))
     parts = numbers.where(F.col("arm").isin(arms)).groupBy("grp", "quantity").agg(F.countDistinct("arm").alias("found"), F.sum("number").cast(DECIMAL).alias("sum"), F.collect_list("id").alias("ids"))
-    sums = total.join(parts.where(F.col("found") == len(arms)), ["grp", "quantity"]).withColumn("all", F.concat(F.array("t_id"), "ids"))
+    sums = total.join(shuffled(parts.where(F.col("found") == len(arms))), ["grp", "quantity"]).withColumn("all", F.concat(F.array("t_id"), "ids"))
     wrong = F.when(F.col("sum") != F.col("t"), F.concat(F.lit("the arms add up to "), text(F.col("sum"))))
     out.append(sums.withColumn("message", wrong).select(F.explode("all").alias("id"), F.lit("arms_sum_to_total").alias("validator"), F.col("message").isNull().alias("passed"), "message"))
     ratio = numbers.where(F.col("quantity").isin(ESTIMATES)).select("grp", "arm", "quantity", F.col("id").alias("r_id"), F.col("number").cast("double").alias("r"), F.col("value").alias("r_text"))
-    bounds = ratio.join(of("ci_lower", "lo"), ["grp", "arm"]).join(of("ci_upper", "hi"), ["grp", "arm"])
+    bounds = ratio.join(shuffled(of("ci_lower", "lo")), ["grp", "arm"]).join(shuffled(of("ci_upper", "hi")), ["grp", "arm"])
     lo, hi, r = F.col("lo").cast("double"), F.col("hi").cast("double"), F.col("r")
     bracket = F.when(lo >= hi, "the interval is empty or reversed").when((r < lo) | (r > hi), "the interval does not contain the estimate")
     three = ["r_id", "lo_id", "hi_id"]
