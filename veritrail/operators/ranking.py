@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,9 +77,18 @@ def seeded_sample(df: DataFrame, by: list[str], ref: str, k: int, seed: str) ->
 
 
 def split_pool(df: DataFrame, by: list[str], ref: str, pool: list[str], seed: str) -> DataFrame:
-    """Rows dealt to the pool in turn along the seeded order of each group."""
-    own = Window.partitionBy(*by).orderBy(seeded_key(seed, F.col(ref)), ref)
-    return df.withColumn("reader", F.get(F.array(*map(F.lit, pool)), (F.row_number().over(own) - 1) % len(pool)))
+    """Rows dealt to the pool in turn along the seeded order of each group.
+
+    A row's place is its rank within a slice of the hash range, after the rows of the slices before (at most 4,096 a group), so a group is no task.
+    """
+    own = df.withColumn("_h", seeded_key(seed, F.col(ref))).withColumn("_slice", F.substring("_h", 1, 3))
+    before = F.sum("_c").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    skips = own.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_c")).withColumn("_skip", F.coalesce(before, F.lit(0)))
+    skips = skips.select("_skip", *(F.col(c).alias(f"_of_{c}") for c in (*by, "_slice")))
+    own = own.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_slice").orderBy("_h", ref)) - 1)
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_slice")))
+    place = ((F.col("_i") + F.col("_skip")) % len(pool)).cast("int")
+    return own.join(skips, same).select(*df.columns, F.get(F.array(*map(F.lit, pool)), place).alias("reader"))
 
 
 def second_reader(df: DataFrame, ref: str, first: str, pool: list[str], seed: str) -> DataFrame:
