@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritrail.functions.canonical import json_leaves
+from veritrail.operators.folds import dealt
 
 
 def json_reference(spark: SparkSession, path: str) -> DataFrame:
@@ -67,6 +68,6 @@ def hit_counts(answers: DataFrame) -> DataFrame:
 
     number = count.try_cast("long")
     bad = F.when((F.col("status") < 200) | (F.col("status") >= 300), F.concat(F.lit("refused with HTTP "), F.col("status").cast("string"))).when(error.isNotNull(), error).when(number.isNull(), "no count in the reply")
-    out = answers.withColumn("problem", bad).withColumn("count", F.when(F.col("problem").isNull(), number))
+    out = dealt(answers, "strategy").withColumn("problem", bad).withColumn("count", F.when(F.col("problem").isNull(), number))
     warnings = F.when(F.col("problem").isNotNull(), F.array().cast("array<string>")).when(F.col("dialect") == "pubmed", notes).when(F.col("dialect") == "europepmc", found(F.col("strategy"))).otherwise(F.array().cast("array<string>"))
     return out.select("dialect", "strategy", "count", F.when((F.col("dialect") == "pubmed") & F.col("problem").isNull(), F.nullif(F.xpath_string(xml, F.lit("/eSearchResult/QueryTranslation")), F.lit(""))).alias("translation"), warnings.alias("warnings"), "problem")
