@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import similarity, spans, statistics
-from veritrail.operators import anchors, extraction, folds, identity, ranking, validators
+from veritrail.operators import anchors, extraction, folds, identity, ranking, tables, validators
 from veritrail.sources import records
 
 
@@ -133,3 +133,21 @@ def test_exploded_sides_are_never_broadcast(spark):
     parts = base.select(F.col("doc").alias("grp"), F.lit("all").alias("pop"), F.lit("a").alias("arm"), F.lit("events").alias("quantity"), F.lit("1").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("extracted").alias("status"), F.lit(1).alias("anchors"), F.col("doc").alias("id"))
     fields = parts.select("grp", "arm", "quantity", F.lit("count").alias("kind"), F.lit(None).cast("string").alias("field_unit"))
     assert "Broadcast" not in validators.validate(parts, fields, ["a"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_cuts_of_a_text_are_made_in_one_go(spark):
+    own = spark.sql("SELECT 'a\U0001F600bc' AS t, array(0L, 1L, 2L) AS s, array(1L, 2L, 4L) AS e UNION ALL SELECT NULL, array(0L), array(1L)")
+    assert [r.c for r in own.select(spans.cut_out("t", "s", "e").alias("c")).collect()] == [["a", "\U0001F600", "bc"], None]
+
+
+def test_rows_of_a_fold_are_sent_some_at_a_time(spark):
+    sent = spark.range(1).select(F.lit(1).alias("k"), "id")
+    sizes = folds.folded(sent, ["k"], ["id"], lambda g: ((i,) for i in range(3 * folds.SENT)), "v int")
+    assert sizes.count() == 3 * folds.SENT
+
+
+def test_tables_of_pages_are_not_frames(spark):
+    words = spark.createDataFrame([("d", 1, 1, n, t, x, x + 10.0) for n in range(4) for t, x in ((f"r{n}", 0.0), (str(n), 50.0))], "doc string, page int, table int, line int, text string, x0 double, x1 double")
+    for made in (tables.word_grids(words), tables.word_tables(words.drop("table"))):
+        assert sorted((r.row, r.col, r.text) for r in made.collect()) == sorted(x for n in range(4) for x in ((n, 0, f"r{n}"), (n, 1, str(n))))
+        assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()

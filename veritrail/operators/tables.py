@@ -6,16 +6,35 @@ Words have doc, page, text, x0, y0, x1, y1 and line (see layout.word_lines); cel
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
+from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veritrail.operators.folds import folded
+
 CELLS = "doc string, page int, table int, row int, col int, text string"
 NUMBER = re.compile(r"^[<>≤≥(\[]*[-+−]?\d[\d.,%()\[\]/–-]*$")
 
 
+class Word(NamedTuple):
+    doc: str
+    page: int
+    table: int
+    line: int
+    text: str
+    x0: float
+    x1: float
+
+
+def _lines(words: list[Word]) -> list[list[Word]]:
+    """The words of each line, from words sorted by line and place."""
+    return [list(own) for line, own in groupby(words, key=lambda w: w.line) if line is not None]
+
+
 def numeric_bands(words: list, support: int) -> list[tuple[float, float]]:
     """Column bands: x ranges in which at least `support` numbers lie, joined where they overlap."""
     bands: list[list] = []
@@ -34,12 +53,11 @@ def word_tables(words: DataFrame, support: int = 3, coverage: float = 0.6) -> Da
     Everything left of the first column is the label. A page is small, so each is folded by itself.
     """
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        own = list(page.itertuples())
+    def run(page: list[tuple]) -> Iterator[tuple]:
+        own = [Word(*w) for w in page]
         bands = numeric_bands(own, support)
-        lines = [(k, sorted(g.itertuples(), key=lambda w: w.x0)) for k, g in page.groupby("line")]
-        rows = []
-        for k, line in lines:
+
+        def read(line: list[Word]) -> tuple[list[str], bool]:
             cells = [[] for _ in range(len(bands) + 1)]
             for w in line:
                 middle = (w.x0 + w.x1) / 2
@@ -47,15 +65,17 @@ def word_tables(words: DataFrame, support: int = 3, coverage: float = 0.6) -> Da
                 if at is not None:
                     cells[at].append(w.text)
             filled = sum(any(NUMBER.match(t) for t in c) for c in cells[1:])
-            rows.append(([" ".join(c) for c in cells], bool(bands) and filled >= coverage * len(bands)))
+            return [" ".join(c) for c in cells], bool(bands) and filled >= coverage * len(bands)
+
+        rows = [read(line) for line in _lines(own)]
         data = [i for i, (_, d) in enumerate(rows) if d]
-        if len(data) < support:
-            return pd.DataFrame([], columns=["doc", "page", "table", "row", "col", "text"])
-        kept = rows[max(0, data[0] - 1) : data[-1] + 1]
-        out = [(str(own[0].doc), int(own[0].page), 1, i, j, t) for i, (cells, _) in enumerate(kept) for j, t in enumerate(cells)]
-        return pd.DataFrame(out, columns=["doc", "page", "table", "row", "col", "text"])
+        if len(data) >= support:
+            for i, (cells, _) in enumerate(rows[max(0, data[0] - 1) : data[-1] + 1]):
+                for j, t in enumerate(cells):
+                    yield str(own[0].doc), int(own[0].page), 1, i, j, t
 
-    return words.groupBy("doc", "page").applyInPandas(run, CELLS)
+    own = words.withColumn("table", F.lit(1)).select(*Word._fields)
+    return folded(own, ["doc", "page"], ["line", "x0"], run, CELLS)
 
 
 def form_tables(lines: DataFrame, least: int = 3) -> DataFrame:
@@ -92,8 +112,8 @@ def torn_tables(cells: DataFrame, words: DataFrame, label_least: float = 0.9, va
 def word_grids(words: DataFrame, gap_share: float = 0.1, least_gap: float = 6.0) -> DataFrame:
     """Cells from the words of a table region: columns part at white gaps that at most `gap_share` of the rows cross."""
 
-    def run(region: pd.DataFrame) -> pd.DataFrame:
-        lines = [sorted(g.itertuples(), key=lambda w: w.x0) for _, g in sorted(region.groupby("line"))]
+    def run(region: list[tuple]) -> Iterator[tuple]:
+        lines = _lines([Word(*w) for w in region])
         edges = sorted({w.x0 for l in lines for w in l} | {w.x1 for l in lines for w in l})
         cuts, open_ = [], None
         for a, b in zip(edges, edges[1:]):
@@ -104,15 +124,15 @@ def word_grids(words: DataFrame, gap_share: float = 0.1, least_gap: float = 6.0)
                 cuts.append(open_)
                 open_ = None
         marks = [(a + b) / 2 for a, b in cuts if b - a >= least_gap]
-        out = []
+        doc, page, table = region[0][:3]
         for i, l in enumerate(lines):
             row = [[] for _ in range(len(marks) + 1)]
             for w in l:
                 row[sum((w.x0 + w.x1) / 2 > m for m in marks)].append(w.text)
-            out += [(str(region["doc"].iloc[0]), int(region["page"].iloc[0]), int(region["table"].iloc[0]), i, j, " ".join(t)) for j, t in enumerate(row)]
-        return pd.DataFrame(out, columns=["doc", "page", "table", "row", "col", "text"])
+            for j, t in enumerate(row):
+                yield str(doc), int(page), int(table), i, j, " ".join(t)
 
-    return words.groupBy("doc", "page", "table").applyInPandas(run, CELLS)
+    return folded(words.select(*Word._fields), ["doc", "page", "table"], ["line", "x0"], run, CELLS)
 
 
 def header_paths(cells: DataFrame, header_rows: int) -> DataFrame:
