@@ -92,6 +92,12 @@ def quote_places(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([[] if q is None or t is None else _rows(find_quote(q, t)) for q, t in zip(quote, text)])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def cut_out(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    """The stretches of a text between starts and ends, all in one go: Spark's substring goes through the text for each."""
+    return pd.Series([None if t is None else [t[i:j] for i, j in zip(a, b)] for t, a, b in zip(text, start, end)])
+
+
 @F.pandas_udf(SPANS)
 def token_places(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([[] if q is None or t is None else _rows(whole_tokens(q, t)) for q, t in zip(quote, text)])
