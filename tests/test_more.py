@@ -111,3 +111,34 @@ def test_workbooks_with_cover_and_criteria(spark, tmp_path):
     assert workbook.read_sheet(data) == [["ref", "title", "note"], *([str(i), f"t{i}", ""] for i in (3, 4, 5))]
     assert workbook.read_sheet(data, "cover") == [["Rows of", "ann"], ["Part", "2"], ["Rows", "3"], ["Title", "A < B"]] and workbook.read_sheet(data, "criteria")[1] == ["c1", "include", "adults & more"]
     assert workbook.read_sheet(open(files["b/ö", 0].path, "rb").read())[1] == ["1", "x", "=1+1"]
+
+
+def test_titles_are_scored_only_on_pages_that_can_show_them(spark, monkeypatch):
+    import pandas as pd
+
+    from veritrail.functions import similarity
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        asked.add(int(a.notna().sum()))
+        return similarity._pairs(lambda x, y: similarity.partial(*sorted((x, y), key=len))[0], a, b)
+
+    rng = random.Random(5)
+    title = "effects of early walking on recovery after surgery of the hip and knee"
+    rows = [("whole", title, "x " * 300 + title)]
+    for i in range(60):
+        own = list(title)
+        for _ in range(i % 8):  # edits of any kind, some of them too many
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(2)] = rng.choice(["", "q", "zz"])
+        rows.append((f"e{i}", title, "some words " * 9 + "".join(own) + " more words" * 9))
+    rows += [(f"far{i}", title, "".join(rng.choice("bcdfg ") for _ in range(400))) for i in range(20)]
+    want = {d: "match" if similarity.partial(t, anchors.re.sub(r"\W+", " ", p).strip())[0] >= 95 else "mismatch" for d, t, p in rows}
+    assert set(want.values()) == {"match", "mismatch"}
+    reports = spark.createDataFrame([(d, "10.1/none", t) for d, t, _ in rows], "doc string, doi string, title string")
+    pages = spark.createDataFrame([(d, 1, p) for d, _, p in rows], "doc string, page int, text string")
+    monkeypatch.setattr(similarity, "partial_ratio", counted)
+    assert {r.doc: r.state for r in anchors.check_pages(pages, reports).collect()} == want
+    assert asked.value <= 60  # neither a title that stands on the page whole nor pages unlike it

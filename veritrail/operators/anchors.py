@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.functions import similarity, spans
@@ -73,6 +73,22 @@ def remapped(anchors: DataFrame, layers: DataFrame, known: DataFrame) -> DataFra
     return known.unionByName(fresh)
 
 
+def _title_fit(title: Column, page: Column, least: int = 95) -> Column:
+    """The likeness of a title and the stretch of a page most like it, if it may be `least`; else null.
+
+    Such a stretch misses at most `lost` characters of the title and has as many others, so of 2 * lost + 1 parts of the
+    title one stands unchanged on the page: only pages with such a part are scored. A page shorter than the title can't show it.
+    """
+    n = F.length(title)
+    parts = 2 * F.floor(n * (100 - least) / 100 + 1e-9).cast("int") + 1
+    cut = lambda i: F.floor(i * n / parts + 1e-9).cast("int")
+    part = F.exists(F.sequence(F.lit(0), parts - 1), lambda i: F.contains(page, F.substr(title, cut(i) + 1, cut(i + 1) - cut(i))))
+    whole = F.contains(page, title)
+    near = (title != "") & (F.length(page) >= n) & ~whole & part
+    scored = similarity.partial_ratio(F.when(near, title), F.when(near, page))
+    return F.when((title != "") & whole, 100.0).otherwise(scored)
+
+
 def check_pages(pages: DataFrame, reports: DataFrame) -> DataFrame:
     """Whether the first three pages show the report's DOI (whole, over line ends) or one of the first two, each whole, its title: match, mismatch or unchecked."""
     head = pages.where("page <= 3").groupBy("doc").agg(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text"))).alias("head"))
@@ -85,10 +101,10 @@ def check_pages(pages: DataFrame, reports: DataFrame) -> DataFrame:
         return F.contains(joined, doi) & ~F.substr(joined, F.instr(joined, doi) + F.length("doi"), F.lit(1)).rlike("[0-9a-z]")
 
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)[^\w]+", " "))
-    title = plain(F.coalesce("title", F.lit("")))
-    page = [plain(F.array_join(texts(n), "\n")) for n in (1, 2)]
-    # a page shorter than the title can't show it, however well it fits a stretch of the title
-    like = F.greatest(*(F.when((title != "") & (F.length(p) >= F.length(title)), similarity.partial_ratio(title, p)).otherwise(0.0) for p in page))
+    once_a_row = lambda c: F.explode(F.array(c))  # noqa: E731  what stands in many expressions below is worked out once
+    own = own.withColumn("_t", once_a_row(F.struct(plain(F.coalesce("title", F.lit(""))).alias("title"), *(plain(F.array_join(texts(n), "\n")).alias(f"p{n}") for n in (1, 2)))))
+    title, page = F.col("_t.title"), [F.col("_t.p1"), F.col("_t.p2")]
+    like = F.greatest(*(_title_fit(title, p) for p in page))
     read = F.length(F.trim(F.array_join(texts(1, 2, 3), "\n"))) >= 20
     state = F.when(~read, "unchecked").when(F.coalesce(F.exists(texts(1, 2, 3), shows), F.lit(False)), "match").when(like >= 95, "match").otherwise("mismatch")
     return own.select("doc", state.alias("state"))
