@@ -54,3 +54,36 @@ def test_tiles_and_offsets(spark):
     whole = pages.PAGE_BREAK.join(t for _, _, t in texts)
     cut = {(r.kind, whole[r.start : r.end]) for r in pages.places(streamed).collect()}
     assert cut == {("word", w) for w in ("first", "line", "end-", "cell", "last")} | {("line", w) for w in ("first line", "end-", "cell", "last")} | {("cell", ""), ("cell", "cell"), ("table", "\tcell\n\n"), ("page", first), ("page", ""), ("page", "last")}
+
+
+def test_labels_near_one_another_are_all_found(spark):
+    import random
+
+    from veritrail.functions import similarity
+
+    rng = random.Random(3)
+    words = ["mean", "total", "of", "pain", "scores", "at", "baseline", "a", "in", "hospital", "000000123", "000000124", "customer"]
+    texts = {" ".join(rng.choices(words, k=rng.randrange(1, 12))) for _ in range(60)}
+    for t in list(texts):
+        at = rng.randrange(len(t))
+        texts |= {t[:at] + rng.choice(["", "q", "zz"]) + t[at + rng.randrange(3) :], t + " x", t.replace(" ", "", 1)}
+    texts = sorted(" ".join(t.split()) for t in texts if t.strip())
+    labels = spark.createDataFrame([("s", t, t) for t in texts], "schema string, label string, _fl string")
+    wanted = spark.createDataFrame([("s", t, t) for t in texts[::4]], "schema string, alias string, _fa string")
+    for least in (0.97, 0.9):
+        want = {(a, b) for a in texts[::4] for b in texts if set(a.split()) & set(b.split()) and similarity.token_set(a, b) >= 100 * least}
+        got = {(r.alias, r.label) for r in located.near_labels(labels, wanted, least).collect()}
+        assert want <= got
+    assert len(got) < len(texts) * len(texts[::4])
+
+
+def test_labels_that_are_alike_by_number_are_not_all_compared(spark, monkeypatch):
+    asked, ratio = spark.sparkContext.accumulator(0), located.similarity.token_set_ratio
+    tap = F.udf(lambda x: (asked.add(1), x)[1])
+    monkeypatch.setattr(located.similarity, "token_set_ratio", lambda a, b: ratio(tap(a), b))
+    cells = [("d", 1, 1, r, c, r < 1, [], v, 100 * r + 10 * c, 100 * r + 10 * c + 5) for r in range(121) for c, v in enumerate([f"Customer#{r:09d}" if r else "", str(r) if r else "Key"])]
+    found = located.evidence(spark.createDataFrame(cells, CELLS)).withColumn("schema", F.col("doc"))
+    fields = spark.createDataFrame([("d", "e", "t", f"a{r}", "q", "count", None, "table_label", [f"Customer#{r:09d}"], [], ["Key"]) for r in range(1, 61)], FIELDS)
+    got = {r.path: (r.status, r.cell.text) for r in located.located(found, fields).collect()}
+    assert got == {f"/e/t/a{r}/q": ("extracted", str(r)) for r in range(1, 61)}
+    assert asked.value < 1000  # of 7,200 pairs

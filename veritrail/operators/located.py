@@ -86,10 +86,45 @@ def evidence(cells: DataFrame) -> DataFrame:
     return found.join(first, [*key, "col"]).select(*key, F.col("_n").alias("row"), "col", "text", "label", "section", "column", "start", "end")
 
 
+def near_labels(labels: DataFrame, wanted: DataFrame, least: float) -> DataFrame:
+    """(schema, label, alias, _fl, _fa): pairs that share a folded word, all with a token set ratio of at least `least` (0 to 1) among them, and few others.
+
+    Such texts a and b hold one another's words; or one's words but for a rest so short that of its rarest words one is shared; or
+    they differ by `d` single insertions and deletions at most: then of d + 1 parts of a's rarest word one stands unchanged in b, and
+    the lengths are close, and as far apart as d is odd or even.
+    """
+    least -= 1e-9
+    parts = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    counts = labels.select("schema", F.explode(parts(F.col("_fl"))).alias("w")).groupBy("schema", "w").agg(F.count(F.lit(1)).alias("f"))
+
+    def ranked(df: DataFrame, name: str, folded: str, to: str) -> DataFrame:
+        each = df.withColumn("w", F.explode(parts(F.col(folded)))).join(counts, ["schema", "w"], "left")
+        words = F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "w")))
+        own = each.groupBy("schema", name, folded).agg(F.transform(words, lambda x: x["w"]).alias(f"{to}w"))
+        n = F.length(F.array_join(f"{to}w", " "))
+        rest = F.floor(2 * n * (1 - least) / (2 - least) + 1e-6)
+        return written(own.withColumn(f"{to}n", n).withColumn(f"{to}first", F.slice(f"{to}w", F.lit(1), (F.floor(rest / 2) + 1).cast("int"))))
+
+    a, b = ranked(wanted, "alias", "_fa", "a"), ranked(labels, "label", "_fl", "b")
+    side = lambda df, c: df.withColumn("w", F.explode(c))
+    out = ["schema", "label", "alias", "_fl", "_fa"]
+    shared = side(a, "afirst").join(side(b, "bw"), ["schema", "w"]).select(out).union(side(a, "aw").join(side(b, "bfirst"), ["schema", "w"]).select(out))
+    n, m = F.col("an"), F.col("bn")
+    sizes = F.sequence(F.floor(n * least / (2 - least)), F.ceil(n * (2 - least) / least))
+    edits = F.floor((1 - least) * (n + m) + 1e-6)
+    sized = side(a, "aw").drop("w").distinct().withColumn("bn", F.explode(sizes)).withColumn("d", (edits - (edits + n + m) % 2).cast("int")).where("d >= 1 and abs(an - bn) <= d")
+    word = F.get("aw", F.lit(0))
+    cut = lambda i: F.floor(i * F.length(word) / (F.col("d") + 1) + 1e-9).cast("int")
+    part = F.exists(F.sequence(F.lit(0), F.col("d")), lambda i: F.contains("_fl", F.substr(word, cut(i) + 1, cut(i + 1) - cut(i))))
+    edited = sized.join(b.withColumn("bn", F.col("bn").cast("long")), ["schema", "bn"]).where(F.arrays_overlap("aw", "bw") & part).select(out)
+    return shared.union(edited).distinct()
+
+
 def located(cells: DataFrame, fields: DataFrame, threshold: float = 0.75, gap: float = 0.03) -> DataFrame:
     """(doc, schema, path, status, cell): the evidence cell that fits each locator best. cells: evidence with a column schema.
 
     Label, section and column are compared as the other readings do; only labels that share a folded word with a locator's are. Another value within the gap makes a field ambiguous.
+    Where a cell of each document fits a locator wholly, only labels within the gap can matter, so others aren't compared.
     """
     fold = lambda c: F.array_join(text.words_folded(F.coalesce(c, F.lit(""))), " ")
     words = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: w != "")))
@@ -98,9 +133,6 @@ def located(cells: DataFrame, fields: DataFrame, threshold: float = 0.75, gap: f
     plan = written(locators(fields).select("schema", "path", F.explode("locate.labels").alias("alias"), F.col("locate.section_labels").alias("_s"), F.col("locate.column_labels").alias("_c")))
     labels = written(value.select("schema", "label").distinct().withColumn("_fl", fold(F.col("label"))))
     wanted = written(plan.select("schema", "alias").distinct().withColumn("_fa", fold(F.col("alias"))))
-    met = labels.withColumn("w", words(F.col("_fl"))).join(wanted.withColumn("w", words(F.col("_fa"))), ["schema", "w"]).select("schema", "label", "alias", "_fl", "_fa").distinct()
-    met = met.withColumn("_l", like(F.col("_fl"), F.col("_fa"))).where(F.col("_l") >= threshold).drop("_fl", "_fa")
-    pairs = met.join(plan, ["schema", "alias"]).join(value, ["schema", "label"])
     best = lambda c, wants: F.when(F.col(wants).isNull(), F.lit(1.0)).otherwise(F.coalesce(F.col(c), F.lit(0.0)))
 
     def named(df: DataFrame, c: str, wants: str, name: str) -> DataFrame:
@@ -111,10 +143,23 @@ def located(cells: DataFrame, fields: DataFrame, threshold: float = 0.75, gap: f
         top = every.withColumn("_w", F.explode("_ws")).join(scored, ["_k", "_w"]).groupBy("_k", "_ws").agg(F.max("_x").alias(name))
         return df.join(top, (F.coalesce(F.col(c), F.lit("")) == top["_k"]) & (F.col(wants) == top["_ws"]), "left").drop("_k", "_ws")
 
-    pairs = named(named(pairs, "section", "_s", "_sx"), "column", "_c", "_cx")
-    score = F.col("_l") * (0.7 + 0.3 * best("_sx", "_s")) * best("_cx", "_c")
-    cell = F.struct("page", "table", "row", "col", "text", "start", "end")
-    scored = pairs.select("doc", "schema", "path", F.round(score, 9).alias("score"), cell.alias("cell")).where(F.col("score") >= threshold)
+    def fits(met: DataFrame) -> DataFrame:
+        """(doc, schema, path, score, cell) from the threshold on, of pairs (schema, label, alias, _l)."""
+        pairs = written(met.join(plan, ["schema", "alias"]).join(value, ["schema", "label"]))
+        pairs = named(named(pairs, "section", "_s", "_sx"), "column", "_c", "_cx")
+        score = F.col("_l") * (0.7 + 0.3 * best("_sx", "_s")) * best("_cx", "_c")
+        cell = F.struct("page", "table", "row", "col", "text", "start", "end")
+        return pairs.select("doc", "schema", "path", F.round(score, 9).alias("score"), cell.alias("cell")).where(F.col("score") >= threshold)
+
+    equal = labels.join(wanted, (labels["schema"] == wanted["schema"]) & (F.col("_fl") == F.col("_fa"))).where("_fl <> ''").select(labels["schema"], "label", "alias", F.lit(1.0).alias("_l"))
+    whole = fits(equal).where("score = 1").select("schema", "path", "doc").distinct().groupBy("schema", "path").agg(F.count(F.lit(1)).alias("n"))
+    docs = value.select("schema", "doc").distinct().groupBy("schema").agg(F.count(F.lit(1)).alias("n"))
+    settled = whole.join(docs, ["schema", "n"]).select("schema", "path")
+    open_ = written(plan.join(settled, ["schema", "path"], "left_anti").select("schema", "alias").distinct())
+    every, near = wanted.join(open_, ["schema", "alias"], "left_semi"), wanted.join(open_, ["schema", "alias"], "left_anti")
+    met = labels.withColumn("w", words(F.col("_fl"))).join(every.withColumn("w", words(F.col("_fa"))), ["schema", "w"]).select("schema", "label", "alias", "_fl", "_fa").distinct()
+    met = met.union(near_labels(labels, near, max(threshold, 1 - gap)))
+    scored = fits(met.withColumn("_l", like(F.col("_fl"), F.col("_fa"))).where(F.col("_l") >= threshold).drop("_fl", "_fa"))
     by_value = scored.groupBy("doc", "schema", "path", "cell.text").agg(F.max("score").alias("score"), F.min_by("cell", F.struct(-F.col("score"), "cell")).alias("cell"))
     order = Window.partitionBy("doc", "schema", "path").orderBy(F.desc("score"), "cell")
     ranked = by_value.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order)).where("_n = 1")
