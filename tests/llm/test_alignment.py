@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
@@ -113,3 +114,16 @@ def test_many_chunks(spark):
     want = brute(rows)
     assert [(r["doc_id"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups"]) for r in found] == [(w[0], w[1], w[2], w[3], w[4], w[8]) for w in want]
     assert max(totals.values()) == 40
+
+
+def test_pieces_are_encoded_some_at_a_time(monkeypatch):
+    pair = L.Pair(*L.default_vocabularies())
+    texts = [f" word{i} and" for i in range(50)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in texts])
+    whole = pair.encode(raw, end - [len(t) for t in texts], end)
+    asked, model = [], pair.b
+    pair.b = type("Counted", (), {"encode": lambda self, found, **more: asked.append(len(found)) or model.encode(found, **more)})()
+    monkeypatch.setattr(L, "BATCH", 8)
+    parts = pair.encode(raw, end - [len(t) for t in texts], end)
+    assert max(asked) == 8 and sum(asked) == 50 and all((x == y).all() for x, y in zip(whole, parts))

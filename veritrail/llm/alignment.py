@@ -33,6 +33,8 @@ SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 SCORED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64()), ("groups_sha256", pa.string()), ("groups", pa.string())])
 #: Bytes of text in a chunk (or one longer document).
 CHUNK = 6 << 20
+#: Pieces that are encoded at once.
+BATCH = 8192
 #: kinds of rows: a document, a chunk's count of one pair
 DOCUMENT, PAIR = 0, 1
 
@@ -105,9 +107,12 @@ class Pair:
         """(ids of A, their numbers, ids of B, their numbers) of pieces of raw. B puts a space before a text itself."""
         ids_a, n_a = self.a._encode(raw, start, end)
         data = raw.tobytes()
-        found = self.b.encode([data[x + 1 : y].decode() for x, y in zip(start.tolist(), end.tolist())], num_threads=1)
-        n_b = np.array([len(f) for f in found], np.int64)
-        return ids_a, n_a.astype(np.int64), np.fromiter((i for f in found for i in f), np.int32, int(n_b.sum())), n_b
+        ids_b, n_b = [np.zeros(0, np.int32)], np.zeros(len(start), np.int64)
+        for lo in range(0, len(start), BATCH):  # lists of ids are large: some pieces at a time
+            found = self.b.encode([data[x + 1 : y].decode() for x, y in zip(start[lo : lo + BATCH].tolist(), end[lo : lo + BATCH].tolist())], num_threads=1)
+            n_b[lo : lo + BATCH] = own = [len(f) for f in found]
+            ids_b.append(np.fromiter((i for f in found for i in f), np.int32, sum(own)))
+        return ids_a, n_a.astype(np.int64), np.concatenate(ids_b), n_b
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -169,6 +174,7 @@ def chunk_rows(pair: Pair, number: int, doc_ids: pa.Array, raw: np.ndarray, off:
     whose[by] = np.cumsum(new) - 1
     doc = np.searchsorted(off, start, side="right") - 1
     s, e = start[head], end[head]
+    del names, by, new, start, end
     ids_a, n_a, ids_b, n_b = pair.encode(raw, s, e)
     wrong = pair.spell_a.wrong(ids_a, n_a, raw, s, e - s) | pair.spell_b.wrong(ids_b, n_b, raw, s, e - s)
     bad = np.zeros(docs, bool)
@@ -185,11 +191,19 @@ def chunk_rows(pair: Pair, number: int, doc_ids: pa.Array, raw: np.ndarray, off:
     con.register("b_rows", pa.table({"i": np.arange(len(ids_b)), "id": ids_b, "s": e_b - pair.spell_b.size[ids_b], "e": e_b}))
     con.register("occurrences", pa.table({"doc": doc.astype(np.int32), "piece": whose.astype(np.int32)}))
     con.execute("CREATE TABLE a AS FROM a_rows; CREATE TABLE b AS FROM b_rows")
-    for step in (SPANS, GROUPED, GROUPS, INSIDE, LINKS.format(size=pair.size_b), HELD):
+    con.unregister("a_rows"), con.unregister("b_rows")
+    for step, done in ((SPANS, "a"), (GROUPED, "ends"), (GROUPS, None), (INSIDE, "b")):  # a table goes when its last reader has run
         con.execute(step)
+        if done:
+            con.execute(f"DROP TABLE {done}")
     grp_a = con.execute("SELECT grp FROM ga ORDER BY i").fetchnumpy()["grp"]
     grp_b = con.execute("SELECT grp FROM gb ORDER BY i").fetchnumpy()["grp"]
     of_group = con.execute("SELECT piece FROM groups ORDER BY grp").fetchnumpy()["piece"]
+    con.execute("DROP TABLE groups")
+    con.execute(LINKS.format(size=pair.size_b))
+    con.execute("DROP TABLE ga; DROP TABLE gb")
+    con.execute(HELD)
+    con.execute("DROP TABLE links")
     counts = con.execute("SELECT pair, count(*) AS n FROM held GROUP BY pair ORDER BY pair").fetchnumpy()
     held = con.execute("SELECT doc, pair, n FROM held ORDER BY doc, pair").fetchnumpy()
     con.close()
