@@ -61,3 +61,11 @@ def test_a_score_ends_early_only_below_the_least():
         b = changed(rng, a, rng.randrange(1 + len(a) // 4), "abcd ")
         whole = similarity.ratio(a, b)
         assert similarity.ratio_within(a, similarity.letter_places(a), b, 90) == (whole if whole >= 90 else None)
+
+
+def test_many_scores_side_by_side():
+    rng = random.Random(6)
+    titles = ["".join(rng.choice("abcdé ") for _ in range(rng.choice((1, 7, 8, 9, 63, 64, 65, 130)))) for _ in range(60)] + [""]
+    packed = [similarity.packed_places(t) for t in titles]
+    for b in titles:
+        assert similarity.lcs_of_many(b, packed).tolist() == [similarity.lcs(t, b) for t in titles]
