@@ -104,3 +104,16 @@ def test_ids_are_kept(spark):
     library = Tokenizer.from_file(K.default_vocabulary())
     ids = np.concatenate([np.frombuffer(bytes(r.ids), "<u4") for r in sorted(out, key=lambda r: (r.doc_id, r.piece))])
     assert ids.tolist() == library.encode("to be or not to be", add_special_tokens=False).ids + [0] + library.encode("x " * 50, add_special_tokens=False).ids + [0]
+
+
+def test_words_are_kept_beyond_the_bound_of_token_output():
+    """A worker that met more words than token output keeps still knows them; ids don't depend on what is kept."""
+    from veritrail.llm import token_output
+
+    coder = K.WordEncoder(K.default_vocabulary())
+    assert coder.keep > token_output.KEEP == token_output.Encoder.keep
+    raw, off = np.frombuffer(b"one two three one", np.uint8), np.array([0, 17])
+    first, _ = coder.encode(raw, off, 0)
+    coder.keep = 2
+    again, _ = coder.encode(raw, off, 0)
+    assert len(coder.h1) == 3 and first.tolist() == again.tolist()

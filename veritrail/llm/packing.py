@@ -50,6 +50,8 @@ def default_vocabulary() -> str:
 class WordEncoder(Encoder):
     """Ids of texts for a vocabulary that drops white space: each word is encoded by itself, and once."""
 
+    keep = 1_500_000  # some 40 bytes each: to encode a word anew costs more than all else
+
     def __init__(self, path: str):
         super().__init__(path)
         self.closes = np.zeros(self.size, bool)  # ids that end a word of the tokenizer

@@ -79,6 +79,8 @@ def piece_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of texts, as the tokenizers library gives them. Pieces are known by two 64-bit hashes."""
 
+    keep = KEEP
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would keep memory of their own
         from tokenizers import Tokenizer
@@ -158,7 +160,7 @@ class Encoder:
         head = by[np.concatenate(([True], h1[by[1:]] != h1[by[:-1]]))] if len(by) else by
         group = np.empty(len(by), np.int64)
         group[by] = np.cumsum(np.concatenate(([True], h1[by[1:]] != h1[by[:-1]]))) - 1 if len(by) else by
-        if len(self.h1) > KEEP:
+        if len(self.h1) > self.keep:
             self._clear()
         place = np.searchsorted(self.h1, h1[head])
         place[place == len(self.h1)] = 0
