@@ -171,6 +171,32 @@ def test_coder_finds_damage():
         token_coder.read_file(io.BytesIO(bytes(raw)))
 
 
+def test_coder_lanes_share_nothing_and_lower_bytes_stand_alone():
+    r = np.random.default_rng(3)
+    ids = np.stack([r.integers(0, 50257, 2048), np.zeros(2048, np.int64), np.arange(2048) % 7, np.full(2048, 50256)]).astype(np.int32)
+    payloads = token_coder.encode(ids, 50257)
+    assert payloads[2:3] == token_coder.encode(ids[2:3], 50257) and (token_coder.decode(payloads, 50257) == ids).all()
+    assert 8 * sum(map(len, payloads[0])) < 16.5 * 2048 and sum(map(len, payloads[1])) < 300
+
+
+def test_repeated_pieces_outlive_those_that_came_once():
+    coder = token_output.Encoder(token_output.default_vocabulary())
+    coder.keep = 40
+
+    def encode(text):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        ids, counts = coder.encode(raw, np.array([0, len(raw)]), 0)
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids + [0] and counts.tolist() == [len(ids)]
+
+    encode(" often again")
+    for i in range(30):
+        encode(" often again" + "".join(f" w{i}x{j}" for j in range(9)))
+        assert len(coder.h1) <= coder.keep + 12
+    known = len(coder.h1)
+    encode(" often again")
+    assert len(coder.h1) in (known, 2)  # both were kept
+
+
 def test_token_output(spark):
     from tokenizers import Tokenizer
 

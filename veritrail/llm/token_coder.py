@@ -4,12 +4,15 @@ Ids are coded in blocks that share nothing: each starts from an empty model and
 CRC-32 of its ids. In a block, the ids last seen after the last two ids (order 2), after the
 last id (order 1) and the prevailing id (order 0) are predictions with confidences. What is
 coded is which prediction holds, or that none does; its probabilities mix three adaptive
-distributions, one for each order, with weights that follow how well each did. An id that
-no prediction gave is coded by an adaptive order-0 distribution of its upper part and a flat
-one of its lower byte. All arithmetic is on integers, so a file decodes alike everywhere.
+distributions, one for each order, with weights that follow how well each did. Of an id that
+no prediction gave, the upper part is coded by an adaptive order-0 distribution and the lower
+byte, whose distribution is flat, is written as it is. All arithmetic is on integers, so a
+file decodes alike everywhere.
 
-The model is refreshed every REFRESH ids. Many blocks are coded side by side, one numpy lane
-each: a lane's bytes don't depend on the other lanes.
+The model is refreshed at the ends of PERIODS. Many blocks are coded side by side, one numpy
+lane each: a lane's bytes don't depend on the other lanes. A step is a row of numpy calls over
+all lanes into arrays that are made once; what doesn't depend on the step before (an encoder's
+distributions, the counts that the model learns from) is done for a period at once.
 """
 
 from __future__ import annotations
@@ -21,45 +24,81 @@ import numpy as np
 
 BLOCK = 2048
 LANES = 2048
-SLOTS = 2048
-REFRESH = 64
-UPPER_REFRESH = 256
+SLOTS = 1024
+#: Where the model is refreshed: soon at first, when it knows little.
+PERIODS = (32, 96, 192, 320, 512, 768, 1024, 1344, 1696)
 TOTAL_BITS = 12
 UPPER_BITS = 10
-MAGIC = b"VTTK2\n"
+#: One id is one step of the coder: outcome and upper part share its range.
+WHOLE_BITS = TOTAL_BITS + UPPER_BITS
+LOWEST = 1 << 31  # a range below this takes in 32 more bits
+MAGIC = b"VTTK3\n"
+
+
+# numpy takes arrays of no dimension much faster than Python's integers
+ONE, TWO, THREE, FOUR, TAKEN, UPPER, WHOLE, LEAST = (np.array(n) for n in (1, 2, 3, 4, 32, UPPER_BITS, WHOLE_BITS, LOWEST))
+#: By id: its place among the slots, what it adds to that of the next id, and how it is kept with confidence 1.
+_ID = np.arange(1 << 16, dtype=np.int64)
+NOW, BEFORE, KNOWN = (_ID * 40503 >> 5) & (SLOTS - 1), (_ID * 30011 >> 3) & (SLOTS - 1), _ID << 2 | 1
+
+
+def periods(length: int) -> list[tuple[int, int]]:
+    cut = [0, *(p for p in PERIODS if p < length), length]
+    return list(zip(cut, cut[1:]))
 
 
 class Model:
     def __init__(self, lanes: int, vocabulary: int):
         self.lanes = lanes
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.two = np.zeros(lanes * SLOTS, np.int32)  # id << 2 | confidence
-        self.one = np.zeros(lanes * SLOTS, np.int32)
-        self.common = np.zeros(lanes, np.int32)
-        self.votes = np.zeros(lanes, np.int32)
-        self.a = np.zeros(lanes, np.int64)
-        self.b = np.zeros(lanes, np.int64)
-        self.slot_base = self.lane * SLOTS
+        self.lane, self.wide = np.arange(lanes, dtype=np.int64), np.array(lanes)
+        self.seen = np.zeros(lanes * 2 * SLOTS, np.int32)  # id << 2 | confidence: by the last two ids, then by the last one
+        self.common, self.votes = np.zeros((1, lanes), np.int64), np.zeros((1, lanes), np.int64)
+        self.base = self.lane * (2 * SLOTS) + np.array([[0], [SLOTS]])
+        self.at = self.base.copy()
+        self.hash, self.before, self.known = (np.zeros(lanes, np.int64) for _ in range(3))
+        self.found32, self.new32 = np.zeros((2, lanes), np.int32), np.zeros((2, lanes), np.int32)
+        self.found, self.sure = np.zeros((2, lanes), np.int64), np.zeros((2, lanes), np.int64)
+        self.ids = np.zeros((4, lanes), np.int64)  # by outcome: given by order 2, order 1, order 0, and by none
+        self.given = self.ids[:2]
+        self.match = np.zeros((2, lanes), bool)
         self.count = np.zeros((lanes, 4, 4, 4), np.int64)  # by confidences of order 2 and 1, by outcome
-        self.fresh = np.zeros(lanes * 64, np.int64)
         self.weight = np.full((lanes, 3), 21845, np.int64)
         self.parts: tuple | None = None
         self.uppers = -(-vocabulary // 256)
-        self.upper_count = np.zeros((lanes, self.uppers), np.int32)
-        self.step = 0
-        self._mix()
+        prior = 512 // (np.arange(self.uppers) + 8)  # public vocabularies begin with the frequent ids
+        self.upper_count = np.tile(prior.astype(np.int64), (lanes, 1))
+        self._mix(None, 1)
+        self._upper()
+
+    def learn(self, places: np.ndarray, ids: np.ndarray) -> None:
+        """Refresh the model by a period's outcomes, (steps, lanes) places of them in the counts, and its ids."""
+        fresh = np.bincount(places.ravel(), minlength=self.lanes * 64).reshape(-1, 4, 4, 4)
+        rest = np.flatnonzero((places & 3).ravel() == 3)
+        cells = (self.lane * self.uppers + (ids >> 8)).ravel()[rest]
+        self.upper_count += np.bincount(cells, minlength=self.lanes * self.uppers).reshape(self.lanes, -1)
+        self._mix(fresh, len(ids))
         self._upper()
+        self._prevail(ids)
+
+    def _prevail(self, ids: np.ndarray) -> None:
+        """The prevailing id, by votes: of two candidates the stronger one stays, with what it has more."""
+        a, n = np.concatenate((self.common, ids)), np.concatenate((self.votes, np.ones_like(ids)))
+        while len(a) > 1:
+            half = len(a) // 2
+            x, y, v, w = a[:half], a[half : 2 * half], n[:half], n[half : 2 * half]
+            one, many = np.where(v >= w, x, y), np.where(x == y, v + w, np.abs(v - w))
+            a, n = np.concatenate((one, a[2 * half :])), np.concatenate((many, n[2 * half :]))
+        self.common, self.votes = a, n
+        self.ids[2] = a[0]
 
-    def _mix(self) -> None:
+    def _mix(self, fresh: np.ndarray | None, steps: int) -> None:
         """Refresh the distributions of the three orders, their weights and the mixture."""
-        fresh = self.fresh.reshape(-1, 4, 4, 4)
-        if self.parts is not None:
+        if fresh is not None:
             two, one, zero = self.parts
             did = np.stack([(fresh.sum(2) * two).sum((1, 2)), (fresh.sum(1) * one).sum((1, 2)), (fresh.sum((1, 2)) * zero).sum(1)], 1)
-            weight = self.weight // 2 + did // REFRESH + 512
+            weight = self.weight // 2 + did // steps + 512
             self.weight = weight * 65536 // weight.sum(1, keepdims=True)
             self.count += fresh
-            self.fresh[:] = 0
         parts = []
         for c in (self.count.sum(2), self.count.sum(1), self.count.sum((1, 2))):
             c = c * 4 + np.array([1, 1, 1, 5])
@@ -70,160 +109,177 @@ class Model:
         size = 1 << TOTAL_BITS
         freq = 1 + ((mixed * (size - 4)) >> 16)
         freq[..., 3] += size - freq.sum(-1)
-        self.freq = freq.reshape(-1).astype(np.int32)
-        self.low = (np.cumsum(freq, -1) - freq).reshape(-1).astype(np.int32)
+        low = np.cumsum(freq, -1) - freq
+        self.part, self.begin = freq.reshape(-1), (low << UPPER_BITS).reshape(-1)
+        self.edges = [np.ascontiguousarray(low[..., i]).reshape(-1) for i in (1, 2, 3)]
 
     def _upper(self) -> None:
+        """Shares of the upper parts, and where they begin; in the last cell, for what was predicted, all is one share."""
         size = 1 << UPPER_BITS
-        n = np.maximum(self.upper_count.sum(1, keepdims=True), 1)
+        n = self.upper_count.sum(1, keepdims=True)
         freq = 1 + self.upper_count * (size - self.uppers) // n
         freq[:, -1] += size - freq.sum(1)
-        self.upper_freq = freq.reshape(-1).astype(np.int32)
-        self.upper_low = (np.cumsum(freq, 1) - freq).reshape(-1).astype(np.int32)
-        self.upper_of = np.repeat(np.tile(np.arange(self.uppers, dtype=np.uint8), self.lanes), self.upper_freq)
+        self.upper_share = np.append(freq, size)
+        self.upper_begin = np.append(np.cumsum(freq, 1) - freq, 0)
 
     def predict(self) -> None:
-        """Predictions of the three orders, and the place of the outcome's distribution."""
-        self.at2 = self.slot_base + (((self.a * 40503 + self.b * 30011) >> 3) & (SLOTS - 1))
-        self.at1 = self.slot_base + ((self.b * 40503 >> 5) & (SLOTS - 1))
-        two, one = self.two[self.at2], self.one[self.at1]
-        self.k2, self.k1 = two & 3, one & 3
-        self.p2, self.p1 = two >> 2, one >> 2
-        self.place = self.lane * 64 + (self.k2 * 16 + self.k1 * 4)
-
-    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        self.fresh[self.place + outcome] += 1
-        self.two[self.at2] = (ids << 2) | np.where(ids == self.p2, np.minimum(self.k2 + 1, 3), 1)
-        self.one[self.at1] = (ids << 2) | np.where(ids == self.p1, np.minimum(self.k1 + 1, 3), 1)
-        same = ids == self.common
-        self.votes += np.where(same, 1, -1).astype(np.int32)
-        turn = self.votes < 0
-        np.copyto(self.common, ids, where=turn)
-        np.copyto(self.votes, 1, where=turn)
-        self.a, self.b = self.b, ids.astype(np.int64)
-        self.step += 1
-        if self.step % REFRESH == 0:
-            self._mix()
-        if self.step % UPPER_REFRESH == 0:
-            self._upper()
+        """What orders 2 and 1 have seen: found, (2, lanes)."""
+        self.seen.take(self.at, out=self.found32, mode="clip")
+        self.found[:] = self.found32
+        np.bitwise_and(self.found, THREE, out=self.sure)
+        np.right_shift(self.found, TWO, out=self.given)
 
+    def update(self, ids: np.ndarray) -> None:
+        np.equal(self.given, ids, out=self.match)
+        np.minimum(self.sure, TWO, out=self.found)
+        np.multiply(self.found, self.match, out=self.found)
+        KNOWN.take(ids, out=self.known, mode="clip")
+        np.add(self.found, self.known, out=self.found)
+        self.new32[:] = self.found
+        self.seen[self.at] = self.new32
+        NOW.take(ids, out=self.hash, mode="clip")
+        np.bitwise_xor(self.hash, self.before, out=self.at[0])
+        self.at[1] = self.hash
+        np.add(self.at, self.base, out=self.at)
+        BEFORE.take(ids, out=self.before, mode="clip")
 
-#: One id is one step of the coder: outcome, upper part and lower byte share its range.
-WHOLE_BITS = TOTAL_BITS + UPPER_BITS + 8
-REST_BITS = UPPER_BITS + 8
-LOWEST = 1 << 32  # a range below this takes in 16 more bits
 
-
-def encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
-    """ids: (blocks, BLOCK) int32. The payload of every block."""
+def encode(ids: np.ndarray, vocabulary: int) -> list[tuple[bytes, bytes]]:
+    """ids: (blocks, BLOCK). The payload of every block: digits of the range coder, and lower bytes."""
     lanes, length = ids.shape
     m = Model(lanes, vocabulary)
     columns = np.ascontiguousarray(ids.T)
-    low = np.zeros(lanes, np.int64)
-    width = np.full(lanes, (1 << 48) - 1, np.int64)
-    out = np.zeros((lanes, 2 * length + 8), np.int32)
-    flat, size = out.reshape(-1), out.shape[1]
+    low = np.zeros(lanes, np.uint64)
+    width = np.full(lanes, (1 << 63) - 1, np.uint64)
+    unit, added = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64)
+    size = length * WHOLE_BITS // 32 + 4
+    out = np.zeros((lanes, size), np.uint64)
+    flat = out.reshape(-1)
     place = m.lane * size
     row = m.lane * m.uppers
-    upper_count = m.upper_count.reshape(-1)
-    for t in range(length):
-        now = columns[t]
-        m.predict()
-        outcome = np.where(now == m.p2, 0, np.where(now == m.p1, 1, np.where(now == m.common, 2, 3)))
-        at = m.place + outcome
-        part = m.freq[at].astype(np.int64)
-        begin, share = m.low[at].astype(np.int64) << REST_BITS, part << REST_BITS
-        rest = np.flatnonzero(outcome == 3)
-        if len(rest):
-            own = now[rest]
-            upper = row[rest] + (own >> 8)
-            f, p = m.upper_freq[upper], part[rest]
-            begin[rest] += p * ((m.upper_low[upper] << 8) + f * (own & 255))
-            share[rest] = p * f
-            upper_count[upper] += 1
-        unit = width >> WHOLE_BITS
-        begin *= unit
-        low += begin
-        np.multiply(unit, share, out=width)
-        narrow = np.flatnonzero(width < LOWEST)
-        while len(narrow):
-            x, y = low[narrow], place[narrow]
-            flat[y] = x >> 32  # a carry stays in the digit until the end
-            place[narrow] = y + 1
-            low[narrow] = (x & 0xFFFFFFFF) << 16
-            w = width[narrow] << 16
-            width[narrow] = w
-            narrow = narrow[w < LOWEST]
-        m.update(now, outcome)
-    for k in range(3):
-        flat[place + k] = (low >> (32 - 16 * k)) & (0x1FFFF if k == 0 else 0xFFFF)
-    used = place + 3 - m.lane * size
-    for i in range(int(used.max()) - 1, 0, -1):
-        out[:, i - 1] += out[:, i] >> 16
-    out &= 0xFFFF
-    digits = out.astype(">u2")
-    return [digits[i, :n].tobytes() for i, n in enumerate(used.tolist())]
+    small = np.zeros(lanes, bool)
+    bits, kept, taken, mask, lowest = (np.array(n, np.uint64) for n in (WHOLE_BITS, 31, 32, LOWEST - 1, LOWEST))
+    is_rest = np.zeros((length, lanes), bool)
+    for a, b in periods(length):
+        now = columns[a:b].astype(np.int64)
+        found = np.empty((b - a, 2, lanes), np.int64)
+        for t in range(b - a):
+            m.predict()
+            found[t] = m.found
+            m.update(now[t])
+        two, one = found[:, 0], found[:, 1]
+        outcome = np.where(now == two >> 2, 0, np.where(now == one >> 2, 1, np.where(now == m.common, 2, 3)))
+        places = m.lane * 64 + ((two & 3) * 16 + (one & 3) * 4 + outcome)
+        rest = np.equal(outcome, 3, out=is_rest[a:b])
+        cell = np.where(rest, row + (now >> 8), lanes * m.uppers)
+        part = m.part.take(places, mode="clip")
+        begin = (m.begin.take(places, mode="clip") + part * m.upper_begin.take(cell, mode="clip")).view(np.uint64)
+        share = (part * m.upper_share.take(cell, mode="clip")).view(np.uint64)
+        for t in range(b - a):
+            np.right_shift(width, bits, out=unit)
+            np.multiply(begin[t], unit, out=added)
+            np.add(low, added, out=low)
+            np.multiply(unit, share[t], out=width)
+            np.less(width, lowest, out=small)
+            narrow = small.nonzero()[0]
+            if len(narrow):
+                x, y = low.take(narrow), place.take(narrow)
+                flat[y] = x >> kept  # a carry stays in the digit until the end
+                place[narrow] = y + 1
+                low[narrow] = (x & mask) << taken
+                width[narrow] = width.take(narrow) << taken
+        m.learn(places, now)
+    flat[place] = low >> kept
+    flat[place + 1] = (low & mask) << np.uint64(1)
+    used = place + 2 - m.lane * size
+    while (carry := out >> taken).any():
+        out &= np.uint64(0xFFFFFFFF)
+        out[:, :-1] += carry[:, 1:]
+    digits = out.astype(">u4")
+    lower = columns.astype(np.uint8)
+    return [(digits[i, :n].tobytes(), lower[is_rest[:, i], i].tobytes()) for i, n in enumerate(used.tolist())]
 
 
-def decode(payloads: list[bytes], vocabulary: int, length: int = BLOCK) -> np.ndarray:
+def decode(payloads: list[tuple[bytes, bytes]], vocabulary: int, length: int = BLOCK) -> np.ndarray:
     """(blocks, length) int32 of the payloads of encode."""
     lanes = len(payloads)
     m = Model(lanes, vocabulary)
-    size = max(map(len, payloads)) // 2 + 8
-    data = np.zeros((lanes, size), np.uint16)
-    for i, p in enumerate(payloads):
-        data[i, : len(p) // 2] = np.frombuffer(p, ">u2")
-    flat = data.reshape(-1)
-    first = data[:, :3].astype(np.int64)
-    code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
-    place = m.lane * size + 3
-    width = np.full(lanes, (1 << 48) - 1, np.int64)
-    row = m.lane * m.uppers
-    slot = m.lane << UPPER_BITS
-    upper_count = m.upper_count.reshape(-1)
-    out = np.empty((length, lanes), np.int32)
-    for t in range(length):
-        m.predict()
-        unit = width >> WHOLE_BITS
-        value = code // unit
-        top = value >> REST_BITS
-        outcome = (top >= m.low[m.place + 1]).astype(np.int64)
-        outcome += top >= m.low[m.place + 2]
-        outcome += top >= m.low[m.place + 3]
-        at = m.place + outcome
-        part = m.freq[at].astype(np.int64)
-        begin, share = m.low[at].astype(np.int64) << REST_BITS, part << REST_BITS
-        now = np.where(outcome == 0, m.p2, np.where(outcome == 1, m.p1, m.common))
-        rest = np.flatnonzero(outcome == 3)
-        if len(rest):
-            p = part[rest]
-            inner = np.minimum((value[rest] - begin[rest]) // p, (1 << REST_BITS) - 1)
-            upper = m.upper_of[slot[rest] + (inner >> 8)].astype(np.int64)
-            cell = row[rest] + upper
-            f, a = m.upper_freq[cell].astype(np.int64), m.upper_low[cell].astype(np.int64) << 8
-            lower = (inner - a) // f
-            begin[rest] += p * (a + f * lower)
-            share[rest] = p * f
-            upper_count[cell] += 1
-            now[rest] = (upper << 8) | lower
-        begin *= unit
-        code -= begin
-        np.multiply(unit, share, out=width)
-        narrow = np.flatnonzero(width < LOWEST)
-        while len(narrow):
-            y = place[narrow]
-            code[narrow] = (code[narrow] << 16) | flat[y]
-            place[narrow] = y + 1
-            w = width[narrow] << 16
-            width[narrow] = w
-            narrow = narrow[w < LOWEST]
-        out[t] = now
-        m.update(out[t], outcome)
-    return np.ascontiguousarray(out.T)
+    size = max(len(p) for p, _ in payloads) // 4 + 3
+    data = np.zeros((lanes, size), np.int64)
+    for i, (p, _) in enumerate(payloads):
+        data[i, : len(p) // 4] = np.frombuffer(p, ">u4", len(p) // 4)
+    code = data[:, 0] << 31 | data[:, 1] >> 1
+    data = ((data[:, 1:-1] & 1) << 31 | data[:, 2:] >> 1).reshape(-1)  # the 32 bits that come after each digit's 63
+    place = m.lane * (size - 2)
+    lower = np.frombuffer(b"".join(r for _, r in payloads) + b"\0", np.uint8).astype(np.int64)
+    byte = np.cumsum([0, *(len(r) for _, r in payloads[:-1])], dtype=np.int64)
+    width = np.full(lanes, (1 << 63) - 1, np.int64)
+    slot, lane16 = m.lane << UPPER_BITS, m.lane * 16
+    cells = m.lane.repeat(m.uppers) * m.uppers + np.tile(np.arange(m.uppers), lanes)
+    upper_id = np.append((cells % m.uppers) << 8, 0)
+    upper = np.full((4, lanes), lanes * m.uppers)  # by outcome
+    out = np.empty((length, lanes), np.int64)
+    unit, value, top, edge, cell, part, begin, share, own, chosen, outcome = (np.zeros(lanes, np.int64) for _ in range(11))
+    first, second, rest, small = (np.zeros(lanes, bool) for _ in range(4))
+    which = np.zeros(lanes, np.int8)
+    for a, b in periods(length):
+        upper_of = np.repeat(cells, m.upper_share[:-1])  # the cell of each place in the range
+        places = np.empty((b - a, lanes), np.int64)
+        for t in range(a, b):
+            m.predict()
+            at, now = places[t - a], out[t]
+            np.multiply(m.sure[0], FOUR, out=cell)
+            np.add(cell, m.sure[1], out=cell)
+            np.add(cell, lane16, out=cell)
+            np.right_shift(width, WHOLE, out=unit)
+            np.floor_divide(code, unit, out=value)
+            np.right_shift(value, UPPER, out=top)
+            for edges, over in zip(m.edges, (first, second, rest)):
+                edges.take(cell, out=edge, mode="clip")
+                np.greater_equal(top, edge, out=over)
+            np.add(first.view(np.int8), second.view(np.int8), out=which)
+            np.add(which, rest.view(np.int8), out=which)
+            outcome[:] = which
+            np.multiply(cell, FOUR, out=at)
+            np.add(at, outcome, out=at)
+            m.part.take(at, out=part, mode="clip")
+            m.begin.take(at, out=begin, mode="clip")
+            np.subtract(value, begin, out=value)
+            np.floor_divide(value, part, out=value)
+            np.add(value, slot, out=value)
+            upper_of.take(value, out=upper[3], mode="clip")
+            np.multiply(outcome, m.wide, out=chosen)
+            np.add(chosen, m.lane, out=chosen)
+            upper.take(chosen, out=cell, mode="clip")
+            # the id
+            lower.take(byte, out=own, mode="clip")
+            np.add(byte, rest, out=byte)
+            upper_id.take(cell, out=top, mode="clip")
+            np.add(own, top, out=m.ids[3])
+            m.ids.take(chosen, out=now, mode="clip")
+            # the range
+            m.upper_begin.take(cell, out=top, mode="clip")
+            np.multiply(top, part, out=top)
+            np.add(begin, top, out=begin)
+            np.multiply(begin, unit, out=begin)
+            np.subtract(code, begin, out=code)
+            m.upper_share.take(cell, out=share, mode="clip")
+            np.multiply(share, part, out=share)
+            np.multiply(unit, share, out=width)
+            np.less(width, LEAST, out=small)
+            narrow = small.nonzero()[0]
+            if len(narrow):
+                y = place.take(narrow)
+                code[narrow] = code.take(narrow) << TAKEN | data.take(y, mode="clip")
+                place[narrow] = y + ONE
+                width[narrow] = width.take(narrow) << TAKEN
+            m.update(now)
+        m.learn(places, out[a:b])
+    return out.T.astype(np.int32, order="C")
 
 
 def write_file(out, ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> None:
-    """Magic, sizes, table of (ids, payload bytes, CRC-32) by block, payloads, then the documents and their counts."""
+    """Magic, sizes, documents and their counts, then table of (ids, bytes of digits, lower bytes, CRC-32) by block and payloads."""
     ids = np.ascontiguousarray(ids, np.int32)
     blocks = -(-len(ids) // BLOCK)
     docs = zlib.compress(np.concatenate((np.diff(doc_ids, prepend=np.int64(0)), counts)).astype("<i8").tobytes(), 6)
@@ -235,8 +291,8 @@ def write_file(out, ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, vo
         padded = np.zeros(lanes * BLOCK, np.int32)
         padded[: len(own)] = own
         payloads = encode(padded.reshape(lanes, BLOCK), vocabulary)
-        table = [struct.pack("<III", len(b), len(p), zlib.crc32(b.astype("<u4").tobytes())) for i, p in enumerate(payloads) for b in [own[i * BLOCK : (i + 1) * BLOCK]]]
-        out.write(b"".join(table) + b"".join(payloads))
+        table = [struct.pack("<IIII", len(b), len(p), len(r), zlib.crc32(b.astype("<u4").tobytes())) for i, (p, r) in enumerate(payloads) for b in [own[i * BLOCK : (i + 1) * BLOCK]]]
+        out.write(b"".join(table) + b"".join(p + r for p, r in payloads))
 
 
 def read_file(source) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,10 +308,10 @@ def read_file(source) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = []
     for lo in range(0, blocks, LANES):
         lanes = min(LANES, blocks - lo)
-        table = np.frombuffer(source.read(12 * lanes), "<u4").reshape(-1, 3)
-        payloads = [source.read(int(n)) for n in table[:, 1]]
+        table = np.frombuffer(source.read(16 * lanes), "<u4").reshape(-1, 4)
+        payloads = [(source.read(n), source.read(r)) for n, r in table[:, 1:3].tolist()]
         ids = decode(payloads, vocabulary)
-        for i, (n, _, crc) in enumerate(table.tolist()):
+        for i, (n, _, _, crc) in enumerate(table.tolist()):
             if zlib.crc32(ids[i, :n].astype("<u4").tobytes()) != crc:
                 raise ValueError(f"block {lo + i} is damaged")
         parts.append(ids.reshape(-1)[: int(table[:, 0].sum())])

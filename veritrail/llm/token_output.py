@@ -33,8 +33,8 @@ FILES = "part int, path string, n_docs long, n_tokens long"
 FILES_ARROW = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 READ_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-#: Pieces whose ids a worker keeps; beyond, it starts anew.
-KEEP = 500_000
+#: Pieces whose ids a worker keeps; beyond, it forgets those that came but once.
+KEEP = 800_000
 JOINED = 1 << 16
 BATCH = 1000
 
@@ -96,6 +96,17 @@ class Encoder:
         self.h1, self.h2 = np.zeros(0, U64), np.zeros(0, U64)  # sorted by h1
         self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
+        self.used = np.zeros(0, bool)  # found again since they were last looked through
+
+    def _forget(self) -> None:
+        """Only pieces that were found again stay; if they are too many, none."""
+        own = np.flatnonzero(self.used)
+        if 4 * len(own) > 3 * self.keep:
+            return self._clear()
+        self.h1, self.h2, self.n = self.h1[own], self.h2[own], self.n[own]
+        to = np.cumsum(self.n, dtype=np.int64)
+        self.ids = self.ids[np.arange(to[-1] if len(to) else 0) + np.repeat(self.at[own] - to + self.n, self.n)]
+        self.at, self.used = to - self.n, np.zeros(len(own), bool)
 
     def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found, lo = [np.zeros(0, np.int32)], 0
@@ -149,47 +160,64 @@ class Encoder:
         start = piece_starts(raw, off)
         return start, np.concatenate((start[1:], [len(raw)])).astype(np.int64) if len(start) else start
 
-    def _hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-        return word_hashes(raw, start, end, seed)
+    def _distinct(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of each piece among the distinct ones, bytes of these end to end, their edges)."""
+        if (end[:-1] != start[1:]).any():  # what stands between words goes
+            step = np.zeros(len(raw) + 1, np.int8)
+            step[start] += 1
+            step[end] -= 1
+            raw = raw[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+            edges = np.concatenate(([0], np.cumsum(end - start)))
+        else:
+            edges = np.concatenate((start, end[-1:]))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+        found = pieces.dictionary_encode()
+        _, edges, data = found.dictionary.buffers()
+        return found.indices.to_numpy(), np.frombuffer(data, np.uint8), np.frombuffer(edges, np.int64)[: len(found.dictionary) + 1]
 
     def encode(self, raw: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; their number for each text) from UTF-8 and offsets."""
         start, end = self._pieces(raw, off)
-        h1, h2 = self._hashes(raw, start, end, 11), self._hashes(raw, start, end, 12)
-        by = np.argsort(h1, kind="stable")
-        head = by[np.concatenate(([True], h1[by[1:]] != h1[by[:-1]]))] if len(by) else by
-        group = np.empty(len(by), np.int64)
-        group[by] = np.cumsum(np.concatenate(([True], h1[by[1:]] != h1[by[:-1]]))) - 1 if len(by) else by
+        if not len(start):
+            return np.full(len(off) - 1, end_id, np.int32), np.ones(len(off) - 1, np.int64)
+        group, own, edges = self._distinct(raw, start, end)
+        own, a, b = own[: edges[-1]], edges[:-1], edges[1:]
+        h1, h2 = word_hashes(own, a, b, 11), word_hashes(own, a, b, 12)
         if len(self.h1) > self.keep:
-            self._clear()
-        place = np.searchsorted(self.h1, h1[head])
+            self._forget()
+        by = np.argsort(h1, kind="stable")
+        s1, s2 = h1[by], h2[by]
+        place = np.searchsorted(self.h1, s1)
         place[place == len(self.h1)] = 0
-        known = (self.h1[place] == h1[head]) & (self.h2[place] == h2[head]) if len(self.h1) else np.zeros(len(head), bool)
-        fresh = head[~known]
-        if len(fresh):
-            ids, n = self._encode(raw, start[fresh], end[fresh])
+        known = (self.h1[place] == s1) & (self.h2[place] == s2) if len(self.h1) else np.zeros(len(by), bool)
+        if not known.all():
+            fresh = by[~known]
+            ids, n = self._encode(own, a[fresh], b[fresh])
             keys = np.concatenate((self.h1, h1[fresh]))
             order = np.argsort(keys, kind="stable")
             at = len(self.ids) + np.cumsum(n, dtype=np.int64) - n
             self.h1, self.h2 = keys[order], np.concatenate((self.h2, h2[fresh]))[order]
             self.at, self.n = np.concatenate((self.at, at))[order], np.concatenate((self.n, n))[order]
             self.ids = np.concatenate((self.ids, ids))
-            place = np.searchsorted(self.h1, h1[head])
-        own = place[group]
-        at, n = self.at[own], self.n[own].astype(np.int64)
+            self.used = np.concatenate((self.used, np.zeros(len(fresh), bool)))[order]
+            place = np.searchsorted(self.h1, s1)
+        self.used[place[known]] = True
+        at, n = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        at[by], n[by] = self.at[place], self.n[place]
         ids = self.ids
-        clash = np.flatnonzero(self.h2[own] != h2)  # another piece with the same first hash
+        clash = by[self.h2[place] != s2]  # another piece with the same first hash
         if len(clash):
-            more, m = self._encode(raw, start[clash], end[clash])
+            more, m = self._encode(own, a[clash], b[clash])
             at[clash], n[clash] = len(ids) + np.cumsum(m, dtype=np.int64) - m, m
             ids = np.concatenate((ids, more))
+        at, n = at[group], n[group]
         total = np.concatenate(([0], np.cumsum(n)))
-        row = np.searchsorted(off, start, side="right") - 1
         first = np.searchsorted(start, off)  # of each text, its first piece
         counts = np.diff(total[first]) + 1
-        out = np.full(int(counts.sum()), end_id, np.int32)
-        each = np.arange(total[-1])
-        out[each + np.repeat(row, n)] = ids[each + np.repeat(at - total[:-1], n)]
+        inside = np.ones(int(counts.sum()), bool)
+        inside[np.cumsum(counts) - 1] = False
+        out = np.full(len(inside), end_id, np.int32)
+        out[inside] = ids[np.arange(total[-1]) + np.repeat(at - total[:-1], n)]
         return out, counts
 
 
@@ -211,7 +239,7 @@ def writer(folder: str, vocabulary: str, end: int):
         coder, ids, counts, doc_ids = encoder(vocabulary), [], [], []
         for batch in batches:
             raw, off = utf8(batch["text"])
-            for lo, hi in slices(off, 1_000_000):
+            for lo, hi in slices(off, 2_000_000):
                 i, n = coder.encode(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], end)
                 ids.append(i)
                 counts.append(n)
@@ -247,7 +275,7 @@ def reader(batches):
 NO_ID = -(2**63)
 
 
-def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 4 << 20) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, end: int = 0, file_bytes: int = 8 << 20) -> DataFrame:
     """Write docs (doc_id, text) as token files; one row a file: path, start, n_docs, n_tokens."""
     _, n_bytes = text_size(docs)
     parts = max(12, -(-n_bytes // file_bytes))
