@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     number = lambda id_, text: F.xxhash64(F.lit(21), id_.cast("long"), id_.isNull(), text_key(text))
     own = number(F.col("doc_id"), F.col("text"))
-    links = jaccard_join(docs.select(own.alias("doc_id"), F.col("text")))
+    links = jaccard_join(docs.select(own.alias("doc_id"), F.col("text")), chunk_bytes=6 << 20)
     ids = docs.groupBy(own.alias("number")).agg(F.first(F.col("doc_id").cast("long")).alias("doc_id"), F.count(F.lit(1)).alias("times"))
     first = F.min_by(F.struct("number", "times"), F.struct(F.col("doc_id").isNull(), "doc_id", "number")).alias("kept")
     kept = links.select(F.col("doc_id").alias("number"), F.col("component_id").alias("component")).distinct().join(ids, "number").groupBy("component").agg(first).select("kept.*")

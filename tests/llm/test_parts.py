@@ -3,6 +3,8 @@
 import collections
 import random
 
+import numpy as np
+
 from veritrail.llm import sharding, warc
 
 
@@ -28,3 +30,21 @@ def test_archives_are_opened_once(spark, monkeypatch):
     assert all(p == sorted(p) for p in parts)
     got = {r.page_id: r.payload_bytes for r in warc.read_archives(index).collect()}
     assert got == {i: len(h) for i, _, h in pages}
+
+
+def test_freed_memory_goes_back_once_a_task():
+    import pyarrow as pa
+
+    from veritrail.llm import common
+
+    common.give_back()
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096
+    before = held()
+    parts = [np.ones(8_000, np.int64) for _ in range(3_000)]  # small enough for the heap, not pages of their own
+    keep, parts[:] = parts[-1], []
+    left = held() - before
+    common.give_back("one")
+    assert keep.all() and held() - before < 20_000_000 + max(0, left - 190_000_000)
+    assert common._LAST == ["one"]
+    common.give_back("two")
+    assert common._LAST == ["two"] and pa.default_memory_pool().bytes_allocated() >= 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -42,6 +43,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_LAST: list[str] = []
+
+
+def give_back(task: str | None = None) -> None:
+    """What a worker's tasks have freed goes back to the system: Spark keeps its workers, and what they hold counts against their executor.
+
+    With the name of a task, only if this worker's last one had another name.
+    """
+    if task is not None and _LAST == [task]:
+        return
+    _LAST[:] = [task or ""]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere freed memory stays with the worker
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

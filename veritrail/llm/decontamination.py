@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import INVERSE, U64, materialize, mix, powers, prefix_hash, table
+from veritrail.llm.common import INVERSE, U64, give_back, materialize, mix, powers, prefix_hash, table
 
 HITS = "doc_id long, item_id long, start long, end long, edits int"
 HITS_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
@@ -282,6 +282,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, budget: float = 0.05, q
                     for hit in scan(texts, items):
                         keep[first + hit[0]] = False
                 yield batch.filter(pa.array(keep))
+            batch = texts = None
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from veritrail.llm.common import give_back
+
 U64 = np.uint64
 REQUEST = "bucket int, chunk int, n long, keys binary, counts binary"
 REPLY = "chunk int, bucket int, n long, other binary, earlier binary, counts binary"
@@ -220,6 +222,7 @@ def closed(rows: pa.Table) -> pa.RecordBatch:
 
 
 def closing(batches):
+    give_back()
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -229,6 +232,16 @@ def closing(batches):
             held, size = [], 0
     if held:
         yield closed(pa.Table.from_batches(held))
+    held, batch = [], None
+    give_back()
+
+
+def freed(step, *tables: pa.Table) -> pa.Table:
+    """What the step returns; what it freed goes back to the system."""
+    try:
+        return step(*tables)
+    finally:
+        give_back()
 
 
 def opened(dealt: pa.Table, schema: pa.Schema) -> pa.Table:
@@ -253,15 +266,18 @@ def rounds(docs: DataFrame, chunks: int, buckets: int, steps: list, shifts: list
     dealt = docs.mapInArrow(closing, DEALT).repartitionById(chunks, "chunk")
 
     def alone(step):
-        return lambda d: step(opened(d, columns))
+        return lambda d: freed(step, opened(d, columns))
 
     def paired(step):
-        return lambda d, other: step(opened(d, columns), other)
+        return lambda d, other: freed(step, opened(d, columns), other)
+
+    def answered(task):
+        return lambda asked: freed(task, asked)
 
     own = dealt.groupBy("chunk")
     asked = own.applyInArrow(alone(steps[0]), REQUEST) if notes is None else own.cogroup(notes.repartitionById(chunks, "chunk").groupBy("chunk")).applyInArrow(paired(steps[0]), REQUEST)
     for i, shift in enumerate(shifts):
-        replies = asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(bucket_task(shift, most), REPLY).repartitionById(chunks, "chunk")
+        replies = asked.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(answered(bucket_task(shift, most)), REPLY).repartitionById(chunks, "chunk")
         step, out = (steps[i + 1], REQUEST) if i + 1 < len(steps) else (last, schema)
         asked = dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(paired(step), out)
     return asked

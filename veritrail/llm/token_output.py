@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.llm import token_coder
-from veritrail.llm.common import U64, materialize, new_path, slices, table, text_size, utf8, word_hashes
+from veritrail.llm.common import U64, give_back, materialize, new_path, slices, table, text_size, utf8, word_hashes
 
 FILES = "part int, path string, n_docs long, n_tokens long"
 FILES_ARROW = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
@@ -235,7 +235,7 @@ def writer(folder: str, vocabulary: str, end: int):
     def run(batches):
         from pyspark import TaskContext
 
-        pa.default_memory_pool().release_unused()  # what earlier stages left in this worker
+        give_back("token writer")  # what earlier stages left in this worker
         coder, ids, counts, doc_ids = encoder(vocabulary), [], [], []
         for batch in batches:
             raw, off = utf8(batch["text"])
@@ -259,6 +259,7 @@ def writer(folder: str, vocabulary: str, end: int):
 
 
 def reader(batches):
+    give_back("token reader")
     for batch in batches:
         for r in batch.to_pylist():
             where, name = fs.FileSystem.from_uri(r["path"])
