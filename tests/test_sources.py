@@ -45,6 +45,19 @@ def test_broken_files(spark, tmp_path, format, text):
         read(spark, tmp_path, text, format)
 
 
+def test_ris_gives_its_pmid():
+    """PMIDs were not read, and src_ris made them up from the title."""
+    own = lambda line: [r["pmid"] for r in records.parse_ris(f"TY  - JOUR\nTI  - x\n{line}\nER  - \n", "ris")]
+    assert own("AN  - PMID 12") == own("N1  - see NCT01234567\nN1  - PMID: 12") == own("UR  - https://pubmed.ncbi.nlm.nih.gov/12/") == ["12"]
+    assert own("N1  - Comment on PMID: 12") == own("AN  - 12") == [None]
+
+
+@pytest.mark.parametrize("text", ["TY  - JOUR\nTI  - One\n TY  - JOUR\n TI  - Two\n ER  - \nER  - \n", "TY  - JOUR\nTI  - One\n  AU  - Doe\nER  - \n", "TY  - JOUR\nTI  - One\nER  - TI  - Two\n"])
+def test_ris_loses_no_field_in_another(text):
+    with pytest.raises(ValueError):
+        list(records.parse_ris(text, "ris"))
+
+
 def test_reference(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"a": {"b": [1, None]}, "s": "x"}))
     leaves = reference.json_reference(spark, f"file://{tmp_path}/r.json")
