@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
+
 from veritrail.functions import similarity
 from veritrail.operators import alike
 
@@ -69,3 +71,34 @@ def test_many_scores_side_by_side():
     packed = [similarity.packed_places(t) for t in titles]
     for b in titles:
         assert similarity.lcs_of_many(b, packed).tolist() == [similarity.lcs(t, b) for t in titles]
+
+
+def test_scores_side_by_side_end_early_only_below_the_least(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(similarity.Beside, "KEPT", 4)
+    for letters in ("abcd ", "ab", "etaoinshé "):
+        base = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 40, 63, 64, 200, 460, 500)))) for _ in range(8)]
+        titles = [t for t in (*base, *(changed(rng, t, rng.randrange(1 + len(t) // 4), letters) for t in base for _ in range(6))) if t]
+        beside = similarity.Beside(titles)
+        for b in titles:
+            rows = np.array(sorted(rng.sample(range(len(titles)), 20)))
+            assert beside.ratios_within(b, np.arange(len(titles)), 90) == [(i, r) for i, t in enumerate(titles) if (r := similarity.ratio(t, b)) >= 90]
+            assert beside.ratios_within(b, rows, 90) == [(i, r) for i in rows.tolist() if (r := similarity.ratio(titles[i], b)) >= 90]
+
+
+def test_halves_refuse_no_alike_titles_and_most_others(monkeypatch):
+    """Long prose of one language has much the same letters: most pairs of it were scored, each as far as its end."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    base = [" ".join(sorted(rng.choice(words) for _ in range(k))) for k in (9, 30, 31, 60, 61, 100) for _ in range(12)]
+    titles = sorted({*base, *(changed(rng, t, rng.randrange(1, len(t) // 5), "etaoin ") for t in base for _ in range(2))})
+    rows = [(len(t), t, True) for t in titles if len(t) > alike.SHORT]
+    scored = []
+    one, many = similarity.ratio_within, similarity.Beside.ratios_within
+    monkeypatch.setattr(similarity, "ratio_within", lambda a, places, b, least: scored.append(1) or one(a, places, b, least))
+    monkeypatch.setattr(similarity.Beside, "ratios_within", lambda self, b, rows, least: scored.extend(rows) or many(self, b, rows, least))
+    got = {(a, b): s for a, b, s in alike._near(rows, rows, 90, True)}
+    assert set(got) == brute([r[1] for r in rows]) and len(got) > 60 and all(s == similarity.ratio(*p) for p, s in got.items())
+    counts, n = alike._counted(rows)[0].T.astype(int), [r[0] for r in rows]
+    lettered = sum(abs(counts[i] - counts[j]).sum() <= (n[i] + n[j]) / 10 for i, j in itertools.combinations(range(len(rows)), 2))
+    assert 2 * len(scored) < lettered
