@@ -18,9 +18,13 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl",
 PAGE_BREAK, BLOCK_BREAK = "\n\f\n", "\n\n"
 
 
-def plain_word(word: Column) -> Column:
-    """A word as the canonical text has it: composed, ligatures apart, invisible characters dropped, a soft hyphen at its end printed."""
-    whole = F.trim(text.nfc(F.coalesce(word, F.lit(""))))
+def plain_word(word: Column, composed: bool = False) -> Column:
+    """A word as the canonical text has it: composed, ligatures apart, invisible characters dropped, a soft hyphen at its end printed.
+
+    composed: it is NFC already.
+    """
+    own = F.coalesce(word, F.lit(""))
+    whole = F.trim(own if composed else text.nfc(own))
     for joined, apart in LIGATURES.items():
         whole = F.replace(whole, F.lit(joined), F.lit(apart))
     seen = F.regexp_replace(whole, r"[\p{Cc}\p{Cf}]", "")
@@ -95,13 +99,14 @@ def tiles(tables: DataFrame, cells: DataFrame) -> DataFrame:
 _PAGE, _CELL, _WORD, _END = 0, 1, 2, 3
 
 
-def stream(words: DataFrame, cells: DataFrame, pages: DataFrame) -> DataFrame:
+def stream(words: DataFrame, cells: DataFrame, pages: DataFrame, composed: bool = False) -> DataFrame:
     """Every word, and the starts of pages and cells, with what separates it from what stands before (sep), its text, and its offsets.
 
     words: doc, page, item (its place on the page), row, col (of the cell; null in blocks), line, word, text. cells: doc, page,
-    item, row, col, rows (of the table). pages: doc, page. Prefix sums run in each page, and then over the pages of a document.
+    item, row, col, rows (of the table). pages: doc, page. Prefix sums run over a document. Tables that are dealt by doc
+    aren't shuffled again if words are NFC already (composed), for a function in Python hides how its rows are dealt.
     """
-    plain = words.withColumn("text", plain_word(F.col("text"))).where("text <> ''")
+    plain = words.withColumn("text", plain_word(F.col("text"), composed)).where("text <> ''")
     none = F.lit(None).cast("int")
     integer = lambda *names: [F.col(n).cast("int").alias(n) for n in names]
     inside = plain.select("doc", "page", *integer("item", "row", "col", "line", "word"), F.lit(_WORD).alias("kind"), none.alias("rows"), "text")
@@ -109,22 +114,26 @@ def stream(words: DataFrame, cells: DataFrame, pages: DataFrame) -> DataFrame:
     ends = cells.groupBy("doc", "page", "item").agg(F.max("row").alias("last"), F.max("rows").alias("rows")).where("rows > last + 1")
     ends = ends.select("doc", "page", *integer("item"), F.col("rows").cast("int").alias("row"), none.alias("col"), none.alias("line"), none.alias("word"), F.lit(_END).alias("kind"), *integer("rows"), F.repeat(F.lit("\n"), (F.col("rows") - 1 - F.col("last")).cast("int")).alias("text"))
     fronts = pages.select("doc", "page", F.lit(-1).alias("item"), none.alias("row"), none.alias("col"), none.alias("line"), none.alias("word"), F.lit(_PAGE).alias("kind"), none.alias("rows"), F.lit("").alias("text"))
-    # in an item: cells by row and column, each before its words; in a block no rows
-    order = Window.partitionBy("doc", "page").orderBy("item", F.coalesce("row", F.lit(-1)), F.coalesce("col", F.lit(-1)), F.when(F.col("kind") == _WORD, 1).otherwise(0), "line", "word")
-    before = lambda c: F.lag(c).over(order)
+    order = _order()
+    before = lambda c: F.when(F.lag("page").over(order) == F.col("page"), F.lag(c).over(order))
     own = fronts.unionByName(starts).unionByName(ends).unionByName(inside)
-    own = own.withColumns({"_item": before("item"), "_row": before("row"), "_kind": before("kind"), "_line": before("line")})
+    own = own.withColumns({"_item": before("item"), "_row": before("row"), "_kind": before("kind"), "_line": before("line"), "_break": _breaks(order)})
     first = F.when(F.col("_item") >= 0, BLOCK_BREAK).otherwise("")  # of an item, unless it opens the page
     cell = F.when(F.col("_item") != F.col("item"), F.concat(first, F.repeat(F.lit("\n"), F.col("row")))).when(F.col("_row") != F.col("row"), F.repeat(F.lit("\n"), F.col("row") - F.col("_row"))).otherwise("\t")
     word = F.when(F.col("_item") != F.col("item"), first).when(F.col("_kind") == _CELL, "").when(F.col("_line") == F.col("line"), " ").otherwise(F.when(F.col("col").isNull(), "\n").otherwise(" "))
     own = own.withColumn("sep", F.when(F.col("kind") == _CELL, cell).when(F.col("kind") == _WORD, word).otherwise("")).drop("_item", "_row", "_kind", "_line")
-    end = F.sum(F.length("sep") + F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    own = own.withColumn("_end", end)
-    sizes = own.groupBy("doc", "page").agg(F.max("_end").alias("_n"))
-    paged = Window.partitionBy("doc").orderBy("page")
-    base = F.coalesce(F.sum(F.col("_n") + len(PAGE_BREAK)).over(paged.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = own.join(sizes.select("doc", "page", base.alias("_base")), ["doc", "page"])
-    return own.withColumn("end", F.col("_base") + F.col("_end")).withColumn("start", F.col("end") - F.length("text")).drop("_base", "_end")
+    end = F.sum(F.length("_break") + F.length("sep") + F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("end", end).withColumn("start", F.col("end") - F.length("text")).drop("_break")
+
+
+def _order():
+    """Of a document's stream: pages, their items, in an item cells by row and column, each before its words; in a block no rows."""
+    return Window.partitionBy("doc").orderBy("page", "item", F.coalesce("row", F.lit(-1)), F.coalesce("col", F.lit(-1)), F.when(F.col("kind") == _WORD, 1).otherwise(0), "line", "word")
+
+
+def _breaks(order) -> Column:
+    """What stands before a row because its page begins."""
+    return F.when(F.lag("page").over(order) != F.col("page"), PAGE_BREAK).otherwise("")
 
 
 def places(streamed: DataFrame) -> DataFrame:
@@ -146,6 +155,20 @@ def places(streamed: DataFrame) -> DataFrame:
     )
 
 
+def whole_texts(streamed: DataFrame) -> DataFrame:
+    """(doc, whole, word, line, cell): a document's text and the (starts, ends) of its words, lines and cells, as places has them, read once."""
+    order = _order()
+    line = F.when(F.col("kind") == _WORD, F.struct("page", "item", "row", "col", "line"))
+    cell = F.when(F.col("kind").isin(_CELL, _WORD) & F.col("row").isNotNull(), F.struct("page", "item", "row", "col"))
+    edges = {f"{n}_{e}": k.isNotNull() & ~step(k).over(order).eqNullSafe(k) for n, k in (("line", line), ("cell", cell)) for e, step in (("first", F.lag), ("last", F.lead))}
+    own = streamed.withColumns({"_n": F.row_number().over(order), "_said": F.concat(_breaks(order), "sep", "text"), "word_first": F.col("kind") == _WORD, **edges})
+    own = own.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("_n", "_said", "start", "end", "word_first", *edges))).alias("_p"))
+    at = lambda flag, place: F.transform(F.filter("_p", lambda p: p[flag]), lambda p: p[place])
+    both = lambda n, last: F.struct(at(f"{n}_first", "start").alias("starts"), at(last, "end").alias("ends")).alias(n)
+    whole = F.array_join(F.transform("_p", lambda p: p["_said"]), "").alias("whole")
+    return own.select("doc", whole, both("word", "word_first"), both("line", "line_last"), both("cell", "cell_last"))
+
+
 def page_texts(streamed: DataFrame) -> DataFrame:
     """(doc, page, start, text) of each page; a document's text is its pages' texts with PAGE_BREAK between them."""
     parts = F.array_sort(F.collect_list(F.struct("end", F.when(F.col("kind") == _WORD, 1).otherwise(0).alias("w"), F.coalesce("row", F.lit(-1)).alias("r"), F.coalesce("col", F.lit(-1)).alias("c"), "sep", "text")))
