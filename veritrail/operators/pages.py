@@ -95,8 +95,8 @@ def tiles(tables: DataFrame, cells: DataFrame) -> DataFrame:
 
 # the canonical text
 
-#: What stands in a document's stream: the start of a page, of a cell, of what follows a table's last row, and words.
-_PAGE, _CELL, _WORD, _END = 0, 1, 2, 3
+#: What stands in a document's stream: the start of a page, of a cell, of what follows a table's last row, and words. What starts stands before its words.
+_PAGE, _CELL, _END, _WORD = 0, 1, 2, 3
 
 
 def stream(words: DataFrame, cells: DataFrame, pages: DataFrame, composed: bool = False) -> DataFrame:
@@ -127,8 +127,11 @@ def stream(words: DataFrame, cells: DataFrame, pages: DataFrame, composed: bool
 
 
 def _order():
-    """Of a document's stream: pages, their items, in an item cells by row and column, each before its words; in a block no rows."""
-    return Window.partitionBy("doc").orderBy("page", "item", F.coalesce("row", F.lit(-1)), F.coalesce("col", F.lit(-1)), F.when(F.col("kind") == _WORD, 1).otherwise(0), "line", "word")
+    """Of a document's stream: pages, their items, in an item cells by row and column, each before its words; in a block no rows.
+
+    By columns alone, so that all windows of a stream share one sort.
+    """
+    return Window.partitionBy("doc").orderBy("page", "item", "row", "col", "kind", "line", "word")
 
 
 def _breaks(order) -> Column:
