@@ -102,3 +102,26 @@ def test_halves_refuse_no_alike_titles_and_most_others(monkeypatch):
     counts, n = alike._counted(rows)[0].T.astype(int), [r[0] for r in rows]
     lettered = sum(abs(counts[i] - counts[j]).sum() <= (n[i] + n[j]) / 10 for i, j in itertools.combinations(range(len(rows)), 2))
     assert 2 * len(scored) < lettered
+
+
+def test_segments_stand_in_few_places():
+    """Every kept segment was looked for as far as all edits move it: 250 keys and more of a title of 34 characters."""
+    plans = {n: (alike.most_edits(n, 90) + 2, tuple(range(alike.most_edits(n, 90), -1, -1))) for n in range(28, 39)}
+    assert len(alike._places_of_segments(34, plans, 90)[0]) < 80
+
+
+def test_short_titles_of_two_letters_lose_nothing(spark):
+    """Edits at both ends and in runs, in titles whose segments stand in many places."""
+    rng = random.Random(11)
+    titles = set()
+    for _ in range(60):
+        base = "".join(rng.choice("ab") for _ in range(rng.randrange(8, 49)))
+        titles.add(base)
+        for _ in range(5):
+            k = rng.randrange(1, 5)
+            at = rng.choice((0, rng.randrange(len(base)), len(base) - k))
+            cut = base[:at] + base[at + k :] if rng.random() < 0.5 else base
+            put = rng.choice((0, rng.randrange(len(cut) + 1), len(cut)))
+            titles.add(cut[:put] + "".join(rng.choice("ab") for _ in range(rng.randrange(4))) + cut[put:])
+    got = {(r.a, r.b) for r in alike.alike_titles(spark.createDataFrame([(t,) for t in sorted(titles)], "title string")).collect()}
+    assert got == brute(titles) and len(got) > 300
